@@ -115,11 +115,11 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     rows, offsets = running_below(d, "_g", "_v", "_c", num_partitions)
 
     groups = offsets.select("_g", "_n").dropDuplicates(["_g"])
-    targets = None
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        t = groups.select("_g", F.lit(name).alias("_q"), pos.alias("_pos"))
-        targets = t if targets is None else targets.unionByName(t)
+    wanted = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p"))
+                       for name, p in probs.items()])
+    targets = (groups.select("_g", "_n", F.explode(wanted).alias("_w"))
+                     .select("_g", F.col("_w.q").alias("_q"),
+                             (F.col("_w.p") * (F.col("_n") - 1)).alias("_pos")))
     ends = F.array(F.struct(F.floor("_pos").alias("k"), F.lit(True).alias("lo")),
                    F.struct(F.ceil("_pos").alias("k"), F.lit(False).alias("lo")))
     targets = (targets.withColumn("_frac", F.col("_pos") - F.floor("_pos"))
