@@ -160,3 +160,16 @@ def json_parse_or_empty(col: ColumnOrName, value_type: str = "string") -> Column
     """Parse a JSON object into ``map<string, value_type>``; ``{}`` on failure."""
     parsed = F.from_json(_c(col), f"map<string,{value_type}>", {"mode": "PERMISSIVE"})
     return F.coalesce(parsed, F.create_map().cast(f"map<string,{value_type}>"))
+
+
+# ------------------------------------------------------------- feature names
+def feature_display(col: ColumnOrName) -> Column:
+    """Raw feature name -> label: fixed names first, then the prefix rules."""
+    from paysift.functions import constants as K
+    c = _c(col)
+    return (F.when(lookup(c, K.FEATURE_DISPLAY).isNotNull(), lookup(c, K.FEATURE_DISPLAY))
+             .when(c.startswith("ctry_"), F.concat(F.lit("Country: "), title_case(F.substring(c, 6, 1 << 20))))
+             .when(c.startswith("ind_"), F.concat(F.lit("Industry: "), F.substring(c, 5, 1 << 20)))
+             .when(c.startswith("emp_"), F.concat(F.lit("EmpType: "), F.substring(c, 5, 1 << 20)))
+             .when(c.startswith("skill_emb_"), F.concat(F.lit("SkillVec["), F.substring(c, 11, 1 << 20), F.lit("]")))
+             .otherwise(c))

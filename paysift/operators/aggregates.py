@@ -109,8 +109,10 @@ def category_stats(df: DataFrame, cat: str = "job_category", value: str = "salar
     return out.select(cat, "count", "mean", "median", "q25", "q75", "std").orderBy(F.desc("median"), cat)
 
 
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), col)
+def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
+    """Frequency of each value, most frequent first (ties by value); nulls dropped by default."""
+    d = df.where(F.col(col).isNotNull()) if dropna else df
+    return d.groupBy(col).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), col)
 
 
 def nunique(df: DataFrame, cols: Sequence[str], approx_rsd: float | None = None) -> DataFrame:

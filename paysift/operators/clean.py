@@ -39,8 +39,8 @@ def surrogate_id(df: DataFrame, order_cols: Sequence[str], name: str = "job_id",
     Numbers follow ``order_cols`` (a real key, not arrival order).  The pad
     width grows with the row count, so 100,000+ rows never collide.
     """
-    numbered = row_numbers(df, order_cols, "_rn", total_name="_total")
-    width = F.greatest(F.lit(min_width), F.length(F.col("_total").cast("string")))
+    numbered = row_numbers(df, order_cols, "_rn", total_name="_n_rows")
+    width = F.greatest(F.lit(min_width), F.length(F.col("_n_rows").cast("string")))
     new_id = F.concat(F.lit(prefix), F.lpad(F.col("_rn").cast("string"), width, "0"))
     rest = [c for c in df.columns if c != name]
     return numbered.select(new_id.alias(name), *rest)
@@ -69,3 +69,33 @@ def clean_postings(raw: DataFrame) -> DataFrame:
               .withColumn("country", norm_upper("company_location"))
               .withColumn("posting_date", F.col("posting_date").cast("date"))
               .withColumn("application_deadline", F.col("application_deadline").cast("date")))
+
+
+def rename_drop_reorder(df: DataFrame, drop: Sequence[str] = (), rename: dict[str, str] | None = None,
+                        front: Sequence[str] = ()) -> DataFrame:
+    """Drop columns, rename others, then move ``front`` columns first (pure projection)."""
+    rename = rename or {}
+    cols = [F.col(c).alias(rename.get(c, c)) for c in df.columns if c not in drop]
+    out = df.select(*cols)
+    return out.select(*front, *[c for c in out.columns if c not in front])
+
+
+def filter_group_eq(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Rows whose columns equal request values after ``upper(trim(.))`` of the values."""
+    cond = None
+    for col, v in wanted.items():
+        e = F.col(col) == F.upper(F.trim(F.lit(v)))
+        cond = e if cond is None else cond & e
+    return df.where(cond)
+
+
+def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
+    """Strict union-all by column name (schemas must agree; duplicates kept)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=False)
+    return out
+
+
+def union_subset(frames: Sequence[DataFrame], cols: Sequence[str]) -> DataFrame:
+    return union_by_name([f.select(*cols) for f in frames])

@@ -30,6 +30,14 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives
+    executor loss; never a local checkpoint)."""
+    from paysift.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _group_struct(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
@@ -43,9 +51,12 @@ def row_numbers(df: DataFrame, order_cols: Sequence[str], name: str = "row_num",
     """
     n = _partitions(df, num_partitions)
     s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-           .withColumn("_mid", F.monotonically_increasing_id())
-           .withColumn("_pid", F.shiftright("_mid", _POS_BITS))
-           .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
+           .withColumn("_mid", F.monotonically_increasing_id()))
+    # Range bounds come from a sample, so two evaluations of the exchange can
+    # cut the data differently; the positions are made once and checkpointed.
+    s = _materialize(s)
+    s = (s.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
+          .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_pid",
@@ -53,9 +64,8 @@ def row_numbers(df: DataFrame, order_cols: Sequence[str], name: str = "row_num",
                    F.lit(0)).alias("_offset"),
         F.sum("_cnt").over(Window.partitionBy()).alias("_total"))
     out = s.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_offset") + F.col("_pos") + 1)
-    if total_name:
-        out = out.withColumnRenamed("_total", total_name)
-    return out.drop("_mid", "_pid", "_pos", "_offset", "_total")
+    out = out.drop("_mid", "_pid", "_pos", "_offset")
+    return out.withColumnRenamed("_total", total_name) if total_name else out.drop("_total")
 
 
 def running_below(d: DataFrame, group_col: str, order_col: str, weight_col: str,
@@ -66,7 +76,8 @@ def running_below(d: DataFrame, group_col: str, order_col: str, weight_col: str,
     ``offsets`` is (``_pid, group, _offset, _tot, _n``), at most partitions + groups rows.
     """
     n = _partitions(d, num_partitions)
-    s = d.repartitionByRange(n, group_col, order_col).withColumn("_pid", F.spark_partition_id())
+    s = _materialize(d.repartitionByRange(n, group_col, order_col)
+                      .withColumn("_pid", F.spark_partition_id()))
     wl = Window.partitionBy("_pid", group_col).orderBy(order_col)
     local = s.withColumn(
         "_local_below",
@@ -143,3 +154,36 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     if keys:
         return wide.select(*[F.col("_g")[k].alias(k) for k in keys], *probs.keys())
     return wide.select(*probs.keys())
+
+
+def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+                    n: int, name: str = "rank", salt_buckets: int | None = None) -> DataFrame:
+    """Exactly the first ``n`` rows of every group under ``order`` (a total order).
+
+    A plain ``row_number() OVER (PARTITION BY keys)`` sorts a whole group in
+    one task.  Here rows are first ranked inside (group, salt) sub-groups, of
+    which only the first ``n`` survive, so the second, per-group ranking sees
+    at most ``n * salt_buckets`` rows of any group, however large it is.
+    """
+    keys = list(keys)
+    s = salt_buckets or _partitions(df, None)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(s)))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    first = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return first.withColumn(name, F.row_number().over(w2)).where(F.col(name) <= n)
+
+
+def rank_below(df: DataFrame, keys: Sequence[str], value: str,
+               num_partitions: int | None = None) -> DataFrame:
+    """Per row: ``_below`` = rows of its group with a strictly smaller ``value``
+    (``rank() - 1``) and ``_n`` = non-null rows in the group, without a
+    per-group window: one row per distinct (group, value) is range-sorted."""
+    keys = list(keys)
+    base = df.withColumn("_g", _group_struct(keys))
+    d = base.where(F.col(value).isNotNull()).groupBy("_g", F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    rows, _ = running_below(d, "_g", "_v", "_c", num_partitions)
+    r = rows.select(F.col("_g").alias("_rg"), F.col("_v").alias("_rv"), "_below", "_n")
+    out = base.join(r, base["_g"].eqNullSafe(r["_rg"]) & (base[value] == r["_rv"]), "left")
+    return out.drop("_g", "_rg", "_rv")

@@ -65,7 +65,7 @@ def with_base(rest: str) -> str:
 
 def title_case(expr: str) -> str:
     """DuckDB form of Python ``str.title`` (capitalise after every non-letter)."""
-    return (f"list_aggregate(list_transform(regexp_extract_all(lower({expr}), '[a-z]+|[^a-z]+'),"
+    return (f"list_aggregate(list_transform(regexp_extract_all(lower({expr}), '\\p{{L}}+|[^\\p{{L}}]+'),"
             f" lambda w: upper(w[1]) || w[2:]), 'string_agg', '')")
 
 
@@ -73,3 +73,11 @@ def hash_bucket(expr: str, modulus: int, salt: str = "") -> str:
     """DuckDB twin of ``paysift.functions.sampling.hash_bucket``."""
     return (f"(CAST(('0x' || substr(md5('{salt}' || CAST({expr} AS VARCHAR)), 1, 7)) AS BIGINT)"
             f" % {modulus})")
+
+
+def _base_feature_names_sql() -> str:
+    from paysift.functions.constants import BASE_NUMERIC_FEATURES
+    return "VALUES " + ", ".join(f"('{f}')" for f in BASE_NUMERIC_FEATURES)
+
+
+BASE_FEATURE_NAMES_SQL = _base_feature_names_sql()

@@ -32,3 +32,35 @@ def build_session(master: str | None = None, app: str = "paysift",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
+
+    The setting is read from the session; only when it is unset (local runs,
+    tests) is a local folder created and registered as the checkpoint dir.
+    """
+    import uuid
+
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/paysift/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    On a cluster it is read from the session.  Only when nothing is set (local
+    runs and tests) is a local folder created and registered.
+    """
+    import tempfile
+
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir()
+    if base:
+        return base
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="paysift-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    sc.setCheckpointDir(base)
+    return sc.getCheckpointDir() or base
