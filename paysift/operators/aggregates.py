@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
 from paysift.functions.expr import clean_tokens, lookup, title_case, year_month
-from paysift.operators.ranking import group_quantiles
+from paysift.operators.ranking import group_quantiles, rank_below
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -153,7 +153,7 @@ def kde_curve(df: DataFrame, col: str, grid: int = 50) -> DataFrame:
     """
     n, lo, hi, sd = df.agg(F.count(col), F.min(col), F.max(col), F.stddev_samp(col)).first()
     if not n or sd is None or sd == 0:
-        return df.sparkSession.createDataFrame([], "point int, x double, density double")
+        return df.sparkSession.createDataFrame([], "point int, x double, density_per_million double")
     h = sd * n ** (-1.0 / 5)
     step = (hi - lo) / (grid - 1)
     pts = F.array(*[F.lit(i) for i in range(grid)])
@@ -164,7 +164,7 @@ def kde_curve(df: DataFrame, col: str, grid: int = 50) -> DataFrame:
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
     return (e.groupBy("point").agg(F.sum(k).alias("_s"))
              .select("point", (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"),
-                     (F.col("_s") * F.lit(norm)).alias("density"))
+                     (F.col("_s") * F.lit(norm) * F.lit(1_000_000)).alias("density_per_million"))
              .orderBy("point"))
 
 
@@ -198,3 +198,31 @@ def global_baseline(series: DataFrame, value: str) -> DataFrame:
     return series.select("*", F.lit(mean).cast("double").alias("baseline_mean"),
                          F.lit(lo).cast("double").alias("series_min"),
                          F.lit(hi).cast("double").alias("series_max"))
+
+
+def describe_columns(df: DataFrame, cols: Sequence[str], strategy: str = "auto") -> DataFrame:
+    """``describe`` of several columns in one pass: stacked to (column_name, value) first."""
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (column_name, value)"))
+    return describe_by(long, ["column_name"], "value", strategy)
+
+
+def peer_percentile(df: DataFrame, keys: Sequence[str], value: str,
+                    min_samples: int = K.PEER_MIN_SAMPLES, strategy: str = "auto") -> DataFrame:
+    """Every row's place inside its peer group: sample size, percent of peers
+    strictly below (1 dp), median / p25 / p75 (0 dp), and ``enough`` (n ≥ min).
+
+    Ranks come from a range-sorted running count and quantiles from
+    ``group_quantiles``, so a peer group of any size is split over many tasks.
+    """
+    keys = list(keys)
+    ranked = rank_below(df, keys, value)
+    q = group_quantiles(df, keys, value, {"_med": 0.5, "_p25": 0.25, "_p75": 0.75}, strategy=strategy)
+    j = _join_on(ranked, q, keys)
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    ok = n >= min_samples
+    return j.select(*df.columns, n.alias("sample_size"), ok.alias("enough"),
+                    F.when(ok, F.bround(F.col("_below") / n * 100, 1)).alias("percentile"),
+                    F.when(ok, F.bround("_med", 0)).alias("median"),
+                    F.when(ok, F.bround("_p25", 0)).alias("p25"),
+                    F.when(ok, F.bround("_p75", 0)).alias("p75"))

@@ -5,14 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
+from paysift.functions.expr import year_month
 from paysift.operators import aggregates as A
+from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles, sql_case
 from paysift.plans.marts import cleaned, mart_main
 from paysift.plans.registry import register
-from paysift.plans.sql import title_case, with_base
+from paysift.plans.sql import title_case, with_base, with_main
 
 _COUNTRY_NAME_SQL = f"coalesce({sql_case('country', K.COUNTRY_DISPLAY)}, {title_case('country')})"
 
+# Category rules for the driver's data: ordered, overlapping keyword lists over
+# the part vocabulary of the derived job titles, so that priority decides.
+DATA_CATEGORIES = [
+    ("Precision Parts", ["ring", "gear"]),
+    ("Fasteners", ["bolt", "rod", "ring"]),
+    ("Promotional", ["promo"]),
+    ("Heavy Duty", ["large", "anvil", "plate"]),
+    ("Small Items", ["small", "gizmo", "widget"]),
+]
+DATA_CATEGORY_DEFAULT = "Other Items"
+
+
+def category_sql(expr: str, rules=DATA_CATEGORIES, default=DATA_CATEGORY_DEFAULT) -> str:
+    t = f"lower(coalesce({expr}, ''))"
+    whens = " ".join(
+        "WHEN " + " OR ".join(f"contains({t}, '{k.lower()}')" for k in kws) + f" THEN '{name}'"
+        for name, kws in rules)
+    return f"(CASE {whens} ELSE '{default}' END)"
+
 
 @register("agg_country_summary", with_base(f"""
 SELECT country, round_even(avg(salary_usd), 0) AS avg_salary,
@@ -22,3 +43,159 @@ SELECT country, round_even(avg(salary_usd), 0) AS avg_salary,
 FROM cleaned GROUP BY country ORDER BY avg_salary DESC, country"""))
 def agg_country_summary(spark, sf):
     return A.country_summary(cleaned(spark, sf))
+
+
+@register("agg_level_describe", with_main("""
+SELECT experience_level, exp_label, exp_order, count(salary_usd) AS count,
+  round(avg(salary_usd), 4) AS mean, round(stddev_samp(salary_usd), 4) AS std,
+  round(min(salary_usd), 4) AS min, round(quantile_cont(salary_usd, 0.25), 4) AS q25,
+  round(quantile_cont(salary_usd, 0.5), 4) AS median, round(quantile_cont(salary_usd, 0.75), 4) AS q75,
+  round(max(salary_usd), 4) AS max
+FROM main WHERE exp_order IS NOT NULL GROUP BY ALL ORDER BY exp_order"""))
+def agg_level_describe(spark, sf):
+    return round_doubles(A.level_describe(mart_main(cleaned(spark, sf))))
+
+
+@register("agg_industry_mean", with_base("""
+SELECT industry, round_even(avg(salary_usd), 0) AS avg_salary, count(salary_usd) AS job_count
+FROM cleaned GROUP BY industry ORDER BY avg_salary DESC, industry"""))
+def agg_industry_mean(spark, sf):
+    return A.industry_mean(cleaned(spark, sf))
+
+
+@register("agg_trend_mart", with_main("""
+SELECT post_ym, round_even(avg(salary_usd), 0) AS avg_salary, count(salary_usd) AS job_count
+FROM main WHERE post_ym IS NOT NULL GROUP BY post_ym ORDER BY post_ym"""))
+def agg_trend_mart(spark, sf):
+    return A.trend_mart(mart_main(cleaned(spark, sf)))
+
+
+@register("agg_monthly_mean", with_base("""
+SELECT strftime(posting_date, '%Y-%m') AS month, round(avg(salary_usd), 4) AS mean_salary,
+       count(salary_usd) AS count
+FROM cleaned WHERE posting_date IS NOT NULL GROUP BY 1 ORDER BY 1"""))
+def agg_monthly_mean(spark, sf):
+    return round_doubles(A.monthly_mean(cleaned(spark, sf)))
+
+
+@register("agg_skill_frequency", with_base("""
+SELECT skill, count(*) AS count FROM (
+  SELECT trim(unnest(string_split(required_skills, ','))) AS skill FROM cleaned)
+WHERE skill <> '' GROUP BY skill ORDER BY count DESC, skill"""))
+def agg_skill_frequency(spark, sf):
+    return A.skill_frequency(cleaned(spark, sf))
+
+
+@register("agg_category_stats", with_base(f"""
+SELECT job_category, count(salary_usd) AS count, round(avg(salary_usd), 4) AS mean,
+  round(quantile_cont(salary_usd, 0.5), 4) AS median, round(quantile_cont(salary_usd, 0.25), 4) AS q25,
+  round(quantile_cont(salary_usd, 0.75), 4) AS q75, round(stddev_samp(salary_usd), 4) AS std
+FROM (SELECT *, {category_sql('job_title')} AS job_category FROM cleaned)
+GROUP BY job_category HAVING count(salary_usd) >= 50 ORDER BY median DESC, job_category"""))
+def agg_category_stats(spark, sf):
+    c = cleaned(spark, sf).withColumn(
+        "job_category", classify_keywords("job_title", DATA_CATEGORIES, DATA_CATEGORY_DEFAULT))
+    return round_doubles(A.category_stats(c))
+
+
+@register("agg_value_counts", with_base("""
+SELECT experience_level, count(*) AS count FROM cleaned WHERE experience_level IS NOT NULL
+GROUP BY 1 ORDER BY count DESC, experience_level"""))
+def agg_value_counts(spark, sf):
+    return A.value_counts(cleaned(spark, sf), "experience_level")
+
+
+@register("agg_nunique", with_base("""
+SELECT count(DISTINCT industry) AS n_industry, count(DISTINCT country) AS n_country,
+       count(DISTINCT employment_type) AS n_employment_type FROM cleaned"""))
+def agg_nunique(spark, sf):
+    return A.nunique(cleaned(spark, sf), ["industry", "country", "employment_type"])
+
+
+_DESCRIBE_COLS = ["salary_usd", "years_experience", "benefits_score"]
+
+
+@register("agg_describe", with_base(" UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 4) AS mean,
+  round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,
+  round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS median,
+  round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM cleaned""" for c in _DESCRIBE_COLS)))
+def agg_describe(spark, sf):
+    return round_doubles(A.describe_columns(cleaned(spark, sf), _DESCRIBE_COLS))
+
+
+@register("agg_global_baseline", with_base(""", m AS (
+  SELECT strftime(posting_date, '%Y-%m') AS month, avg(salary_usd) AS mean_salary
+  FROM cleaned WHERE posting_date IS NOT NULL GROUP BY 1)
+SELECT month, round(mean_salary, 4) AS mean_salary,
+  round(avg(mean_salary) OVER (), 4) AS baseline_mean,
+  round(min(mean_salary) OVER (), 4) AS series_min, round(max(mean_salary) OVER (), 4) AS series_max
+FROM m"""))
+def agg_global_baseline(spark, sf):
+    m = cleaned(spark, sf).where(F.col("posting_date").isNotNull()).groupBy(
+        year_month("posting_date").alias("month")).agg(F.avg("salary_usd").alias("mean_salary"))
+    return round_doubles(A.global_baseline(m, "mean_salary"))
+
+
+@register("peer_percentile", with_base("""
+SELECT job_id, country, experience_level, round(salary_usd, 4) AS salary_usd,
+  count(salary_usd) OVER g AS sample_size, count(salary_usd) OVER g >= 10 AS enough,
+  CASE WHEN count(salary_usd) OVER g >= 10 THEN
+    round_even(CAST(rank() OVER (PARTITION BY country, experience_level ORDER BY salary_usd) - 1 AS DOUBLE)
+               / count(salary_usd) OVER g * 100, 1) END AS percentile,
+  CASE WHEN count(salary_usd) OVER g >= 10 THEN round_even(quantile_cont(salary_usd, 0.5) OVER g, 0) END AS median,
+  CASE WHEN count(salary_usd) OVER g >= 10 THEN round_even(quantile_cont(salary_usd, 0.25) OVER g, 0) END AS p25,
+  CASE WHEN count(salary_usd) OVER g >= 10 THEN round_even(quantile_cont(salary_usd, 0.75) OVER g, 0) END AS p75
+FROM cleaned WINDOW g AS (PARTITION BY country, experience_level)"""))
+def peer_percentile(spark, sf):
+    c = cleaned(spark, sf).select("job_id", "country", "experience_level", "salary_usd")
+    return round_doubles(A.peer_percentile(c, ["country", "experience_level"], "salary_usd"))
+
+
+@register("hist_equal_width", with_base(""", b AS (SELECT min(salary_usd) AS lo, max(salary_usd) AS hi FROM cleaned),
+h AS (SELECT least(49, CAST(floor((salary_usd - lo) / ((hi - lo) / 50)) AS INTEGER)) AS bin, count(*) AS count
+      FROM cleaned, b WHERE salary_usd IS NOT NULL GROUP BY 1)
+SELECT bin, round(lo + bin * ((hi - lo) / 50), 4) AS bin_low, round(lo + (bin + 1) * ((hi - lo) / 50), 4) AS bin_high,
+       count FROM h, b ORDER BY bin"""))
+def hist_equal_width(spark, sf):
+    return round_doubles(A.hist_equal_width(cleaned(spark, sf), "salary_usd", 50))
+
+
+@register("kde_curve", with_base(""", s AS (
+  SELECT count(salary_usd) AS n, min(salary_usd) AS lo, max(salary_usd) AS hi,
+         stddev_samp(salary_usd) * pow(count(salary_usd), -0.2) AS h FROM cleaned),
+d AS (SELECT salary_usd AS v, count(*) AS c FROM cleaned WHERE salary_usd IS NOT NULL GROUP BY 1),
+g AS (SELECT range AS point FROM range(50))
+SELECT point, round(lo + point * ((hi - lo) / 49), 4) AS x,
+  round(sum(c * exp(-0.5 * pow((lo + point * ((hi - lo) / 49) - v) / h, 2)))
+        * (1.0 / (n * h * sqrt(2 * pi()))) * 1000000, 4) AS density_per_million
+FROM g, d, s GROUP BY point, lo, hi, n, h ORDER BY point"""))
+def kde_curve(spark, sf):
+    return round_doubles(A.kde_curve(cleaned(spark, sf), "salary_usd", 50))
+
+
+@register("boxplot_stats", with_base(""", q AS (
+  SELECT experience_level, quantile_cont(salary_usd, 0.25) AS q1, quantile_cont(salary_usd, 0.5) AS median,
+         quantile_cont(salary_usd, 0.75) AS q3 FROM cleaned GROUP BY 1),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS fence_low, q3 + 1.5 * (q3 - q1) AS fence_high FROM q)
+SELECT f.experience_level, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
+  round(fence_low, 4) AS fence_low, round(fence_high, 4) AS fence_high,
+  round(min(salary_usd) FILTER (WHERE salary_usd BETWEEN fence_low AND fence_high), 4) AS whisker_low,
+  round(max(salary_usd) FILTER (WHERE salary_usd BETWEEN fence_low AND fence_high), 4) AS whisker_high,
+  count(*) FILTER (WHERE NOT (salary_usd BETWEEN fence_low AND fence_high)) AS n_outliers, count(*) AS n
+FROM f JOIN cleaned c ON c.experience_level = f.experience_level
+GROUP BY ALL ORDER BY 1"""))
+def boxplot_stats(spark, sf):
+    return round_doubles(A.boxplot_stats(cleaned(spark, sf), "experience_level", "salary_usd"))
+
+
+@register("corr_skill_count", with_base(""", x AS (
+  SELECT CAST(len(regexp_split_to_array(required_skills, ',\\s*')) AS INTEGER) AS skill_count, salary_usd FROM cleaned)
+SELECT skill_count, count(salary_usd) AS n, round(avg(salary_usd), 4) AS mean_y,
+  round(quantile_cont(salary_usd, 0.5), 4) AS median_y,
+  round((SELECT corr(skill_count, salary_usd) FROM x), 4) AS corr_xy
+FROM x GROUP BY skill_count ORDER BY skill_count"""))
+def corr_skill_count(spark, sf):
+    c = cleaned(spark, sf).select(F.size("skills_array").cast("int").alias("skill_count"), "salary_usd")
+    out = A.corr_by_count(c, "skill_count", "salary_usd")
+    return round_doubles(out.select("skill_count", "n", "mean_y", "median_y", "corr_xy"))

@@ -81,3 +81,21 @@ def _base_feature_names_sql() -> str:
 
 
 BASE_FEATURE_NAMES_SQL = _base_feature_names_sql()
+
+MAIN = r"""main AS (
+  SELECT job_title, salary_usd, experience_level, employment_type, company_size, remote_ratio,
+    education_required, years_experience, industry, posting_date, benefits_score, country,
+    coalesce(CASE experience_level WHEN 'EN' THEN 'Entry (EN)' WHEN 'MI' THEN 'Mid (MI)'
+      WHEN 'SE' THEN 'Senior (SE)' WHEN 'EX' THEN 'Expert (EX)' END, 'Unknown') AS exp_label,
+    CAST(CASE experience_level WHEN 'EN' THEN 1 WHEN 'MI' THEN 2 WHEN 'SE' THEN 3 WHEN 'EX' THEN 4 END
+         AS INTEGER) AS exp_order,
+    coalesce(CASE company_size WHEN 'S' THEN 'Small (S)' WHEN 'M' THEN 'Medium (M)'
+      WHEN 'L' THEN 'Large (L)' END, 'Unknown') AS size_label,
+    CAST(CASE company_size WHEN 'S' THEN 1 WHEN 'M' THEN 2 WHEN 'L' THEN 3 END AS INTEGER) AS size_order,
+    CAST(year(posting_date) AS INTEGER) AS post_year, CAST(month(posting_date) AS INTEGER) AS post_month,
+    strftime(posting_date, '%Y-%m') AS post_ym
+  FROM cleaned)"""
+
+
+def with_main(rest: str) -> str:
+    return with_base(", " + MAIN + ("\n" if rest.strip().startswith(",") else "\n") + rest.strip())
