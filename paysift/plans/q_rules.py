@@ -83,7 +83,7 @@ SELECT job_id, round(ln(salary_usd), 4) AS ln_salary, round(exp(ln(salary_usd)),
   round(abs(benefits_score - 5.0), 4) AS abs_dev, round_even(sqrt(salary_usd), 0) AS r0,
   round_even(sqrt(salary_usd), 1) AS r1, round_even(sqrt(salary_usd), 2) AS r2,
   round_even(sqrt(salary_usd), 4) AS r4, CAST(trunc(salary_usd) AS BIGINT) AS as_int,
-  round(CASE WHEN years_experience <> 0 THEN salary_usd / (years_experience * 50000.0) - 1 END, 4) AS ratio_m1
+  round(CASE WHEN years_experience <> 0 THEN salary_usd / (years_experience * 30007.0) - 1 END, 4) AS ratio_m1
 FROM cleaned"""))
 def scalar_math(spark, sf):
     c = cleaned(spark, sf)
@@ -92,7 +92,7 @@ def scalar_math(spark, sf):
                    F.abs(F.col("benefits_score") - 5.0).alias("abs_dev"),
                    *[F.bround(F.sqrt(s), d).alias(f"r{d}") for d in (0, 1, 2, 4)],
                    X.truncate_int(s).alias("as_int"),
-                   X.ratio_minus_one(s, F.col("years_experience") * 50000.0).alias("ratio_m1"))
+                   X.ratio_minus_one(s, F.col("years_experience") * 30007.0).alias("ratio_m1"))
     return round_doubles(out)
 
 
