@@ -83,4 +83,25 @@ def substrings(col: Column | str, min_len: int = 1) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     return F.flatten(F.transform(
         starts, lambda s: F.transform(F.sequence(F.lit(min_len), F.greatest(n - s + 1, F.lit(min_len))),
-                                      lambda ln: F.substring(c, s, ln))))
+                                      lambda ln: c.substr(s, ln))))
+
+
+def suggest_contained(unmatched: DataFrame, keys: Sequence[str], vocab: DataFrame) -> DataFrame:
+    """For each unmatched token: the first vocabulary word (by ``vocab_rank``)
+    that contains the lower-cased token or is contained in it.
+
+    Containment is turned into two equi-joins on enumerated substrings (of the
+    token, and of every vocabulary word), so no pair of token and word is ever
+    formed unless they share the substring: no nested-loop join.
+    """
+    keys = list(keys) + ["pos"]
+    u = unmatched.select(*keys, F.lower("token").alias("_lt"))
+    v = vocab.select("word", "vocab_rank")
+    # the word inside the token: substrings of the token meet the words
+    a = (u.select(*keys, F.explode(F.array_distinct(substrings(F.col("_lt")))).alias("_sub"))
+          .join(v, F.col("_sub") == F.col("word")).select(*keys, "word", "vocab_rank"))
+    # the token inside the word: substrings of the words meet the token
+    vs = v.select("word", "vocab_rank", F.explode(F.array_distinct(substrings(F.col("word")))).alias("_sub"))
+    b = u.join(vs, F.col("_lt") == F.col("_sub")).select(*keys, "word", "vocab_rank")
+    best = a.unionByName(b).groupBy(*keys).agg(F.min_by("word", "vocab_rank").alias("suggestion"))
+    return unmatched.join(best, keys, "left")
