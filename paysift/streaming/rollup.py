@@ -19,8 +19,9 @@ from pyspark.sql.types import StructType
 
 def daily_partials(stream: DataFrame, ts: str, value: str, keys: Sequence[str] = (),
                    watermark: str = "2 days") -> DataFrame:
-    """Streaming daily (sum, count) per key with an event-time watermark."""
-    return (stream.withWatermark(ts, watermark)
+    """Streaming daily (sum, count) per key with an event-time watermark.
+    Zone-less timestamps are read as session-time-zone timestamps (watermarks need them)."""
+    return (stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
                   .groupBy(*keys, F.window(ts, "1 day").alias("w"))
                   .agg(F.sum(value).alias("value_sum"), F.count(value).alias("value_count"))
                   .select(*keys, F.col("w.start").alias("day_start"), "value_sum", "value_count"))
