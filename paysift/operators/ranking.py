@@ -44,14 +44,18 @@ def _group_struct(keys: Sequence[str]) -> Column:
 
 def row_numbers(df: DataFrame, order_cols: Sequence[str], name: str = "row_num",
                 num_partitions: int | None = None, total_name: str | None = None) -> DataFrame:
-    """Consecutive 1-based numbers following ``order_cols`` (which must be a total order).
+    """Consecutive 1-based numbers following ``order_cols`` (a non-null unique key).
 
-    One range shuffle; no single-partition window.  The per-partition count
-    table has one row per partition, so broadcasting it is bounded.
+    Only the key columns are range-shuffled, numbered and checkpointed; the
+    numbers then meet the full rows in one equi-join on the key.  No
+    single-partition window; the per-partition count table has one row per
+    partition, so broadcasting it is bounded.
     """
     n = _partitions(df, num_partitions)
-    s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-           .withColumn("_mid", F.monotonically_increasing_id()))
+    order_cols = list(order_cols)
+    keys = df.select(*order_cols)
+    s = (keys.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+             .withColumn("_mid", F.monotonically_increasing_id()))
     # Range bounds come from a sample, so two evaluations of the exchange can
     # cut the data differently; the positions are made once and checkpointed.
     s = _materialize(s)
@@ -63,9 +67,12 @@ def row_numbers(df: DataFrame, order_cols: Sequence[str], name: str = "row_num",
         F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_offset"),
         F.sum("_cnt").over(Window.partitionBy()).alias("_total"))
-    out = s.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_offset") + F.col("_pos") + 1)
-    out = out.drop("_mid", "_pid", "_pos", "_offset")
-    return out.withColumnRenamed("_total", total_name) if total_name else out.drop("_total")
+    num = s.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_offset") + F.col("_pos") + 1)
+    num = num.drop("_mid", "_pid", "_pos", "_offset")
+    num = num.withColumnRenamed("_total", total_name) if total_name else num.drop("_total")
+    if set(df.columns) <= set(order_cols):
+        return num
+    return df.join(num, order_cols, "inner")
 
 
 def running_below(d: DataFrame, group_col: str, order_col: str, weight_col: str,
