@@ -52,28 +52,29 @@ def vocab_match(requests: DataFrame, keys: Sequence[str], vocab: DataFrame) -> D
     word of that lower-case form wins, ties by the larger word).
 
     ``requests`` is long form (``keys, pos, token``); the result adds ``hit``
-    (null when unmatched) and ``note`` (``tok→hit`` when they differ).  Each
-    token becomes four (form, priority) candidates that meet one dictionary
-    table — exact words plus the lower-case fallback — in a single equi-join;
-    the best priority per token is a grouped ``min_by`` over a unique key.
+    (null when unmatched) and ``note`` (``tok→hit`` when they differ).  Four
+    equi-joins against the vocabulary replace the per-token dictionary probes:
+    AQE turns them into map-side broadcast lookups while the measured
+    vocabulary is small, and into sort-merge joins beyond that.  (A single
+    join against a union of the four forms was measured slower: it always
+    needs a further shuffle to pick the best form per token.)
     """
-    keys = list(keys) + ["pos"]
+    keys = list(keys)
     v = vocab.select("word", "freq")
-    low = (v.groupBy(F.lower("word").alias("_key"))
-            .agg(F.max_by("word", F.struct((-F.col("freq")).alias("f"), F.col("word").alias("w"))).alias("_hit"))
-            .withColumn("_kind", F.lit("lower")))
-    exact = v.select(F.col("word").alias("_key"), F.col("word").alias("_hit"), F.lit("exact").alias("_kind"))
-    dictionary = exact.unionByName(low)
-    forms = F.array(
-        F.struct(F.col("token").alias("form"), F.lit(1).alias("prio"), F.lit("exact").alias("kind")),
-        F.struct(title_case("token").alias("form"), F.lit(2).alias("prio"), F.lit("exact").alias("kind")),
-        F.struct(F.upper("token").alias("form"), F.lit(3).alias("prio"), F.lit("exact").alias("kind")),
-        F.struct(F.lower("token").alias("form"), F.lit(4).alias("prio"), F.lit("lower").alias("kind")))
-    cand = requests.select(*keys, F.explode(forms).alias("_c")).select(
-        *keys, F.col("_c.form").alias("_key"), F.col("_c.prio").alias("_prio"), F.col("_c.kind").alias("_kind"))
-    hits = (cand.join(dictionary, ["_key", "_kind"])
-                .groupBy(*keys).agg(F.min_by("_hit", "_prio").alias("hit")))
-    out = requests.select(*keys, "token").join(hits, keys, "left")
+    low = (v.withColumn("_l", F.lower("word"))
+            .groupBy("_l").agg(F.max_by("word", F.struct((-F.col("freq")).alias("f"), F.col("word").alias("w")))
+                               .alias("_lw")))
+    r = (requests.withColumn("_c1", F.col("token"))
+                 .withColumn("_c2", title_case("token"))
+                 .withColumn("_c3", F.upper("token"))
+                 .withColumn("_c4", F.lower("token")))
+    w = v.select(F.col("word").alias("_w"))
+    for i in (1, 2, 3):
+        wi = w.select(F.col("_w").alias(f"_h{i}"))
+        r = r.join(wi, r[f"_c{i}"] == wi[f"_h{i}"], "left")
+    r = r.join(low, r["_c4"] == low["_l"], "left")
+    hit = F.coalesce("_h1", "_h2", "_h3", "_lw")
+    out = r.select(*keys, "pos", "token", hit.alias("hit"))
     return out.withColumn("note", F.when(F.col("hit").isNull(), F.lit(None))
                                    .when(F.col("hit") == F.col("token"), F.col("token"))
                                    .otherwise(F.concat("token", F.lit("→"), "hit")))
