@@ -15,30 +15,19 @@ from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
 from paysift.functions.expr import clean_tokens, lookup, title_case, year_month
-from paysift.operators.ranking import group_quantiles, rank_below
+from paysift.operators.ranking import group_quantiles, grouped_stats, join_on_keys, rank_below
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe equi-join on ``keys`` keeping one copy of each key column."""
-    if not keys:
-        raise ValueError("keys required")
-    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        e = left[k].eqNullSafe(r[f"_r_{k}"])
-        cond = e if cond is None else cond & e
-    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+    return join_on_keys(left, right, keys, how)
 
 
 def country_summary(df: DataFrame, key: str = "country", value: str = "salary_usd",
                     strategy: str = "auto") -> DataFrame:
     """Mean, median, count, max per country; half-even rounding; display name; mean desc."""
-    base = df.groupBy(key).agg(F.avg(value).alias("avg_salary"),
-                               F.count(value).alias("job_count"),
-                               F.max(value).alias("max_salary"))
-    med = group_quantiles(df, [key], value, {"median_salary": 0.5}, strategy=strategy)
-    out = _join_on(base, med, [key])
+    out = grouped_stats(df, [key], value, [F.avg(value).alias("avg_salary"), F.count(value).alias("job_count"),
+                                           F.max(value).alias("max_salary")],
+                        {"median_salary": 0.5}, strategy)
     name = F.coalesce(lookup(key, K.COUNTRY_DISPLAY), title_case(key))
     return (out.select(key, F.bround("avg_salary", 0).alias("avg_salary"),
                        F.bround("median_salary", 0).alias("median_salary"),
@@ -53,9 +42,7 @@ def describe_by(df: DataFrame, keys: Sequence[str], value: str, strategy: str =
         return describe_by(df.withColumn("_all", F.lit(0)), ["_all"], value, strategy).drop("_all")
     agg = [F.count(value).alias("count"), F.avg(value).alias("mean"),
            F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
-    base = df.groupBy(*keys).agg(*agg)
-    q = group_quantiles(df, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}, strategy=strategy)
-    out = _join_on(base, q, keys)
+    out = grouped_stats(df, keys, value, agg, {"q25": 0.25, "median": 0.5, "q75": 0.75}, strategy)
     return out.select(*keys, "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
@@ -102,10 +89,10 @@ def skill_frequency(df: DataFrame, col: str = "required_skills", sep: str = ",")
 
 def category_stats(df: DataFrame, cat: str = "job_category", value: str = "salary_usd",
                    min_count: int = K.CATEGORY_MIN_COUNT, strategy: str = "auto") -> DataFrame:
-    base = df.groupBy(cat).agg(F.count(value).alias("count"), F.avg(value).alias("mean"),
-                               F.stddev_samp(value).alias("std"))
-    q = group_quantiles(df, [cat], value, {"median": 0.5, "q25": 0.25, "q75": 0.75}, strategy=strategy)
-    out = _join_on(base.where(F.col("count") >= min_count), q, [cat])
+    out = grouped_stats(df, [cat], value, [F.count(value).alias("count"), F.avg(value).alias("mean"),
+                                           F.stddev_samp(value).alias("std")],
+                        {"median": 0.5, "q25": 0.25, "q75": 0.75}, strategy)
+    out = out.where(F.col("count") >= min_count)
     return out.select(cat, "count", "mean", "median", "q25", "q75", "std").orderBy(F.desc("median"), cat)
 
 
@@ -187,9 +174,8 @@ def boxplot_stats(df: DataFrame, key: str, value: str, strategy: str = "auto") -
 def corr_by_count(df: DataFrame, x: str, y: str, strategy: str = "auto") -> DataFrame:
     """Pearson correlation of x and y (scalar) plus mean / median of y per x."""
     r = df.agg(F.corr(x, y)).first()[0]
-    base = df.groupBy(x).agg(F.count(y).alias("n"), F.avg(y).alias("mean_y"))
-    med = group_quantiles(df, [x], y, {"median_y": 0.5}, strategy=strategy)
-    return _join_on(base, med, [x]).withColumn("corr_xy", F.lit(r).cast("double")).orderBy(x)
+    out = grouped_stats(df, [x], y, [F.count(y).alias("n"), F.avg(y).alias("mean_y")], {"median_y": 0.5}, strategy)
+    return out.withColumn("corr_xy", F.lit(r).cast("double")).orderBy(x)
 
 
 def global_baseline(series: DataFrame, value: str) -> DataFrame:

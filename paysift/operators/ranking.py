@@ -194,3 +194,42 @@ def rank_below(df: DataFrame, keys: Sequence[str], value: str,
     r = rows.select(F.col("_g").alias("_rg"), F.col("_v").alias("_rv"), "_below", "_n")
     out = base.join(r, base["_g"].eqNullSafe(r["_rg"]) & (base[value] == r["_rv"]), "left")
     return out.drop("_g", "_rg", "_rv")
+
+
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Null-safe equi-join on ``keys`` keeping one copy of each key column."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        e = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def resolve_strategy(df: DataFrame, keys: Sequence[str], value: str, strategy: str = "auto",
+                     max_aggregate_rows: int = AGGREGATE_MAX_GROUP_ROWS) -> str:
+    if strategy != "auto":
+        return strategy
+    big = max_group_rows(df.where(F.col(value).isNotNull()), list(keys))
+    return "aggregate" if big <= max_aggregate_rows else "sort"
+
+
+def grouped_stats(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column],
+                  probs: Mapping[str, float], strategy: str = "auto") -> DataFrame:
+    """Plain aggregates plus exact quantiles per group.
+
+    While every group is small enough for the ``percentile`` buffer the whole
+    thing is one ``groupBy`` (one pass).  Otherwise the plain aggregates stay
+    a partial aggregate and the quantiles take the range-sorted path.
+    """
+    keys = list(keys)
+    if not keys:  # the global case is the one-group case
+        out = grouped_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, aggs, probs, strategy)
+        return out.drop("_all")
+    strategy = resolve_strategy(df, keys, value, strategy)
+    if strategy == "aggregate":
+        qs = [F.percentile(F.col(value).cast("double"), float(p)).alias(n) for n, p in probs.items()]
+        return df.groupBy(*keys).agg(*aggs, *qs)
+    base = df.groupBy(*keys).agg(*aggs)
+    q = group_quantiles(df, keys, value, probs, strategy="sort")
+    return join_on_keys(base, q, keys)

@@ -36,12 +36,16 @@ def token_table(df: DataFrame, keys: Sequence[str], tokens: Column) -> DataFrame
     return df.select(*keys, F.posexplode(tokens).alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
 
 
-def vocabulary(tokens: DataFrame, token_col: str = "token", min_count: int = 5) -> DataFrame:
-    """Tokens seen at least ``min_count`` times, with frequency and a rank
-    (most frequent first, ties by token) — the order a trained model lists them."""
+def vocabulary(tokens: DataFrame, token_col: str = "token", min_count: int = 5,
+               ranked: bool = True) -> DataFrame:
+    """Tokens seen at least ``min_count`` times, with frequency and (``ranked``)
+    a rank — most frequent first, ties by token — the order a trained model lists them."""
     from paysift.operators.ranking import row_numbers
     v = (tokens.groupBy(F.col(token_col).alias("word")).agg(F.count(F.lit(1)).alias("freq"))
-               .where(F.col("freq") >= min_count).withColumn("_nf", -F.col("freq")))
+               .where(F.col("freq") >= min_count))
+    if not ranked:
+        return v
+    v = v.withColumn("_nf", -F.col("freq"))
     # range-partitioned numbering: no single-partition window over the vocabulary
     return row_numbers(v, ["_nf", "word"], "vocab_rank").drop("_nf")
 

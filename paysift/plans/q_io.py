@@ -205,11 +205,13 @@ def _dashboard(spark, sf):
     # every block is an aggregate with one row per month / country / category:
     # the lists grow with those cardinalities, never with the row count
     blocks = [("history", hist), ("forecast", fut), ("countries", country), ("categories", cat), ("industries", ind)]
-    one = None
+    rows = None
     for name, b in blocks:
-        a = b.agg(F.array_sort(F.collect_list("x")).alias(name))
-        one = a if one is None else one.crossJoin(a)  # one-row aggregates
-    return one.select(F.to_json(F.struct(*[n for n, _ in blocks])).alias("doc"))
+        r = b.agg(F.to_json(F.array_sort(F.collect_list("x"))).alias("json")).select(F.lit(name).alias("block"), "json")
+        rows = r if rows is None else rows.unionByName(r)
+    parts = [F.concat(F.lit(f'"{name}":'), F.max(F.when(F.col("block") == name, F.col("json"))))
+             for name, _ in blocks]
+    return rows.agg(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("doc"))
 
 
 _DASHBOARD_SQL = f"""

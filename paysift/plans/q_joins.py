@@ -35,9 +35,9 @@ matched AS (
   LEFT JOIN low ON low.lw = lower(r.token))"""
 
 
-def _vocab(spark, sf):
+def _vocab(spark, sf, ranked=True):
     docs = table(spark, sf, "documents")
-    return TX.vocabulary(TX.token_table(docs, ["doc_id"], TX.words("text")), "token", 5)
+    return TX.vocabulary(TX.token_table(docs, ["doc_id"], TX.words("text")), "token", 5, ranked=ranked)
 
 
 def _requests(spark, sf):
@@ -45,8 +45,9 @@ def _requests(spark, sf):
     return TX.token_table(conv, ["conv_id", "turn"], TX.words("text"))
 
 
-def _matched(spark, sf):
-    return TX.vocab_match(_requests(spark, sf), ["conv_id", "turn"], _vocab(spark, sf))
+def _matched(spark, sf, vocab=None):
+    v = vocab if vocab is not None else _vocab(spark, sf, ranked=False)
+    return TX.vocab_match(_requests(spark, sf), ["conv_id", "turn"], v)
 
 
 @register("vocab_match", _VOCAB_SQL + """
@@ -80,10 +81,9 @@ SELECT count(*) AS n_reference, count(*) FILTER (WHERE token IN (SELECT word FRO
   round(count(*) FILTER (WHERE token IN (SELECT word FROM vocab)) / count(*), 4) AS hit_rate FROM ref""")
 def vocab_hit_rate(spark, sf):
     ref = table(spark, sf, "benchmark").select(F.explode(TX.words("text")).alias("token")).distinct()
-    v = _vocab(spark, sf).select(F.col("word").alias("token"))
-    hits = ref.join(v, "token", "left_semi").agg(F.count(F.lit(1)).alias("n_hit"))
-    tot = ref.agg(F.count(F.lit(1)).alias("n_reference"))
-    out = tot.crossJoin(hits)  # two one-row aggregates
+    v = _vocab(spark, sf, ranked=False).select(F.col("word").alias("token"), F.lit(True).alias("_in"))
+    out = ref.join(v, "token", "left").agg(F.count(F.lit(1)).alias("n_reference"),
+                                           F.count("_in").alias("n_hit"))
     return round_doubles(out.select("n_reference", "n_hit",
                                     (F.col("n_hit") / F.col("n_reference")).alias("hit_rate")))
 
@@ -104,9 +104,10 @@ best AS (SELECT conv_id, turn, pos, arg_min(word, vocab_rank) AS suggestion FROM
 SELECT um.conv_id, um.turn, um.pos, um.token, CAST(um.k AS INTEGER) AS k, best.suggestion
 FROM um LEFT JOIN best ON um.conv_id = best.conv_id AND um.turn = best.turn AND um.pos = best.pos""")
 def unmatched_suggest(spark, sf):
-    m = _matched(spark, sf).where(F.col("hit").isNull()).select("conv_id", "turn", "pos", "token")
+    vocab = _vocab(spark, sf)  # ranked once (checkpointed), shared by both steps
+    m = _matched(spark, sf, vocab).where(F.col("hit").isNull()).select("conv_id", "turn", "pos", "token")
     first3 = top_n_per_group(m, ["conv_id", "turn"], [F.asc("pos")], 3, name="k")
-    return TX.suggest_contained(first3, ["conv_id", "turn"], _vocab(spark, sf)) \
+    return TX.suggest_contained(first3, ["conv_id", "turn"], vocab) \
              .select("conv_id", "turn", "pos", "token", F.col("k").cast("int").alias("k"), "suggestion")
 
 

@@ -76,3 +76,13 @@ def test_row_numbers_consecutive(skewed):
     by_id = sorted((x["id"], x["rn"]) for x in r)
     assert [rn for _, rn in by_id] == list(range(1, len(r) + 1))
     assert {x["total"] for x in r} == {len(r)}
+
+
+def test_grouped_stats_paths_agree(skewed):
+    from paysift.operators.aggregates import describe_by
+    df, _ = skewed
+    a = sorted(map(tuple, describe_by(df, ["g"], "v", strategy="aggregate").collect()), key=str)
+    b = sorted(map(tuple, describe_by(df, ["g"], "v", strategy="sort").collect()), key=str)
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        assert x[0] == y[0] and np.allclose([v for v in x[1:]], [v for v in y[1:]], equal_nan=True)
