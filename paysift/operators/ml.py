@@ -70,15 +70,21 @@ def random_search(train: DataFrame, est: GBTRegressor, n_draws: int = K.TUNE_DRA
     return cv.fit(train)
 
 
+def contribution_col(feature: str) -> str:
+    return f"contrib__{feature}"
+
+
 def linear_contributions(df: DataFrame, keys: Sequence[str], feature_cols: Sequence[str],
                          label: str, train: DataFrame | None = None):
     """Exact Shapley values of a linear model: ``coef_j * (x_j − mean_j)``,
     base = mean prediction (Lundberg & Lee 2017, linear case).
 
-    Returns ``(model, contributions)``; contributions are long form
-    ``keys, feature, value, contribution, base, prediction``.  Means come from
-    the training rows (one aggregate); the coefficients are a fitted
-    parameter with one number per feature.
+    Returns ``(model, wide)``: ``keys, prediction, base`` and one
+    ``contrib__<feature>`` column per feature — a projection of each row, so
+    explaining a table costs one pass and no row is multiplied by the feature
+    count (``contributions_long`` explodes a chosen slice when a long form is
+    wanted).  Means come from the training rows (one aggregate); the
+    coefficients are a fitted parameter with one number per feature.
     """
     keys = list(keys)
     cols = list(feature_cols)
@@ -91,18 +97,31 @@ def linear_contributions(df: DataFrame, keys: Sequence[str], feature_cols: Seque
     coef = [float(c) for c in model.stages[-1].coefficients]
     icpt = float(model.stages[-1].intercept)
     means = filled(train).agg(*[F.avg(c).alias(c) for c in cols]).first()
-    base = icpt + sum(c * float(means[n] or 0.0) for c, n in zip(coef, cols))
+    mu = {n: float(means[n] or 0.0) for n in cols}
+    base = icpt + sum(c * mu[n] for c, n in zip(coef, cols))
     d = filled(df)
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"),
-                               (F.lit(c) * (F.col(n).cast("double") - F.lit(float(means[n] or 0.0))))
-                               .alias("contribution"))
-                      for n, c in zip(cols, coef)])
     pred = F.lit(icpt)
     for n, c in zip(cols, coef):
         pred = pred + F.lit(c) * F.col(n).cast("double")
-    long = d.select(*keys, pred.alias("prediction"), F.explode(pairs).alias("_p"))
-    out = long.select(*keys, "_p.feature", "_p.value", "_p.contribution", F.lit(base).alias("base"), "prediction")
-    return model, out
+    contribs = [(F.lit(c) * (F.col(n).cast("double") - F.lit(mu[n]))).alias(contribution_col(n))
+                for n, c in zip(cols, coef)]
+    wide = d.select(*keys, pred.alias("prediction"), F.lit(base).alias("base"), *contribs)
+    return model, wide
+
+
+def contributions_long(wide: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Long form ``keys, feature, contribution`` for a chosen set of features."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(contribution_col(f)).alias("contribution"))
+                      for f in features])
+    return wide.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.feature", "_p.contribution")
+
+
+def mean_abs_importance(wide: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Global importance = mean |contribution| per feature, in one aggregate
+    pass over the wide table; returns ``feature, importance``."""
+    one = wide.agg(*[F.avg(F.abs(F.col(contribution_col(f)))).alias(f"_{i}") for i, f in enumerate(features)])
+    pairs = ", ".join(f"'{f}', `_{i}`" for i, f in enumerate(features))
+    return one.select(F.expr(f"stack({len(features)}, {pairs}) AS (feature, importance)"))
 
 
 def score(model, requests: DataFrame, keys: Sequence[str], pred_col: str = "prediction") -> DataFrame:

@@ -238,37 +238,43 @@ def _contributions(spark, sf):
     if key not in _CACHE:
         t, feats = model_table(spark, sf)
         lin = K.BASE_NUMERIC_FEATURES + [c for c in feats if c not in K.BASE_NUMERIC_FEATURES]
-        _CACHE[key] = M.linear_contributions(t.where("part = 'test'"), ["job_id"], lin, "log_salary",
+        model, wide = M.linear_contributions(t.where("part = 'test'"), ["job_id"], lin, "log_salary",
                                              train=t.where("part = 'train'"))
+        _CACHE[key] = (model, wide, lin)
     return _CACHE[key]
 
 
 @register("contrib_additive")
 def contrib_additive(spark, sf):
-    _, long = _contributions(spark, sf)
-    per_row = long.groupBy("job_id").agg(F.first("base").alias("base"), F.sum("contribution").alias("total"),
-                                         F.first("prediction").alias("prediction"))
-    return round_doubles(per_row.withColumn(
+    _, wide, feats = _contributions(spark, sf)
+    total = sum((F.col(M.contribution_col(f)) for f in feats[1:]), F.col(M.contribution_col(feats[0])))
+    out = wide.select("job_id", "base", total.alias("total"), "prediction")
+    return round_doubles(out.withColumn(
         "additive_ok", F.abs(F.col("base") + F.col("total") - F.col("prediction")) < 1e-4))
 
 
 @register("importance_mean_abs")
 def importance_mean_abs(spark, sf):
-    _, long = _contributions(spark, sf)
-    imp = long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("importance"))
-    top = imp.orderBy(F.desc("importance"), "feature").limit(20)
+    _, wide, feats = _contributions(spark, sf)
+    imp = M.mean_abs_importance(wide, feats)
+    top = imp.orderBy(F.desc("importance"), "feature").limit(20)  # the report is a top-20 list
     return round_doubles(top.select("feature", feature_display("feature").alias("display_name"), "importance"))
 
 
 @register("dependence_table")
 def dependence_table(spark, sf):
-    _, long = _contributions(spark, sf)
+    _, wide, _ = _contributions(spark, sf)
     t, _ = model_table(spark, sf)
-    lv = t.select("job_id", "experience_level")
-    d = long.where(F.col("feature").isin("exp_level_encoded", "years_experience")).join(lv, "job_id")
-    return round_doubles(d.groupBy("feature", "value", "experience_level").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("contribution").alias("mean_contribution"),
-        F.min("contribution").alias("min_contribution"), F.max("contribution").alias("max_contribution")))
+    lv = t.select("job_id", "experience_level", "exp_level_encoded", "years_experience")
+    j = wide.join(lv, "job_id")
+    parts = []
+    for f in ("exp_level_encoded", "years_experience"):
+        parts.append(j.groupBy(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), "experience_level")
+                      .agg(F.count(F.lit(1)).alias("n"),
+                           F.avg(M.contribution_col(f)).alias("mean_contribution"),
+                           F.min(M.contribution_col(f)).alias("min_contribution"),
+                           F.max(M.contribution_col(f)).alias("max_contribution")))
+    return round_doubles(parts[0].unionByName(parts[1]))
 
 
 @register("model_save_load")

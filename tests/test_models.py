@@ -20,10 +20,13 @@ def table(spark):
 def test_linear_contributions_are_exact_shapley(table):
     t, _ = table
     cols = ["years_experience", "benefits_score", "remote_ratio", "exp_level_encoded"]
-    model, long = M.linear_contributions(t, ["job_id"], cols, "log_salary")
-    per = long.groupBy("job_id").agg(F.first("base").alias("b"), F.sum("contribution").alias("s"),
-                                     F.first("prediction").alias("p"))
-    assert per.where(F.abs(F.col("b") + F.col("s") - F.col("p")) > 1e-9).count() == 0
+    model, wide = M.linear_contributions(t, ["job_id"], cols, "log_salary")
+    long = M.contributions_long(wide, ["job_id"], cols)
+    per = long.groupBy("job_id").agg(F.sum("contribution").alias("s")).join(wide, "job_id")
+    assert per.where(F.abs(F.col("base") + F.col("s") - F.col("prediction")) > 1e-9).count() == 0
+    imp = {r["feature"]: r["importance"] for r in M.mean_abs_importance(wide, cols).collect()}
+    exp = long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("i")).collect()
+    assert all(imp[r["feature"]] == pytest.approx(r["i"]) for r in exp)
     pdf = t.select(*cols, "log_salary").fillna(0.0).toPandas()
     X = np.c_[np.ones(len(pdf)), pdf[cols].to_numpy(float)]
     beta = np.linalg.lstsq(X, pdf["log_salary"].to_numpy(float), rcond=None)[0]
