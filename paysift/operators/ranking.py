@@ -174,7 +174,9 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """
     keys = list(keys)
     s = salt_buckets or _partitions(df, None)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(s)))
+    # the row id keeps identical rows of a hot group apart; it is stable for a given input split
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id(),
+                                                      *[F.col(c) for c in df.columns]), F.lit(s)))
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
     first = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n).drop("_r1", "_salt")
     w2 = Window.partitionBy(*keys).orderBy(*order)
