@@ -202,9 +202,8 @@ def peer_percentile(df: DataFrame, keys: Sequence[str], value: str,
     ``group_quantiles``, so a peer group of any size is split over many tasks.
     """
     keys = list(keys)
-    ranked = rank_below(df, keys, value)
-    q = group_quantiles(df, keys, value, {"_med": 0.5, "_p25": 0.25, "_p75": 0.75}, strategy=strategy)
-    j = _join_on(ranked, q, keys)
+    # ranks and quantiles come from one range-sorted table of distinct values
+    j = rank_below(df, keys, value, probs={"_med": 0.5, "_p25": 0.25, "_p75": 0.75})
     n = F.coalesce(F.col("_n"), F.lit(0))
     ok = n >= min_samples
     return j.select(*df.columns, n.alias("sample_size"), ok.alias("enough"),

@@ -53,7 +53,8 @@ def row_numbers(df: DataFrame, order_cols: Sequence[str], name: str = "row_num",
     """
     n = _partitions(df, num_partitions)
     order_cols = list(order_cols)
-    keys = df.select(*order_cols)
+    # written once, so the range partitioner's sampling job reads keys, not the upstream plan
+    keys = _materialize(df.select(*order_cols))
     s = (keys.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
              .withColumn("_mid", F.monotonically_increasing_id()))
     # Range bounds come from a sample, so two evaluations of the exchange can
@@ -83,6 +84,9 @@ def running_below(d: DataFrame, group_col: str, order_col: str, weight_col: str,
     ``offsets`` is (``_pid, group, _offset, _tot, _n``), at most partitions + groups rows.
     """
     n = _partitions(d, num_partitions)
+    # The range partitioner samples its input in a job of its own; the input
+    # is written once first so that sample does not recompute the upstream plan.
+    d = _materialize(d)
     s = _materialize(d.repartitionByRange(n, group_col, order_col)
                       .withColumn("_pid", F.spark_partition_id()))
     wl = Window.partitionBy("_pid", group_col).orderBy(order_col)
@@ -131,7 +135,28 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     # duplicates collapse map-side: a hot value is one row with a count
     d = base.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
     rows, offsets = running_below(d, "_g", "_v", "_c", num_partitions)
+    wide = quantiles_from_running(rows, offsets, probs, max_aggregate_rows=None)
+    if keys:
+        return wide.select(*[F.col("_g")[k].alias(k) for k in keys], *probs.keys())
+    return wide.select(*probs.keys())
 
+
+def quantiles_from_running(rows: DataFrame, offsets: DataFrame, probs: Mapping[str, float],
+                           max_aggregate_rows: int | None = AGGREGATE_MAX_GROUP_ROWS) -> DataFrame:
+    """Exact linear-interpolated quantiles per ``_g`` from the output of
+    ``running_below`` over a (``_g``, ``_v``, ``_c``) table: ``_g`` + one column per quantile.
+
+    The group sizes are already in the small offsets table.  While the largest
+    group fits the ``percentile`` buffer, a weighted ``percentile`` over the
+    distinct-value table does it in one aggregate; beyond that every target
+    rank is located in the partition that holds it through the offsets table,
+    then matched against the rows of that partition only.
+    """
+    if max_aggregate_rows is not None:
+        biggest = offsets.agg(F.max("_n")).first()[0] or 0
+        if biggest <= max_aggregate_rows:
+            return rows.groupBy("_g").agg(*[F.percentile("_v", F.lit(float(p)), F.col("_c")).alias(name)
+                                            for name, p in probs.items()])
     groups = offsets.select("_g", "_n").dropDuplicates(["_g"])
     wanted = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p"))
                        for name, p in probs.items()])
@@ -156,11 +181,8 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         F.max(F.when(~F.col("_is_lo"), F.col("_v"))).alias("_hi"),
         F.max("_frac").alias("_frac"))
     per_q = per_q.withColumn("_val", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
-    wide = per_q.groupBy("_g").agg(*[F.max(F.when(F.col("_q") == name, F.col("_val"))).alias(name)
+    return per_q.groupBy("_g").agg(*[F.max(F.when(F.col("_q") == name, F.col("_val"))).alias(name)
                                      for name in probs])
-    if keys:
-        return wide.select(*[F.col("_g")[k].alias(k) for k in keys], *probs.keys())
-    return wide.select(*probs.keys())
 
 
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -184,18 +206,28 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def rank_below(df: DataFrame, keys: Sequence[str], value: str,
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None,
+               probs: Mapping[str, float] | None = None) -> DataFrame:
     """Per row: ``_below`` = rows of its group with a strictly smaller ``value``
     (``rank() - 1``) and ``_n`` = non-null rows in the group, without a
-    per-group window: one row per distinct (group, value) is range-sorted."""
+    per-group window: one row per distinct (group, value) is range-sorted.
+
+    With ``probs`` the group's exact quantiles are added as columns too; they
+    come from the same range-sorted, checkpointed table, so no extra pass over
+    the input is needed to size the groups first.
+    """
     keys = list(keys)
     base = df.withColumn("_g", _group_struct(keys))
-    d = base.where(F.col(value).isNotNull()).groupBy("_g", F.col(value).alias("_v")).agg(
+    d = base.where(F.col(value).isNotNull()).groupBy("_g", F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"))
-    rows, _ = running_below(d, "_g", "_v", "_c", num_partitions)
+    rows, offsets = running_below(d, "_g", "_v", "_c", num_partitions)
     r = rows.select(F.col("_g").alias("_rg"), F.col("_v").alias("_rv"), "_below", "_n")
-    out = base.join(r, base["_g"].eqNullSafe(r["_rg"]) & (base[value] == r["_rv"]), "left")
-    return out.drop("_g", "_rg", "_rv")
+    out = base.join(r, base["_g"].eqNullSafe(r["_rg"]) & (base[value].cast("double") == r["_rv"]), "left")
+    out = out.drop("_rg", "_rv")
+    if probs:
+        q = quantiles_from_running(rows, offsets, probs).withColumnRenamed("_g", "_qg")
+        out = out.join(q, out["_g"].eqNullSafe(q["_qg"]), "left").drop("_qg")
+    return out.drop("_g")
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
