@@ -74,3 +74,11 @@ def hash_sample(df: DataFrame, key: str, fraction: float, salt: str = "") -> Dat
     from paysift.functions.sampling import hash_bucket
     buckets = 1_000_000
     return df.where(hash_bucket(F.col(key), buckets, salt) < int(round(fraction * buckets)))
+
+
+def column_set_compare_by(names: DataFrame, side_col: str, left: str, right: str,
+                          name_col: str = "feature") -> DataFrame:
+    """``column_set_compare`` for one long table with a side column: one
+    grouped pass, no join (``feature, in_left, in_right``)."""
+    return names.groupBy(F.col(name_col).alias("feature")).agg(
+        F.max(F.col(side_col) == left).alias("in_left"), F.max(F.col(side_col) == right).alias("in_right"))

@@ -33,9 +33,8 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 def _materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (survives
     executor loss; never a local checkpoint)."""
-    from paysift.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from paysift.session import materialize
+    return materialize(df)
 
 
 def _group_struct(keys: Sequence[str]) -> Column:

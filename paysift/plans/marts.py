@@ -46,11 +46,10 @@ def feature_names(clean: DataFrame, keep=(), base: bool = True) -> DataFrame:
     """Feature-name table (``feature`` + ``keep`` columns) fitted from the data:
     one-hot names of the categorical levels present, plus (``base``) the fixed
     numeric and embedding feature names."""
-    from functools import reduce
     keep = list(keep)
-    parts = [clean.select(*keep, F.concat(F.lit(p), F.col(c)).alias("feature"))
-             for c, p in K.ONEHOT_PREFIXES.items()]
-    names = reduce(lambda a, b: a.unionByName(b), parts)
+    # one pass: every row contributes its three one-hot names
+    names = clean.select(*keep, F.explode(F.array(*[F.concat(F.lit(p), F.col(c))
+                                                    for c, p in K.ONEHOT_PREFIXES.items()])).alias("feature"))
     if base:
         spark = clean.sparkSession
         fixed = K.BASE_NUMERIC_FEATURES + [f"{K.EMBEDDING_PREFIX}{i}" for i in range(K.EMBEDDING_DIM)]

@@ -194,7 +194,7 @@ def column_set_compare(spark, sf):
     from paysift.functions.sampling import hash_split
     c = cleaned(spark, sf).withColumn("part", hash_split(F.col("job_id")))
     names = feature_names(c, keep=["part"], base=False)
-    return Q.column_set_compare(names.where("part = 'train'"), names.where("part = 'test'"))
+    return Q.column_set_compare_by(names, "part", "train", "test")
 
 
 @register("distinct_pairs", with_base("""

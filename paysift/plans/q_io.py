@@ -16,7 +16,7 @@ from paysift.plans.marts import MAIN_COLUMNS, cleaned, mart_main
 from paysift.plans.q_aggregates import DATA_CATEGORIES, DATA_CATEGORY_DEFAULT, category_sql
 from paysift.plans.registry import register
 from paysift.plans.sql import with_base, with_main
-from paysift.session import shared_dir
+from paysift.session import materialize, shared_dir
 from paysift.sources import files as IO
 from paysift.sources.postings import postings
 from paysift.sources.tables import table
@@ -118,7 +118,7 @@ _KEYS = ["country"]
 
 
 def _series_doc(spark, sf):
-    s = T.monthly_series(cleaned(spark, sf), _KEYS, "posting_date", "salary_usd")
+    s = materialize(T.monthly_series(cleaned(spark, sf), _KEYS, "posting_date", "salary_usd"))
     tests, fc = T.ar1_forecast(s, _KEYS)
     tab = T.forecast_table(s, _KEYS, tests, fc)
     met = T.metrics(tests, _KEYS)
@@ -187,24 +187,35 @@ def sink_append_log(spark, sf):
 
 
 def _dashboard(spark, sf):
-    c = cleaned(spark, sf)
-    s = T.monthly_series(c.withColumn("_all", F.lit("all")), ["_all"], "posting_date", "salary_usd")
+    c = cleaned(spark, sf).withColumn(
+        "job_category", classify_keywords("job_title", DATA_CATEGORIES, DATA_CATEGORY_DEFAULT))
+    c = c.withColumn("month", F.when(F.col("posting_date").isNotNull(), F.date_format("posting_date", "yyyy-MM")))
+    # One scan of the postings feeds every block: a grouping-sets aggregate (one
+    # row per country / category / industry / month), checkpointed because all
+    # blocks and the forecast read it.
+    sets = c.groupingSets([["country"], ["job_category"], ["industry"], ["month"]],
+                          "country", "job_category", "industry", "month").agg(
+        F.avg("salary_usd").alias("avg"), F.count("salary_usd").alias("n"),
+        F.sum(F.round(F.col("salary_usd") * 100).cast("long")).alias("cents"),
+        F.grouping_id().alias("gid"))
+    g = materialize(sets)
+    gid = {"country": 7, "job_category": 11, "industry": 13, "month": 14}
+    s = (g.where((F.col("gid") == gid["month"]) & F.col("month").isNotNull())
+          .select(F.col("month").alias("_k"), "month",
+                  (F.bround(F.col("cents") / F.col("n"), 0) / 100).alias("value"), F.col("n").alias("count"))
+          .withColumn("_all", F.when(F.col("_k").isNotNull(), F.lit("all"))).drop("_k"))
     tests, fc = T.ar1_forecast(s, ["_all"])
     hist = s.select(F.struct("month", F.bround("value", 0).cast("long").alias("salary")).alias("x"))
     fut = fc.select(F.struct("month", F.bround("predicted", 0).cast("long").alias("salary")).alias("x"))
-    country = c.groupBy("country").agg(F.bround(F.avg("salary_usd"), 0).cast("long").alias("avg_salary"),
-                                       F.count(F.lit(1)).alias("job_count")) \
-               .select(F.struct("country", "avg_salary", "job_count").alias("x"))
-    cat = c.withColumn("job_category", classify_keywords("job_title", DATA_CATEGORIES, DATA_CATEGORY_DEFAULT)) \
-           .groupBy("job_category").agg(F.bround(F.avg("salary_usd"), 0).cast("long").alias("avg_salary"),
-                                        F.count(F.lit(1)).alias("job_count")) \
-           .select(F.struct("job_category", "avg_salary", "job_count").alias("x"))
-    ind = c.groupBy("industry").agg(F.bround(F.avg("salary_usd"), 0).cast("long").alias("avg_salary"),
-                                    F.count(F.lit(1)).alias("job_count")) \
-           .select(F.struct("industry", "avg_salary", "job_count").alias("x"))
-    # every block is an aggregate with one row per month / country / category:
-    # the lists grow with those cardinalities, never with the row count
-    blocks = [("history", hist), ("forecast", fut), ("countries", country), ("categories", cat), ("industries", ind)]
+
+    def block(key):
+        return g.where(F.col("gid") == gid[key]).select(
+            F.struct(key, F.bround("avg", 0).cast("long").alias("avg_salary"), F.col("n").alias("job_count")).alias("x"))
+
+    # every block has one row per month / country / category: the lists grow
+    # with those cardinalities, never with the row count
+    blocks = [("history", hist), ("forecast", fut), ("countries", block("country")),
+              ("categories", block("job_category")), ("industries", block("industry"))]
     rows = None
     for name, b in blocks:
         r = b.agg(F.to_json(F.array_sort(F.collect_list("x"))).alias("json")).select(F.lit(name).alias("block"), "json")

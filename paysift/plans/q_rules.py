@@ -14,6 +14,7 @@ from paysift.plans.marts import cleaned
 from paysift.plans.q_aggregates import DATA_CATEGORIES, DATA_CATEGORY_DEFAULT, category_sql
 from paysift.plans.registry import register
 from paysift.plans.sql import title_case, with_base
+from paysift.session import materialize
 from paysift.sources.tables import table
 
 
@@ -187,7 +188,8 @@ SELECT p.job_id, p.experience_level, p.country, p.industry, p.skill_count, round
 FROM p LEFT JOIN bm ON p.country = bm.country LEFT JOIN hv ON p.country = hv.country"""))
 def advise_rules(spark, sf):
     c = cleaned(spark, sf)
-    bm = group_quantiles(c, ["country"], "salary_usd", {"benchmark": 0.5})
+    # one row per country, read twice (join and top-k): computed once
+    bm = materialize(group_quantiles(c, ["country"], "salary_usd", {"benchmark": 0.5}))
     # the high-value list is a top-k of at most K rows: a bounded broadcast
     hv = F.broadcast(bm.orderBy(F.desc("benchmark"), "country").limit(K.HIGH_VALUE_COUNTRY_COUNT).select("country"))
     prof = c.select("job_id", "experience_level", "country", "industry",

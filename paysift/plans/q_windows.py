@@ -11,6 +11,7 @@ from paysift.plans.common import round_doubles
 from paysift.plans.marts import cleaned
 from paysift.plans.registry import register
 from paysift.plans.sql import with_base
+from paysift.session import materialize
 from paysift.sources.tables import table
 
 KEYS = ["country"]
@@ -18,7 +19,9 @@ WINDOW, STEPS, TRAIN = 3, 3, 0.8
 
 
 def _series(spark, sf):
-    return T.monthly_series(cleaned(spark, sf), KEYS, "posting_date", "salary_usd")
+    """The monthly series (one row per series and month) is aggregated from the
+    postings once and checkpointed: every later step reads that small table."""
+    return materialize(T.monthly_series(cleaned(spark, sf), KEYS, "posting_date", "salary_usd"))
 
 
 # ---- SQL twins of the series chain -------------------------------------------

@@ -64,3 +64,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
+
+
+def materialize(df):
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir``: cuts the
+    lineage so a small derived table that several branches read is computed
+    from the big input once, and survives executor loss.  Never local."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
