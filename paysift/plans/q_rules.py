@@ -25,7 +25,7 @@ SELECT job_id, upper(trim(company_location)) AS upper_trim, lower(job_title) AS
   lpad(CAST(job_id AS VARCHAR), 8, '0') AS padded, starts_with(job_title, 'PROMO') AS is_promo,
   substr(country, 8) AS country_suffix, {title_case('company_location')} AS title,
   contains(lower(job_title), 'ring') OR contains(lower(job_title), 'bolt') AS ring_or_bolt,
-  CASE WHEN length(required_skills) > 40 THEN substr(required_skills, 1, 40) || '…' ELSE required_skills END AS short_skills
+  CASE WHEN length(required_skills) > 80 THEN substr(required_skills, 1, 80) || '…' ELSE required_skills END AS short_skills
 FROM cleaned"""))
 def scalar_string(spark, sf):
     c = cleaned(spark, sf)
@@ -39,7 +39,7 @@ def scalar_string(spark, sf):
         F.substring("country", 8, 1 << 20).alias("country_suffix"),
         X.title_case("company_location").alias("title"),
         X.contains_any(F.lower("job_title"), ["ring", "bolt"]).alias("ring_or_bolt"),
-        X.truncate_text("required_skills", 40).alias("short_skills"))
+        X.truncate_text("required_skills", 80).alias("short_skills"))
 
 
 @register("scalar_format", with_base("""
