@@ -138,7 +138,45 @@ def ts_ar1_forecast(spark, sf):
     return round_doubles(fc.withColumn("step", F.col("step").cast("long")))
 
 
-@register("ts_recursive_forecast")
+# Pooled AR(3) by ordinary least squares, solved in SQL by Cramer's rule on the
+# 3x3 covariance system (the intercept follows from the means).
+_POOLED_SQL = _sql(""", sc3 AS (
+  SELECT s.country, s.part, (s.x1 - mn) / (mx - mn) AS a1, (s.x2 - mn) / (mx - mn) AS a2,
+         (s.x3 - mn) / (mx - mn) AS a3, (s.value - mn) / (mx - mn) AS yy
+  FROM split s JOIN bounds USING (country) WHERE mx <> mn),
+m AS (SELECT avg(a1) AS m1, avg(a2) AS m2, avg(a3) AS m3, avg(yy) AS my,
+        covar_pop(a1, a1) AS c11, covar_pop(a1, a2) AS c12, covar_pop(a1, a3) AS c13,
+        covar_pop(a2, a2) AS c22, covar_pop(a2, a3) AS c23, covar_pop(a3, a3) AS c33,
+        covar_pop(a1, yy) AS d1, covar_pop(a2, yy) AS d2, covar_pop(a3, yy) AS d3
+      FROM sc3 WHERE part = 'train'),
+dt AS (SELECT *, c11 * (c22 * c33 - c23 * c23) - c12 * (c12 * c33 - c23 * c13) + c13 * (c12 * c23 - c22 * c13) AS dd FROM m),
+beta AS (SELECT *,
+  (d1 * (c22 * c33 - c23 * c23) - c12 * (d2 * c33 - c23 * d3) + c13 * (d2 * c23 - c22 * d3)) / dd AS b1,
+  (c11 * (d2 * c33 - d3 * c23) - d1 * (c12 * c33 - c23 * c13) + c13 * (c12 * d3 - d2 * c13)) / dd AS b2,
+  (c11 * (c22 * d3 - c23 * d2) - c12 * (c12 * d3 - d2 * c13) + d1 * (c12 * c23 - c22 * c13)) / dd AS b3 FROM dt),
+coef AS (SELECT b1, b2, b3, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0 FROM beta),
+last3 AS (
+  SELECT country, max(month) AS last_month, count(*) AS n,
+         max(CASE WHEN r = 3 THEN value END) AS h1, max(CASE WHEN r = 2 THEN value END) AS h2,
+         max(CASE WHEN r = 1 THEN value END) AS h3
+  FROM (SELECT country, month, value, row_number() OVER (PARTITION BY country ORDER BY month DESC) AS r FROM series)
+  WHERE r <= 3 GROUP BY country),
+p0 AS (
+  SELECT l.country, l.last_month, mn, mx, b0, b1, b2, b3,
+         CASE WHEN mx <> mn THEN (h1 - mn) / (mx - mn) END AS s1,
+         CASE WHEN mx <> mn THEN (h2 - mn) / (mx - mn) END AS s2,
+         CASE WHEN mx <> mn THEN (h3 - mn) / (mx - mn) END AS s3
+  FROM last3 l JOIN bounds USING (country), coef WHERE l.n = 3),
+p1 AS (SELECT *, b0 + b1 * s1 + b2 * s2 + b3 * s3 AS f1 FROM p0),
+p2 AS (SELECT *, b0 + b1 * s2 + b2 * s3 + b3 * f1 AS f2 FROM p1),
+p3 AS (SELECT *, b0 + b1 * s3 + b2 * f1 + b3 * f2 AS f3 FROM p2)
+SELECT country, CAST(k AS INTEGER) AS step,
+  strftime(CAST(last_month || '-01' AS DATE) + to_months(CAST(k AS INTEGER)), '%Y-%m') AS month,
+  round((CASE k WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END) * (mx - mn) + mn, 4) AS predicted
+FROM p3, range(1, 4) r(k)""")
+
+
+@register("ts_recursive_forecast", _POOLED_SQL)
 def ts_recursive_forecast(spark, sf):
     _, fc = T.pooled_ar_forecast(_series(spark, sf), KEYS, WINDOW, STEPS, TRAIN)
     return round_doubles(fc)
