@@ -248,21 +248,39 @@ def resolve_strategy(df: DataFrame, keys: Sequence[str], value: str, strategy: s
 
 
 def grouped_stats(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column],
-                  probs: Mapping[str, float], strategy: str = "auto") -> DataFrame:
-    """Plain aggregates plus exact quantiles per group.
-
-    While every group is small enough for the ``percentile`` buffer the whole
-    thing is one ``groupBy`` (one pass).  Otherwise the plain aggregates stay
-    a partial aggregate and the quantiles take the range-sorted path.
+                  probs: Mapping[str, float], strategy: str = "auto",
+                  max_aggregate_rows: int = AGGREGATE_MAX_GROUP_ROWS) -> DataFrame:
+    """Plain aggregates plus exact quantiles per group, from one pass over the input.
+
+    A grouping-sets aggregate computes, in the same scan, the plain aggregates
+    per group and the count of every distinct (group, value).  That table is
+    checkpointed; the group sizes in it pick the quantile method without
+    another pass: a weighted ``percentile`` over the distinct values while the
+    largest group fits its buffer, else the range-sorted running count, which
+    spreads a hot group over many tasks.
     """
     keys = list(keys)
     if not keys:  # the global case is the one-group case
-        out = grouped_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, aggs, probs, strategy)
+        out = grouped_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, aggs, probs, strategy,
+                            max_aggregate_rows)
         return out.drop("_all")
-    strategy = resolve_strategy(df, keys, value, strategy)
+    g = df.withColumn("_v", F.col(value).cast("double"))
+    sets = g.groupingSets([keys, keys + ["_v"]], *keys, "_v").agg(
+        *aggs, F.count("_v").alias("_c"), F.grouping_id().alias("_gid"))
+    m = _materialize(sets)
+    agg_cols = [c for c in m.columns if c not in keys + ["_v", "_c", "_gid"]]
+    base = m.where(F.col("_gid") == 1).select(*keys, *agg_cols)
+    d = m.where((F.col("_gid") == 0) & F.col("_v").isNotNull()).select(_group_struct(keys).alias("_g"), "_v", "_c")
+    if strategy == "auto":
+        biggest = m.where(F.col("_gid") == 1).agg(F.max("_c")).first()[0] or 0
+        strategy = "aggregate" if biggest <= max_aggregate_rows else "sort"
     if strategy == "aggregate":
-        qs = [F.percentile(F.col(value).cast("double"), float(p)).alias(n) for n, p in probs.items()]
-        return df.groupBy(*keys).agg(*aggs, *qs)
-    base = df.groupBy(*keys).agg(*aggs)
-    q = group_quantiles(df, keys, value, probs, strategy="sort")
+        q = d.groupBy("_g").agg(*[F.percentile("_v", F.lit(float(p)), F.col("_c")).alias(n)
+                                  for n, p in probs.items()])
+    elif strategy == "sort":
+        rows, offsets = running_below(d, "_g", "_v", "_c")
+        q = quantiles_from_running(rows, offsets, probs, max_aggregate_rows=None)
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    q = q.select(*[F.col("_g")[k].alias(k) for k in keys], *probs.keys())
     return join_on_keys(base, q, keys)
