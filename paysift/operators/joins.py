@@ -1,0 +1,17 @@
+"""Join helpers: broadcast only behind a measured size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
+    unchanged (the join then shuffles both sides, and AQE may still demote
+    it).  Meant for checkpointed lookup tables, whose count is a cheap scan
+    of the checkpoint; the check is what bounds the broadcast."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -41,13 +41,15 @@ def vocabulary(tokens: DataFrame, token_col: str = "token", min_count: int = 5,
     """Tokens seen at least ``min_count`` times, with frequency and (``ranked``)
     a rank — most frequent first, ties by token — the order a trained model lists them."""
     from paysift.operators.ranking import row_numbers
-    v = (tokens.groupBy(F.col(token_col).alias("word")).agg(F.count(F.lit(1)).alias("freq"))
-               .where(F.col("freq") >= min_count))
+    from paysift.session import materialize
+    # read by several lookups and by the ranking: computed from the corpus once
+    v = materialize(tokens.groupBy(F.col(token_col).alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+                          .where(F.col("freq") >= min_count))
     if not ranked:
         return v
     v = v.withColumn("_nf", -F.col("freq"))
     # range-partitioned numbering: no single-partition window over the vocabulary
-    return row_numbers(v, ["_nf", "word"], "vocab_rank").drop("_nf")
+    return materialize(row_numbers(v, ["_nf", "word"], "vocab_rank").drop("_nf"))
 
 
 def vocab_match(requests: DataFrame, keys: Sequence[str], vocab: DataFrame) -> DataFrame:
@@ -58,14 +60,15 @@ def vocab_match(requests: DataFrame, keys: Sequence[str], vocab: DataFrame) -> D
     ``requests`` is long form (``keys, pos, token``); the result adds ``hit``
     (null when unmatched) and ``note`` (``tok→hit`` when they differ).  Four
     equi-joins against the vocabulary replace the per-token dictionary probes:
-    AQE turns them into map-side broadcast lookups while the measured
-    vocabulary is small, and into sort-merge joins beyond that.  (A single
+    the (checkpointed) vocabulary is broadcast when a row count shows it is
+    small, and the lookups are sort-merge joins beyond that.  (A single
     join against a union of the four forms was measured slower: it always
     needs a further shuffle to pick the best form per token.)
     """
+    from paysift.operators.joins import sized_broadcast
     keys = list(keys)
-    v = vocab.select("word", "freq")
-    low = (v.withColumn("_l", F.lower("word"))
+    v = sized_broadcast(vocab.select("word", "freq"))
+    low = (vocab.select("word", "freq").withColumn("_l", F.lower("word"))
             .groupBy("_l").agg(F.max_by("word", F.struct((-F.col("freq")).alias("f"), F.col("word").alias("w")))
                                .alias("_lw")))
     r = (requests.withColumn("_c1", F.col("token"))
@@ -76,7 +79,7 @@ def vocab_match(requests: DataFrame, keys: Sequence[str], vocab: DataFrame) -> D
     for i in (1, 2, 3):
         wi = w.select(F.col("_w").alias(f"_h{i}"))
         r = r.join(wi, r[f"_c{i}"] == wi[f"_h{i}"], "left")
-    r = r.join(low, r["_c4"] == low["_l"], "left")
+    r = r.join(sized_broadcast(low), r["_c4"] == low["_l"], "left")
     hit = F.coalesce("_h1", "_h2", "_h3", "_lw")
     out = r.select(*keys, "pos", "token", hit.alias("hit"))
     return out.withColumn("note", F.when(F.col("hit").isNull(), F.lit(None))
