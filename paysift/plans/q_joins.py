@@ -9,11 +9,13 @@ from paysift.functions.expr import lookup, title_case
 from paysift.functions.sampling import hash_split
 from paysift.operators import rules as R
 from paysift.operators import text as TX
-from paysift.operators.ranking import group_quantiles, top_n_per_group
+from paysift.operators.joins import sized_broadcast
+from paysift.operators.ranking import grouped_stats, top_n_per_group
 from paysift.plans.common import round_doubles, sql_case
 from paysift.plans.marts import cleaned
 from paysift.plans.registry import register
 from paysift.plans.sql import hash_bucket, title_case as sql_title, with_base
+from paysift.session import materialize
 from paysift.sources.tables import table
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({col}, ''), '[^\p{{L}}]+'), lambda x: x <> '')"
@@ -174,8 +176,9 @@ SELECT c.job_id, c.country, round(c.salary_usd, 4) AS salary_usd,
 FROM cleaned c LEFT JOIN bm ON c.country = bm.country"""))
 def benchmark_gap(spark, sf):
     c = cleaned(spark, sf).select("job_id", "country", "salary_usd")
-    bm = group_quantiles(c, ["country"], "salary_usd", {"benchmark": 0.5})
-    j = c.join(bm, "country", "left")
+    # one row per country from a single pass; broadcast behind a row-count check
+    bm = grouped_stats(c, ["country"], "salary_usd", [F.count("salary_usd").alias("_n")], {"benchmark": 0.5})
+    j = c.join(sized_broadcast(materialize(bm.drop("_n"))), "country", "left")
     b = F.coalesce(F.col("benchmark"), F.lit(float(K.BENCHMARK_DEFAULT)))
     gap = F.col("salary_usd") - b
     return round_doubles(j.select("job_id", "country", "salary_usd", b.alias("benchmark"), gap.alias("gap"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from paysift.functions import constants as K
 from paysift.functions import expr as X
 from paysift.operators import rules as R
-from paysift.operators.ranking import group_quantiles
+from paysift.operators.joins import sized_broadcast
+from paysift.operators.ranking import grouped_stats
 from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles, sql_case
 from paysift.plans.marts import cleaned
@@ -189,7 +190,9 @@ FROM p LEFT JOIN bm ON p.country = bm.country LEFT JOIN hv ON p.country = hv.cou
 def advise_rules(spark, sf):
     c = cleaned(spark, sf)
     # one row per country, read twice (join and top-k): computed once
-    bm = materialize(group_quantiles(c, ["country"], "salary_usd", {"benchmark": 0.5}))
+    bm = materialize(grouped_stats(c, ["country"], "salary_usd", [F.count("salary_usd").alias("_n")],
+                                   {"benchmark": 0.5}).drop("_n"))
+    bm = sized_broadcast(bm)  # one row per country, broadcast behind a row-count check
     # the high-value list is a top-k of at most K rows: a bounded broadcast
     hv = F.broadcast(bm.orderBy(F.desc("benchmark"), "country").limit(K.HIGH_VALUE_COUNTRY_COUNT).select("country"))
     prof = c.select("job_id", "experience_level", "country", "industry",

@@ -300,8 +300,8 @@ SELECT row_number() OVER (ORDER BY median_salary DESC, country) AS position, * F
   FROM cleaned GROUP BY country)"""))
 def sort_mart(spark, sf):
     c = cleaned(spark, sf)
-    q = A.group_quantiles(c, ["country"], "salary_usd", {"median_salary": 0.5})
-    m = c.groupBy("country").agg(F.count(F.lit(1)).alias("job_count")).join(q, ["country"]) \
+    m = A.grouped_stats(c, ["country"], "salary_usd", [F.count(F.lit(1)).alias("job_count")],
+                        {"median_salary": 0.5}) \
          .withColumn("median_salary", F.bround("median_salary", 0)).withColumn("_neg", -F.col("median_salary"))
     out = row_numbers(m, ["_neg", "country"], "position").drop("_neg")
     return out.select("position", "country", "median_salary", "job_count").orderBy("position")
