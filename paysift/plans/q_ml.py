@@ -208,7 +208,7 @@ def tune_random(spark, sf):
     train = M.assembler(feats).transform(t.where("part = 'train'")) \
              .withColumn("_fold", hash_bucket(F.col("job_id"), TUNE_FOLDS_REGISTERED, "fold").cast("int"))
     cv = M.random_search(train, M.gbt(), n_draws=TUNE_DRAWS_REGISTERED, folds=TUNE_FOLDS_REGISTERED,
-                         fold_col="_fold", parallelism=2)
+                         fold_col="_fold", parallelism=4)
     rows = [(i, float(m)) for i, m in enumerate(cv.avgMetrics)]
     return spark.createDataFrame(rows, "draw int, cv_rmse double")
 
