@@ -60,8 +60,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return base
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            # a machine-local folder is invisible to other executors: refuse rather than guess
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         base = tempfile.mkdtemp(prefix="paysift-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        try:
+            spark.conf.set("spark.checkpoint.dir", base)
+        except Exception:  # a core setting; registering it on the context below is what counts
+            pass
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
 
