@@ -155,20 +155,41 @@ def kde_curve(df: DataFrame, col: str, grid: int = 50) -> DataFrame:
              .orderBy("point"))
 
 
-def boxplot_stats(df: DataFrame, key: str, value: str, strategy: str = "auto") -> DataFrame:
-    """q1, median, q3, 1.5·IQR fences, whisker ends and outlier count per group."""
-    q = group_quantiles(df, [key], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, strategy=strategy)
+def boxplot_stats(df: DataFrame, keys, value: str, strategy: str = "auto") -> DataFrame:
+    """q1, median, q3, 1.5·IQR fences, whisker ends and outlier count per group.
+
+    Two passes by nature (the fences need the quartiles first): the quartile
+    table has one row per group, is checkpointed and joins back to the rows
+    as a broadcast behind a row-count check.
+    """
+    from paysift.operators.joins import sized_broadcast
+    from paysift.session import materialize
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    q = grouped_stats(df, keys, value, [F.count(value).alias("_cnt")],
+                      {"q1": 0.25, "median": 0.5, "q3": 0.75}, strategy).drop("_cnt")
     q = (q.withColumn("_iqr", F.col("q3") - F.col("q1"))
           .withColumn("fence_low", F.col("q1") - 1.5 * F.col("_iqr"))
           .withColumn("fence_high", F.col("q3") + 1.5 * F.col("_iqr")).drop("_iqr"))
-    # the quantile table has one row per group; AQE broadcasts it when small
-    j = _join_on(df.select(key, value).where(F.col(value).isNotNull()), q, [key], "inner")
+    q = materialize(q)
+    j = _join_on(df.select(*keys, value).where(F.col(value).isNotNull()), sized_broadcast(q), keys, "inner")
     v = F.col(value)
     inside = (v >= F.col("fence_low")) & (v <= F.col("fence_high"))
-    stats = j.groupBy(key).agg(
+    stats = j.groupBy(*keys).agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
-    return _join_on(q, stats, [key]).orderBy(key)
+    return _join_on(q, stats, keys).orderBy(*keys)
+
+
+def boxplot_by_dimensions(df: DataFrame, dims: dict, value: str, strategy: str = "auto") -> DataFrame:
+    """Box-plot statistics for several groupings at once: every row is
+    exploded into one (dimension, group_value) pair per grouping, so all of
+    them come out of the same passes.  ``dims`` maps a name to a column
+    (rows whose column is null are left out of that dimension)."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("group_value"))
+                      for n, c in dims.items()])
+    long = (df.select(F.explode(pairs).alias("_d"), value)
+              .select("_d.dimension", "_d.group_value", value).where(F.col("group_value").isNotNull()))
+    return boxplot_stats(long, ["dimension", "group_value"], value, strategy)
 
 
 def corr_by_count(df: DataFrame, x: str, y: str, strategy: str = "auto") -> DataFrame:

@@ -174,19 +174,46 @@ def kde_curve(spark, sf):
     return round_doubles(A.kde_curve(cleaned(spark, sf), "salary_usd", 50))
 
 
-@register("boxplot_stats", with_base(""", q AS (
-  SELECT experience_level, quantile_cont(salary_usd, 0.25) AS q1, quantile_cont(salary_usd, 0.5) AS median,
-         quantile_cont(salary_usd, 0.75) AS q3 FROM cleaned GROUP BY 1),
+# Box plots run on whole cents: quartiles at the 1/4 positions and 1.5·IQR
+# fences are then exact binary fractions, so the fence tests and the printed
+# values cannot depend on an engine's last floating-point bit.
+@register("boxplot_stats", with_base(f""", top AS (
+  SELECT industry FROM cleaned WHERE industry IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, industry LIMIT 10),
+c AS (SELECT *, CAST(round(salary_usd * 100) AS BIGINT) AS cents FROM cleaned),
+long AS (
+  SELECT 'experience_level' AS dimension, experience_level AS group_value, cents FROM c
+  UNION ALL SELECT 'company_size', company_size, cents FROM c
+  UNION ALL SELECT 'industry', industry, cents FROM c WHERE industry IN (SELECT industry FROM top)
+  UNION ALL SELECT 'remote_ratio', CAST(remote_ratio AS VARCHAR), cents FROM c
+  UNION ALL SELECT 'job_category', {category_sql('job_title')}, cents FROM c),
+q AS (
+  SELECT dimension, group_value, quantile_cont(cents, 0.25) AS q1, quantile_cont(cents, 0.5) AS median,
+         quantile_cont(cents, 0.75) AS q3 FROM long WHERE group_value IS NOT NULL AND cents IS NOT NULL GROUP BY 1, 2),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS fence_low, q3 + 1.5 * (q3 - q1) AS fence_high FROM q)
-SELECT f.experience_level, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
-  round(fence_low, 4) AS fence_low, round(fence_high, 4) AS fence_high,
-  round(min(salary_usd) FILTER (WHERE salary_usd BETWEEN fence_low AND fence_high), 4) AS whisker_low,
-  round(max(salary_usd) FILTER (WHERE salary_usd BETWEEN fence_low AND fence_high), 4) AS whisker_high,
-  count(*) FILTER (WHERE NOT (salary_usd BETWEEN fence_low AND fence_high)) AS n_outliers, count(*) AS n
-FROM f JOIN cleaned c ON c.experience_level = f.experience_level
-GROUP BY ALL ORDER BY 1"""))
+SELECT f.dimension, f.group_value, round(q1 / 100, 4) AS q1, round(median / 100, 4) AS median, round(q3 / 100, 4) AS q3,
+  round(fence_low / 100, 4) AS fence_low, round(fence_high / 100, 4) AS fence_high,
+  round(min(cents) FILTER (WHERE cents BETWEEN fence_low AND fence_high) / 100, 4) AS whisker_low,
+  round(max(cents) FILTER (WHERE cents BETWEEN fence_low AND fence_high) / 100, 4) AS whisker_high,
+  count(*) FILTER (WHERE NOT (cents BETWEEN fence_low AND fence_high)) AS n_outliers, count(*) AS n
+FROM f JOIN long l ON l.dimension = f.dimension AND l.group_value = f.group_value
+WHERE l.cents IS NOT NULL
+GROUP BY ALL ORDER BY 1, 2"""))
 def boxplot_stats(spark, sf):
-    return round_doubles(A.boxplot_stats(cleaned(spark, sf), "experience_level", "salary_usd"))
+    c = cleaned(spark, sf).withColumn("cents", F.round(F.col("salary_usd") * 100).cast("long"))
+    # the top-10 industry list is at most 10 rows: a bounded broadcast
+    top = F.broadcast(A.value_counts(c, "industry").limit(10).select(F.col("industry").alias("_top")))
+    c = c.join(top, c["industry"] == top["_top"], "left")
+    dims = {
+        "experience_level": F.col("experience_level"),
+        "company_size": F.col("company_size"),
+        "industry": F.when(F.col("_top").isNotNull(), F.col("industry")),
+        "remote_ratio": F.col("remote_ratio"),
+        "job_category": classify_keywords("job_title", DATA_CATEGORIES, DATA_CATEGORY_DEFAULT),
+    }
+    out = A.boxplot_by_dimensions(c, dims, "cents")
+    money = ["q1", "median", "q3", "fence_low", "fence_high", "whisker_low", "whisker_high"]
+    return round_doubles(out.select("dimension", "group_value", *[(F.col(m) / 100).alias(m) for m in money],
+                                    "n_outliers", "n"))
 
 
 @register("corr_skill_count", with_base(""", x AS (
