@@ -16,6 +16,30 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 128 << 20) -> dict:
+    """Settings sized for a large input (e.g. 100 TB on 1000 executors).
+
+    Shuffle partitions are sized so a partition holds about
+    ``target_partition_bytes`` of shuffled data (rounded up to whole waves of
+    task slots); AQE then coalesces small ones and splits skewed ones, and its
+    skew thresholds are set relative to the same target.
+    """
+    slots = max(1, executors * cores_per_executor)
+    parts = max(slots, -(-input_bytes // target_partition_bytes))
+    parts = -(-parts // slots) * slots
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def build_session(master: str | None = None, app: str = "paysift",
                   shuffle_partitions: int | None = None,
                   conf: dict | None = None) -> SparkSession:

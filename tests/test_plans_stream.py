@@ -49,3 +49,26 @@ def test_streaming_daily_rollup(spark, tmp_path):
         if r["d"] in got:  # finalised windows (older than the watermark) are exact
             assert got[r["d"]][0] == pytest.approx(r["s"]) and got[r["d"]][1] == r["c"]
     assert monthly_from_partials(parts).count() >= 1
+
+
+def test_sized_broadcast_respects_the_bound(spark):
+    from paysift.operators.joins import sized_broadcast
+    small = spark.range(10)
+    big = spark.range(100)
+    plan = lambda d: big.join(d, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(sized_broadcast(small, max_rows=50))
+    assert "strategy=broadcast" not in plan(sized_broadcast(big.withColumnRenamed("id", "id"), max_rows=50))
+
+
+def test_checkpoint_dir_is_read_from_the_session(spark):
+    from paysift.session import ensure_checkpoint_dir, shared_dir
+    d = ensure_checkpoint_dir(spark)
+    assert d and ensure_checkpoint_dir(spark) == d  # set once, then read back
+    assert shared_dir(spark, "x").startswith(d.rstrip("/") + "/paysift/x-")
+
+
+def test_cluster_conf_sizes_partitions():
+    from paysift.session import cluster_conf
+    c = cluster_conf(100 << 40, executors=1000, cores_per_executor=4)
+    n = int(c["spark.sql.shuffle.partitions"])
+    assert n % 4000 == 0 and n * (128 << 20) >= 100 << 40
