@@ -158,25 +158,28 @@ def kde_curve(df: DataFrame, col: str, grid: int = 50) -> DataFrame:
 def boxplot_stats(df: DataFrame, keys, value: str, strategy: str = "auto") -> DataFrame:
     """q1, median, q3, 1.5·IQR fences, whisker ends and outlier count per group.
 
-    Two passes by nature (the fences need the quartiles first): the quartile
-    table has one row per group, is checkpointed and joins back to the rows
-    as a broadcast behind a row-count check.
+    One pass over the input (``value_profile``): the fences come from the
+    quartiles, and the whiskers and outlier counts from the checkpointed
+    distinct-value table (each distinct value carries its count), which meets
+    the one-row-per-group fence table in a join — no second pass over the rows.
     """
     from paysift.operators.joins import sized_broadcast
+    from paysift.operators.ranking import quantiles_from_profile, value_profile
     from paysift.session import materialize
     keys = [keys] if isinstance(keys, str) else list(keys)
-    q = grouped_stats(df, keys, value, [F.count(value).alias("_cnt")],
-                      {"q1": 0.25, "median": 0.5, "q3": 0.75}, strategy).drop("_cnt")
+    base, d = value_profile(df, keys, value, [])
+    q = quantiles_from_profile(base, d, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, strategy)
     q = (q.withColumn("_iqr", F.col("q3") - F.col("q1"))
           .withColumn("fence_low", F.col("q1") - 1.5 * F.col("_iqr"))
           .withColumn("fence_high", F.col("q3") + 1.5 * F.col("_iqr")).drop("_iqr"))
     q = materialize(q)
-    j = _join_on(df.select(*keys, value).where(F.col(value).isNotNull()), sized_broadcast(q), keys, "inner")
-    v = F.col(value)
+    j = _join_on(d, sized_broadcast(q), keys, "inner")
+    v = F.col("_v")
     inside = (v >= F.col("fence_low")) & (v <= F.col("fence_high"))
     stats = j.groupBy(*keys).agg(
         F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n"))
+        F.sum(F.when(~inside, F.col("_c")).otherwise(0)).cast("long").alias("n_outliers"),
+        F.sum("_c").cast("long").alias("n"))
     return _join_on(q, stats, keys).orderBy(*keys)
 
 

@@ -247,40 +247,54 @@ def resolve_strategy(df: DataFrame, keys: Sequence[str], value: str, strategy: s
     return "aggregate" if big <= max_aggregate_rows else "sort"
 
 
-def grouped_stats(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column],
-                  probs: Mapping[str, float], strategy: str = "auto",
-                  max_aggregate_rows: int = AGGREGATE_MAX_GROUP_ROWS) -> DataFrame:
-    """Plain aggregates plus exact quantiles per group, from one pass over the input.
-
-    A grouping-sets aggregate computes, in the same scan, the plain aggregates
-    per group and the count of every distinct (group, value).  That table is
-    checkpointed; the group sizes in it pick the quantile method without
-    another pass: a weighted ``percentile`` over the distinct values while the
-    largest group fits its buffer, else the range-sorted running count, which
-    spreads a hot group over many tasks.
-    """
+def value_profile(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column]):
+    """One pass over the input: a grouping-sets aggregate returning, per group,
+    the plain aggregates ``aggs`` and ``_c`` (non-null count), and per distinct
+    (group, value) its count.  The result is checkpointed (it is read several
+    times) and returned as ``(base, d)``: ``base`` = keys + aggs + ``_c``;
+    ``d`` = keys + ``_v`` + ``_c``."""
     keys = list(keys)
-    if not keys:  # the global case is the one-group case
-        out = grouped_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, aggs, probs, strategy,
-                            max_aggregate_rows)
-        return out.drop("_all")
     g = df.withColumn("_v", F.col(value).cast("double"))
     sets = g.groupingSets([keys, keys + ["_v"]], *keys, "_v").agg(
         *aggs, F.count("_v").alias("_c"), F.grouping_id().alias("_gid"))
     m = _materialize(sets)
     agg_cols = [c for c in m.columns if c not in keys + ["_v", "_c", "_gid"]]
-    base = m.where(F.col("_gid") == 1).select(*keys, *agg_cols)
-    d = m.where((F.col("_gid") == 0) & F.col("_v").isNotNull()).select(_group_struct(keys).alias("_g"), "_v", "_c")
+    base = m.where(F.col("_gid") == 1).select(*keys, *agg_cols, "_c")
+    d = m.where((F.col("_gid") == 0) & F.col("_v").isNotNull()).select(*keys, "_v", "_c")
+    return base, d
+
+
+def quantiles_from_profile(base: DataFrame, d: DataFrame, keys: Sequence[str], probs: Mapping[str, float],
+                           strategy: str = "auto", max_aggregate_rows: int = AGGREGATE_MAX_GROUP_ROWS) -> DataFrame:
+    """Exact quantiles per group from ``value_profile`` output: a weighted
+    ``percentile`` over the distinct values while the largest group fits its
+    buffer, else the range-sorted running count (a hot group spread over many
+    tasks).  The group sizes are read from ``base``; no pass over the input."""
+    keys = list(keys)
     if strategy == "auto":
-        biggest = m.where(F.col("_gid") == 1).agg(F.max("_c")).first()[0] or 0
+        biggest = base.agg(F.max("_c")).first()[0] or 0
         strategy = "aggregate" if biggest <= max_aggregate_rows else "sort"
     if strategy == "aggregate":
-        q = d.groupBy("_g").agg(*[F.percentile("_v", F.lit(float(p)), F.col("_c")).alias(n)
-                                  for n, p in probs.items()])
-    elif strategy == "sort":
-        rows, offsets = running_below(d, "_g", "_v", "_c")
-        q = quantiles_from_running(rows, offsets, probs, max_aggregate_rows=None)
-    else:
+        return d.groupBy(*keys).agg(*[F.percentile("_v", F.lit(float(p)), F.col("_c")).alias(n)
+                                      for n, p in probs.items()])
+    if strategy != "sort":
         raise ValueError(f"unknown strategy {strategy!r}")
-    q = q.select(*[F.col("_g")[k].alias(k) for k in keys], *probs.keys())
-    return join_on_keys(base, q, keys)
+    rows, offsets = running_below(d.select(_group_struct(keys).alias("_g"), "_v", "_c"), "_g", "_v", "_c")
+    q = quantiles_from_running(rows, offsets, probs, max_aggregate_rows=None)
+    return q.select(*[F.col("_g")[k].alias(k) for k in keys], *probs.keys())
+
+
+def grouped_stats(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column],
+                  probs: Mapping[str, float], strategy: str = "auto",
+                  max_aggregate_rows: int = AGGREGATE_MAX_GROUP_ROWS) -> DataFrame:
+    """Plain aggregates plus exact quantiles per group, from one pass over the input
+    (``value_profile``), with the quantile method chosen from the group sizes
+    found in that same pass (``quantiles_from_profile``)."""
+    keys = list(keys)
+    if not keys:  # the global case is the one-group case
+        out = grouped_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, aggs, probs, strategy,
+                            max_aggregate_rows)
+        return out.drop("_all")
+    base, d = value_profile(df, keys, value, aggs)
+    q = quantiles_from_profile(base, d, keys, probs, strategy, max_aggregate_rows)
+    return join_on_keys(base.drop("_c"), q, keys)
