@@ -86,3 +86,21 @@ def test_grouped_stats_paths_agree(skewed):
     assert len(a) == len(b)
     for x, y in zip(a, b):
         assert x[0] == y[0] and np.allclose([v for v in x[1:]], [v for v in y[1:]], equal_nan=True)
+
+
+def test_boxplot_paths_agree(skewed):
+    from paysift.operators.aggregates import boxplot_stats
+    df, pdf = skewed
+    a = {r["g"]: r for r in boxplot_stats(df, ["g"], "v", strategy="aggregate").collect()}
+    b = {r["g"]: r for r in boxplot_stats(df, ["g"], "v", strategy="sort").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for c in ("q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers", "n"):
+            assert a[k][c] == pytest.approx(b[k][c])
+    # brute force on the hot group
+    hot = pdf[(pdf["g"] == "hot") & pdf["v"].notna()]["v"].astype(float)
+    q1, q3 = hot.quantile(0.25), hot.quantile(0.75)
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    inside = hot[(hot >= lo) & (hot <= hi)]
+    assert a["hot"]["whisker_low"] == pytest.approx(inside.min()) and a["hot"]["n"] == len(hot)
+    assert a["hot"]["n_outliers"] == int(((hot < lo) | (hot > hi)).sum())
