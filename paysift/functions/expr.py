@@ -173,3 +173,22 @@ def feature_display(col: ColumnOrName) -> Column:
              .when(c.startswith("emp_"), F.concat(F.lit("EmpType: "), F.substring(c, 5, 1 << 20)))
              .when(c.startswith("skill_emb_"), F.concat(F.lit("SkillVec["), F.substring(c, 11, 1 << 20), F.lit("]")))
              .otherwise(c))
+
+
+# --------------------------------------------------------- order-free means
+def exact_mean(col: ColumnOrName, digits: int = 4) -> Column:
+    """Mean (aggregate) of values known to ``digits`` decimals, rounded half-even
+    to ``digits``.  The values are scaled to integers and summed exactly, so the
+    result does not depend on how rows are split over tasks or in which order
+    partial sums merge (a floating-point ``avg`` does)."""
+    scale = 10 ** digits
+    c = _c(col)
+    return F.bround(F.sum(F.round(c * scale).cast("long")) / F.count(c), 0) / scale
+
+
+def exact_mean_whole(col: ColumnOrName, unit_digits: int = 2) -> Column:
+    """Mean (aggregate) rounded half-even to a whole unit, from an exact integer
+    sum of the values at ``unit_digits`` decimals (cents for money)."""
+    scale = 10 ** unit_digits
+    c = _c(col)
+    return F.bround(F.sum(F.round(c * scale).cast("long")) / F.count(c) / scale, 0)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
-from paysift.functions.expr import clean_tokens, lookup, title_case, year_month
+from paysift.functions.expr import clean_tokens, exact_mean, exact_mean_whole, lookup, title_case, year_month
 from paysift.operators.ranking import group_quantiles, grouped_stats, join_on_keys, rank_below
 
 
@@ -25,7 +25,7 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 def country_summary(df: DataFrame, key: str = "country", value: str = "salary_usd",
                     strategy: str = "auto") -> DataFrame:
     """Mean, median, count, max per country; half-even rounding; display name; mean desc."""
-    out = grouped_stats(df, [key], value, [F.avg(value).alias("avg_salary"), F.count(value).alias("job_count"),
+    out = grouped_stats(df, [key], value, [exact_mean_whole(value).alias("avg_salary"), F.count(value).alias("job_count"),
                                            F.max(value).alias("max_salary")],
                         {"median_salary": 0.5}, strategy)
     name = F.coalesce(lookup(key, K.COUNTRY_DISPLAY), title_case(key))
@@ -40,7 +40,7 @@ def describe_by(df: DataFrame, keys: Sequence[str], value: str, strategy: str =
     keys = list(keys)
     if not keys:  # a global describe is the one-group case
         return describe_by(df.withColumn("_all", F.lit(0)), ["_all"], value, strategy).drop("_all")
-    agg = [F.count(value).alias("count"), F.avg(value).alias("mean"),
+    agg = [F.count(value).alias("count"), exact_mean(value, 4).alias("mean"),
            F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
     out = grouped_stats(df, keys, value, agg, {"q25": 0.25, "median": 0.5, "q75": 0.75}, strategy)
     return out.select(*keys, "count", "mean", "std", "min", "q25", "median", "q75", "max")
@@ -57,9 +57,7 @@ def level_describe(main: DataFrame, value: str = "salary_usd", strategy: str = "
 def mean_count_by(df: DataFrame, key: str, value: str = "salary_usd",
                   mean_name: str = "avg_salary", count_name: str = "job_count",
                   round_digits: int | None = 0) -> DataFrame:
-    m = F.avg(value)
-    if round_digits is not None:
-        m = F.bround(m, round_digits)
+    m = exact_mean_whole(value) if round_digits == 0 else exact_mean(value, 4 if round_digits is None else round_digits)
     return df.groupBy(key).agg(m.alias(mean_name), F.count(value).alias(count_name))
 
 
@@ -71,7 +69,7 @@ def monthly_mean(df: DataFrame, date_col: str = "posting_date", value: str = "sa
     """Per month (``yyyy-MM``) mean and count, in month order; null dates dropped."""
     return (df.where(F.col(date_col).isNotNull())
               .groupBy(year_month(date_col).alias("month"))
-              .agg(F.avg(value).alias("mean_salary"), F.count(value).alias("count"))
+              .agg(exact_mean(value, 4).alias("mean_salary"), F.count(value).alias("count"))
               .orderBy("month"))
 
 
@@ -89,7 +87,7 @@ def skill_frequency(df: DataFrame, col: str = "required_skills", sep: str = ",")
 
 def category_stats(df: DataFrame, cat: str = "job_category", value: str = "salary_usd",
                    min_count: int = K.CATEGORY_MIN_COUNT, strategy: str = "auto") -> DataFrame:
-    out = grouped_stats(df, [cat], value, [F.count(value).alias("count"), F.avg(value).alias("mean"),
+    out = grouped_stats(df, [cat], value, [F.count(value).alias("count"), exact_mean(value, 4).alias("mean"),
                                            F.stddev_samp(value).alias("std")],
                         {"median": 0.5, "q25": 0.25, "q75": 0.75}, strategy)
     out = out.where(F.col("count") >= min_count)
@@ -199,13 +197,13 @@ def boxplot_by_dimensions(df: DataFrame, dims: dict, value: str, strategy: str =
 def corr_by_count(df: DataFrame, x: str, y: str, strategy: str = "auto") -> DataFrame:
     """Pearson correlation of x and y (scalar) plus mean / median of y per x."""
     r = df.agg(F.corr(x, y)).first()[0]
-    out = grouped_stats(df, [x], y, [F.count(y).alias("n"), F.avg(y).alias("mean_y")], {"median_y": 0.5}, strategy)
+    out = grouped_stats(df, [x], y, [F.count(y).alias("n"), exact_mean(y, 4).alias("mean_y")], {"median_y": 0.5}, strategy)
     return out.withColumn("corr_xy", F.lit(r).cast("double")).orderBy(x)
 
 
-def global_baseline(series: DataFrame, value: str) -> DataFrame:
+def global_baseline(series: DataFrame, value: str, digits: int = 4) -> DataFrame:
     """Mean of non-null values repeated on every row, with min and max (scalar bounds)."""
-    mean, lo, hi = series.agg(F.avg(value), F.min(value), F.max(value)).first()
+    mean, lo, hi = series.agg(exact_mean(value, digits), F.min(value), F.max(value)).first()
     return series.select("*", F.lit(mean).cast("double").alias("baseline_mean"),
                          F.lit(lo).cast("double").alias("series_min"),
                          F.lit(hi).cast("double").alias("series_max"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
-from paysift.functions.expr import year_month
+from paysift.functions.expr import exact_mean as exact_mean_col, year_month
 from paysift.operators import aggregates as A
 from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles, sql_case
 from paysift.plans.marts import cleaned, mart_main
 from paysift.plans.registry import register
-from paysift.plans.sql import title_case, with_base, with_main
+from paysift.plans.sql import exact_mean, exact_mean_whole, title_case, with_base, with_main
 
 _COUNTRY_NAME_SQL = f"coalesce({sql_case('country', K.COUNTRY_DISPLAY)}, {title_case('country')})"
 
@@ -36,7 +36,7 @@ def category_sql(expr: str, rules=DATA_CATEGORIES, default=DATA_CATEGORY_DEFAULT
 
 
 @register("agg_country_summary", with_base(f"""
-SELECT country, round_even(avg(salary_usd), 0) AS avg_salary,
+SELECT country, {exact_mean_whole('salary_usd')} AS avg_salary,
        round_even(quantile_cont(salary_usd, 0.5), 0) AS median_salary,
        count(salary_usd) AS job_count, max(salary_usd) AS max_salary,
        {_COUNTRY_NAME_SQL} AS country_name
@@ -45,9 +45,9 @@ def agg_country_summary(spark, sf):
     return A.country_summary(cleaned(spark, sf))
 
 
-@register("agg_level_describe", with_main("""
+@register("agg_level_describe", with_main(f"""
 SELECT experience_level, exp_label, exp_order, count(salary_usd) AS count,
-  round(avg(salary_usd), 4) AS mean, round(stddev_samp(salary_usd), 4) AS std,
+  round({exact_mean('salary_usd')}, 4) AS mean, round(stddev_samp(salary_usd), 4) AS std,
   round(min(salary_usd), 4) AS min, round(quantile_cont(salary_usd, 0.25), 4) AS q25,
   round(quantile_cont(salary_usd, 0.5), 4) AS median, round(quantile_cont(salary_usd, 0.75), 4) AS q75,
   round(max(salary_usd), 4) AS max
@@ -56,22 +56,22 @@ def agg_level_describe(spark, sf):
     return round_doubles(A.level_describe(mart_main(cleaned(spark, sf))))
 
 
-@register("agg_industry_mean", with_base("""
-SELECT industry, round_even(avg(salary_usd), 0) AS avg_salary, count(salary_usd) AS job_count
+@register("agg_industry_mean", with_base(f"""
+SELECT industry, {exact_mean_whole('salary_usd')} AS avg_salary, count(salary_usd) AS job_count
 FROM cleaned GROUP BY industry ORDER BY avg_salary DESC, industry"""))
 def agg_industry_mean(spark, sf):
     return A.industry_mean(cleaned(spark, sf))
 
 
-@register("agg_trend_mart", with_main("""
-SELECT post_ym, round_even(avg(salary_usd), 0) AS avg_salary, count(salary_usd) AS job_count
+@register("agg_trend_mart", with_main(f"""
+SELECT post_ym, {exact_mean_whole('salary_usd')} AS avg_salary, count(salary_usd) AS job_count
 FROM main WHERE post_ym IS NOT NULL GROUP BY post_ym ORDER BY post_ym"""))
 def agg_trend_mart(spark, sf):
     return A.trend_mart(mart_main(cleaned(spark, sf)))
 
 
-@register("agg_monthly_mean", with_base("""
-SELECT strftime(posting_date, '%Y-%m') AS month, round(avg(salary_usd), 4) AS mean_salary,
+@register("agg_monthly_mean", with_base(f"""
+SELECT strftime(posting_date, '%Y-%m') AS month, round({exact_mean('salary_usd')}, 4) AS mean_salary,
        count(salary_usd) AS count
 FROM cleaned WHERE posting_date IS NOT NULL GROUP BY 1 ORDER BY 1"""))
 def agg_monthly_mean(spark, sf):
@@ -87,7 +87,7 @@ def agg_skill_frequency(spark, sf):
 
 
 @register("agg_category_stats", with_base(f"""
-SELECT job_category, count(salary_usd) AS count, round(avg(salary_usd), 4) AS mean,
+SELECT job_category, count(salary_usd) AS count, round({exact_mean('salary_usd')}, 4) AS mean,
   round(quantile_cont(salary_usd, 0.5), 4) AS median, round(quantile_cont(salary_usd, 0.25), 4) AS q25,
   round(quantile_cont(salary_usd, 0.75), 4) AS q75, round(stddev_samp(salary_usd), 4) AS std
 FROM (SELECT *, {category_sql('job_title')} AS job_category FROM cleaned)
@@ -116,7 +116,7 @@ _DESCRIBE_COLS = ["salary_usd", "years_experience", "benefits_score"]
 
 
 @register("agg_describe", with_base(" UNION ALL ".join(f"""
-SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 4) AS mean,
+SELECT '{c}' AS column_name, count({c}) AS count, round({exact_mean(c)}, 4) AS mean,
   round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,
   round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS median,
   round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM cleaned""" for c in _DESCRIBE_COLS)))
@@ -124,16 +124,16 @@ def agg_describe(spark, sf):
     return round_doubles(A.describe_columns(cleaned(spark, sf), _DESCRIBE_COLS))
 
 
-@register("agg_global_baseline", with_base(""", m AS (
-  SELECT strftime(posting_date, '%Y-%m') AS month, avg(salary_usd) AS mean_salary
+@register("agg_global_baseline", with_base(f""", m AS (
+  SELECT strftime(posting_date, '%Y-%m') AS month, {exact_mean('salary_usd')} AS mean_salary
   FROM cleaned WHERE posting_date IS NOT NULL GROUP BY 1)
 SELECT month, round(mean_salary, 4) AS mean_salary,
-  round(avg(mean_salary) OVER (), 4) AS baseline_mean,
+  round_even(sum(CAST(round(mean_salary * 10000) AS BIGINT)) OVER () / count(mean_salary) OVER (), 0) / 10000 AS baseline_mean,
   round(min(mean_salary) OVER (), 4) AS series_min, round(max(mean_salary) OVER (), 4) AS series_max
 FROM m"""))
 def agg_global_baseline(spark, sf):
     m = cleaned(spark, sf).where(F.col("posting_date").isNotNull()).groupBy(
-        year_month("posting_date").alias("month")).agg(F.avg("salary_usd").alias("mean_salary"))
+        year_month("posting_date").alias("month")).agg(exact_mean_col("salary_usd", 4).alias("mean_salary"))
     return round_doubles(A.global_baseline(m, "mean_salary"))
 
 
@@ -216,9 +216,9 @@ def boxplot_stats(spark, sf):
                                     "n_outliers", "n"))
 
 
-@register("corr_skill_count", with_base(""", x AS (
+@register("corr_skill_count", with_base(f""", x AS (
   SELECT CAST(len(regexp_split_to_array(required_skills, ',\\s*')) AS INTEGER) AS skill_count, salary_usd FROM cleaned)
-SELECT skill_count, count(salary_usd) AS n, round(avg(salary_usd), 4) AS mean_y,
+SELECT skill_count, count(salary_usd) AS n, round({exact_mean('salary_usd')}, 4) AS mean_y,
   round(quantile_cont(salary_usd, 0.5), 4) AS median_y,
   round((SELECT corr(skill_count, salary_usd) FROM x), 4) AS corr_xy
 FROM x GROUP BY skill_count ORDER BY skill_count"""))

@@ -106,7 +106,8 @@ def sink_parquet_overwrite(spark, sf):
 
 
 @register("sink_csv_mart", with_base("""
-SELECT industry, round_even(avg(salary_usd), 0) AS avg_salary, count(salary_usd) AS job_count
+SELECT industry, round_even(sum(CAST(round(salary_usd * 100) AS BIGINT)) / count(salary_usd) / 100, 0) AS avg_salary,
+       count(salary_usd) AS job_count
 FROM cleaned GROUP BY industry"""))
 def sink_csv_mart(spark, sf):
     path = shared_dir(spark, "industry_csv")
@@ -195,7 +196,7 @@ def _dashboard(spark, sf):
     # blocks and the forecast read it.
     sets = c.groupingSets([["country"], ["job_category"], ["industry"], ["month"]],
                           "country", "job_category", "industry", "month").agg(
-        F.avg("salary_usd").alias("avg"), F.count("salary_usd").alias("n"),
+        F.count("salary_usd").alias("n"),
         F.sum(F.round(F.col("salary_usd") * 100).cast("long")).alias("cents"),
         F.grouping_id().alias("gid"))
     g = materialize(sets)
@@ -210,7 +211,8 @@ def _dashboard(spark, sf):
 
     def block(key):
         return g.where(F.col("gid") == gid[key]).select(
-            F.struct(key, F.bround("avg", 0).cast("long").alias("avg_salary"), F.col("n").alias("job_count")).alias("x"))
+            F.struct(key, F.bround(F.col("cents") / F.col("n") / 100, 0).cast("long").alias("avg_salary"),
+                     F.col("n").alias("job_count")).alias("x"))
 
     # every block has one row per month / country / category: the lists grow
     # with those cardinalities, never with the row count
@@ -247,11 +249,11 @@ SELECT to_json(struct_pack(
   history := (SELECT list_sort(list(struct_pack(month := month, salary := CAST(round_even(value, 0) AS BIGINT)))) FROM s),
   forecast := (SELECT list_sort(list(struct_pack(month := month, salary := CAST(round_even(predicted, 0) AS BIGINT)))) FROM fc),
   countries := (SELECT list_sort(list(struct_pack(country := country, avg_salary := CAST(round_even(a, 0) AS BIGINT), job_count := n)))
-                FROM (SELECT country, avg(salary_usd) AS a, count(*) AS n FROM cleaned GROUP BY 1)),
+                FROM (SELECT country, sum(CAST(round(salary_usd * 100) AS BIGINT)) / count(salary_usd) / 100 AS a, count(*) AS n FROM cleaned GROUP BY 1)),
   categories := (SELECT list_sort(list(struct_pack(job_category := job_category, avg_salary := CAST(round_even(a, 0) AS BIGINT), job_count := n)))
-                 FROM (SELECT job_category, avg(salary_usd) AS a, count(*) AS n FROM cat GROUP BY 1)),
+                 FROM (SELECT job_category, sum(CAST(round(salary_usd * 100) AS BIGINT)) / count(salary_usd) / 100 AS a, count(*) AS n FROM cat GROUP BY 1)),
   industries := (SELECT list_sort(list(struct_pack(industry := industry, avg_salary := CAST(round_even(a, 0) AS BIGINT), job_count := n)))
-                 FROM (SELECT industry, avg(salary_usd) AS a, count(*) AS n FROM cleaned GROUP BY 1)))) AS doc"""
+                 FROM (SELECT industry, sum(CAST(round(salary_usd * 100) AS BIGINT)) / count(salary_usd) / 100 AS a, count(*) AS n FROM cleaned GROUP BY 1)))) AS doc"""
 
 
 def _dashboard_sql():

@@ -99,3 +99,15 @@ MAIN = r"""main AS (
 
 def with_main(rest: str) -> str:
     return with_base(", " + MAIN + ("\n" if rest.strip().startswith(",") else "\n") + rest.strip())
+
+
+def exact_mean(x: str, digits: int = 4) -> str:
+    """DuckDB twin of ``functions.expr.exact_mean``."""
+    s = 10 ** digits
+    return f"(round_even(sum(CAST(round({x} * {s}) AS BIGINT)) / count({x}), 0) / {s})"
+
+
+def exact_mean_whole(x: str, unit_digits: int = 2) -> str:
+    """DuckDB twin of ``functions.expr.exact_mean_whole``."""
+    s = 10 ** unit_digits
+    return f"round_even(sum(CAST(round({x} * {s}) AS BIGINT)) / count({x}) / {s}, 0)"
