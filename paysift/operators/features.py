@@ -43,6 +43,19 @@ def fit_levels(df: DataFrame, col: str) -> list[str]:
     return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
 
 
+def fit_levels_many(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct non-null levels of several columns in one pass: every
+    row contributes (column, value) pairs, deduplicated by a partial aggregate;
+    the result is bounded by the columns' total cardinality."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
+    rows = (df.select(F.explode(pairs).alias("_p")).select("_p.c", "_p.v")
+              .where(F.col("v").isNotNull()).distinct().collect())
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def onehot(df: DataFrame, col: str, prefix: str, levels: Sequence[str] | None = None,
            drop: bool = True) -> DataFrame:
     """One 0/1 column per level (all kept, names ``prefix+level``); null or
@@ -57,8 +70,9 @@ def onehot(df: DataFrame, col: str, prefix: str, levels: Sequence[str] | None =
 def encode(clean: DataFrame, levels: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """The encoded feature table: target, codes, dates, counts and one-hot blocks."""
     df = skill_counts(date_parts(ordinal_codes(log_target(clean))))
+    levels = levels or fit_levels_many(clean, list(K.ONEHOT_PREFIXES))
     for col, prefix in K.ONEHOT_PREFIXES.items():
-        df = onehot(df, col, prefix, (levels or {}).get(col), drop=False)
+        df = onehot(df, col, prefix, levels.get(col), drop=False)
     return df
 
 

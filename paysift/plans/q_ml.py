@@ -115,8 +115,9 @@ JOIN (PIVOT (SELECT job_id, 'emp_' || employment_type AS f FROM cleaned) ON f US
 JOIN (PIVOT (SELECT job_id, 'ctry_' || country AS f FROM cleaned) ON f USING count(*) GROUP BY job_id) USING (job_id)"""))
 def feat_onehot(spark, sf):
     c = cleaned(spark, sf).select("job_id", *K.ONEHOT_PREFIXES)
+    levels = FE.fit_levels_many(c, list(K.ONEHOT_PREFIXES))  # one pass for all three columns
     for col, prefix in K.ONEHOT_PREFIXES.items():
-        c = FE.onehot(c, col, prefix)
+        c = FE.onehot(c, col, prefix, levels[col])
     return c
 
 
