@@ -195,10 +195,24 @@ def boxplot_by_dimensions(df: DataFrame, dims: dict, value: str, strategy: str =
 
 
 def corr_by_count(df: DataFrame, x: str, y: str, strategy: str = "auto") -> DataFrame:
-    """Pearson correlation of x and y (scalar) plus mean / median of y per x."""
-    r = df.agg(F.corr(x, y)).first()[0]
-    out = grouped_stats(df, [x], y, [F.count(y).alias("n"), exact_mean(y, 4).alias("mean_y")], {"median_y": 0.5}, strategy)
-    return out.withColumn("corr_xy", F.lit(r).cast("double")).orderBy(x)
+    """Pearson correlation of x and y plus mean / median of y per x.
+
+    One pass over the input: the per-x statistics carry Σy and Σy², from
+    which the global correlation follows (x is constant inside its group), so
+    the scalar is an aggregate over one row per distinct x, not another scan.
+    """
+    yv = F.col(y).cast("double")
+    out = grouped_stats(df.where(F.col(x).isNotNull()), [x], y,
+                        [F.count(y).alias("n"), exact_mean(y, 4).alias("mean_y"),
+                         F.sum(yv).alias("_sy"), F.sum(yv * yv).alias("_syy")], {"median_y": 0.5}, strategy)
+    from paysift.session import materialize
+    out = materialize(out)
+    xv, n = F.col(x).cast("double"), F.col("n").cast("double")
+    s = out.agg(F.sum(n).alias("N"), F.sum(n * xv).alias("Sx"), F.sum("_sy").alias("Sy"),
+                F.sum(n * xv * xv).alias("Sxx"), F.sum("_syy").alias("Syy"), F.sum(xv * F.col("_sy")).alias("Sxy")).first()
+    den = ((s["N"] * s["Sxx"] - s["Sx"] ** 2) * (s["N"] * s["Syy"] - s["Sy"] ** 2)) if s["N"] else 0
+    r = (s["N"] * s["Sxy"] - s["Sx"] * s["Sy"]) / den ** 0.5 if den and den > 0 else None
+    return out.drop("_sy", "_syy").withColumn("corr_xy", F.lit(r).cast("double")).orderBy(x)
 
 
 def global_baseline(series: DataFrame, value: str, digits: int = 4) -> DataFrame:
