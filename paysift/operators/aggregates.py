@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
 from paysift.functions.expr import clean_tokens, exact_mean, exact_mean_whole, lookup, title_case, year_month
-from paysift.operators.ranking import group_quantiles, grouped_stats, join_on_keys, rank_below
+from paysift.operators.ranking import grouped_stats, join_on_keys, rank_below
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
-from paysift.functions.expr import clean_tokens, feature_display, norm_upper
+from paysift.functions.expr import clean_tokens, feature_display
 from paysift.functions.sampling import hash_bucket
 from paysift.operators import aggregates as A
 from paysift.operators import clean as C
