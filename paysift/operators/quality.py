@@ -82,3 +82,9 @@ def column_set_compare_by(names: DataFrame, side_col: str, left: str, right: str
     grouped pass, no join (``feature, in_left, in_right``)."""
     return names.groupBy(F.col(name_col).alias("feature")).agg(
         F.max(F.col(side_col) == left).alias("in_left"), F.max(F.col(side_col) == right).alias("in_right"))
+
+
+def random_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """Bernoulli sample (``DataFrame.sample``) — fast, but which rows it keeps
+    depends on the partitioning; ``hash_sample`` is the reproducible form."""
+    return df.sample(withReplacement=False, fraction=fraction, seed=seed)

@@ -157,3 +157,13 @@ def test_histogram_bins_sum_to_n(spark):
     df = spark.createDataFrame([(float(x),) for x in range(101)], "v double")
     h = A.hist_equal_width(df, "v", 50).collect()
     assert sum(r["count"] for r in h) == 101 and h[-1]["count"] == 3  # last bin closed
+
+
+def test_samples(spark):
+    from paysift.operators.quality import hash_sample, random_sample
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    a = {r["k"] for r in hash_sample(df, "k", 0.05).collect()}
+    b = {r["k"] for r in hash_sample(df.repartition(7), "k", 0.05).collect()}
+    assert a == b and 700 < len(a) < 1300  # reproducible under any partitioning
+    n = random_sample(df, 0.05).count()
+    assert 700 < n < 1300
