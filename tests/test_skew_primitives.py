@@ -104,3 +104,27 @@ def test_boxplot_paths_agree(skewed):
     inside = hot[(hot >= lo) & (hot <= hi)]
     assert a["hot"]["whisker_low"] == pytest.approx(inside.min()) and a["hot"]["n"] == len(hot)
     assert a["hot"]["n_outliers"] == int(((hot < lo) | (hot > hi)).sum())
+
+
+def test_country_summary_paths_agree_on_real_data(spark):
+    from conftest import SMALL
+    from paysift.operators.aggregates import country_summary
+    from paysift.plans.marts import cleaned
+    c = cleaned(spark, SMALL)
+    a = sorted(map(tuple, country_summary(c, strategy="aggregate").collect()))
+    b = sorted(map(tuple, country_summary(c, strategy="sort").collect()))
+    assert a == b
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 6)), min_size=1, max_size=60))
+def test_rank_below_property(spark, rows):
+    df = spark.createDataFrame([(i, g, float(v)) for i, (g, v) in enumerate(rows)], "id long, g string, v double")
+    got = {r["id"]: (r["_below"], r["_n"]) for r in rank_below(df, ["g"], "v", num_partitions=3).collect()}
+    for i, (g, v) in enumerate(rows):
+        peers = [w for h, w in rows if h == g]
+        assert got[i] == (sum(1 for w in peers if w < v), len(peers))
