@@ -167,3 +167,15 @@ def test_samples(spark):
     assert a == b and 700 < len(a) < 1300  # reproducible under any partitioning
     n = random_sample(df, 0.05).count()
     assert 700 < n < 1300
+
+
+def test_mart_counts_sum_to_rows(spark):
+    from conftest import SMALL
+    import __spark_entry__ as E
+    from paysift.plans.marts import cleaned
+    n = cleaned(spark, SMALL).count()
+    q = E.queries()
+    assert sum(r["job_count"] for r in q["agg_country_summary"](spark, SMALL).collect()) == n
+    assert sum(r["job_count"] for r in q["agg_industry_mean"](spark, SMALL).collect()) == n
+    assert sum(r["n"] for r in q["boxplot_stats"](spark, SMALL).where("dimension = 'company_size'").collect()) == n
+    assert sum(r["count"] for r in q["hist_equal_width"](spark, SMALL).collect()) == n
