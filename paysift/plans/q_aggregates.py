@@ -165,7 +165,7 @@ def hist_equal_width(spark, sf):
   SELECT count(salary_usd) AS n, min(salary_usd) AS lo, max(salary_usd) AS hi,
          stddev_samp(salary_usd) * pow(count(salary_usd), -0.2) AS h FROM cleaned),
 d AS (SELECT salary_usd AS v, count(*) AS c FROM cleaned WHERE salary_usd IS NOT NULL GROUP BY 1),
-g AS (SELECT range AS point FROM range(50))
+g AS (SELECT CAST(range AS INTEGER) AS point FROM range(50))
 SELECT point, round(lo + point * ((hi - lo) / 49), 4) AS x,
   round(sum(c * exp(-0.5 * pow((lo + point * ((hi - lo) / 49) - v) / h, 2)))
         * (1.0 / (n * h * sqrt(2 * pi()))) * 1000000, 4) AS density_per_million

@@ -135,7 +135,7 @@ def filter_group_eq(spark, sf):
 @register("filter_blank_tokens", with_base("""
 SELECT job_id, array_to_string(list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)),
                                lambda x: x <> ''), '|') AS tokens,
-       len(list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x: x <> '')) AS n_tokens
+       CAST(len(list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n_tokens
 FROM (SELECT job_id, coalesce(required_skills, '') || ' , ,' AS raw FROM cleaned)"""))
 def filter_blank_tokens(spark, sf):
     # every list gets two blank tokens appended so the filter always has work to do

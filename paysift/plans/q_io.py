@@ -146,11 +146,11 @@ _SERIES_DOC_SQL = """
 met AS (
   SELECT country, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse, avg(abs(actual - predicted)) AS mae,
          avg(abs((actual - predicted) / actual)) * 100 AS mape FROM tests GROUP BY country)
-SELECT h.country, to_json(struct_pack(country := h.country, months := list_transform(r, lambda x: x.month),
+SELECT h.country, CAST(to_json(struct_pack(country := h.country, months := list_transform(r, lambda x: x.month),
   actual := list_transform(r, lambda x: x.actual), predicted := list_transform(r, lambda x: x.predicted),
   type := list_transform(r, lambda x: x.type),
   metrics := struct_pack(rmse := CAST(round_even(rmse, 0) AS BIGINT), mae := CAST(round_even(mae, 0) AS BIGINT),
-                         mape := round_even(mape, 2)))) AS doc
+                         mape := round_even(mape, 2)))) AS VARCHAR) AS doc
 FROM hist h LEFT JOIN met m ON h.country = m.country"""
 
 
@@ -168,7 +168,7 @@ def sink_json_series(spark, sf):
 
 
 @register("sink_append_log", """
-SELECT user_id, to_json(struct_pack(event_type := event_type, k := json_extract(props, '$.k'))) AS input_params,
+SELECT user_id, CAST(to_json(struct_pack(event_type := event_type, k := json_extract(props, '$.k'))) AS VARCHAR) AS input_params,
   CAST(trunc(value * 1000) AS BIGINT) AS predicted_salary, round(value, 4) AS percentile, ts AS created_at,
   CAST(ts AS DATE) AS log_date FROM events""")
 def sink_append_log(spark, sf):
@@ -245,7 +245,7 @@ f1 AS (SELECT *, a + bb * s0 AS s1 FROM f), f2 AS (SELECT *, a + bb * s1 AS s2 F
 fc AS (SELECT strftime(CAST(lm || '-01' AS DATE) + to_months(CAST(k AS INTEGER)), '%Y-%m') AS month,
               (CASE k WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END) * (mx - mn) + mn AS predicted FROM f3, range(1, 4) r(k)),
 cat AS (SELECT {category_sql('job_title')} AS job_category, salary_usd FROM cleaned)
-SELECT to_json(struct_pack(
+SELECT CAST(to_json(struct_pack(
   history := (SELECT list_sort(list(struct_pack(month := month, salary := CAST(round_even(value, 0) AS BIGINT)))) FROM s),
   forecast := (SELECT list_sort(list(struct_pack(month := month, salary := CAST(round_even(predicted, 0) AS BIGINT)))) FROM fc),
   countries := (SELECT list_sort(list(struct_pack(country := country, avg_salary := CAST(round_even(a, 0) AS BIGINT), job_count := n)))
@@ -253,7 +253,7 @@ SELECT to_json(struct_pack(
   categories := (SELECT list_sort(list(struct_pack(job_category := job_category, avg_salary := CAST(round_even(a, 0) AS BIGINT), job_count := n)))
                  FROM (SELECT job_category, sum(CAST(round(salary_usd * 100) AS BIGINT)) / count(salary_usd) / 100 AS a, count(*) AS n FROM cat GROUP BY 1)),
   industries := (SELECT list_sort(list(struct_pack(industry := industry, avg_salary := CAST(round_even(a, 0) AS BIGINT), job_count := n)))
-                 FROM (SELECT industry, sum(CAST(round(salary_usd * 100) AS BIGINT)) / count(salary_usd) / 100 AS a, count(*) AS n FROM cleaned GROUP BY 1)))) AS doc"""
+                 FROM (SELECT industry, sum(CAST(round(salary_usd * 100) AS BIGINT)) / count(salary_usd) / 100 AS a, count(*) AS n FROM cleaned GROUP BY 1)))) AS VARCHAR) AS doc"""
 
 
 def _dashboard_sql():

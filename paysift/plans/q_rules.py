@@ -118,7 +118,7 @@ def scalar_array(spark, sf):
 SELECT event_id, CAST(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), -1) AS INTEGER) AS k,
   CAST(coalesce(TRY_CAST(CASE WHEN json_valid(substr(props, 2)) THEN json_extract_string(substr(props, 2), '$.k') END
                          AS INTEGER), -1) AS INTEGER) AS k_broken,
-  to_json(struct_pack(user_id := user_id, event_type := event_type)) AS params
+  CAST(to_json(struct_pack(user_id := user_id, event_type := event_type)) AS VARCHAR) AS params
 FROM events""")
 def scalar_json(spark, sf):
     e = table(spark, sf, "events")

@@ -36,7 +36,7 @@ idx AS (
 samples AS (
   SELECT * FROM (
     SELECT country, month, value, t, n_points, lag(value, 3) OVER w AS x1, lag(value, 2) OVER w AS x2,
-           lag(value, 1) OVER w AS x3, t - 3 AS sample_idx, n_points - 3 AS n_samples
+           lag(value, 1) OVER w AS x3, CAST(t - 3 AS INTEGER) AS sample_idx, n_points - 3 AS n_samples
     FROM idx WINDOW w AS (PARTITION BY country ORDER BY month)) WHERE t >= 3),
 split AS (
   SELECT *, CASE WHEN sample_idx < floor(0.8 * n_samples) THEN 'train' ELSE 'test' END AS part FROM samples),
@@ -265,7 +265,7 @@ def topk_global(spark, sf):
 @register("topk_abs_per_row", """
 SELECT vec_id, dim, round(CAST(v AS DOUBLE), 4) AS value, rank FROM (
   SELECT vec_id, dim, v, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, dim) AS rank
-  FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS v FROM embeddings))
+  FROM (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, unnest(embedding) AS v FROM embeddings))
 WHERE rank <= 8""")
 def topk_abs_per_row(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "v"))

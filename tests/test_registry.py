@@ -13,6 +13,8 @@ from conftest import SMALL  # noqa: E402
 from oracle_check import rows_of  # noqa: E402
 
 # model fits are exercised with small settings in test_models.py
+SPARK_TO_DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "DateType": "DATE", "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP", "FloatType": "FLOAT"}
 SLOW = {"gbt_train", "gain_importance", "score_batch", "model_save_load", "tune_random"}
 KEYS = sorted(k for k in E.queries() if k not in SLOW)
 
@@ -35,9 +37,11 @@ def test_query_matches_oracle(spark, duck, key):
     if sql is None:
         assert df.columns
         return
-    cur = duck.execute(sql)
-    dcols = [d[0] for d in cur.description]
-    drows = cur.fetchall()
+    rel = duck.sql(sql)
+    dcols, dtypes = rel.columns, [str(t) for t in rel.types]
+    drows = rel.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    stypes = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in df.schema.fields}
+    assert {c: stypes[c] for c in dcols} == dict(zip(dcols, dtypes))
     assert len(srows) == len(drows)
     assert rows_of(df.columns, srows) == rows_of(dcols, drows)
