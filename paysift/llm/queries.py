@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paysift.llm import decontamination, packing, quality_rules, simhash_dedup
+from paysift.llm import decontamination, packing, pii, quality_rules, simhash_dedup
 from paysift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +26,15 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymized(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op8_simhash_dedup, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op8_simhash_dedup, op9_pii, op10_packing)}
 
 #: op2 by its definition: every window of every item against every span of every document.
 OP2_SQL = r"""
