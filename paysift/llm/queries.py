@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paysift.llm import decontamination, packing, pii, quality_rules, simhash_dedup
+from paysift.llm import (decontamination, html_extraction, license_scan, lm_scoring, packing, pii, quality_rules, simhash_dedup, toxicity,
+                         warc)
 from paysift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -22,6 +28,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -34,7 +56,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op8_simhash_dedup, op9_pii, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_toxicity, op2_decontamination, op3_quality_rules, op4_license_scan, op5_html_extraction, op6_lm_scoring, op7_warc, op8_simhash_dedup,
+    op9_pii, op10_packing)}
 
 #: op2 by its definition: every window of every item against every span of every document.
 OP2_SQL = r"""
@@ -59,4 +83,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL}
+#: op7 from the pages themselves.
+OP7_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT payload_digest, max(page_id) AS response_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < response_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < response_id THEN response_id END AS refers_to
+FROM p LEFT JOIN r USING (payload_digest)
+"""
+
+ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL, "op7_warc": OP7_SQL}
