@@ -5,8 +5,8 @@ a text's grade is over j is the logistic of its weighted words less threshold j.
 the expected severity, the sum of those chances, from 0 to the highest grade.
 
 Labels say only toxic or not, so the grades of toxic texts are made from the labelled texts
-themselves: of toxic texts, the thirds by their share of words that are far more frequent in
-toxic texts than in others are graded 1 to 3; other texts have grade 0.
+themselves: of toxic texts, the thirds by their amount (log counts) of words that are far more
+frequent in toxic texts than in others are graded 1 to 3; other texts have grade 0.
 
 The model is fitted in numpy on a bounded sample of labelled rows (``MAX_LABELLED`` of either
 class, those of least hash), weighted to the counts of all labelled rows.  Whole texts of all
@@ -58,14 +58,14 @@ class Model:
 
 
 def grades(ids: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """0 for other texts; toxic ones by thirds of their share of toxic words."""
+    """0 for other texts; toxic ones by thirds of their amount of toxic words."""
     odds, seen = _log_odds(ids, toxic)
     strong = (odds > 2) & (seen >= 3)
-    share = np.array([c[strong[i]].sum() / max(1, c.sum()) for i, c in zip(ids, counts)])
+    amount = np.array([np.log1p(c[strong[i]]).sum() for i, c in zip(ids, counts)])
     out = np.zeros(len(ids), int)
     if toxic.any():
-        cuts = np.quantile(share[toxic], [k / GRADES for k in range(1, GRADES)])
-        out[toxic] = 1 + (share[toxic][:, None] > cuts).sum(axis=1)
+        cuts = np.quantile(amount[toxic], [k / GRADES for k in range(1, GRADES)])
+        out[toxic] = 1 + (amount[toxic][:, None] > cuts).sum(axis=1)
     return out
 
 
