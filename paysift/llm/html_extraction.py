@@ -87,7 +87,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             text.clear()
 
     def close(depth: int) -> None:
-        flush()
+        if stack[-1][1:] != (stack[depth - 1][1:] if depth else (False, 0)):
+            flush()  # an inline element ends no block
         while len(stack) > depth:
             count[stack.pop()[0]] -= 1
 

@@ -15,7 +15,9 @@ ssn    | area, group and serial of the issued ranges     | area, group, serial
 phone  | international or bracketed form                 | digits (country code, punctuation)
 email  | address shape                                   | letters and digits (the last two labels)
 ip     | four numbers up to 255                          | the four numbers
-date   | a calendar day of 1800-01-01 and 145,999 days on | its day number; equal days stay equal in any format
+date   | a calendar day of 1800-01-01 and 145,999 days on | its day number: equal days stay equal in any of the formats
+       | yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy; dd/mm/yyyy with a day over 12 is permuted within those (the year alone from
+       | the 29th on; 29/02 stays)
 secret | 16 or more letters or digits given to a key word | letters and digits (the key word)
 
 Defined cases: a null text stays null and has no values; repeated rows get the same result; a
@@ -174,6 +176,10 @@ def _numbers_value(m: Column, key: str, undo: bool) -> Column:
         style = F.when(iso, "iso").when(dots, "dots").when(swapped, "dmy").otherwise("mdy")
         of = lambda kind, v, n, style: F.struct(F.lit(kind).alias("kind"), v.alias("v"), n.alias("n"), style.alias("style"))
         date = _let(number, lambda d: F.when(d < N_DAYS, of("date", longs(F.floor(d / DAY_RADIX[1]), d % DAY_RADIX[1]), longs(*DAY_RADIX), style)))
+        # dd/mm must not become a day that reads as mm/dd: its day stays over 12; from the 29th on only the year moves
+        slashed = (F.when(real & (year < 2200) & (day <= 28), of("date", longs(year - 1800, month - 1, day - 13), longs(400, 12, 16), style))
+                   .when(real & (year < 2200) & (month != 2), of("date", longs(year - 1800), longs(400), style)))
+        date = F.when(style == "dmy", slashed).otherwise(date)
         issued = (a > 0) & (a < 900) & (a != 666) & (b > 0) & (c > 0)
         # areas 1 to 665 and 667 to 899 are numbered from 0
         ssn = F.when(issued, of("ssn", longs(F.when(a > 666, a - 2).otherwise(a - 1), b - 1, c - 1), longs(898, 99, 9999), F.lit("")))
@@ -189,10 +195,15 @@ def _numbers_value(m: Column, key: str, undo: bool) -> Column:
             two = lambda n: F.when(F.length(m) == 10, padded(n, 2)).otherwise(n.cast("string"))
             y, mo, da = padded(F.year(d), 4), two(F.month(d)), two(F.dayofmonth(d))
             return (F.when(x["style"] == "iso", F.concat_ws("-", y, mo, da)).when(x["style"] == "dots", F.concat_ws(".", da, mo, y))
-                    .when(x["style"] == "dmy", F.concat_ws("/", da, mo, y)).otherwise(F.concat_ws("/", mo, da, y)))
+                    .otherwise(F.concat_ws("/", mo, da, y)))
+
+        old = F.split(m, "/")
+        two = lambda n: F.when(F.length(m) == 10, padded(n, 2)).otherwise(n.cast("string"))
+        slashed = F.concat_ws("/", F.when(F.size(v) == 3, two(c + 13)).otherwise(F.get(old, F.lit(0))),
+                              F.when(F.size(v) == 3, two(b + 1)).otherwise(F.get(old, F.lit(1))), (a + 1800).cast("string"))
 
         day = F.date_add(F.lit(FIRST_DAY).cast("date"), (a * DAY_RADIX[1] + b).cast("int"))
-        return (F.when(x["kind"] == "date", _let(day, date)).when(x["kind"] == "ssn", ssn)
+        return (F.when(x["style"] == "dmy", slashed).when(x["kind"] == "date", _let(day, date)).when(x["kind"] == "ssn", ssn)
                 .otherwise(F.array_join(v.cast("array<string>"), ".")))
 
     def made(x: Column) -> Column:
