@@ -168,27 +168,25 @@ def feature_display(col: ColumnOrName) -> Column:
     from paysift.functions import constants as K
     c = _c(col)
     return (F.when(lookup(c, K.FEATURE_DISPLAY).isNotNull(), lookup(c, K.FEATURE_DISPLAY))
-             .when(c.startswith("ctry_"), F.concat(F.lit("Country: "), title_case(F.substring(c, 6, 1 << 20))))
-             .when(c.startswith("ind_"), F.concat(F.lit("Industry: "), F.substring(c, 5, 1 << 20)))
-             .when(c.startswith("emp_"), F.concat(F.lit("EmpType: "), F.substring(c, 5, 1 << 20)))
-             .when(c.startswith("skill_emb_"), F.concat(F.lit("SkillVec["), F.substring(c, 11, 1 << 20), F.lit("]")))
+             .when(c.startswith("ctry_"), F.concat(F.lit("Country: "), title_case(F.substr(c, F.lit(6)))))
+             .when(c.startswith("ind_"), F.concat(F.lit("Industry: "), F.substr(c, F.lit(5))))
+             .when(c.startswith("emp_"), F.concat(F.lit("EmpType: "), F.substr(c, F.lit(5))))
+             .when(c.startswith("skill_emb_"), F.concat(F.lit("SkillVec["), F.substr(c, F.lit(11)), F.lit("]")))
              .otherwise(c))
 
 
 # --------------------------------------------------------- order-free means
+def exact_sum(col: ColumnOrName) -> Column:
+    """Sum (aggregate) in decimals with ten places: exact, so it does not depend on
+    the order in which partial sums merge, and good for sums up to 10^28."""
+    return F.sum(_c(col).cast("decimal(28,10)"))
+
+
 def exact_mean(col: ColumnOrName, digits: int = 4) -> Column:
-    """Mean (aggregate) of values known to ``digits`` decimals, rounded half-even
-    to ``digits``.  The values are scaled to integers and summed exactly, so the
-    result does not depend on how rows are split over tasks or in which order
-    partial sums merge (a floating-point ``avg`` does)."""
-    scale = 10 ** digits
-    c = _c(col)
-    return F.bround(F.sum(F.round(c * scale).cast("long")) / F.count(c), 0) / scale
+    """Mean (aggregate) from an exact sum, rounded once, half-even, to ``digits``."""
+    return F.bround((exact_sum(col) / F.count(_c(col))).cast("double"), digits)
 
 
-def exact_mean_whole(col: ColumnOrName, unit_digits: int = 2) -> Column:
-    """Mean (aggregate) rounded half-even to a whole unit, from an exact integer
-    sum of the values at ``unit_digits`` decimals (cents for money)."""
-    scale = 10 ** unit_digits
-    c = _c(col)
-    return F.bround(F.sum(F.round(c * scale).cast("long")) / F.count(c) / scale, 0)
+def exact_mean_whole(col: ColumnOrName) -> Column:
+    """Mean (aggregate) from an exact sum, rounded half-even to a whole unit."""
+    return exact_mean(col, 0)

@@ -22,12 +22,11 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return join_on_keys(left, right, keys, how)
 
 
-def country_summary(df: DataFrame, key: str = "country", value: str = "salary_usd",
-                    strategy: str = "auto") -> DataFrame:
+def country_summary(df: DataFrame, key: str = "country", value: str = "salary_usd") -> DataFrame:
     """Mean, median, count, max per country; half-even rounding; display name; mean desc."""
     out = grouped_stats(df, [key], value, [exact_mean_whole(value).alias("avg_salary"), F.count(value).alias("job_count"),
                                            F.max(value).alias("max_salary")],
-                        {"median_salary": 0.5}, strategy)
+                        {"median_salary": 0.5})
     name = F.coalesce(lookup(key, K.COUNTRY_DISPLAY), title_case(key))
     return (out.select(key, F.bround("avg_salary", 0).alias("avg_salary"),
                        F.bround("median_salary", 0).alias("median_salary"),
@@ -35,22 +34,22 @@ def country_summary(df: DataFrame, key: str = "country", value: str = "salary_us
                .orderBy(F.desc("avg_salary"), F.asc(key)))
 
 
-def describe_by(df: DataFrame, keys: Sequence[str], value: str, strategy: str = "auto") -> DataFrame:
+def describe_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """pandas ``describe``: count, mean, std (ddof 1), min, q25, median, q75, max per group."""
     keys = list(keys)
     if not keys:  # a global describe is the one-group case
-        return describe_by(df.withColumn("_all", F.lit(0)), ["_all"], value, strategy).drop("_all")
+        return describe_by(df.withColumn("_all", F.lit(0)), ["_all"], value).drop("_all")
     agg = [F.count(value).alias("count"), exact_mean(value, 4).alias("mean"),
            F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
-    out = grouped_stats(df, keys, value, agg, {"q25": 0.25, "median": 0.5, "q75": 0.75}, strategy)
+    out = grouped_stats(df, keys, value, agg, {"q25": 0.25, "median": 0.5, "q75": 0.75})
     return out.select(*keys, "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
-def level_describe(main: DataFrame, value: str = "salary_usd", strategy: str = "auto") -> DataFrame:
+def level_describe(main: DataFrame, value: str = "salary_usd") -> DataFrame:
     """Describe per experience level, ordered by rank; unmapped levels drop out
     (their sort order is null and null group keys are dropped)."""
     m = main.where(F.col("exp_order").isNotNull())
-    return (describe_by(m, ["experience_level", "exp_label", "exp_order"], value, strategy)
+    return (describe_by(m, ["experience_level", "exp_label", "exp_order"], value)
             .orderBy("exp_order"))
 
 
@@ -86,10 +85,10 @@ def skill_frequency(df: DataFrame, col: str = "required_skills", sep: str = ",")
 
 
 def category_stats(df: DataFrame, cat: str = "job_category", value: str = "salary_usd",
-                   min_count: int = K.CATEGORY_MIN_COUNT, strategy: str = "auto") -> DataFrame:
+                   min_count: int = K.CATEGORY_MIN_COUNT) -> DataFrame:
     out = grouped_stats(df, [cat], value, [F.count(value).alias("count"), exact_mean(value, 4).alias("mean"),
                                            F.stddev_samp(value).alias("std")],
-                        {"median": 0.5, "q25": 0.25, "q75": 0.75}, strategy)
+                        {"median": 0.5, "q25": 0.25, "q75": 0.75})
     out = out.where(F.col("count") >= min_count)
     return out.select(cat, "count", "mean", "median", "q25", "q75", "std").orderBy(F.desc("median"), cat)
 
@@ -154,7 +153,7 @@ def kde_curve(df: DataFrame, col: str, grid: int = 50) -> DataFrame:
              .orderBy("point"))
 
 
-def boxplot_stats(df: DataFrame, keys, value: str, strategy: str = "auto") -> DataFrame:
+def boxplot_stats(df: DataFrame, keys, value: str) -> DataFrame:
     """q1, median, q3, 1.5·IQR fences, whisker ends and outlier count per group.
 
     One pass over the input (``value_profile``): the fences come from the
@@ -162,17 +161,16 @@ def boxplot_stats(df: DataFrame, keys, value: str, strategy: str = "auto") -> Da
     distinct-value table (each distinct value carries its count), which meets
     the one-row-per-group fence table in a join — no second pass over the rows.
     """
-    from paysift.operators.joins import sized_broadcast
     from paysift.operators.ranking import quantiles_from_profile, value_profile
     from paysift.session import materialize
     keys = [keys] if isinstance(keys, str) else list(keys)
     base, d = value_profile(df, keys, value, [])
-    q = quantiles_from_profile(base, d, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, strategy)
+    q = quantiles_from_profile(d, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     q = (q.withColumn("_iqr", F.col("q3") - F.col("q1"))
           .withColumn("fence_low", F.col("q1") - 1.5 * F.col("_iqr"))
           .withColumn("fence_high", F.col("q3") + 1.5 * F.col("_iqr")).drop("_iqr"))
     q = materialize(q)
-    j = _join_on(d, sized_broadcast(q), keys, "inner")
+    j = _join_on(d, q, keys, "inner")
     v = F.col("_v")
     inside = (v >= F.col("fence_low")) & (v <= F.col("fence_high"))
     stats = j.groupBy(*keys).agg(
@@ -182,7 +180,7 @@ def boxplot_stats(df: DataFrame, keys, value: str, strategy: str = "auto") -> Da
     return _join_on(q, stats, keys).orderBy(*keys)
 
 
-def boxplot_by_dimensions(df: DataFrame, dims: dict, value: str, strategy: str = "auto") -> DataFrame:
+def boxplot_by_dimensions(df: DataFrame, dims: dict, value: str) -> DataFrame:
     """Box-plot statistics for several groupings at once: every row is
     exploded into one (dimension, group_value) pair per grouping, so all of
     them come out of the same passes.  ``dims`` maps a name to a column
@@ -191,10 +189,10 @@ def boxplot_by_dimensions(df: DataFrame, dims: dict, value: str, strategy: str =
                       for n, c in dims.items()])
     long = (df.select(F.explode(pairs).alias("_d"), value)
               .select("_d.dimension", "_d.group_value", value).where(F.col("group_value").isNotNull()))
-    return boxplot_stats(long, ["dimension", "group_value"], value, strategy)
+    return boxplot_stats(long, ["dimension", "group_value"], value)
 
 
-def corr_by_count(df: DataFrame, x: str, y: str, strategy: str = "auto") -> DataFrame:
+def corr_by_count(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation of x and y plus mean / median of y per x.
 
     One pass over the input: the per-x statistics carry Σy and Σy², from
@@ -204,7 +202,7 @@ def corr_by_count(df: DataFrame, x: str, y: str, strategy: str = "auto") -> Data
     yv = F.col(y).cast("double")
     out = grouped_stats(df.where(F.col(x).isNotNull()), [x], y,
                         [F.count(y).alias("n"), exact_mean(y, 4).alias("mean_y"),
-                         F.sum(yv).alias("_sy"), F.sum(yv * yv).alias("_syy")], {"median_y": 0.5}, strategy)
+                         F.sum(yv).alias("_sy"), F.sum(yv * yv).alias("_syy")], {"median_y": 0.5})
     from paysift.session import materialize
     out = materialize(out)
     xv, n = F.col(x).cast("double"), F.col("n").cast("double")
@@ -223,15 +221,15 @@ def global_baseline(series: DataFrame, value: str, digits: int = 4) -> DataFrame
                          F.lit(hi).cast("double").alias("series_max"))
 
 
-def describe_columns(df: DataFrame, cols: Sequence[str], strategy: str = "auto") -> DataFrame:
+def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``describe`` of several columns in one pass: stacked to (column_name, value) first."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (column_name, value)"))
-    return describe_by(long, ["column_name"], "value", strategy)
+    return describe_by(long, ["column_name"], "value")
 
 
 def peer_percentile(df: DataFrame, keys: Sequence[str], value: str,
-                    min_samples: int = K.PEER_MIN_SAMPLES, strategy: str = "auto") -> DataFrame:
+                    min_samples: int = K.PEER_MIN_SAMPLES) -> DataFrame:
     """Every row's place inside its peer group: sample size, percent of peers
     strictly below (1 dp), median / p25 / p75 (0 dp), and ``enough`` (n ≥ min).
 

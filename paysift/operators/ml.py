@@ -21,14 +21,10 @@ def train_word2vec(sentences: DataFrame, col: str, params: dict | None = None):
     """Skip-gram word vectors (``pyspark.ml.feature.Word2Vec``) with the
     reference's dimension, window, minimum count, epochs and seed.
 
-    ``Word2Vec`` trains on one partition unless told otherwise; the training
-    sentences are spread over ``spark.sql.shuffle.partitions`` partitions so
-    the corpus never passes through a single task.
+    ``Word2Vec`` trains on one partition unless told otherwise; ``numPartitions``
+    is a fixed parameter, because the vectors depend on it.
     """
-    p = dict(K.W2V_PARAMS, **(params or {}))
-    if "numPartitions" not in p:
-        p["numPartitions"] = int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Word2Vec(inputCol=col, outputCol="_w2v", **p).fit(sentences)
+    return Word2Vec(inputCol=col, outputCol="_w2v", **dict(K.W2V_PARAMS, **(params or {}))).fit(sentences)
 
 
 def assembler(cols: Sequence[str], out: str = "features") -> VectorAssembler:

@@ -10,9 +10,7 @@ group) totals (at most partitions + groups rows) turns them into global ones.
 * ``running_below`` — per row of a (group, value, weight) table, the weight of
   strictly smaller values in the group, and the group total.
 * ``group_quantiles`` — exact linear-interpolated quantiles (pandas/DuckDB
-  ``quantile_cont`` semantics).  ``strategy="auto"`` uses the plain
-  ``percentile`` aggregate while the largest group is below a row bound and the
-  range-partitioned path beyond it.
+  ``quantile_cont`` semantics), by the same running weights at every size.
 """
 
 from __future__ import annotations
@@ -23,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
-AGGREGATE_MAX_GROUP_ROWS = 2_000_000
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -43,49 +40,44 @@ def _group_struct(keys: Sequence[str]) -> Column:
 
 def row_numbers(df: DataFrame, order_cols: Sequence[str], name: str = "row_num",
                 num_partitions: int | None = None, total_name: str | None = None) -> DataFrame:
-    """Consecutive 1-based numbers following ``order_cols`` (a non-null unique key).
+    """Consecutive 1-based numbers following ``order_cols`` (nulls first); every row
+    gets one, also rows with null or equal order values, which are numbered next to
+    each other.
 
-    Only the key columns are range-shuffled, numbered and checkpointed; the
-    numbers then meet the full rows in one equi-join on the key.  No
-    single-partition window; the per-partition count table has one row per
-    partition, so broadcasting it is bounded.
+    The rows are range-partitioned, sorted and written once with their place in
+    their partition; the partitions' offsets, one row each, are added to it.  No
+    single-partition window over the rows and no join on the order columns.
     """
     n = _partitions(df, num_partitions)
     order_cols = list(order_cols)
-    # written once, so the range partitioner's sampling job reads keys, not the upstream plan
-    keys = _materialize(df.select(*order_cols))
-    s = (keys.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-             .withColumn("_mid", F.monotonically_increasing_id()))
     # Range bounds come from a sample, so two evaluations of the exchange can
-    # cut the data differently; the positions are made once and checkpointed.
-    s = _materialize(s)
+    # cut the data differently; the places are made once and checkpointed.
+    s = _materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                       .withColumn("_mid", F.monotonically_increasing_id()))
     s = (s.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
           .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
-        "_pid",
+        F.col("_pid").alias("_opid"),
         F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_offset"),
         F.sum("_cnt").over(Window.partitionBy()).alias("_total"))
-    num = s.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_offset") + F.col("_pos") + 1)
-    num = num.drop("_mid", "_pid", "_pos", "_offset")
-    num = num.withColumnRenamed("_total", total_name) if total_name else num.drop("_total")
-    if set(df.columns) <= set(order_cols):
-        return num
-    return df.join(num, order_cols, "inner")
+    num = s.join(F.broadcast(offsets), s["_pid"] == offsets["_opid"]).withColumn(name, F.col("_offset") + F.col("_pos") + 1)
+    num = num.drop("_mid", "_pid", "_opid", "_pos", "_offset")
+    return num.withColumnRenamed("_total", total_name) if total_name else num.drop("_total")
 
 
 def running_below(d: DataFrame, group_col: str, order_col: str, weight_col: str,
-                  num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+                  num_partitions: int | None = None, is_written: bool = False) -> tuple[DataFrame, DataFrame]:
     """For a table with one row per (group, value): weight of smaller values in the group.
 
     Returns ``(rows, offsets)``: ``rows`` adds ``_pid, _below, _n``;
     ``offsets`` is (``_pid, group, _offset, _tot, _n``), at most partitions + groups rows.
     """
     n = _partitions(d, num_partitions)
-    # The range partitioner samples its input in a job of its own; the input
-    # is written once first so that sample does not recompute the upstream plan.
-    d = _materialize(d)
+    # The range partitioner samples its input in a job of its own; unless it
+    # is_written already, it is written once so that sample does not recompute the upstream plan.
+    d = d if is_written else _materialize(d)
     s = _materialize(d.repartitionByRange(n, group_col, order_col)
                       .withColumn("_pid", F.spark_partition_id()))
     wl = Window.partitionBy("_pid", group_col).orderBy(order_col)
@@ -104,58 +96,22 @@ def running_below(d: DataFrame, group_col: str, order_col: str, weight_col: str,
     return rows, offsets
 
 
-def max_group_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """Size of the largest group (one small aggregate action)."""
-    r = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(r or 0)
-
-
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Mapping[str, float], strategy: str = "auto",
-                    max_aggregate_rows: int = AGGREGATE_MAX_GROUP_ROWS,
-                    num_partitions: int | None = None) -> DataFrame:
+                    probs: Mapping[str, float]) -> DataFrame:
     """Exact quantiles of ``value`` per group: columns ``keys + list(probs)``.
 
-    Nulls are ignored; a group whose values are all null gets no row on the
-    range path and null quantiles on the aggregate path.
+    Nulls are ignored; a group whose values are all null has null quantiles.
     """
-    keys = list(keys)
-    if strategy == "auto":
-        strategy = ("aggregate" if max_group_rows(df.where(F.col(value).isNotNull()), keys)
-                    <= max_aggregate_rows else "sort")
-    if strategy == "aggregate":
-        return df.groupBy(*keys).agg(*[F.percentile(F.col(value).cast("double"), float(p)).alias(name)
-                                       for name, p in probs.items()])
-    if strategy != "sort":
-        raise ValueError(f"unknown strategy {strategy!r}")
-
-    base = df.where(F.col(value).isNotNull()).select(
-        _group_struct(keys).alias("_g"), F.col(value).cast("double").alias("_v"))
-    # duplicates collapse map-side: a hot value is one row with a count
-    d = base.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    rows, offsets = running_below(d, "_g", "_v", "_c", num_partitions)
-    wide = quantiles_from_running(rows, offsets, probs, max_aggregate_rows=None)
-    if keys:
-        return wide.select(*[F.col("_g")[k].alias(k) for k in keys], *probs.keys())
-    return wide.select(*probs.keys())
+    return grouped_stats(df, keys, value, [], probs)
 
 
-def quantiles_from_running(rows: DataFrame, offsets: DataFrame, probs: Mapping[str, float],
-                           max_aggregate_rows: int | None = AGGREGATE_MAX_GROUP_ROWS) -> DataFrame:
+def quantiles_from_running(rows: DataFrame, offsets: DataFrame, probs: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per ``_g`` from the output of
     ``running_below`` over a (``_g``, ``_v``, ``_c``) table: ``_g`` + one column per quantile.
 
-    The group sizes are already in the small offsets table.  While the largest
-    group fits the ``percentile`` buffer, a weighted ``percentile`` over the
-    distinct-value table does it in one aggregate; beyond that every target
-    rank is located in the partition that holds it through the offsets table,
-    then matched against the rows of that partition only.
+    Every target rank is located in the partition that holds it through the
+    small offsets table, then matched against the rows of that partition only.
     """
-    if max_aggregate_rows is not None:
-        biggest = offsets.agg(F.max("_n")).first()[0] or 0
-        if biggest <= max_aggregate_rows:
-            return rows.groupBy("_g").agg(*[F.percentile("_v", F.lit(float(p)), F.col("_c")).alias(name)
-                                            for name, p in probs.items()])
     groups = offsets.select("_g", "_n").dropDuplicates(["_g"])
     wanted = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p"))
                        for name, p in probs.items()])
@@ -185,23 +141,14 @@ def quantiles_from_running(rows: DataFrame, offsets: DataFrame, probs: Mapping[s
 
 
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                    n: int, name: str = "rank", salt_buckets: int | None = None) -> DataFrame:
+                    n: int, name: str = "rank") -> DataFrame:
     """Exactly the first ``n`` rows of every group under ``order`` (a total order).
 
-    A plain ``row_number() OVER (PARTITION BY keys)`` sorts a whole group in
-    one task.  Here rows are first ranked inside (group, salt) sub-groups, of
-    which only the first ``n`` survive, so the second, per-group ranking sees
-    at most ``n * salt_buckets`` rows of any group, however large it is.
+    One shuffle: Spark puts a group limit before the exchange, so each task
+    sends at most ``n`` rows of any group, however large the group is.
     """
-    keys = list(keys)
-    s = salt_buckets or _partitions(df, None)
-    # the row id keeps identical rows of a hot group apart; it is stable for a given input split
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id(),
-                                                      *[F.col(c) for c in df.columns]), F.lit(s)))
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    first = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n).drop("_r1", "_salt")
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    return first.withColumn(name, F.row_number().over(w2)).where(F.col(name) <= n)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
 def rank_below(df: DataFrame, keys: Sequence[str], value: str,
@@ -239,14 +186,6 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def resolve_strategy(df: DataFrame, keys: Sequence[str], value: str, strategy: str = "auto",
-                     max_aggregate_rows: int = AGGREGATE_MAX_GROUP_ROWS) -> str:
-    if strategy != "auto":
-        return strategy
-    big = max_group_rows(df.where(F.col(value).isNotNull()), list(keys))
-    return "aggregate" if big <= max_aggregate_rows else "sort"
-
-
 def value_profile(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column]):
     """One pass over the input: a grouping-sets aggregate returning, per group,
     the plain aggregates ``aggs`` and ``_c`` (non-null count), and per distinct
@@ -264,37 +203,22 @@ def value_profile(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence
     return base, d
 
 
-def quantiles_from_profile(base: DataFrame, d: DataFrame, keys: Sequence[str], probs: Mapping[str, float],
-                           strategy: str = "auto", max_aggregate_rows: int = AGGREGATE_MAX_GROUP_ROWS) -> DataFrame:
-    """Exact quantiles per group from ``value_profile`` output: a weighted
-    ``percentile`` over the distinct values while the largest group fits its
-    buffer, else the range-sorted running count (a hot group spread over many
-    tasks).  The group sizes are read from ``base``; no pass over the input."""
+def quantiles_from_profile(d: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles per group from the distinct values of ``value_profile``, by
+    the range-sorted running count: a hot group is spread over many tasks, and no
+    pass over the input is needed."""
     keys = list(keys)
-    if strategy == "auto":
-        biggest = base.agg(F.max("_c")).first()[0] or 0
-        strategy = "aggregate" if biggest <= max_aggregate_rows else "sort"
-    if strategy == "aggregate":
-        return d.groupBy(*keys).agg(*[F.percentile("_v", F.lit(float(p)), F.col("_c")).alias(n)
-                                      for n, p in probs.items()])
-    if strategy != "sort":
-        raise ValueError(f"unknown strategy {strategy!r}")
-    rows, offsets = running_below(d.select(_group_struct(keys).alias("_g"), "_v", "_c"), "_g", "_v", "_c")
-    q = quantiles_from_running(rows, offsets, probs, max_aggregate_rows=None)
+    rows, offsets = running_below(d.select(_group_struct(keys).alias("_g"), "_v", "_c"), "_g", "_v", "_c", is_written=True)
+    q = quantiles_from_running(rows, offsets, probs)
     return q.select(*[F.col("_g")[k].alias(k) for k in keys], *probs.keys())
 
 
 def grouped_stats(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column],
-                  probs: Mapping[str, float], strategy: str = "auto",
-                  max_aggregate_rows: int = AGGREGATE_MAX_GROUP_ROWS) -> DataFrame:
+                  probs: Mapping[str, float]) -> DataFrame:
     """Plain aggregates plus exact quantiles per group, from one pass over the input
-    (``value_profile``), with the quantile method chosen from the group sizes
-    found in that same pass (``quantiles_from_profile``)."""
+    (``value_profile``)."""
     keys = list(keys)
     if not keys:  # the global case is the one-group case
-        out = grouped_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, aggs, probs, strategy,
-                            max_aggregate_rows)
-        return out.drop("_all")
+        return grouped_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, aggs, probs).drop("_all")
     base, d = value_profile(df, keys, value, aggs)
-    q = quantiles_from_profile(base, d, keys, probs, strategy, max_aggregate_rows)
-    return join_on_keys(base.drop("_c"), q, keys)
+    return join_on_keys(base.drop("_c"), quantiles_from_profile(d, keys, probs), keys)

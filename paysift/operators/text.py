@@ -59,15 +59,13 @@ def vocab_match(requests: DataFrame, keys: Sequence[str], vocab: DataFrame) -> D
 
     ``requests`` is long form (``keys, pos, token``); the result adds ``hit``
     (null when unmatched) and ``note`` (``tok→hit`` when they differ).  Four
-    equi-joins against the vocabulary replace the per-token dictionary probes:
-    the (checkpointed) vocabulary is broadcast when a row count shows it is
-    small, and the lookups are sort-merge joins beyond that.  (A single
+    equi-joins against the vocabulary replace the per-token dictionary probes;
+    adaptive execution broadcasts the vocabulary where its bytes are few enough.  (A single
     join against a union of the four forms was measured slower: it always
     needs a further shuffle to pick the best form per token.)
     """
-    from paysift.operators.joins import sized_broadcast
     keys = list(keys)
-    v = sized_broadcast(vocab.select("word", "freq"))
+    v = vocab.select("word", "freq")
     low = (vocab.select("word", "freq").withColumn("_l", F.lower("word"))
             .groupBy("_l").agg(F.max_by("word", F.struct((-F.col("freq")).alias("f"), F.col("word").alias("w")))
                                .alias("_lw")))
@@ -79,7 +77,7 @@ def vocab_match(requests: DataFrame, keys: Sequence[str], vocab: DataFrame) -> D
     for i in (1, 2, 3):
         wi = w.select(F.col("_w").alias(f"_h{i}"))
         r = r.join(wi, r[f"_c{i}"] == wi[f"_h{i}"], "left")
-    r = r.join(sized_broadcast(low), r["_c4"] == low["_l"], "left")
+    r = r.join(low, r["_c4"] == low["_l"], "left")
     hit = F.coalesce("_h1", "_h2", "_h3", "_lw")
     out = r.select(*keys, "pos", "token", hit.alias("hit"))
     return out.withColumn("note", F.when(F.col("hit").isNull(), F.lit(None))

@@ -14,20 +14,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
-from paysift.functions.expr import year_month
+from paysift.functions.expr import exact_mean, year_month
 
 
 def monthly_series(df: DataFrame, keys: Sequence[str], date_col: str, value: str) -> DataFrame:
     """``keys, month, value, count`` — the mean of ``value`` per series and month.
 
-    The mean is taken over whole cents (an exact integer sum, so it does not
-    depend on summation order) and rounded half-even to a whole cent.
+    The mean comes from an exact sum, so it does not depend on summation order, and
+    is rounded half-even to a whole cent.
     """
-    cents = F.sum(F.round(F.col(value) * 100).cast("long"))
     n = F.count(value)
     return (df.where(F.col(date_col).isNotNull())
               .groupBy(*keys, year_month(date_col).alias("month"))
-              .agg((F.bround(cents / n, 0) / 100).alias("value"), n.alias("count")))
+              .agg(exact_mean(value, 2).alias("value"), n.alias("count")))
 
 
 def _w(keys: Sequence[str]) -> Window:

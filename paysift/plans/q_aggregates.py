@@ -128,7 +128,7 @@ def agg_describe(spark, sf):
   SELECT strftime(posting_date, '%Y-%m') AS month, {exact_mean('salary_usd')} AS mean_salary
   FROM cleaned WHERE posting_date IS NOT NULL GROUP BY 1)
 SELECT month, round(mean_salary, 4) AS mean_salary,
-  round_even(sum(CAST(round(mean_salary * 10000) AS BIGINT)) OVER () / count(mean_salary) OVER (), 0) / 10000 AS baseline_mean,
+  round_even(avg(mean_salary) OVER (), 4) AS baseline_mean,
   round(min(mean_salary) OVER (), 4) AS series_min, round(max(mean_salary) OVER (), 4) AS series_max
 FROM m"""))
 def agg_global_baseline(spark, sf):

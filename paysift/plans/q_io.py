@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paysift.functions.expr import exact_mean, exact_mean_whole
 from paysift.functions.sampling import hash_bucket
 from paysift.operators import aggregates as A
 from paysift.operators import timeseries as T
@@ -111,7 +112,7 @@ SELECT industry, round_even(sum(CAST(round(salary_usd * 100) AS BIGINT)) / count
 FROM cleaned GROUP BY industry"""))
 def sink_csv_mart(spark, sf):
     path = shared_dir(spark, "industry_csv")
-    IO.write_csv(A.industry_mean(cleaned(spark, sf)).coalesce(1), path)
+    IO.write_csv(A.industry_mean(cleaned(spark, sf)), path)
     return IO.read_csv(spark, path, "industry string, avg_salary double, job_count long")
 
 
@@ -197,13 +198,13 @@ def _dashboard(spark, sf):
     sets = c.groupingSets([["country"], ["job_category"], ["industry"], ["month"]],
                           "country", "job_category", "industry", "month").agg(
         F.count("salary_usd").alias("n"),
-        F.sum(F.round(F.col("salary_usd") * 100).cast("long")).alias("cents"),
+        exact_mean("salary_usd", 2).alias("mean"), exact_mean_whole("salary_usd").alias("whole"),
         F.grouping_id().alias("gid"))
     g = materialize(sets)
     gid = {"country": 7, "job_category": 11, "industry": 13, "month": 14}
     s = (g.where((F.col("gid") == gid["month"]) & F.col("month").isNotNull())
           .select(F.col("month").alias("_k"), "month",
-                  (F.bround(F.col("cents") / F.col("n"), 0) / 100).alias("value"), F.col("n").alias("count"))
+                  F.col("mean").alias("value"), F.col("n").alias("count"))
           .withColumn("_all", F.when(F.col("_k").isNotNull(), F.lit("all"))).drop("_k"))
     tests, fc = T.ar1_forecast(s, ["_all"])
     hist = s.select(F.struct("month", F.bround("value", 0).cast("long").alias("salary")).alias("x"))
@@ -211,7 +212,7 @@ def _dashboard(spark, sf):
 
     def block(key):
         return g.where(F.col("gid") == gid[key]).select(
-            F.struct(key, F.bround(F.col("cents") / F.col("n") / 100, 0).cast("long").alias("avg_salary"),
+            F.struct(key, F.col("whole").cast("long").alias("avg_salary"),
                      F.col("n").alias("job_count")).alias("x"))
 
     # every block has one row per month / country / category: the lists grow

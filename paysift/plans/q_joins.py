@@ -9,7 +9,6 @@ from paysift.functions.expr import lookup, title_case
 from paysift.functions.sampling import hash_split
 from paysift.operators import rules as R
 from paysift.operators import text as TX
-from paysift.operators.joins import sized_broadcast
 from paysift.operators.ranking import grouped_stats, top_n_per_group
 from paysift.plans.common import round_doubles, sql_case
 from paysift.plans.marts import cleaned
@@ -178,7 +177,7 @@ def benchmark_gap(spark, sf):
     c = cleaned(spark, sf).select("job_id", "country", "salary_usd")
     # one row per country from a single pass; broadcast behind a row-count check
     bm = grouped_stats(c, ["country"], "salary_usd", [F.count("salary_usd").alias("_n")], {"benchmark": 0.5})
-    j = c.join(sized_broadcast(materialize(bm.drop("_n"))), "country", "left")
+    j = c.join(materialize(bm.drop("_n")), "country", "left")
     b = F.coalesce(F.col("benchmark"), F.lit(float(K.BENCHMARK_DEFAULT)))
     gap = F.col("salary_usd") - b
     return round_doubles(j.select("job_id", "country", "salary_usd", b.alias("benchmark"), gap.alias("gap"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from paysift.functions import constants as K
 from paysift.functions import expr as X
 from paysift.operators import rules as R
-from paysift.operators.joins import sized_broadcast
 from paysift.operators.ranking import grouped_stats
 from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles, sql_case
@@ -37,7 +36,7 @@ def scalar_string(spark, sf):
         F.concat("industry", F.lit(" / "), "country").alias("joined"),
         F.lpad(F.col("job_id").cast("string"), 8, "0").alias("padded"),
         F.col("job_title").startswith("PROMO").alias("is_promo"),
-        F.substring("country", 8, 1 << 20).alias("country_suffix"),
+        F.substr("country", F.lit(8)).alias("country_suffix"),
         X.title_case("company_location").alias("title"),
         X.contains_any(F.lower("job_title"), ["ring", "bolt"]).alias("ring_or_bolt"),
         X.truncate_text("required_skills", 80).alias("short_skills"))
@@ -122,7 +121,7 @@ SELECT event_id, CAST(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT
 FROM events""")
 def scalar_json(spark, sf):
     e = table(spark, sf, "events")
-    broken = F.substring("props", 2, 1 << 20)
+    broken = F.substr("props", F.lit(2))
     return e.select("event_id", X.json_get("props", "$.k", -1, "int").alias("k"),
                     X.json_get(broken, "$.k", -1, "int").alias("k_broken"),
                     F.to_json(F.struct("user_id", "event_type")).alias("params"))
@@ -138,7 +137,7 @@ def scalar_conditional(spark, sf):
     return c.select("job_id", X.lookup("experience_level", K.EXPERIENCE_CODE, 1).cast("int").alias("exp_code"),
                     F.when(F.col("salary_usd") > 300000, "high").when(F.col("salary_usd") < 100000, "low")
                      .otherwise("mid").alias("band"),
-                    X.safe_number(F.substring("company_name", 10, 1 << 20), "int").alias("customer_no"),
+                    X.safe_number(F.substr("company_name", F.lit(10)), "int").alias("customer_no"),
                     X.safe_number("job_title", "int").alias("title_no"))
 
 
@@ -192,7 +191,6 @@ def advise_rules(spark, sf):
     # one row per country, read twice (join and top-k): computed once
     bm = materialize(grouped_stats(c, ["country"], "salary_usd", [F.count("salary_usd").alias("_n")],
                                    {"benchmark": 0.5}).drop("_n"))
-    bm = sized_broadcast(bm)  # one row per country, broadcast behind a row-count check
     # the high-value list is a top-k of at most K rows: a bounded broadcast
     hv = F.broadcast(bm.orderBy(F.desc("benchmark"), "country").limit(K.HIGH_VALUE_COUNTRY_COUNT).select("country"))
     prof = c.select("job_id", "experience_level", "country", "industry",

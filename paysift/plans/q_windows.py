@@ -214,13 +214,7 @@ def ts_band(spark, sf):
     return round_doubles(out.select(*KEYS, "month", "type", "predicted", "upper_bound", "lower_bound", "band_height"))
 
 
-@register("ts_chart_series", _sql(""", anchor AS (
-  SELECT country, max(month) FILTER (WHERE type = 'historical') AS anchor FROM ftable GROUP BY country)
-SELECT country, month, type,
-  round(CASE WHEN type <> 'forecast' THEN actual END, 4) AS hist_actual,
-  round(CASE WHEN type = 'test_pred' THEN predicted END, 4) AS test_pred,
-  round(CASE WHEN month = anchor THEN actual WHEN type = 'forecast' THEN predicted END, 4) AS forecast_line
-FROM ftable LEFT JOIN anchor USING (country)""".lstrip(", ").join(["", ""]) if False else """
+@register("ts_chart_series", _sql("""
 SELECT f.country, f.month, f.type,
   round(CASE WHEN f.type <> 'forecast' THEN f.actual END, 4) AS hist_actual,
   round(CASE WHEN f.type = 'test_pred' THEN f.predicted END, 4) AS test_pred,
@@ -268,10 +262,10 @@ SELECT vec_id, dim, round(CAST(v AS DOUBLE), 4) AS value, rank FROM (
   FROM (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, unnest(embedding) AS v FROM embeddings))
 WHERE rank <= 8""")
 def topk_abs_per_row(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "v"))
-    e = e.select("vec_id", "dim", F.col("v").cast("double").alias("value"))
-    out = top_n_per_group(e, ["vec_id"], [F.desc(F.abs("value")), F.asc("dim")], 8)
-    return round_doubles(out.withColumn("rank", F.col("rank").cast("long")))
+    # local to the row: the eight largest by absolute value, ties by place
+    pairs = F.transform("embedding", lambda v, i: F.struct((-F.abs(v)).alias("k"), i.alias("dim"), v.cast("double").alias("value")))
+    top = table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice(F.array_sort(pairs), 1, 8)).alias("rank", "x"))
+    return round_doubles(top.select("vec_id", "x.dim", "x.value", (F.col("rank") + 1).cast("long").alias("rank")))
 
 
 @register("latest_n_per_user", """

@@ -102,12 +102,9 @@ def with_main(rest: str) -> str:
 
 
 def exact_mean(x: str, digits: int = 4) -> str:
-    """DuckDB twin of ``functions.expr.exact_mean``."""
-    s = 10 ** digits
-    return f"(round_even(sum(CAST(round({x} * {s}) AS BIGINT)) / count({x}), 0) / {s})"
+    """The mean by its definition, rounded once."""
+    return f"round_even(avg({x}), {digits})"
 
 
-def exact_mean_whole(x: str, unit_digits: int = 2) -> str:
-    """DuckDB twin of ``functions.expr.exact_mean_whole``."""
-    s = 10 ** unit_digits
-    return f"round_even(sum(CAST(round({x} * {s}) AS BIGINT)) / count({x}) / {s}, 0)"
+def exact_mean_whole(x: str) -> str:
+    return exact_mean(x, 0)

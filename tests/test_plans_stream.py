@@ -51,13 +51,15 @@ def test_streaming_daily_rollup(spark, tmp_path):
     assert monthly_from_partials(parts).count() >= 1
 
 
-def test_sized_broadcast_respects_the_bound(spark):
-    from paysift.operators.joins import sized_broadcast
-    small = spark.range(10)
-    big = spark.range(100)
-    plan = lambda d: big.join(d, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan(sized_broadcast(small, max_rows=50))
-    assert "strategy=broadcast" not in plan(sized_broadcast(big.withColumnRenamed("id", "id"), max_rows=50))
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_local_and_plain_top_n_shuffle_as_little_as_they_must(spark):
+    from paysift.plans.catalog import QUERIES
+    assert exchanges(QUERIES["topk_abs_per_row"](spark, SMALL)) == 0
+    assert exchanges(QUERIES["latest_n_per_user"](spark, SMALL)) == 1
+    assert exchanges(QUERIES["last_n_history"](spark, SMALL)) == 1
 
 
 def test_checkpoint_dir_is_read_from_the_session(spark):
