@@ -167,12 +167,12 @@ def feature_display(col: ColumnOrName) -> Column:
     """Raw feature name -> label: fixed names first, then the prefix rules."""
     from paysift.functions import constants as K
     c = _c(col)
-    return (F.when(lookup(c, K.FEATURE_DISPLAY).isNotNull(), lookup(c, K.FEATURE_DISPLAY))
-             .when(c.startswith("ctry_"), F.concat(F.lit("Country: "), title_case(F.substr(c, F.lit(6)))))
-             .when(c.startswith("ind_"), F.concat(F.lit("Industry: "), F.substr(c, F.lit(5))))
-             .when(c.startswith("emp_"), F.concat(F.lit("EmpType: "), F.substr(c, F.lit(5))))
-             .when(c.startswith("skill_emb_"), F.concat(F.lit("SkillVec["), F.substr(c, F.lit(11)), F.lit("]")))
-             .otherwise(c))
+    out = F.when(lookup(c, K.FEATURE_DISPLAY).isNotNull(), lookup(c, K.FEATURE_DISPLAY))
+    for prefix, before, after in K.FEATURE_PREFIX_DISPLAY:
+        rest = F.substr(c, F.lit(len(prefix) + 1))
+        rest = title_case(rest) if prefix == "ctry_" else rest
+        out = out.when(c.startswith(prefix), F.concat(F.lit(before), rest, F.lit(after)))
+    return out.otherwise(c)
 
 
 # --------------------------------------------------------- order-free means

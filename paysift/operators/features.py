@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
-from paysift.functions.expr import days_between_clipped, lookup, zeros
+from paysift.functions.expr import days_between_clipped, lookup
 
 
 def log_target(df: DataFrame, col: str = "salary_usd", name: str = "log_salary") -> DataFrame:
@@ -67,6 +67,25 @@ def onehot(df: DataFrame, col: str, prefix: str, levels: Sequence[str] | None =
     return df.select(*rest, *cols)
 
 
+def onehot_long(df: DataFrame, keys: Sequence[str], prefixes: dict[str, str]) -> DataFrame:
+    """The ones of the one-hot blocks as rows ``keys, feature, value``: as many rows a record as
+    it has non-null columns, however many levels there are, and no level reaches the driver."""
+    pairs = F.array(*[F.concat(F.lit(p), F.col(c).cast("string")) for c, p in prefixes.items()])
+    return (df.select(*keys, F.explode(pairs).alias("feature")).where(F.col("feature").isNotNull())
+              .select(*keys, "feature", F.lit(1).cast("long").alias("value")))
+
+
+def request_defaults(df: DataFrame, as_of: str = K.SCORE_AS_OF) -> DataFrame:
+    """Missing model inputs as the serving layer fills them: its numbers, the middle level, the
+    first degree, the middle size, and dates of a posting made on ``as_of``."""
+    year, month = int(as_of[:4]), int(as_of[5:7])
+    fill = {c: v for c, v in K.SCORE_DEFAULTS.items() if c in K.BASE_NUMERIC_FEATURES}
+    fill |= {"exp_level_encoded": K.EXPERIENCE_DEFAULT, "edu_level_encoded": K.EDUCATION_DEFAULT, "size_encoded": K.SIZE_DEFAULT,
+             "post_year": year, "post_month": month, "post_quarter": (month - 1) // 3 + 1,
+             "deadline_year": year + month // 12, "deadline_month": month % 12 + 1}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items() if c in df.columns})
+
+
 def encode(clean: DataFrame, levels: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """The encoded feature table: target, codes, dates, counts and one-hot blocks."""
     df = skill_counts(date_parts(ordinal_codes(log_target(clean))))
@@ -82,18 +101,13 @@ def pool_vectors(tokens: DataFrame, keys: Sequence[str], vectors: DataFrame, dim
     """Element-wise mean (or max) of the vectors of each row's in-vocabulary
     tokens; rows without a hit get zeros.  ``keys`` identify the rows.
 
-    Tokens meet vectors in an equi-join; every vector is exploded to
-    (dimension, value) and reduced with a partial aggregate per (row, dim),
-    so a row with very many tokens is combined map-side, never in one task.
+    Tokens meet vectors in an equi-join and each vector stays one row: the elements
+    are ``dim`` aggregates of it, combined map-side, so a row with very many tokens
+    sends one row a task.
     """
     keys = list(keys)
     v = vectors.select(F.col(word_col).alias("_w"), F.col(vector_col).alias("_vec"))
-    hits = tokens.join(v, F.col(token_col) == F.col("_w"))
-    long = hits.select(*keys, F.posexplode("_vec").alias("_d", "_x"))
-    agg = F.avg("_x") if how == "mean" else F.max("_x")
-    per_dim = long.groupBy(*keys, "_d").agg(agg.cast("double").alias("_v"))
-    arr = per_dim.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_d", "_v"))), lambda s: s["_v"]).alias("_pooled"))
-    base = tokens.select(*keys).distinct()
-    out = base.join(arr, keys, "left")
-    return out.select(*keys, F.coalesce("_pooled", zeros(dim)).alias("pooled"))
+    hits = tokens.join(v, F.col(token_col) == F.col("_w"), "left")
+    agg = F.avg if how == "mean" else F.max
+    pooled = hits.groupBy(*keys).agg(*[agg(F.get("_vec", F.lit(i)).cast("double")).alias(f"_{i}") for i in range(dim)])
+    return pooled.select(*keys, F.array(*[F.coalesce(f"_{i}", F.lit(0.0)) for i in range(dim)]).alias("pooled"))

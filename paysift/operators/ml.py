@@ -11,10 +11,11 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler, Word2Vec
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
+from paysift.operators.features import request_defaults
 
 
 def train_word2vec(sentences: DataFrame, col: str, params: dict | None = None):
@@ -92,7 +93,7 @@ def linear_contributions(df: DataFrame, keys: Sequence[str], feature_cols: Seque
     keys = list(keys)
     cols = list(feature_cols)
     train = train if train is not None else df
-    filled = lambda d: d.fillna(0.0, subset=cols)
+    filled = lambda d: request_defaults(d).fillna(0.0, subset=cols)
     asm = VectorAssembler(inputCols=cols, outputCol="_x", handleInvalid="keep")
     lr = LinearRegression(featuresCol="_x", labelCol=label, regParam=0.0, standardization=False,
                           solver="normal")
@@ -134,11 +135,17 @@ def score(model, requests: DataFrame, keys: Sequence[str], pred_col: str = "pred
     return p.select(*keys, F.col(pred_col).alias("log_pred"), *interval(F.exp(pred_col)))
 
 
-def top_importances(model, names: Sequence[str], k: int = 20) -> DataFrame:
-    """Feature importances of a tree model with names (driver-side list of
-    one number per feature — a fitted parameter, not data)."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+def gain_importances(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
+    """Feature importances of a tree model with names: one number per feature, all of
+    them (a fitted parameter, not data)."""
     imp = model.featureImportances.toArray().tolist()
-    rows = sorted(zip(names, imp), key=lambda t: (-t[1], t[0]))[:k]
-    return spark.createDataFrame([(n, float(v)) for n, v in rows], "feature string, importance double")
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double")
+
+
+def top_contributions(wide: DataFrame, keys: Sequence[str], features: Sequence[str], k: int = K.TOP_CONTRIBUTIONS) -> DataFrame:
+    """Each row's ``k`` largest contributions by absolute value (ties by name), with
+    rank, base and prediction; local to the row."""
+    pairs = F.array(*[F.struct((-F.abs(F.col(contribution_col(f)))).alias("k"), F.lit(f).alias("feature"),
+                               F.col(contribution_col(f)).alias("contribution")) for f in features])
+    top = wide.select(*keys, "base", "prediction", F.posexplode(F.slice(F.array_sort(pairs), 1, k)).alias("rank", "x"))
+    return top.select(*keys, (F.col("rank") + 1).cast("long").alias("rank"), "x.feature", "x.contribution", "base", "prediction")

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
 from paysift.functions.expr import feature_display
-from paysift.functions.sampling import hash_bucket, hash_split
+from paysift.functions.sampling import hash_split
 from paysift.operators import features as FE
 from paysift.operators import ml as M
 from paysift.operators.columns import vector_to_columns
+from paysift.operators.ranking import grouped_stats
 from paysift.plans.common import round_doubles
 from paysift.plans.marts import cleaned
 from paysift.plans.registry import register
@@ -24,53 +25,40 @@ from paysift.plans.sql import hash_bucket as sql_hash, with_base
 from paysift.session import materialize, shared_dir
 from paysift.sources.tables import table
 
-_CACHE: dict = {}
-
-
+# Nothing fitted is kept between queries: each one fits on the tables that it is given.
 def _encoded(spark, sf):
     c = cleaned(spark, sf)
     return FE.encode(c).withColumn("part", hash_split(F.col("job_id")))
 
 
+def _tokens_column():
+    return F.filter(F.transform("skills_array", lambda x: F.trim(x)), lambda x: x != "")
+
+
 def _skill_tokens(enc):
     """(job_id, token) for the non-blank skills of every posting."""
-    return enc.select("job_id", F.explode(F.filter(F.transform("skills_array", lambda x: F.trim(x)),
-                                                   lambda x: x != "")).alias("token"))
+    return enc.select("job_id", F.explode(_tokens_column()).alias("token"))
 
 
-def _w2v(spark, sf):
-    key = ("w2v", sf, spark.sparkContext.applicationId)
-    if key not in _CACHE:
-        enc = _encoded(spark, sf)
-        sent = enc.where("part = 'train'").select(
-            F.filter(F.transform("skills_array", lambda x: F.trim(x)), lambda x: x != "").alias("tokens"))
-        _CACHE[key] = M.train_word2vec(sent, "tokens")
-    return _CACHE[key]
+def _w2v(enc):
+    return M.train_word2vec(enc.where("part = 'train'").select(_tokens_column().alias("tokens")), "tokens")
 
 
 def model_table(spark, sf):
-    """Encoded postings + pooled (mean) skill vectors as ``skill_emb_0..99``; feature list."""
-    enc = _encoded(spark, sf)
-    w2v = _w2v(spark, sf)
-    vecs = w2v.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    """Encoded postings, missing inputs filled as the serving layer does, + pooled (mean)
+    skill vectors as ``skill_emb_0..99``; feature list.  Written once: fit and scoring read it."""
+    enc = materialize(_encoded(spark, sf))
+    vecs = _w2v(enc).getVectors().select("word", vector_to_array("vector").alias("vector"))
     pooled = FE.pool_vectors(_skill_tokens(enc), ["job_id"], vecs, K.EMBEDDING_DIM)
     wide = vector_to_columns(pooled, "pooled", K.EMBEDDING_PREFIX, K.EMBEDDING_DIM)
-    t = enc.join(wide, "job_id", "left").fillna(0.0, subset=[f"{K.EMBEDDING_PREFIX}{i}" for i in range(K.EMBEDDING_DIM)])
-    # Spark trees take no NaN: a missing code or date part becomes the sentinel
-    # -1, a value the trees can split off just as a missing-value branch would.
-    t = t.fillna(-1, subset=K.BASE_NUMERIC_FEATURES)
+    embedded = [f"{K.EMBEDDING_PREFIX}{i}" for i in range(K.EMBEDDING_DIM)]
+    t = FE.request_defaults(enc.join(wide, "job_id", "left").fillna(0.0, subset=embedded))
     onehots = [c for c in t.columns if any(c.startswith(p) for p in K.ONEHOT_PREFIXES.values())]
-    feats = K.BASE_NUMERIC_FEATURES + sorted(onehots) + [f"{K.EMBEDDING_PREFIX}{i}" for i in range(K.EMBEDDING_DIM)]
-    return t, feats
+    return materialize(t), K.BASE_NUMERIC_FEATURES + sorted(onehots) + embedded
 
 
-def _gbt_model(spark, sf):
-    key = ("gbt", sf, spark.sparkContext.applicationId)
-    if key not in _CACHE:
-        t, feats = model_table(spark, sf)
-        pipe = Pipeline(stages=[M.assembler(feats), M.gbt()])
-        _CACHE[key] = (pipe.fit(t.where("part = 'train'")), feats)
-    return _CACHE[key]
+def _gbt_model(t, feats):
+    return Pipeline(stages=[M.assembler(feats), M.gbt()]).fit(t.where("part = 'train'"))
 
 
 # ---- features ---------------------------------------------------------------
@@ -110,23 +98,46 @@ def feat_skill_count(spark, sf):
 
 
 @register("feat_onehot", with_base("""
-SELECT * FROM (PIVOT (SELECT job_id, 'ind_' || industry AS f FROM cleaned) ON f USING count(*) GROUP BY job_id)
-JOIN (PIVOT (SELECT job_id, 'emp_' || employment_type AS f FROM cleaned) ON f USING count(*) GROUP BY job_id) USING (job_id)
-JOIN (PIVOT (SELECT job_id, 'ctry_' || country AS f FROM cleaned) ON f USING count(*) GROUP BY job_id) USING (job_id)"""))
+SELECT job_id, 'ind_' || industry AS feature, CAST(1 AS BIGINT) AS value FROM cleaned WHERE industry IS NOT NULL
+UNION ALL SELECT job_id, 'emp_' || employment_type, 1 FROM cleaned WHERE employment_type IS NOT NULL
+UNION ALL SELECT job_id, 'ctry_' || country, 1 FROM cleaned WHERE country IS NOT NULL"""))
 def feat_onehot(spark, sf):
-    c = cleaned(spark, sf).select("job_id", *K.ONEHOT_PREFIXES)
-    levels = FE.fit_levels_many(c, list(K.ONEHOT_PREFIXES))  # one pass for all three columns
-    for col, prefix in K.ONEHOT_PREFIXES.items():
-        c = FE.onehot(c, col, prefix, levels[col])
-    return c
-
-
-@register("feat_assemble")
+    return FE.onehot_long(cleaned(spark, sf), ["job_id"], K.ONEHOT_PREFIXES)
+
+
+def _filled_sql() -> str:
+    """The base numeric features with the serving layer's defaults, as a CTE ``filled``."""
+    d, (year, month) = K.SCORE_DEFAULTS, (int(x) for x in K.SCORE_AS_OF.split("-")[:2])
+    code = lambda col, m, default: (f"coalesce(CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in m.items()) + f" END, {default})")
+    exprs = {
+        "remote_ratio": f"coalesce(remote_ratio, {d['remote_ratio']})", "years_experience": f"coalesce(years_experience, {d['years_experience']})",
+        "job_description_length": f"coalesce(job_description_length, {d['job_description_length']})",
+        "benefits_score": f"coalesce(benefits_score, {d['benefits_score']})",
+        "exp_level_encoded": code("experience_level", K.EXPERIENCE_CODE, K.EXPERIENCE_DEFAULT),
+        "edu_level_encoded": code("education_required", K.EDUCATION_CODE, K.EDUCATION_DEFAULT),
+        "size_encoded": code("company_size", K.SIZE_CODE, K.SIZE_DEFAULT),
+        "post_year": f"coalesce(year(posting_date), {year})", "post_month": f"coalesce(month(posting_date), {month})",
+        "post_quarter": f"coalesce(quarter(posting_date), {(month - 1) // 3 + 1})",
+        "deadline_year": f"coalesce(year(application_deadline), {year + month // 12})",
+        "deadline_month": f"coalesce(month(application_deadline), {month % 12 + 1})",
+        "days_to_deadline": "CASE WHEN application_deadline IS NULL OR posting_date IS NULL THEN "
+                            f"{d['days_to_deadline']} ELSE greatest(date_diff('day', posting_date, application_deadline), 0) END",
+        "skill_count": f"coalesce(len(skills_array), {d['skill_count']})"}
+    cols = ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in exprs.items())
+    return (f"filled AS (SELECT job_id, experience_level AS level, ln(salary_usd) AS y, "
+            f"CASE WHEN {sql_hash('job_id', 10)} < 8 THEN 'train' ELSE 'test' END AS part, {cols} FROM cleaned)")
+
+
+FILLED = _filled_sql()
+
+
+@register("feat_assemble", with_base(f", {FILLED} SELECT job_id, "
+                                     + ", ".join(f"round({c}, 4) AS {c}" for c in K.BASE_NUMERIC_FEATURES) + " FROM filled"))
 def feat_assemble(spark, sf):
-    t, feats = model_table(spark, sf)
-    v = M.assembler(feats).transform(t)
-    return v.select("job_id", F.size(vector_to_array("features")).alias("n_features"),
-                    vector_to_array("features").alias("features"))
+    """The base features in the model's order, missing ones filled, through the assembled vector."""
+    t = FE.request_defaults(FE.skill_counts(FE.date_parts(FE.ordinal_codes(cleaned(spark, sf)))))
+    v = M.assembler(K.BASE_NUMERIC_FEATURES).transform(t).select("job_id", vector_to_array("features").alias("f"))
+    return round_doubles(v.select("job_id", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(K.BASE_NUMERIC_FEATURES)]))
 
 
 @register("split_random", with_base(f"""
@@ -147,11 +158,22 @@ def w2v_vocab(spark, sf):
 
 @register("w2v_train")
 def w2v_train(spark, sf):
-    v = _w2v(spark, sf).getVectors()
+    v = _w2v(_encoded(spark, sf)).getVectors()
     return v.select("word", F.size(vector_to_array("vector")).alias("dim"),
                     vector_to_array("vector").alias("vector"))
 
 
+@register("w2v_check", with_base(f"""
+SELECT word, CAST({K.EMBEDDING_DIM} AS INTEGER) AS dim, TRUE AS has_direction FROM (
+  SELECT trim(unnest(skills_array)) AS word FROM cleaned WHERE {sql_hash('job_id', 10)} < 8)
+WHERE word <> '' GROUP BY word HAVING count(*) >= {K.W2V_PARAMS['minCount']}"""))
+def w2v_check(spark, sf):
+    """The fitted vocabulary, and that each word has a finite vector of the asked size."""
+    v = w2v_train(spark, sf)
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return v.select("word", "dim", ((norm > 0) & ~F.isnan(norm)).alias("has_direction"))
+
+
 _POOL_SQL = """
 SELECT label, dim, round({agg}(CAST(x AS DOUBLE)), 4) AS value FROM (
   SELECT label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x FROM embeddings)
@@ -179,39 +201,38 @@ def pool_max(spark, sf):
 
 
 # ---- models -------------------------------------------------------------------
+TEST_ROWS = f"SELECT count(*) FROM cleaned WHERE {sql_hash('job_id', 10)} >= 8"
+
+
 @register("gbt_train")
 def gbt_train(spark, sf):
-    model, _ = _gbt_model(spark, sf)
-    t, _ = model_table(spark, sf)
-    return round_doubles(M.regression_metrics(model.transform(t.where("part = 'test'")), "log_salary"))
+    t, feats = model_table(spark, sf)
+    return round_doubles(M.regression_metrics(_gbt_model(t, feats).transform(t.where("part = 'test'")), "log_salary"))
+
+
+@register("gbt_check", with_base(f"SELECT ({TEST_ROWS}) AS n, TRUE AS learns"))
+def gbt_check(spark, sf):
+    """The same trees on a planted signal of level and years: they must explain nine tenths of it on held-out rows."""
+    t = FE.request_defaults(FE.ordinal_codes(cleaned(spark, sf)).withColumn("part", hash_split(F.col("job_id"))))
+    t = materialize(t.withColumn("planted", 0.4 * F.col("exp_level_encoded") + 0.03 * F.col("years_experience")))
+    pipe = Pipeline(stages=[M.assembler(["exp_level_encoded", "years_experience", "benefits_score", "size_encoded"]),
+                            M.gbt(label="planted", params={"maxIter": 20})])
+    m = M.regression_metrics(pipe.fit(t.where("part = 'train'")).transform(t.where("part = 'test'")), "planted")
+    return m.select("n", (F.col("r2") > 0.9).alias("learns"))
 
 
 @register("gain_importance")
 def gain_importance(spark, sf):
-    model, feats = _gbt_model(spark, sf)
-    imp = M.top_importances(model.stages[-1], feats, 20)
+    t, feats = model_table(spark, sf)
+    imp = M.gain_importances(spark, _gbt_model(t, feats).stages[-1], feats)
     return round_doubles(imp.select("feature", feature_display("feature").alias("display_name"), "importance"))
 
 
 @register("score_batch")
 def score_batch(spark, sf):
-    model, _ = _gbt_model(spark, sf)
-    t, _ = model_table(spark, sf)
-    return round_doubles(M.score(model, t.where("part = 'test'"), ["job_id"]))
-
-
-TUNE_DRAWS_REGISTERED, TUNE_FOLDS_REGISTERED = 2, 2
-
-
-@register("tune_random")
-def tune_random(spark, sf):
+    """Every posting scored."""
     t, feats = model_table(spark, sf)
-    train = M.assembler(feats).transform(t.where("part = 'train'")) \
-             .withColumn("_fold", hash_bucket(F.col("job_id"), TUNE_FOLDS_REGISTERED, "fold").cast("int"))
-    cv = M.random_search(train, M.gbt(), n_draws=TUNE_DRAWS_REGISTERED, folds=TUNE_FOLDS_REGISTERED,
-                         fold_col="_fold", parallelism=4)
-    rows = [(i, float(m)) for i, m in enumerate(cv.avgMetrics)]
-    return spark.createDataFrame(rows, "draw int, cv_rmse double")
+    return round_doubles(M.score(_gbt_model(t, feats), t, ["job_id"]))
 
 
 @register("eval_regression", with_base(f""", f AS (
@@ -237,58 +258,67 @@ def eval_regression(spark, sf):
     return round_doubles(M.regression_metrics(p, "log_salary"))
 
 
+EXPLAINED = ["exp_level_encoded", "years_experience"]
+
+#: Least squares on two features in closed form, and each row's contributions.
+_LINEAR_SQL = f""", {FILLED},
+s AS (SELECT avg(exp_level_encoded) AS m1, avg(years_experience) AS m2, avg(y) AS my,
+  var_pop(exp_level_encoded) AS c11, covar_pop(exp_level_encoded, years_experience) AS c12, var_pop(years_experience) AS c22,
+  covar_pop(exp_level_encoded, y) AS d1, covar_pop(years_experience, y) AS d2 FROM filled WHERE part = 'train'),
+b AS (SELECT m1, m2, my, (d1 * c22 - d2 * c12) / (c11 * c22 - c12 * c12) AS b1, (d2 * c11 - d1 * c12) / (c11 * c22 - c12 * c12) AS b2 FROM s),
+w AS (SELECT job_id, level, exp_level_encoded AS x1, years_experience AS x2, my AS base,
+  b1 * (exp_level_encoded - m1) AS k1, b2 * (years_experience - m2) AS k2 FROM filled, b),
+k AS (SELECT job_id, level, base, 'exp_level_encoded' AS feature, x1 AS value, k1 AS contribution, base + k1 + k2 AS prediction FROM w
+  UNION ALL SELECT job_id, level, base, 'years_experience', x2, k2, base + k1 + k2 FROM w)"""
+
+
 def _contributions(spark, sf):
-    key = ("contrib", sf, spark.sparkContext.applicationId)
-    if key not in _CACHE:
-        t, feats = model_table(spark, sf)
-        lin = K.BASE_NUMERIC_FEATURES + [c for c in feats if c not in K.BASE_NUMERIC_FEATURES]
-        model, wide = M.linear_contributions(t.where("part = 'test'"), ["job_id"], lin, "log_salary",
-                                             train=t.where("part = 'train'"))
-        _CACHE[key] = (model, wide, lin)
-    return _CACHE[key]
+    """(job_id, contributions, base, prediction) of every posting, from the linear model on ``EXPLAINED``."""
+    t = FE.ordinal_codes(FE.log_target(cleaned(spark, sf))).withColumn("part", hash_split(F.col("job_id")))
+    t = materialize(FE.request_defaults(t).select("job_id", "experience_level", "log_salary", "part", *EXPLAINED))
+    _, wide = M.linear_contributions(t, ["job_id", "experience_level"] + [F.col(f).cast("double").alias(f) for f in EXPLAINED], EXPLAINED,
+                                     "log_salary", train=t.where("part = 'train'"))
+    return wide
 
 
-@register("contrib_additive")
+@register("contrib_additive", with_base(_LINEAR_SQL + """
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY abs(contribution) DESC, feature) AS rank, feature,
+  round(contribution, 4) AS contribution, round(base, 4) AS base, round(prediction, 4) AS prediction FROM k"""))
 def contrib_additive(spark, sf):
-    _, wide, feats = _contributions(spark, sf)
-    total = sum((F.col(M.contribution_col(f)) for f in feats[1:]), F.col(M.contribution_col(feats[0])))
-    out = wide.select("job_id", "base", total.alias("total"), "prediction")
-    return round_doubles(out.withColumn(
-        "additive_ok", F.abs(F.col("base") + F.col("total") - F.col("prediction")) < 1e-4))
+    """Each posting's largest contributions, with base and prediction: they add up."""
+    return round_doubles(M.top_contributions(_contributions(spark, sf), ["job_id"], EXPLAINED))
 
 
-@register("importance_mean_abs")
+@register("importance_mean_abs", with_base(_LINEAR_SQL + """
+SELECT feature, CASE feature WHEN 'exp_level_encoded' THEN 'Experience Level' ELSE 'Years of Experience' END AS display_name,
+  round(avg(abs(contribution)), 4) AS importance FROM k GROUP BY feature"""))
 def importance_mean_abs(spark, sf):
-    _, wide, feats = _contributions(spark, sf)
-    imp = M.mean_abs_importance(wide, feats)
-    top = imp.orderBy(F.desc("importance"), "feature").limit(20)  # the report is a top-20 list
-    return round_doubles(top.select("feature", feature_display("feature").alias("display_name"), "importance"))
+    imp = M.mean_abs_importance(_contributions(spark, sf), EXPLAINED)
+    return round_doubles(imp.select("feature", feature_display("feature").alias("display_name"), "importance"))
 
 
-@register("dependence_table")
+@register("dependence_table", with_base(_LINEAR_SQL + """
+SELECT feature, value, level AS experience_level, count(*) AS n, round(avg(contribution), 4) AS mean_contribution,
+  round(quantile_cont(contribution, 0.1), 4) AS p10, round(quantile_cont(contribution, 0.5), 4) AS p50,
+  round(quantile_cont(contribution, 0.9), 4) AS p90 FROM k GROUP BY feature, value, level"""))
 def dependence_table(spark, sf):
-    _, wide, _ = _contributions(spark, sf)
-    t, _ = model_table(spark, sf)
-    lv = t.select("job_id", "experience_level", "exp_level_encoded", "years_experience")
-    j = wide.join(lv, "job_id")
-    parts = []
-    for f in ("exp_level_encoded", "years_experience"):
-        parts.append(j.groupBy(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), "experience_level")
-                      .agg(F.count(F.lit(1)).alias("n"),
-                           F.avg(M.contribution_col(f)).alias("mean_contribution"),
-                           F.min(M.contribution_col(f)).alias("min_contribution"),
-                           F.max(M.contribution_col(f)).alias("max_contribution")))
-    return round_doubles(parts[0].unionByName(parts[1]))
-
-
-@register("model_save_load")
+    """Contributions by the feature's value and the level: count, mean and percentiles."""
+    wide = _contributions(spark, sf)
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(M.contribution_col(f)).alias("c")) for f in EXPLAINED])
+    long = wide.select("experience_level", F.explode(pairs).alias("x")).select("experience_level", "x.feature", "x.value", "x.c")
+    out = grouped_stats(long, ["feature", "value", "experience_level"], "c", [F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean_contribution")],
+                        {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return round_doubles(out)
+
+
+@register("model_save_load", with_base(f"SELECT ({TEST_ROWS}) AS n, ({TEST_ROWS}) AS n_equal"))
 def model_save_load(spark, sf):
     from pyspark.ml import PipelineModel
-    model, _ = _gbt_model(spark, sf)
+    t, feats = model_table(spark, sf)
+    model = _gbt_model(t, feats)
     path = shared_dir(spark, "model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    t, _ = model_table(spark, sf)
     test = t.where("part = 'test'")
     a = model.transform(test).select("job_id", F.col("prediction").alias("p0"))
     b = loaded.transform(test).select("job_id", F.col("prediction").alias("p1"))

@@ -65,8 +65,8 @@ def test_gbt_fit_score_save_load(spark, table, tmp_path):
     again = PipelineModel.load(path).transform(test).select("job_id", F.col("prediction").alias("q"))
     j = model.transform(test).select("job_id", "prediction").join(again, "job_id")
     assert j.where(F.col("prediction") != F.col("q")).count() == 0
-    imp = M.top_importances(model.stages[-1], feats, 5).collect()
-    assert len(imp) == 5 and imp[0]["importance"] >= imp[-1]["importance"]
+    imp = M.gain_importances(spark, model.stages[-1], feats).collect()
+    assert [r["feature"] for r in imp] == feats and sum(r["importance"] for r in imp) == pytest.approx(1)
 
 
 def test_random_search_small(spark, table):
