@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
-from paysift.functions.expr import clean_tokens, exact_mean, exact_mean_whole, lookup, title_case, year_month
-from paysift.operators.ranking import grouped_stats, join_on_keys, rank_below
+from paysift.functions.expr import clean_tokens, exact_mean, exact_mean_whole, lookup, norm_upper, title_case, year_month
+from paysift.operators.ranking import grouped_stats, join_on_keys, quantiles_from_running, rank_below, running_below
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -246,3 +246,31 @@ def peer_percentile(df: DataFrame, keys: Sequence[str], value: str,
                     F.when(ok, F.bround("_med", 0)).alias("median"),
                     F.when(ok, F.bround("_p25", 0)).alias("p25"),
                     F.when(ok, F.bround("_p75", 0)).alias("p75"))
+
+
+def request_percentile(requests: DataFrame, reference: DataFrame, keys: Sequence[str], value: str,
+                       min_samples: int = K.PEER_MIN_SAMPLES) -> DataFrame:
+    """Each request's place among the reference rows of its group: sample size, whether that is
+    enough, percent of them strictly below (1 dp), and their median / p25 / p75 (0 dp).
+
+    Request keys are trimmed and upper-cased.  The requests' values join the reference's
+    distinct values with weight 0 in one range-sorted table, so neither a large group nor many
+    requests for one go to one task.  Rows with a null value have no place; requests of an
+    unknown group have sample size 0.
+    """
+    keys = list(keys)
+    group = lambda norm: F.struct(*[(norm_upper(k) if norm else F.col(k)).alias(k) for k in keys])
+    asked = requests.withColumn("_g", group(True)).withColumn("_v", F.col(value).cast("double"))
+    known = reference.where(F.col(value).isNotNull()).select(group(False).alias("_g"), F.col(value).cast("double").alias("_v"), F.lit(1).cast("long").alias("_c"))
+    wanted = asked.where(F.col("_v").isNotNull()).select("_g", "_v", F.lit(0).cast("long").alias("_c"))
+    rows, offsets = running_below(known.unionByName(wanted).groupBy("_g", "_v").agg(F.sum("_c").alias("_c")), "_g", "_v", "_c")
+    q = quantiles_from_running(rows, offsets, {"_p25": 0.25, "_med": 0.5, "_p75": 0.75}).withColumnRenamed("_g", "_qg")
+    place = rows.select(F.col("_g").alias("_rg"), F.col("_v").alias("_rv"), "_below", "_n")
+    j = (asked.join(place, asked["_g"].eqNullSafe(place["_rg"]) & (asked["_v"] == place["_rv"]), "left")
+              .join(q, F.col("_g").eqNullSafe(F.col("_qg")), "left"))
+    n = F.coalesce("_n", F.lit(0))
+    ok = n >= min_samples
+    whole = lambda c: F.when(ok, F.bround(c, 0))
+    return j.select(*requests.columns, n.alias("sample_size"), ok.alias("enough"),
+                    F.when(ok, F.bround(F.col("_below") / n * 100, 1)).alias("percentile"),
+                    whole("_med").alias("median"), whole("_p25").alias("p25"), whole("_p75").alias("p75"))

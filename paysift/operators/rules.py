@@ -26,7 +26,7 @@ def benchmark_band(gap: Column, band: float = K.BENCHMARK_BAND) -> Column:
 def advise(profiles: DataFrame, benchmarks: DataFrame, high_value_countries: DataFrame,
            level: str = "experience_level", country: str = "country", industry: str = "industry",
            skill_count: str = "skill_count", salary: str = "current_salary") -> DataFrame:
-    """Advice columns for every profile: next level, benchmark, gap and band,
+    """Advice columns for every profile: level advice, next level, benchmark, gap and band,
     skill hint, negotiation code.  ``benchmarks`` is ``(country, benchmark)``
     and ``high_value_countries`` is ``(country)``; both are joined (AQE picks
     broadcast only when their measured size allows it)."""
@@ -45,6 +45,6 @@ def advise(profiles: DataFrame, benchmarks: DataFrame, high_value_countries: Dat
     neg = (F.when(F.col(level).isin(*K.HIGH_VALUE_LEVELS) & F.col("_hv").isNotNull(), K.NEGOTIATION_HIGH_VALUE)
             .when(F.col(level) == "EN", K.NEGOTIATION_ENTRY).otherwise(K.NEGOTIATION_DEFAULT))
     keep = [c for c in profiles.columns]
-    return j.select(*keep, lookup(level, K.NEXT_LEVEL).alias("next_level"), bm.alias("benchmark"),
+    return j.select(*keep, lookup(level, K.LEVEL_ADVICE, "").alias("level_advice"), lookup(level, K.NEXT_LEVEL).alias("next_level"), bm.alias("benchmark"),
                     gap.alias("gap"), benchmark_band(gap).alias("geo_band"), hint.alias("skill_hint"),
                     neg.alias("negotiation"))

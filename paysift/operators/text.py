@@ -95,22 +95,25 @@ def substrings(col: Column | str, min_len: int = 1) -> Column:
                                       lambda ln: c.substr(s, ln))))
 
 
-def suggest_contained(unmatched: DataFrame, keys: Sequence[str], vocab: DataFrame) -> DataFrame:
+def suggest_contained(unmatched: DataFrame, vocab: DataFrame) -> DataFrame:
     """For each unmatched token: the first vocabulary word (by ``vocab_rank``)
     that contains the lower-cased token or is contained in it.
 
     Containment is turned into two equi-joins on enumerated substrings (of the
-    token, and of every vocabulary word), so no pair of token and word is ever
-    formed unless they share the substring: no nested-loop join.
+    token, and of every vocabulary word), so no pair of token and word is formed
+    that does not share the substring.  Each token is looked up once, however many
+    requests repeat it, and each substring of the vocabulary keeps only the word
+    that would win, so a short token that very many words contain meets one row.
     """
-    keys = list(keys) + ["pos"]
-    u = unmatched.select(*keys, F.lower("token").alias("_lt"))
+    first = F.min(F.struct("vocab_rank", "word")).alias("best")
+    tokens = unmatched.select(F.lower("token").alias("_lt")).distinct()
     v = vocab.select("word", "vocab_rank")
     # the word inside the token: substrings of the token meet the words
-    a = (u.select(*keys, F.explode(F.array_distinct(substrings(F.col("_lt")))).alias("_sub"))
-          .join(v, F.col("_sub") == F.col("word")).select(*keys, "word", "vocab_rank"))
+    a = (tokens.select("_lt", F.explode(F.array_distinct(substrings(F.col("_lt")))).alias("_sub"))
+         .join(v, F.col("_sub") == F.col("word")).groupBy("_lt").agg(first))
     # the token inside the word: substrings of the words meet the token
-    vs = v.select("word", "vocab_rank", F.explode(F.array_distinct(substrings(F.col("word")))).alias("_sub"))
-    b = u.join(vs, F.col("_lt") == F.col("_sub")).select(*keys, "word", "vocab_rank")
-    best = a.unionByName(b).groupBy(*keys).agg(F.min_by("word", "vocab_rank").alias("suggestion"))
-    return unmatched.join(best, keys, "left")
+    vs = (v.select("word", "vocab_rank", F.explode(F.array_distinct(substrings(F.col("word")))).alias("_sub"))
+          .groupBy("_sub").agg(first))
+    b = tokens.join(vs, F.col("_lt") == F.col("_sub")).select("_lt", "best")
+    best = a.unionByName(b).groupBy("_lt").agg(F.min("best").alias("best")).select("_lt", F.col("best.word").alias("suggestion"))
+    return unmatched.join(best, F.lower("token") == F.col("_lt"), "left").drop("_lt")

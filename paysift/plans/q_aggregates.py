@@ -11,6 +11,8 @@ from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles, sql_case
 from paysift.plans.marts import cleaned, mart_main
 from paysift.plans.registry import register
+from paysift.functions.sampling import hash_split
+from paysift.plans.sql import hash_bucket as sql_hash
 from paysift.plans.sql import exact_mean, exact_mean_whole, title_case, with_base, with_main
 
 _COUNTRY_NAME_SQL = f"coalesce({sql_case('country', K.COUNTRY_DISPLAY)}, {title_case('country')})"
@@ -152,6 +154,28 @@ def peer_percentile(spark, sf):
     return round_doubles(A.peer_percentile(c, ["country", "experience_level"], "salary_usd"))
 
 
+@register("peer_percentile_request", with_base(f""",
+req AS (SELECT job_id, ' ' || lower(country) || ' ' AS country, lower(experience_level) AS experience_level, salary_usd + 5000 AS salary_usd
+  FROM cleaned WHERE {sql_hash('job_id', 10)} >= 8),
+ref AS (SELECT country, experience_level, salary_usd FROM cleaned WHERE {sql_hash('job_id', 10)} < 8),
+q AS (SELECT country, experience_level, count(salary_usd) AS n, quantile_cont(salary_usd, 0.5) AS med, quantile_cont(salary_usd, 0.25) AS p25,
+  quantile_cont(salary_usd, 0.75) AS p75 FROM ref GROUP BY 1, 2),
+below AS (SELECT r.job_id, count(*) AS below FROM req r JOIN ref f ON f.country = upper(trim(r.country))
+  AND f.experience_level = upper(trim(r.experience_level)) AND f.salary_usd < r.salary_usd GROUP BY 1)
+SELECT r.job_id, r.country, r.experience_level, round(r.salary_usd, 4) AS salary_usd, coalesce(n, 0) AS sample_size, coalesce(n, 0) >= 10 AS enough,
+  CASE WHEN n >= 10 THEN round_even(CAST(coalesce(below, 0) AS DOUBLE) / n * 100, 1) END AS percentile,
+  CASE WHEN n >= 10 THEN round_even(med, 0) END AS median, CASE WHEN n >= 10 THEN round_even(p25, 0) END AS p25,
+  CASE WHEN n >= 10 THEN round_even(p75, 0) END AS p75
+FROM req r LEFT JOIN q ON q.country = upper(trim(r.country)) AND q.experience_level = upper(trim(r.experience_level))
+LEFT JOIN below b ON b.job_id = r.job_id"""))
+def peer_percentile_request(spark, sf):
+    """Raised salaries of the held-out postings, their keys as users type them, among the others."""
+    c = cleaned(spark, sf).select("job_id", "country", "experience_level", "salary_usd", hash_split(F.col("job_id")).alias("part"))
+    asked = c.where("part = 'test'").select("job_id", F.concat(F.lit(" "), F.lower("country"), F.lit(" ")).alias("country"),
+                                            F.lower("experience_level").alias("experience_level"), (F.col("salary_usd") + 5000).alias("salary_usd"))
+    return round_doubles(A.request_percentile(asked, c.where("part = 'train'"), ["country", "experience_level"], "salary_usd"))
+
+
 @register("hist_equal_width", with_base(""", b AS (SELECT min(salary_usd) AS lo, max(salary_usd) AS hi FROM cleaned),
 h AS (SELECT least(49, CAST(floor((salary_usd - lo) / ((hi - lo) / 50)) AS INTEGER)) AS bin, count(*) AS count
       FROM cleaned, b WHERE salary_usd IS NOT NULL GROUP BY 1)

@@ -90,9 +90,10 @@ def vocab_hit_rate(spark, sf):
 
 
 @register("unmatched_suggest", _VOCAB_SQL + """,
+lists AS (SELECT *, (pos - 1) // 4 AS list FROM matched),
 um AS (SELECT * FROM (
-  SELECT conv_id, turn, pos, token, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k
-  FROM matched WHERE hit IS NULL) WHERE k <= 3),
+  SELECT conv_id, turn, list, pos, token, row_number() OVER (PARTITION BY conv_id, turn, list ORDER BY pos) AS k
+  FROM lists WHERE (conv_id, turn, list) NOT IN (SELECT (conv_id, turn, list) FROM lists WHERE hit IS NOT NULL)) WHERE k <= 3),
 subs_u AS (SELECT DISTINCT conv_id, turn, pos, substr(lower(token), s, l) AS sub
   FROM um, range(1, length(token) + 1) a(s), range(1, length(token) - s + 2) b(l)),
 subs_v AS (SELECT DISTINCT word, vocab_rank, substr(word, s, l) AS sub
@@ -106,9 +107,14 @@ SELECT um.conv_id, um.turn, um.pos, um.token, CAST(um.k AS INTEGER) AS k, best.s
 FROM um LEFT JOIN best ON um.conv_id = best.conv_id AND um.turn = best.turn AND um.pos = best.pos""")
 def unmatched_suggest(spark, sf):
     vocab = _vocab(spark, sf)  # ranked once (checkpointed), shared by both steps
-    m = _matched(spark, sf, vocab).where(F.col("hit").isNull()).select("conv_id", "turn", "pos", "token")
-    first3 = top_n_per_group(m, ["conv_id", "turn"], [F.asc("pos")], 3, name="k")
-    return TX.suggest_contained(first3, ["conv_id", "turn"], vocab) \
+    m = _matched(spark, sf, vocab)
+    # a request is a list of four tokens; only those of which no token matched get suggestions
+    request = ["conv_id", "turn", "list"]
+    m = m.withColumn("list", F.floor((F.col("pos") - 1) / 4))
+    m = (m.join(m.where(F.col("hit").isNotNull()).select(*request).distinct(), request, "left_anti")
+          .select(*request, "pos", "token"))
+    first3 = top_n_per_group(m, request, [F.asc("pos")], 3, name="k")
+    return TX.suggest_contained(first3, vocab) \
              .select("conv_id", "turn", "pos", "token", F.col("k").cast("int").alias("k"), "suggestion")
 
 

@@ -176,6 +176,7 @@ p AS (SELECT job_id, experience_level, country, industry,
              CAST(len(regexp_split_to_array(required_skills, ',\\s*')) AS INTEGER) AS skill_count,
              salary_usd AS current_salary FROM cleaned)
 SELECT p.job_id, p.experience_level, p.country, p.industry, p.skill_count, round(p.current_salary, 4) AS current_salary,
+  {sql_case('p.experience_level', K.LEVEL_ADVICE, "''")} AS level_advice,
   {sql_case('p.experience_level', K.NEXT_LEVEL)} AS next_level,
   round(coalesce(bm.benchmark, {K.BENCHMARK_DEFAULT}), 4) AS benchmark,
   round(p.current_salary - coalesce(bm.benchmark, {K.BENCHMARK_DEFAULT}), 4) AS gap,

@@ -12,11 +12,11 @@ import __spark_entry__ as E  # noqa: E402
 from conftest import SMALL  # noqa: E402
 from oracle_check import rows_of  # noqa: E402
 
-# model fits are exercised with small settings in test_models.py
 SPARK_TO_DUCK = {"IntegerType": "INTEGER", "LongType": "BIGINT", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
                  "DateType": "DATE", "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP", "FloatType": "FLOAT"}
-SLOW = {"gbt_train", "gain_importance", "score_batch", "model_save_load", "tune_random"}
-KEYS = sorted(k for k in E.queries() if k not in SLOW)
+KEYS = sorted(E.queries())
+#: Queries whose result may be empty on the smallest tables.
+MAY_BE_EMPTY = {"op4_license_scan"}
 
 
 def test_every_oracle_has_a_query():
@@ -35,7 +35,7 @@ def test_query_matches_oracle(spark, duck, key):
     srows = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(key)
     if sql is None:
-        assert df.columns
+        assert df.columns and (srows or key in MAY_BE_EMPTY)
         return
     rel = duck.sql(sql)
     dcols, dtypes = rel.columns, [str(t) for t in rel.types]
