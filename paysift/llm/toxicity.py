@@ -35,6 +35,8 @@ from paysift.llm.common import bounded_batches
 #: Labelled rows of either class that the fit may use; the most words that the model may keep.
 MAX_LABELLED, MAX_WORDS = 8000, 20_000
 BUCKETS, GRADES = 1 << 20, 3
+#: A text is called toxic from this chance on: missing one costs as much as three false alarms.
+TOXIC_FROM = 0.25
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -141,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(ids, counts, grades(ids, counts, toxic), weight)
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", toxic_from: float = TOXIC_FROM) -> DataFrame:
     """Per row: doc_id, severity (expected grade), p_toxic, grade (severity rounded), toxic."""
     bounded_batches(docs.sparkSession)
 
@@ -165,4 +167,4 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame(out, columns=["severity", "p_toxic"])
 
     s = docs.select(docs[id_col].alias("doc_id"), score(docs[text_col]).alias("s"))
-    return s.select("doc_id", "s.severity", "s.p_toxic", F.round("s.severity").cast("int").alias("grade"), (F.col("s.p_toxic") >= 0.5).alias("toxic"))
+    return s.select("doc_id", "s.severity", "s.p_toxic", F.round("s.severity").cast("int").alias("grade"), (F.col("s.p_toxic") >= toxic_from).alias("toxic"))
