@@ -99,7 +99,7 @@ def q_mart_main(spark, sf):
 @register("sink_parquet_overwrite", with_main(_MAIN_SELECT))
 def sink_parquet_overwrite(spark, sf):
     path = shared_dir(spark, "mart_main")
-    m = mart_main(cleaned(spark, sf))
+    m = materialize(mart_main(cleaned(spark, sf)))
     IO.write_parquet(m, path, partition_by=["post_year"])
     IO.write_parquet(m, path, partition_by=["post_year"])  # overwrite: the second write replaces the first
     back = spark.read.parquet(path)

@@ -31,14 +31,21 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
-                  partition_by: Sequence[str] = ()) -> str:
-    w = df.write.mode(mode)
+                  partition_by: Sequence[str] = (), files_per_partition: int = 8) -> str:
+    """Parquet; with ``partition_by`` the rows are dealt by it and a salt first, so that each
+    folder gets at most ``files_per_partition`` files and a hot one is written by several tasks."""
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+        _clustered(df, partition_by, files_per_partition).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
     return path
 
 
+def _clustered(df: DataFrame, by: Sequence[str], files: int) -> DataFrame:
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files))
+    return df.repartition(*[F.col(c) for c in by], salt)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system of the session (any scheme)."""
     jvm = spark.sparkContext._jvm
@@ -58,8 +65,7 @@ def read_with_fallback(spark: SparkSession, parquet_path: str, csv_path: str, cs
 
 def append_log(df: DataFrame, path: str, date_col: str = "created_at") -> str:
     """Append rows to a log table partitioned by day (``log_date``)."""
-    df.withColumn("log_date", F.to_date(date_col)).write.mode("append").partitionBy("log_date").parquet(path)
-    return path
+    return write_parquet(df.withColumn("log_date", F.to_date(date_col)), path, "append", ["log_date"])
 
 
 def write_json_docs(df: DataFrame, path: str, doc_col: str = "doc") -> str:
