@@ -39,6 +39,14 @@ def small_side(df: DataFrame, width: Column | int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or one made of it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only.  ``lower`` does just that to a text without other letters."""
     return (F.when(F.length(col) == F.octet_length(col), F.lower(col))

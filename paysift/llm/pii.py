@@ -18,10 +18,10 @@ ip     | four numbers up to 255                          | the four numbers
 date   | a calendar day of 1800-01-01 and 145,999 days on | its day number: equal days stay equal in any of the formats
        | yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy; dd/mm/yyyy with a day over 12 is permuted within those (the year alone from
        | the 29th on; 29/02 stays)
-secret | 16 or more letters or digits given to a key word | letters and digits (the key word)
+secret | 16 or more letters and digits given to a key word | letters and digits (the key word)
 
 Defined cases: a null text stays null and has no values; repeated rows get the same result; a
-text without values is returned unchanged; an empty table gives no rows.
+text without values, so any without a digit or an @, is returned unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ FIRST_DAY, N_DAYS, DAY_RADIX = "1800-01-01", 146_000, (400, 365)
 
 SECRET_WORD = r"(?i:token|secret|passwd|password|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 PATTERNS = {
-    "secret": SECRET_WORD + r"[0-9A-Za-z_\-]{16,}",
+    "secret": SECRET_WORD + r"(?=[A-Za-z_\-]*[0-9])[0-9A-Za-z_\-]{16,}",
     "email": r"(?<![0-9A-Za-z._%+\-])[0-9A-Za-z_%+\-][0-9A-Za-z._%+\-]{0,63}@(?:[0-9A-Za-z\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{4}(?![0-9A-Za-z])"

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paysift.llm.common import bounded_batches, written
+from paysift.llm.common import bounded_batches, fresh, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -179,5 +179,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     ids = labels.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
     known = docs.join(ids, docs[id_col] == ids["_id"], "left_semi")
     cutoffs = fit(known.select(docs[id_col].alias("doc_id"), measured(known, text_col).alias("m")), labels, **settings)
-    c = lambda n: F.col(f"_measured.{n}")
-    return docs.withColumn("_measured", measured(docs, text_col)).where(verdict(c, cutoffs)).select(*[F.col(f"`{x}`") for x in docs.columns])
+    m = fresh(docs, "_measured")
+    c = lambda n: F.col(f"{m}.{n}")
+    return docs.withColumn(m, measured(docs, text_col)).where(verdict(c, cutoffs)).select(*[F.col(f"`{x}`") for x in docs.columns])

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paysift.llm.common import bounded_batches, written
+from paysift.llm.common import bounded_batches, fresh, written
 
 SHINGLE, MAX_BITS, N_BLOCKS = 3, 3, 5
 COLD, CHUNK = 24, 2048
@@ -171,11 +171,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one row of each component: that with the least id; of equal rows, one."""
     found = near_duplicates(docs, id_col, text_col, **settings)
     key = F.xxhash64("doc_id", "text_hash")
+    key_col, root_col = fresh(docs, "_key"), fresh(docs, "_root")
     chosen = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy(F.col("root").alias("_root"))
+              .groupBy(F.col("root").alias(root_col))
               .agg(F.min(F.struct(key.alias("k"), "doc_id", "text_hash")).alias("_x"))
-              .select("_root", F.col("_x.k").alias("_key"), F.col("_x.doc_id").alias("_id"), F.col("_x.text_hash").alias("_hash")))
+              .select(root_col, F.col("_x.k").alias(key_col), F.col("_x.doc_id").alias("_id"), F.col("_x.text_hash").alias("_hash")))
     text_hash = F.xxhash64(docs[text_col])
-    at = (F.xxhash64(docs[id_col], text_hash) == chosen["_key"]) & docs[id_col].eqNullSafe(chosen["_id"]) & (text_hash == chosen["_hash"])
+    at = (F.xxhash64(docs[id_col], text_hash) == chosen[key_col]) & docs[id_col].eqNullSafe(chosen["_id"]) & (text_hash == chosen["_hash"])
     # equal rows meet the same chosen row; its key is what the join has dealt the rows by
-    return docs.join(chosen, at).dropDuplicates(["_key", "_root"]).select(*[docs[c] for c in docs.columns])
+    return docs.join(chosen, at).dropDuplicates([key_col, root_col]).select(*[docs[c] for c in docs.columns])

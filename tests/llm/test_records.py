@@ -38,7 +38,7 @@ PII_ROWS = [
     (2, "again 4242424242424242 and DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432."),
     (3, "born 1990-02-28, 02/28/1990, 28.02.1990 and 2/3/1990, 29/12/2001"),
     (4, "und.34@mail7.example.com, UND.34@mail7.example.com x_y@b.org 123-45-6789 10.0.0.255"),
-    (5, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" password: Abc123def456ghi789'),
+    (5, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" password: Abc123def456ghi789 token: onlylettersandnodigits'),
     (6, "kept: 4242424242424241 1990-02-30 13/13/1990 666-45-6789 000-11-2222 256.1.1.1 1.2.3 DE00370400440532013000 1234567 a@b"),
     (7, None), (8, ""), (2, "again 4242424242424242 and DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432."), (None, "10.0.0.255"),
 ]

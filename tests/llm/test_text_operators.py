@@ -135,8 +135,8 @@ def test_quality_cutoffs_keep_good_and_reject_bad(spark):
     bad = [rows[i].kept for i, q, _ in labels if not q and "#" in docs[i][1]]
     assert sum(good) >= 0.98 * len(good) and not any(bad)
     assert rows[None].base_failed and not rows[9000].kept and not rows[9001].kept
-    kept = quality_rules.keep_good(d.withColumn("_m", F.lit(1)), lab)
-    assert kept.columns == ["doc_id", "text", "_m"]
+    kept = quality_rules.keep_good(d.withColumn("_measured", F.lit(1)), lab)
+    assert kept.columns == ["doc_id", "text", "_measured"] and kept.first()["_measured"] == 1
     assert {x.doc_id for x in kept.collect()} == {i for i, x in rows.items() if x.kept}
     none = quality_rules.judge(d, lab.limit(0))
     assert none.where("kept = base_failed").count() == 0
@@ -195,8 +195,8 @@ def test_simhash_against_brute_force(spark):
         least[k] = min([x for x in (least.get(k), i) if x is not None], default=None)
     want = Counter((i, f"{fp:016x}", least[k]) for (i, _), fp, k in zip(docs, fps, roots))
     assert Counter((x.doc_id, x.fingerprint, x.component_id) for x in rows) == want
-    kept = simhash_dedup.keep_one(spark.createDataFrame(docs, DOCS).withColumn("_root", F.lit("x")))
-    assert kept.columns == ["doc_id", "text", "_root"]
+    kept = simhash_dedup.keep_one(spark.createDataFrame(docs, DOCS).withColumn("_root", F.monotonically_increasing_id()).withColumn("_key", F.col("_root")))
+    assert kept.columns == ["doc_id", "text", "_root", "_key"]
     assert kept.count() == len(set(roots))
 
 
