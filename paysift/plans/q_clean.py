@@ -197,6 +197,28 @@ def column_set_compare(spark, sf):
     return Q.column_set_compare_by(names, "part", "train", "test")
 
 
+#: The feature dimensions that the reference's own data must have: base features and embedding.
+EXPECTED_DIMENSIONS = (53, 100)
+
+
+@register("dimension_check", with_base(f""", split AS (
+  SELECT *, CASE WHEN {sql_hash('job_id', 10)} < 8 THEN 'train' ELSE 'test' END AS part FROM cleaned),
+names AS (
+  SELECT part, 'ind_' || industry AS feature FROM split
+  UNION SELECT part, 'emp_' || employment_type FROM split
+  UNION SELECT part, 'ctry_' || country FROM split)
+SELECT part, {len(K.BASE_NUMERIC_FEATURES)} + count(feature) AS n_base, CAST({K.EMBEDDING_DIM} AS BIGINT) AS n_embedding,
+  {len(K.BASE_NUMERIC_FEATURES)} + count(feature) = {EXPECTED_DIMENSIONS[0]} AND {K.EMBEDDING_DIM} = {EXPECTED_DIMENSIONS[1]} AS as_expected
+FROM names GROUP BY part"""))
+def dimension_check(spark, sf):
+    """Number of base features (numeric and one-hot) and of embedding columns in train and test, against the expectation."""
+    from paysift.functions.sampling import hash_split
+    c = cleaned(spark, sf).withColumn("part", hash_split(F.col("job_id")))
+    n = feature_names(c, keep=["part"], base=False).groupBy("part").agg((F.lit(len(K.BASE_NUMERIC_FEATURES)) + F.count_distinct("feature")).alias("n_base"))
+    return n.select("part", "n_base", F.lit(K.EMBEDDING_DIM).cast("long").alias("n_embedding"),
+                    ((F.col("n_base") == EXPECTED_DIMENSIONS[0]) & F.lit(K.EMBEDDING_DIM == EXPECTED_DIMENSIONS[1])).alias("as_expected"))
+
+
 @register("distinct_pairs", with_base("""
 SELECT DISTINCT company_location, country FROM cleaned"""))
 def distinct_pairs(spark, sf):
