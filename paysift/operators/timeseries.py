@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
 from paysift.functions.expr import exact_mean, year_month
+from paysift.session import materialize
 
 
 def monthly_series(df: DataFrame, keys: Sequence[str], date_col: str, value: str) -> DataFrame:
@@ -104,8 +105,8 @@ def ar1_forecast(series: DataFrame, keys: Sequence[str], window: int = 3, steps:
     b = minmax_bounds(series, keys, window, train_fraction=train_fraction)
     sm = lag_samples(series, keys, window, train_fraction=train_fraction).join(b, keys)
     lo, hi = F.col("_min"), F.col("_max")
-    sm = sm.withColumn("ys", scale(F.col("value"), lo, hi)) \
-           .withColumn(f"xs{window}", scale(F.col(f"x{window}"), lo, hi))
+    # fit and test predictions both read the samples: they are made once
+    sm = materialize(sm.withColumn("ys", scale(F.col("value"), lo, hi)).withColumn(f"xs{window}", scale(F.col(f"x{window}"), lo, hi)))
     fit = ar1_fit(sm, keys, f"xs{window}", "ys")
     tests = (sm.where(F.col("part") == "test").join(fit, keys)
                .select(*keys, "month", F.col("value").alias("actual"),

@@ -11,10 +11,12 @@ from paysift.functions.expr import exact_mean, exact_mean_whole
 from paysift.functions.sampling import hash_bucket
 from paysift.operators import aggregates as A
 from paysift.operators import timeseries as T
+from paysift.operators.ml import mean_abs_importance
 from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles
 from paysift.plans.marts import cleaned, mart_main
 from paysift.plans.q_aggregates import DATA_CATEGORIES, DATA_CATEGORY_DEFAULT, category_sql
+from paysift.plans.q_ml import EXPLAINED, LINEAR_SQL, contributions
 from paysift.plans.registry import register
 from paysift.plans.sql import with_base, with_main
 from paysift.session import materialize, shared_dir
@@ -215,13 +217,20 @@ def _dashboard(spark, sf):
             F.struct(key, F.col("whole").cast("long").alias("avg_salary"),
                      F.col("n").alias("job_count")).alias("x"))
 
+    whole = lambda c: F.bround(c, 0).cast("long")
+    line = T.forecast_table(s, ["_all"], tests, fc).select(F.struct("month", "type", whole("actual").alias("actual"), whole("predicted").alias("predicted")).alias("x"))
+    scores = T.metrics(tests, ["_all"]).select(F.struct(whole("rmse").alias("rmse"), whole("mae").alias("mae"), whole(F.col("mape") * 100).alias("mape_hundredths")).alias("x"))
+    imp = mean_abs_importance(contributions(spark, sf), EXPLAINED).select(
+        F.struct("feature", whole(F.col("importance") * 1_000_000).alias("millionths")).alias("x"))
+
     # every block has one row per month / country / category: the lists grow
     # with those cardinalities, never with the row count
     blocks = [("history", hist), ("forecast", fut), ("countries", block("country")),
-              ("categories", block("job_category")), ("industries", block("industry"))]
+              ("categories", block("job_category")), ("industries", block("industry")),
+              ("forecast_table", line), ("metrics", scores), ("importance", imp)]
     rows = None
     for name, b in blocks:
-        r = b.agg(F.to_json(F.array_sort(F.collect_list("x"))).alias("json")).select(F.lit(name).alias("block"), "json")
+        r = b.agg(F.to_json(F.array_sort(F.collect_list("x")), {"ignoreNullFields": "false"}).alias("json")).select(F.lit(name).alias("block"), "json")
         rows = r if rows is None else rows.unionByName(r)
     parts = [F.concat(F.lit(f'"{name}":'), F.max(F.when(F.col("block") == name, F.col("json"))))
              for name, _ in blocks]
@@ -245,6 +254,7 @@ f AS (SELECT lm, mn, mx, a, bb, CASE WHEN mx <> mn THEN (lv - mn) / (mx - mn) EN
 f1 AS (SELECT *, a + bb * s0 AS s1 FROM f), f2 AS (SELECT *, a + bb * s1 AS s2 FROM f1), f3 AS (SELECT *, a + bb * s2 AS s3 FROM f2),
 fc AS (SELECT strftime(CAST(lm || '-01' AS DATE) + to_months(CAST(k AS INTEGER)), '%Y-%m') AS month,
               (CASE k WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END) * (mx - mn) + mn AS predicted FROM f3, range(1, 4) r(k)),
+tst AS (SELECT month, value, (a + bb * (x3 - mn) / (mx - mn)) * (mx - mn) + mn AS p FROM smp, b, fit WHERE sample_idx >= floor(0.8 * n_samples)),
 cat AS (SELECT {category_sql('job_title')} AS job_category, salary_usd FROM cleaned)
 SELECT CAST(to_json(struct_pack(
   history := (SELECT list_sort(list(struct_pack(month := month, salary := CAST(round_even(value, 0) AS BIGINT)))) FROM s),
@@ -254,12 +264,22 @@ SELECT CAST(to_json(struct_pack(
   categories := (SELECT list_sort(list(struct_pack(job_category := job_category, avg_salary := CAST(round_even(a, 0) AS BIGINT), job_count := n)))
                  FROM (SELECT job_category, sum(CAST(round(salary_usd * 100) AS BIGINT)) / count(salary_usd) / 100 AS a, count(*) AS n FROM cat GROUP BY 1)),
   industries := (SELECT list_sort(list(struct_pack(industry := industry, avg_salary := CAST(round_even(a, 0) AS BIGINT), job_count := n)))
-                 FROM (SELECT industry, sum(CAST(round(salary_usd * 100) AS BIGINT)) / count(salary_usd) / 100 AS a, count(*) AS n FROM cleaned GROUP BY 1)))) AS VARCHAR) AS doc"""
+                 FROM (SELECT industry, sum(CAST(round(salary_usd * 100) AS BIGINT)) / count(salary_usd) / 100 AS a, count(*) AS n FROM cleaned GROUP BY 1)),
+  forecast_table := (SELECT list_sort(list(struct_pack(month := month, type := type, actual := actual, predicted := predicted))) FROM (
+    SELECT s.month, CASE WHEN p IS NULL THEN 'historical' ELSE 'test_pred' END AS type, CAST(round_even(s.value, 0) AS BIGINT) AS actual,
+      CAST(round_even(p, 0) AS BIGINT) AS predicted FROM s LEFT JOIN tst ON s.month = tst.month
+    UNION ALL SELECT month, 'forecast', CAST(NULL AS BIGINT), CAST(round_even(predicted, 0) AS BIGINT) FROM fc)),
+  metrics := (SELECT [struct_pack(rmse := CAST(round_even(sqrt(avg((value - p) * (value - p))), 0) AS BIGINT), mae := CAST(round_even(avg(abs(value - p)), 0) AS BIGINT),
+    mape_hundredths := CAST(round_even(avg(abs((value - p) / value)) * 10000, 0) AS BIGINT))] FROM tst),
+  importance := (SELECT list_sort(list(struct_pack(feature := feature, millionths := CAST(round_even(m * 1000000, 0) AS BIGINT)))) FROM (
+    SELECT feature, avg(abs(contribution)) AS m FROM k GROUP BY feature)))) AS VARCHAR) AS doc"""
 
 
 def _dashboard_sql():
     from paysift.plans.sql import BASE
-    return BASE + ",\n" + _DASHBOARD_SQL.strip()[len("WITH "):]
+    # the linear model's CTEs take their own names: its b and s are renamed
+    linear = LINEAR_SQL.replace("\ns AS (", "\nls AS (").replace("FROM s)", "FROM ls)").replace("\nb AS (", "\nlb AS (").replace("FROM filled, b)", "FROM filled, lb)")
+    return BASE + linear + ",\n" + _DASHBOARD_SQL.strip()[len("WITH "):]
 
 
 @register("mart_dashboard", _dashboard_sql())

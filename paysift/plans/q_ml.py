@@ -261,7 +261,7 @@ def eval_regression(spark, sf):
 EXPLAINED = ["exp_level_encoded", "years_experience"]
 
 #: Least squares on two features in closed form, and each row's contributions.
-_LINEAR_SQL = f""", {FILLED},
+LINEAR_SQL = f""", {FILLED},
 s AS (SELECT avg(exp_level_encoded) AS m1, avg(years_experience) AS m2, avg(y) AS my,
   var_pop(exp_level_encoded) AS c11, covar_pop(exp_level_encoded, years_experience) AS c12, var_pop(years_experience) AS c22,
   covar_pop(exp_level_encoded, y) AS d1, covar_pop(years_experience, y) AS d2 FROM filled WHERE part = 'train'),
@@ -272,7 +272,7 @@ k AS (SELECT job_id, level, base, 'exp_level_encoded' AS feature, x1 AS value, k
   UNION ALL SELECT job_id, level, base, 'years_experience', x2, k2, base + k1 + k2 FROM w)"""
 
 
-def _contributions(spark, sf):
+def contributions(spark, sf):
     """(job_id, contributions, base, prediction) of every posting, from the linear model on ``EXPLAINED``."""
     t = FE.ordinal_codes(FE.log_target(cleaned(spark, sf))).withColumn("part", hash_split(F.col("job_id")))
     t = materialize(FE.request_defaults(t).select("job_id", "experience_level", "log_salary", "part", *EXPLAINED))
@@ -281,29 +281,29 @@ def _contributions(spark, sf):
     return wide
 
 
-@register("contrib_additive", with_base(_LINEAR_SQL + """
+@register("contrib_additive", with_base(LINEAR_SQL + """
 SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY abs(contribution) DESC, feature) AS rank, feature,
   round(contribution, 4) AS contribution, round(base, 4) AS base, round(prediction, 4) AS prediction FROM k"""))
 def contrib_additive(spark, sf):
     """Each posting's largest contributions, with base and prediction: they add up."""
-    return round_doubles(M.top_contributions(_contributions(spark, sf), ["job_id"], EXPLAINED))
+    return round_doubles(M.top_contributions(contributions(spark, sf), ["job_id"], EXPLAINED))
 
 
-@register("importance_mean_abs", with_base(_LINEAR_SQL + """
+@register("importance_mean_abs", with_base(LINEAR_SQL + """
 SELECT feature, CASE feature WHEN 'exp_level_encoded' THEN 'Experience Level' ELSE 'Years of Experience' END AS display_name,
   round(avg(abs(contribution)), 4) AS importance FROM k GROUP BY feature"""))
 def importance_mean_abs(spark, sf):
-    imp = M.mean_abs_importance(_contributions(spark, sf), EXPLAINED)
+    imp = M.mean_abs_importance(contributions(spark, sf), EXPLAINED)
     return round_doubles(imp.select("feature", feature_display("feature").alias("display_name"), "importance"))
 
 
-@register("dependence_table", with_base(_LINEAR_SQL + """
+@register("dependence_table", with_base(LINEAR_SQL + """
 SELECT feature, value, level AS experience_level, count(*) AS n, round(avg(contribution), 4) AS mean_contribution,
   round(quantile_cont(contribution, 0.1), 4) AS p10, round(quantile_cont(contribution, 0.5), 4) AS p50,
   round(quantile_cont(contribution, 0.9), 4) AS p90 FROM k GROUP BY feature, value, level"""))
 def dependence_table(spark, sf):
     """Contributions by the feature's value and the level: count, mean and percentiles."""
-    wide = _contributions(spark, sf)
+    wide = contributions(spark, sf)
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(M.contribution_col(f)).alias("c")) for f in EXPLAINED])
     long = wide.select("experience_level", F.explode(pairs).alias("x")).select("experience_level", "x.feature", "x.value", "x.c")
     out = grouped_stats(long, ["feature", "value", "experience_level"], "c", [F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean_contribution")],
