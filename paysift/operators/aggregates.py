@@ -261,8 +261,10 @@ def request_percentile(requests: DataFrame, reference: DataFrame, keys: Sequence
     wanted = asked.where(F.col("_v").isNotNull()).select("_g", "_v", F.lit(0).cast("long").alias("_c"))
     rows, offsets = running_below(known.unionByName(wanted).groupBy("_g", "_v").agg(F.sum("_c").alias("_c")), "_g", "_v", "_c")
     q = quantiles_from_running(rows, offsets, {"_p25": 0.25, "_med": 0.5, "_p75": 0.75}).withColumnRenamed("_g", "_qg")
-    place = rows.select(F.col("_g").alias("_rg"), F.col("_v").alias("_rv"), "_below", "_n")
-    j = (asked.join(place, asked["_g"].eqNullSafe(place["_rg"]) & (asked["_v"] == place["_rv"]), "left")
+    sizes = offsets.groupBy(F.col("_g").alias("_sg")).agg(F.max("_n").alias("_n"))
+    place = rows.select(F.col("_g").alias("_rg"), F.col("_v").alias("_rv"), "_below")
+    j = (asked.join(sizes, F.col("_g").eqNullSafe(F.col("_sg")), "left")
+              .join(place, asked["_g"].eqNullSafe(place["_rg"]) & (asked["_v"] == place["_rv"]), "left")
               .join(q, F.col("_g").eqNullSafe(F.col("_qg")), "left"))
     n = F.coalesce("_n", F.lit(0))
     ok = n >= min_samples

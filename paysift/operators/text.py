@@ -10,11 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paysift.functions.constants import JOB_CATEGORIES, JOB_CATEGORY_DEFAULT
 from paysift.functions.expr import contains_any, title_case
 
 
-def classify_keywords(col: Column | str, rules: Sequence[tuple[str, Sequence[str]]],
-                      default: str) -> Column:
+def classify_keywords(col: Column | str, rules: Sequence[tuple[str, Sequence[str]]] = JOB_CATEGORIES,
+                      default: str = JOB_CATEGORY_DEFAULT) -> Column:
     """First category (in priority order) whose keyword is a substring of the
     lower-cased text; null text counts as ``''``.  Plain substrings, not regexes."""
     text = F.lower(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")))

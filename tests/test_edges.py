@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from paysift.functions import expr as X
@@ -179,3 +178,29 @@ def test_mart_counts_sum_to_rows(spark):
     assert sum(r["job_count"] for r in q["agg_industry_mean"](spark, SMALL).collect()) == n
     assert sum(r["n"] for r in q["boxplot_stats"](spark, SMALL).where("dimension = 'company_size'").collect()) == n
     assert sum(r["count"] for r in q["hist_equal_width"](spark, SMALL).collect()) == n
+
+
+def test_default_title_categories(spark):
+    from paysift.operators.text import classify_keywords
+    rows = [("Senior NLP Engineer", "NLP / LLM"), ("cv engineer", "Computer Vision"), ("MLOps Lead", "MLOps / Platform"), ("Research Scientist", "Research / Science"),
+            ("Data Analyst", "Data Science"), ("Deep Learning Dev", "General ML / AI"), ("Clerk", "Other AI Roles"), (None, "Other AI Roles")]
+    df = spark.createDataFrame(rows, "title string, want string")
+    assert df.where(classify_keywords("title") != df["want"]).count() == 0
+
+
+def test_request_defaults_fill_what_is_missing(spark):
+    from paysift.operators.features import request_defaults
+    df = spark.createDataFrame([(None, None, None, None, None), (7, 2.5, 3, 2020, 12)],
+                               "years_experience int, benefits_score double, exp_level_encoded int, post_year int, deadline_month int")
+    a, b = (tuple(r) for r in request_defaults(df).collect())
+    assert a == (3, 7.0, 1, 2025, 2) and b == (7, 2.5, 3, 2020, 12)
+
+
+def test_request_percentile_of_external_salaries(spark):
+    from paysift.operators.aggregates import request_percentile
+    ref = spark.createDataFrame([("US", "SE", float(v)) for v in range(20)] + [("US", "EN", 1.0), ("US", "SE", None)], "country string, level string, s double")
+    asked = spark.createDataFrame([(1, " us", "se ", 10.0), (2, "us", "SE", 500.0), (3, "US", "SE", -1.0), (4, "us", "en", 5.0), (5, "XX", "SE", 1.0),
+                                   (6, "us", "se", None), (7, " us", "se ", 10.0)], "id int, country string, level string, s double")
+    got = {r["id"]: (r["sample_size"], r["enough"], r["percentile"], r["median"]) for r in request_percentile(asked, ref, ["country", "level"], "s").collect()}
+    assert got == {1: (20, True, 50.0, 10.0), 2: (20, True, 100.0, 10.0), 3: (20, True, 0.0, 10.0), 4: (1, False, None, None), 5: (0, False, None, None),
+                   6: (20, True, None, 10.0), 7: (20, True, 50.0, 10.0)}
