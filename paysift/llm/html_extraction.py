@@ -197,7 +197,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     its lines that the partner shares."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    n_runs = n_runs or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     key = lambda url, page_id: (*address(url), LEAST if pd.isna(page_id) else int(page_id))
 
@@ -210,6 +209,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     only = rows.select("page_id", "url")
     total = only.count()
+    # a few runs a shuffle partition, of some hundred pages at least
+    n_runs = n_runs or min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // 200 + 1)
     every = max(1, total // (n_runs * 50))
     sample = only.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).distinct().collect()  # about 50 a run
     drawn = sorted({key(r["url"], r["page_id"]) for r in sample})

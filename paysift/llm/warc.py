@@ -176,7 +176,7 @@ def read_archives(archives: DataFrame, folder: str, n_tasks: int | None = None,
                         rows, held = [], 0
             yield _frame(rows, columns)
 
-    n_tasks = n_tasks or int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = n_tasks or min(archives.count() + 1, 4 * int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return archives.select("path").repartition(n_tasks).mapInPandas(task, CHUNKS)
 
 
