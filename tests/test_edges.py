@@ -105,7 +105,7 @@ def test_vocab_match_priority(spark):
     v2 = vocab.union(spark.createDataFrame([("thon", 4), ("trusty", 3), ("rus", 2)], vocab.schema))
     v2 = v2.withColumn("vocab_rank", F.row_number().over(Window.orderBy(F.desc("freq"), "word")))
     um = spark.createDataFrame([(1, 5, "Rust"), (1, 6, "PYTHONIC"), (1, 7, "zz")], "rid int, pos int, token string")
-    got = {r["pos"]: r["suggestion"] for r in TX.suggest_contained(um, ["rid"], v2).collect()}
+    got = {r["pos"]: r["suggestion"] for r in TX.suggest_contained(um, v2).collect()}
     # 'rust' lies inside 'trusty' (rank 6) and contains 'rus' (rank 7): the first by rank wins
     assert got == {5: "trusty", 6: "thon", 7: None}
 
