@@ -23,7 +23,6 @@ never are a component's id unless all its ids are null; an empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paysift.llm.common import bounded_batches, fresh, written
+from paysift.llm.common import bounded_batches, fresh, small_side, written
 
 SHINGLE, MAX_BITS, N_BLOCKS = 3, 3, 5
 COLD, CHUNK = 24, 2048
@@ -170,13 +169,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` with one row of each component: that with the least id; of equal rows, one."""
     found = near_duplicates(docs, id_col, text_col, **settings)
-    key = F.xxhash64("doc_id", "text_hash")
-    key_col, root_col = fresh(docs, "_key"), fresh(docs, "_root")
-    chosen = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-              .groupBy(F.col("root").alias(root_col))
-              .agg(F.min(F.struct(key.alias("k"), "doc_id", "text_hash")).alias("_x"))
-              .select(root_col, F.col("_x.k").alias(key_col), F.col("_x.doc_id").alias("_id"), F.col("_x.text_hash").alias("_hash")))
-    text_hash = F.xxhash64(docs[text_col])
-    at = (F.xxhash64(docs[id_col], text_hash) == chosen[key_col]) & docs[id_col].eqNullSafe(chosen["_id"]) & (text_hash == chosen["_hash"])
-    # equal rows meet the same chosen row; its key is what the join has dealt the rows by
-    return docs.join(chosen, at).dropDuplicates([key_col, root_col]).select(*[docs[c] for c in docs.columns])
+    pairs = written(found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"), F.first("component_id").alias("least")), "simhash-rows")
+    chosen = (pairs.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("root")
+              .agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("x")).select("root", "x.*"))
+    chosen = written(chosen, "simhash-chosen")
+    other = pairs.alias("p").join(chosen.alias("c"), (F.col("p.root") == F.col("c.root")) & F.col("p.doc_id").eqNullSafe(F.col("c.doc_id"))
+                                  & (F.col("p.text_hash") == F.col("c.text_hash")), "left_anti").select("doc_id", "text_hash")
+
+    def meeting(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        at = (F.xxhash64(docs[text_col]) == keys["text_hash"]) & docs[id_col].eqNullSafe(keys["doc_id"])
+        return left.join(keys, at, how)
+
+    kept = meeting(docs, small_side(written(other, "simhash-other"), 17), "left_anti")
+    # a chosen row that is repeated stays once; where none is, nothing more is done
+    again = chosen.where("n > 1").select("doc_id", "text_hash")
+    if again.isEmpty():
+        return kept
+    side = small_side(written(again, "simhash-again"), 17)
+    id_key, hash_key = fresh(docs, "_id"), fresh(docs, "_hash")
+    once = (meeting(kept, side, "left_semi").withColumn(id_key, docs[id_col]).withColumn(hash_key, F.xxhash64(docs[text_col]))
+            .dropDuplicates([id_key, hash_key]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return meeting(kept, side, "left_anti").unionByName(once)
+

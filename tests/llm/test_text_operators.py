@@ -195,8 +195,8 @@ def test_simhash_against_brute_force(spark):
         least[k] = min([x for x in (least.get(k), i) if x is not None], default=None)
     want = Counter((i, f"{fp:016x}", least[k]) for (i, _), fp, k in zip(docs, fps, roots))
     assert Counter((x.doc_id, x.fingerprint, x.component_id) for x in rows) == want
-    kept = simhash_dedup.keep_one(spark.createDataFrame(docs, DOCS).withColumn("_root", F.monotonically_increasing_id()).withColumn("_key", F.col("_root")))
-    assert kept.columns == ["doc_id", "text", "_root", "_key"]
+    kept = simhash_dedup.keep_one(spark.createDataFrame(docs, DOCS).withColumn("_root", F.monotonically_increasing_id()).withColumn("text_hash", F.col("_root")))
+    assert kept.columns == ["doc_id", "text", "_root", "text_hash"]
     assert kept.count() == len(set(roots))
 
 
