@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paysift.llm.common import bounded_batches, fresh, written
+from paysift.llm.common import bounded_batches, fresh, small_side, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -174,9 +174,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` without the rows that the rules reject.  The texts are measured once for the
-    labelled rows, to fit, and once where they are judged, so that no text is shuffled."""
-    ids = labels.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
+    """``docs`` without the rows that the rules reject.  The labelled rows are measured twice, to
+    fit and where all are judged, rather than that texts are written; texts are shuffled only
+    if the labelled ids are too many to be broadcast."""
+    ids = small_side(written(labels.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct(), "labelled-ids"), 8)
     known = docs.join(ids, docs[id_col] == ids["_id"], "left_semi")
     cutoffs = fit(known.select(docs[id_col].alias("doc_id"), measured(known, text_col).alias("m")), labels, **settings)
     m = fresh(docs, "_measured")
