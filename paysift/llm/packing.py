@@ -48,19 +48,21 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         to_byte = {c: b for b, c in enumerate(_byte_letters())}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(to_byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
-        self._whole = Tokenizer.from_file(path)
+        self._path, self._whole = path, None
         self._fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self._special = frozenset(special)
         self._run = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
 
     def __call__(self, text: str) -> np.ndarray:
         if len(text) >= LONG_RUN and self._run.search(text):
+            if self._whole is None:  # seldom needed, and large
+                from tokenizers import Tokenizer
+                self._whole = Tokenizer.from_file(self._path)
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4")
         return self._fast.encode_to_numpy(text, allowed_special=self._special).astype("<u4", copy=False)
 
