@@ -9,9 +9,9 @@ second from the corpus's counts.
 
 What is gathered: texts are read once and written as bucket numbers, two bytes a word; every word
 of every document is counted, in a fixed number of buckets, by each task and summed by a shuffle.  Training is in numpy, in the tasks: each trains a copy
-of the network by Adagrad on windows of all its documents, every ``stride``-th place from an
-offset by the text's hash, and the copies are averaged, weighted by their windows, in ``rounds``
-rounds.  Only counts of buckets, and averaged parameters, of a size fixed by the settings, reach
+of the network by Adagrad on windows of all its documents, and the copies are averaged, weighted
+by their windows, in ``rounds`` rounds.  A round takes every ``stride``-th place, from an offset by the
+text's hash and the round; as many rounds as the stride, or more, make every word a target.  Only counts of buckets, and averaged parameters, of a size fixed by the settings, reach
 the driver.
 
 Defined cases: a null or wordless text has no words and the score 0; places past a text's ends
@@ -34,7 +34,7 @@ from paysift.llm.common import bounded_batches, written
 
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 N_OWN, N_ENDINGS, BUCKETS = 191, 64, 1 << 16
-STRIDE, ROUNDS, RATE, BATCH = 12, 2, 0.15, 512
+STRIDE, ROUNDS, RATE, BATCH = 2, 2, 0.15, 512
 WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -67,22 +67,28 @@ class Network:
 
     NAMES = ("embed", "mix", "bias", "out", "prior")
 
-    def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Embedded neighbours, hidden layer and log-probabilities of windows (n, 2 * SIDE)."""
-        x = self.embed[around]
-        h = np.tanh(x.reshape(len(x), -1) @ self.mix.reshape(-1, self.mix.shape[2]) + self.bias)
-        z = h @ self.out + self.prior
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return x, h, z
+    def forward(self, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Embedded neighbours (n, 2 * SIDE * WIDTH), hidden layer, the targets' scores, and all scores' powers
+        with their sums, of windows (n, 2 * SIDE): the softmax is powers / sums."""
+        x = self.embed[around].reshape(len(around), -1)
+        h = x @ self.mix.reshape(-1, self.mix.shape[2])
+        h += self.bias
+        np.tanh(h, out=h)
+        z = h @ self.out
+        z += self.prior
+        if not np.abs(self.out).sum(axis=0).max() + np.abs(self.prior).max() < 60:  # |h| <= 1: below, no power overflows
+            z -= z.max(axis=1, keepdims=True)
+        of_target = z[np.arange(len(target)), target]
+        e = np.exp(z, out=z)
+        return x, h, of_target, e, e @ np.ones(e.shape[1], e.dtype)
 
     def log_likelihood(self, buckets: np.ndarray) -> float:
         """The sum over a text's words, in windows of bounded number."""
         c, total = self.classes[buckets], 0.0
-        for lo in range(0, len(c), 4096):
-            at = np.arange(lo, min(lo + 4096, len(c)))
-            _, _, z = self.forward(windows(c, at))
-            total += float(z[np.arange(len(at)), c[at]].sum(dtype=np.float64) + self.log_share[buckets[at]].sum(dtype=np.float64))
+        for lo in range(0, len(c), 256):  # so few that they stay in the processor's cache
+            at = np.arange(lo, min(lo + 256, len(c)))
+            _, _, z, _, sums = self.forward(windows(c, at), c[at])
+            total += float((z - np.log(sums)).sum(dtype=np.float64) + self.log_share[buckets[at]].sum(dtype=np.float64))
         return total
 
 
@@ -115,20 +121,18 @@ class Trainer:
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
-        x, h, z = net.forward(around)
-        d = np.exp(z)
-        d[np.arange(n), target] -= 1
-        d /= n
+        x, h, _, d, sums = net.forward(around, target)
+        d /= sums[:, None] * np.float32(n)
+        d[np.arange(n), target] -= np.float32(1 / n)
         dh = (d @ net.out.T) * (1 - h * h)
-        flat = x.reshape(n, -1)
         dx = (dh @ net.mix.reshape(-1, HIDDEN).T).reshape(n * 2 * SIDE, WIDTH)
         # neighbours' gradients summed by class: one sorted pass instead of scattered adds
-        ids = around.ravel()
+        ids = around.ravel().astype(np.uint16)  # sorted by digits
         order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
+        first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
         de = np.zeros_like(net.embed)
         de[ids[order][first]] = np.add.reduceat(dx[order], first, axis=0)
-        for k, g in (("out", h.T @ d), ("prior", d.sum(axis=0)), ("mix", (flat.T @ dh).reshape(net.mix.shape)), ("bias", dh.sum(axis=0)), ("embed", de)):
+        for k, g in (("out", (d.T @ h).T), ("prior", d.sum(axis=0)), ("mix", (x.T @ dh).reshape(net.mix.shape)), ("bias", dh.sum(axis=0)), ("embed", de)):
             self.sums[k] += g * g
             getattr(net, k)[...] -= self.rate * g / np.sqrt(self.sums[k])
         self.seen += n
@@ -167,6 +171,11 @@ def count_buckets(words: DataFrame) -> np.ndarray:
     return counts
 
 
+def places(text: bytes, n: int, stride: int, turn: int) -> np.ndarray:
+    """The places among a text's ``n`` that the round ``turn`` trains on; ``stride`` rounds take each once."""
+    return np.arange((zlib.crc32(text[:64]) + turn) % stride, n, stride)
+
+
 def train(words: DataFrame, stride: int = STRIDE, rounds: int = ROUNDS) -> Network:
     """A network from ``words`` as ``encoded`` makes them."""
     net = new_network(count_buckets(words))
@@ -189,7 +198,7 @@ def _averaged(words: DataFrame, net: Network, stride: int, turn: int) -> Network
         for batch in batches:
             for text in batch["words"]:
                 c = net.classes[_buckets(text)]
-                at = np.arange((zlib.crc32(text[:64]) + turn * (stride // 2)) % stride, len(c), stride)
+                at = places(text, len(c), stride, turn)
                 if len(at):
                     around.append(windows(c, at))
                     target.append(c[at])

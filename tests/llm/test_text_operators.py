@@ -324,3 +324,17 @@ def test_lm_learns_order_and_scores_it(spark):
     assert rows[None].n_words == 0 and rows[None].log_likelihood == 0 and rows[9001].mean_log_likelihood is None
     assert rows[0].mean_log_likelihood > rows[9002].mean_log_likelihood + 1
     assert lm_scoring.score_documents(d.limit(0)).collect() == []
+
+
+def test_lm_defaults_train_on_every_word_and_learn_order(spark):
+    r = random.Random(16)
+    cycle = [f"{a}x{b}" for a, b in zip("abcdefghijkl", "mnopqrstuvwx")]
+    texts = [" ".join(cycle[(s + k) % 12] for k in range(120)) for s in (r.randrange(12) for _ in range(400))]
+    docs = list(enumerate(texts)) + [(9002, " ".join(r.sample(texts[0].split(), 120)))]
+    rows = {x.doc_id: x for x in lm_scoring.score_documents(spark.createDataFrame(docs, DOCS).coalesce(1)).collect()}
+    assert rows[0].mean_log_likelihood > rows[9002].mean_log_likelihood + 1
+    # texts of one and two words: each place is a target in one of the rounds
+    words = lm_scoring.encoded(spark.createDataFrame([(i, f"w{i}") for i in range(40)] + [(99, "left right")], DOCS).coalesce(1))
+    for text in [bytes(x.words) for x in words.collect()]:
+        places = [lm_scoring.places(text, len(text) // 2, lm_scoring.STRIDE, turn).tolist() for turn in range(lm_scoring.ROUNDS)]
+        assert sorted(sum(places, [])) == list(range(len(text) // 2))
