@@ -6,10 +6,12 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler, Word2Vec
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,15 +104,36 @@ def linear_contributions(df: DataFrame, keys: Sequence[str], feature_cols: Seque
     icpt = float(model.stages[-1].intercept)
     means = filled(train).agg(*[F.avg(c).alias(c) for c in cols]).first()
     mu = {n: float(means[n] or 0.0) for n in cols}
+    return model, _contributions(filled(df), keys, cols, coef, icpt, mu)
+
+
+def _contributions(d: DataFrame, keys: Sequence[str], cols: Sequence[str], coef: Sequence[float], icpt: float, mu: dict[str, float]) -> DataFrame:
     base = icpt + sum(c * mu[n] for c, n in zip(coef, cols))
-    d = filled(df)
     pred = F.lit(icpt)
     for n, c in zip(cols, coef):
         pred = pred + F.lit(c) * F.col(n).cast("double")
     contribs = [(F.lit(c) * (F.col(n).cast("double") - F.lit(mu[n]))).alias(contribution_col(n))
                 for n, c in zip(cols, coef)]
-    wide = d.select(*keys, pred.alias("prediction"), F.lit(base).alias("base"), *contribs)
-    return model, wide
+    return d.select(*keys, pred.alias("prediction"), F.lit(base).alias("base"), *contribs)
+
+
+def least_norm_contributions(df: DataFrame, keys: Sequence[str], feature_cols: Sequence[str], label: str, train: DataFrame) -> DataFrame:
+    """``linear_contributions`` for features that may depend on each other, as full one-hot blocks do: among
+    the least-squares solutions, the one of least norm in standard deviations.  ``LinearRegression`` leaves
+    such a system to an iteration that stops early.  Features that don't vary contribute 0.
+
+    One pass gathers the correlations, one number per pair of features.
+    """
+    cols = list(feature_cols)
+    v = VectorAssembler(inputCols=[*cols, label], outputCol="_x").transform(train).select("_x")
+    m = v.select(Summarizer.metrics("mean", "std").summary(v["_x"]).alias("s")).first()["s"]
+    mean, std = m["mean"].toArray(), m["std"].toArray()
+    corr = np.nan_to_num(Correlation.corr(v, "_x").first()[0].toArray())
+    std_y = std[-1] if std[-1] > 0 else 0.0
+    solved = np.linalg.pinv(corr[:-1, :-1], rcond=1e-11, hermitian=True) @ corr[:-1, -1]
+    coef = np.where(std[:-1] > 0, solved * std_y / np.where(std[:-1] > 0, std[:-1], 1), 0.0)
+    mu = dict(zip(cols, mean[:-1].tolist()))
+    return _contributions(df, keys, cols, coef.tolist(), float(mean[-1] - coef @ mean[:-1]), mu)
 
 
 def contributions_long(wide: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -124,8 +147,8 @@ def mean_abs_importance(wide: DataFrame, features: Sequence[str]) -> DataFrame:
     """Global importance = mean |contribution| per feature, in one aggregate
     pass over the wide table; returns ``feature, importance``."""
     one = wide.agg(*[F.avg(F.abs(F.col(contribution_col(f)))).alias(f"_{i}") for i, f in enumerate(features)])
-    pairs = ", ".join(f"'{f}', `_{i}`" for i, f in enumerate(features))
-    return one.select(F.expr(f"stack({len(features)}, {pairs}) AS (feature, importance)"))
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_{i}").alias("importance")) for i, f in enumerate(features)])
+    return one.select(F.explode(pairs).alias("_p")).select("_p.feature", "_p.importance")
 
 
 def score(model, requests: DataFrame, keys: Sequence[str], pred_col: str = "prediction") -> DataFrame:

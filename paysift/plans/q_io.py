@@ -16,7 +16,7 @@ from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles
 from paysift.plans.marts import cleaned, mart_main
 from paysift.plans.q_aggregates import DATA_CATEGORIES, DATA_CATEGORY_DEFAULT, category_sql
-from paysift.plans.q_ml import EXPLAINED, LINEAR_SQL, contributions
+from paysift.plans.q_ml import EXPLAINED, LINEAR_SQL, contributions, contributions_all
 from paysift.plans.registry import register
 from paysift.plans.sql import with_base, with_main
 from paysift.session import materialize, shared_dir
@@ -190,7 +190,8 @@ def sink_append_log(spark, sf):
                                      "log_date"))
 
 
-def _dashboard(spark, sf):
+def _dashboard(spark, sf, wide, feats):
+    """The document; its importances from the contributions ``wide`` of ``feats``."""
     c = cleaned(spark, sf).withColumn(
         "job_category", classify_keywords("job_title", DATA_CATEGORIES, DATA_CATEGORY_DEFAULT))
     c = c.withColumn("month", F.when(F.col("posting_date").isNotNull(), F.date_format("posting_date", "yyyy-MM")))
@@ -220,7 +221,7 @@ def _dashboard(spark, sf):
     whole = lambda c: F.bround(c, 0).cast("long")
     line = T.forecast_table(s, ["_all"], tests, fc).select(F.struct("month", "type", whole("actual").alias("actual"), whole("predicted").alias("predicted")).alias("x"))
     scores = T.metrics(tests, ["_all"]).select(F.struct(whole("rmse").alias("rmse"), whole("mae").alias("mae"), whole(F.col("mape") * 100).alias("mape_hundredths")).alias("x"))
-    imp = mean_abs_importance(contributions(spark, sf), EXPLAINED).select(
+    imp = mean_abs_importance(wide, feats).select(
         F.struct("feature", whole(F.col("importance") * 1_000_000).alias("millionths")).alias("x"))
 
     # every block has one row per month / country / category: the lists grow
@@ -284,4 +285,10 @@ def _dashboard_sql():
 
 @register("mart_dashboard", _dashboard_sql())
 def mart_dashboard(spark, sf):
-    return _dashboard(spark, sf)
+    return _dashboard(spark, sf, contributions(spark, sf), EXPLAINED)
+
+
+@register("mart_dashboard_all")
+def mart_dashboard_all(spark, sf):
+    """The dashboard with the importances of the model on all features."""
+    return _dashboard(spark, sf, *contributions_all(spark, sf))

@@ -281,6 +281,15 @@ def contributions(spark, sf):
     return wide
 
 
+def contributions_all(spark, sf):
+    """(job_id, level, features, contributions, base, prediction) of every posting from the linear model on
+    all features of ``model_table``, and their list."""
+    t, feats = model_table(spark, sf)
+    keys = ["job_id", "experience_level"] + [F.col(f).cast("double").alias(f) for f in feats]
+    wide = M.least_norm_contributions(t, keys, feats, "log_salary", train=t.where("part = 'train'"))
+    return materialize(wide), feats
+
+
 @register("contrib_additive", with_base(LINEAR_SQL + """
 SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY abs(contribution) DESC, feature) AS rank, feature,
   round(contribution, 4) AS contribution, round(base, 4) AS base, round(prediction, 4) AS prediction FROM k"""))
@@ -289,12 +298,29 @@ def contrib_additive(spark, sf):
     return round_doubles(M.top_contributions(contributions(spark, sf), ["job_id"], EXPLAINED))
 
 
+@register("contrib_additive_all")
+def contrib_additive_all(spark, sf):
+    """The same from the model on all features."""
+    wide, feats = contributions_all(spark, sf)
+    return round_doubles(M.top_contributions(wide, ["job_id"], feats))
+
+
+def _importances(wide, feats):
+    imp = M.mean_abs_importance(wide, feats)
+    return round_doubles(imp.select("feature", feature_display("feature").alias("display_name"), "importance"))
+
+
+@register("importance_mean_abs_all")
+def importance_mean_abs_all(spark, sf):
+    """Every feature's importance in the model on all features."""
+    return _importances(*contributions_all(spark, sf))
+
+
 @register("importance_mean_abs", with_base(LINEAR_SQL + """
 SELECT feature, CASE feature WHEN 'exp_level_encoded' THEN 'Experience Level' ELSE 'Years of Experience' END AS display_name,
   round(avg(abs(contribution)), 4) AS importance FROM k GROUP BY feature"""))
 def importance_mean_abs(spark, sf):
-    imp = M.mean_abs_importance(contributions(spark, sf), EXPLAINED)
-    return round_doubles(imp.select("feature", feature_display("feature").alias("display_name"), "importance"))
+    return _importances(contributions(spark, sf), EXPLAINED)
 
 
 @register("dependence_table", with_base(LINEAR_SQL + """
@@ -303,8 +329,17 @@ SELECT feature, value, level AS experience_level, count(*) AS n, round(avg(contr
   round(quantile_cont(contribution, 0.9), 4) AS p90 FROM k GROUP BY feature, value, level"""))
 def dependence_table(spark, sf):
     """Contributions by the feature's value and the level: count, mean and percentiles."""
-    wide = contributions(spark, sf)
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(M.contribution_col(f)).alias("c")) for f in EXPLAINED])
+    return _dependence(contributions(spark, sf), EXPLAINED)
+
+
+@register("dependence_table_all")
+def dependence_table_all(spark, sf):
+    """The same for every feature of the model on all features."""
+    return _dependence(*contributions_all(spark, sf))
+
+
+def _dependence(wide, feats):
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(M.contribution_col(f)).alias("c")) for f in feats])
     long = wide.select("experience_level", F.explode(pairs).alias("x")).select("experience_level", "x.feature", "x.value", "x.c")
     out = grouped_stats(long, ["feature", "value", "experience_level"], "c", [F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean_contribution")],
                         {"p10": 0.1, "p50": 0.5, "p90": 0.9})

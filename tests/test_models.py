@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from paysift.functions import constants as K
 from paysift.operators import ml as M
 from paysift.operators import timeseries as T
 from paysift.plans.marts import cleaned
@@ -104,3 +105,29 @@ def test_gbt_recovers_planted_signal(table):
     model = pipe.fit(tt.where("part = 'train'"))
     m = M.regression_metrics(model.transform(tt.where("part = 'test'")), "log_salary").first()
     assert m["r2"] > 0.9
+
+
+def test_explained_queries_take_all_features(spark):
+    import json
+    from paysift.plans import q_io, q_ml
+    wide, feats = q_ml.contributions_all(spark, SMALL)
+    assert len(feats) > 14 + 100 and set(K.BASE_NUMERIC_FEATURES) < set(feats)
+    pdf = wide.join(q_ml.split_random(spark, SMALL), "job_id").toPandas()
+    contrib = pdf[[M.contribution_col(f) for f in feats]].to_numpy(float)
+    assert np.allclose(pdf["base"] + contrib.sum(axis=1), pdf["prediction"], atol=1e-6)
+    # the fit is least squares: its predictions, unlike its coefficients, are unique on the training rows
+    train = pdf[pdf["part"] == "train"]
+    y = dict(q_ml.FE.log_target(cleaned(spark, SMALL)).select("job_id", "log_salary").collect())
+    target = train["job_id"].map(y).to_numpy(float)
+    X = train[feats].to_numpy(float)
+    X = np.c_[np.ones(len(X)), (X - X.mean(axis=0)) / np.where(X.std(axis=0) > 0, X.std(axis=0), 1)]
+    expected = X @ np.linalg.lstsq(X, target, rcond=None)[0]
+    assert np.allclose(train["prediction"], expected, atol=1e-6)
+    imp = {r["feature"]: r["importance"] for r in q_ml.importance_mean_abs_all(spark, SMALL).collect()}
+    assert sorted(imp) == sorted(feats)
+    doc = json.loads(q_io.mart_dashboard_all(spark, SMALL).first()["doc"])
+    assert {x["feature"] for x in doc["importance"]} == set(feats)
+    top = q_ml.contrib_additive_all(spark, SMALL).groupBy("job_id").count().collect()
+    assert len(top) == len(pdf) and {r["count"] for r in top} == {K.TOP_CONTRIBUTIONS}
+    dep = q_ml.dependence_table_all(spark, SMALL).groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    assert {r["feature"]: r["n"] for r in dep} == dict.fromkeys(feats, len(pdf))
