@@ -140,6 +140,14 @@ def feat_assemble(spark, sf):
     return round_doubles(v.select("job_id", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(K.BASE_NUMERIC_FEATURES)]))
 
 
+@register("feat_assemble_all")
+def feat_assemble_all(spark, sf):
+    """The model's whole row through the assembled vector: base, one-hot and skill-vector columns in their order."""
+    t, feats = model_table(spark, sf)
+    v = M.assembler(feats).transform(t).select("job_id", vector_to_array("features").alias("f"))
+    return round_doubles(v.select("job_id", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(feats)]))
+
+
 @register("split_random", with_base(f"""
 SELECT job_id, CASE WHEN {sql_hash('job_id', 10)} < 8 THEN 'train' ELSE 'test' END AS part FROM cleaned"""))
 def split_random(spark, sf):

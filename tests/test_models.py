@@ -131,3 +131,28 @@ def test_explained_queries_take_all_features(spark):
     assert len(top) == len(pdf) and {r["count"] for r in top} == {K.TOP_CONTRIBUTIONS}
     dep = q_ml.dependence_table_all(spark, SMALL).groupBy("feature").agg(F.sum("n").alias("n")).collect()
     assert {r["feature"]: r["n"] for r in dep} == dict.fromkeys(feats, len(pdf))
+
+
+def test_assembled_rows_hold_every_feature(spark, table, monkeypatch):
+    from paysift.plans import q_ml
+    _, feats = table
+    enc = q_ml._encoded(spark, SMALL)
+    fitted = q_ml._w2v(enc)  # two fits may differ
+    monkeypatch.setattr(q_ml, "_w2v", lambda _: fitted)
+    out = q_ml.feat_assemble_all(spark, SMALL)
+    assert out.columns == ["job_id", *feats]
+    rows = {r["job_id"]: r.asDict() for r in out.collect()}
+    base = q_ml.feat_assemble(spark, SMALL).collect()
+    assert len(rows) == len(base)
+    assert all(rows[r["job_id"]][c] == r[c] for r in base for c in K.BASE_NUMERIC_FEATURES)
+    # one-hot columns against the long form, which has an oracle
+    ones = {(r["job_id"], r["feature"]) for r in q_ml.feat_onehot(spark, SMALL).collect()}
+    hot = [f for f in feats if f.startswith(tuple(K.ONEHOT_PREFIXES.values()))]
+    assert {(i, f) for i, r in rows.items() for f in hot if r[f] == 1} == ones
+    assert {r[f] for r in rows.values() for f in hot} == {0.0, 1.0}
+    # each vector is the mean of the row's in-vocabulary skills' vectors
+    words = {r["word"]: np.array(r["vector"]) for r in fitted.getVectors().select("word", q_ml.vector_to_array("vector").alias("vector")).collect()}
+    tokens = enc.select("job_id", q_ml._tokens_column().alias("s")).collect()
+    mine = np.array([[rows[r["job_id"]][f"{K.EMBEDDING_PREFIX}{i}"] for i in range(K.EMBEDDING_DIM)] for r in tokens])
+    mean = np.array([np.mean([words[w] for w in r["s"] if w in words] or [np.zeros(K.EMBEDDING_DIM)], axis=0) for r in tokens])
+    assert np.abs(mine).max() > 0 and np.allclose(mine, mean, atol=2e-4)
