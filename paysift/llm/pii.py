@@ -20,6 +20,11 @@ date   | a calendar day of 1800-01-01 and 145,999 days on | its day number: equa
        | the 29th on; 29/02 stays)
 secret | 16 or more letters and digits given to a key word | letters and digits (the key word)
 
+A card is looked for in the whole run of digit groups: first in the shapes 4-4-4-4, 4-4-4-1, 4-6-5, 4-6-4, unbroken and
+4-4-4-4-3 at any group, then as the run itself.  (In other spacing beside another number it stays: nearly every row of
+numbers has some span with the right sum.)  An iban is the longest valid start of its groups.  ``undo`` can miss a value
+beside other groups if the new digits give another span a right sum.
+
 Defined cases: a null text stays null and has no values; repeated rows get the same result; a
 text without values, so any without a digit or an @, is returned unchanged; an empty table gives no rows.
 """
@@ -48,7 +53,16 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: A separator before a value of another kind ends a run of groups.
+NEXT = r"(?![ \-](?:" + "|".join(PATTERNS[k] for k in ("date", "ssn", "ip")) + "))"
+#: What is searched for: of a card, the whole run of digits that it may stand in; of an iban, its groups and what looks like more.
+SEARCHED = PATTERNS | {
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:" + NEXT + r" ?[0-9A-Z]{4}){2,7}(?:" + NEXT + r" ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?=(?:[0-9][ \-]?){12}[0-9])[0-9]++(?![A-Za-z])(?:" + NEXT + r"[ \-][0-9]++(?![A-Za-z]))*+"}
+ANY = "|".join(f"(?:{p})" for p in SEARCHED.values())
+#: Card shapes by their number of groups, in the order tried.
+SHAPES = {4: "[0-9]{4}([ \\-][0-9]{4}){2}[ \\-]([0-9]{4}|[0-9])", 3: "[0-9]{4}[ \\-][0-9]{6}[ \\-][0-9]{4,5}", 1: "[0-9]{13,19}",
+          5: "[0-9]{4}([ \\-][0-9]{4}){3}[ \\-][0-9]{3}"}
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -213,6 +227,45 @@ def _numbers_value(m: Column, key: str, undo: bool) -> Column:
     return F.when(numeric, _let(_let(F.split(m, r"[^0-9]").cast("array<long>"), parsed), made))
 
 
+def card_pieces(run: Column) -> Column:
+    """``run`` in pieces, the cards of a known shape and with the right sum being pieces of their own; one
+    piece if it has none."""
+    def cut(tokens: Column) -> Column:  # each with the separator before it
+        def at(i: Column) -> Column:  # the number of groups of the card that starts here, or 0
+            n = F.lit(0)
+            for size, shape in reversed(SHAPES.items()):
+                told = F.ltrim(F.regexp_replace(F.array_join(F.slice(tokens, i + 1, F.lit(size)), ""), "^-", ""))
+                n = F.when(told.rlike(f"^(?:{shape})$") & (luhn_sum(_only(told, "0-9")) == 0), size).otherwise(n)
+            return n
+
+        def step(acc: Column, i: Column) -> Column:
+            def grown(n: Column) -> Column:
+                value = F.array_join(F.slice(tokens, i + 1, F.greatest(n, F.lit(1))), "")
+                lead = F.regexp_extract(value, r"^[ \-]?", 0)
+                put = F.when(n > 0, F.array(lead, F.substr(value, F.length(lead) + 1))).otherwise(F.array(value))
+                return F.struct(F.concat(acc["out"], put).alias("out"), (i + F.greatest(n, F.lit(1))).alias("next"), (acc["cards"] + (n > 0).cast("int")).alias("cards"))
+            return F.when(i < acc["next"], acc).otherwise(_let(at(i), grown))
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"), F.lit(0).alias("cards"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, step, lambda acc: F.when(acc["cards"] > 0, acc["out"]).otherwise(F.array(run)))
+
+    return _let(F.regexp_extract_all(run, F.lit(r"([ \-]?[^ \-]+)"), F.lit(1)), lambda t: F.when(F.size(t) > 0, cut(t)).otherwise(F.array(run)))
+
+
+def iban_pieces(m: Column) -> Column:
+    """The longest valid iban that ``m`` starts with, if any, and the pieces of the rest."""
+    def cut(tokens: Column) -> Column:
+        starts = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda k: F.array_join(F.slice(tokens, F.lit(1), k), ""))
+        valid = F.filter(starts, lambda x: _is(x, "iban") & (mod97(F.concat(_only(F.substr(x, F.lit(5)), "0-9A-Z"), F.substring(x, 1, 4))) == 1))
+        return _let(F.coalesce(F.try_element_at(valid, F.lit(-1)), F.lit("")), lambda v: F.concat(F.array(v), card_pieces(F.substr(m, F.length(v) + 1))))
+    return _let(F.regexp_extract_all(m, F.lit("( ?[^ ]+)"), F.lit(1)), cut)
+
+
+def pieces(m: Column) -> Column:
+    """A match as the values that it may be, and what stands between them."""
+    return F.when(m.rlike("^[0-9][0-9 \\-]{12,}$") & ~_is(m, "date") & ~_is(m, "ssn"), card_pieces(m)).when(_is(m, "iban"), iban_pieces(m)).otherwise(F.array(m))
+
+
 def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
     """(kind, new text) of a match, or null if it isn't valid."""
     return F.coalesce(_numbers_value(m, key, undo), _written_value(m, key, undo))
@@ -224,11 +277,11 @@ def replaced(text: Column, key: str = KEY, undo: bool = False) -> Column:
     gaps = F.split(text, ANY)
 
     def joined(ms: Column) -> Column:
-        new = F.transform(ms, lambda m: pseudonym(m, key, undo))
+        new = F.transform(ms, lambda m: F.transform(pieces(m), lambda p: F.struct(p.alias("old"), pseudonym(p, key, undo).alias("new"))))
         def both(ps: Column) -> Column:
-            texts = F.concat(F.zip_with(ms, ps, lambda m, p: F.coalesce(p["text"], m)), F.array(F.lit("")))
-            whole = F.array_join(F.flatten(F.zip_with(gaps, texts, lambda g, t: F.array(g, t))), "")
-            kinds = F.filter(F.transform(ps, lambda p: p["kind"]), lambda k: k.isNotNull())
+            told = F.transform(ps, lambda x: F.array_join(F.transform(x, lambda p: F.coalesce(p["new"]["text"], p["old"])), ""))
+            whole = F.array_join(F.flatten(F.zip_with(gaps, F.concat(told, F.array(F.lit(""))), lambda g, t: F.array(g, t))), "")
+            kinds = F.filter(F.transform(F.flatten(ps), lambda p: p["new"]["kind"]), lambda k: k.isNotNull())
             return F.struct(whole.alias("text"), kinds.alias("kinds"))
         return _let(new, both)
 
