@@ -54,28 +54,35 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 WITHIN = frozenset("ul ol dl table menu select body article section div".split())
 
 
-def kind_of(tag: str, attributes: str) -> tuple[bool, int]:
-    """(True for chrome, how surely it holds the article: 0 to 3) of an element."""
+#: An element's kind of chrome: not, by its class name only, and surely; BACK: an article inside what is chrome by name only.
+BACK, PLAIN, NAMED, CHROME = -1, 0, 1, 2
+#: What leaves an unclosed head open; anything else begins the body.
+IN_HEAD = frozenset("html head meta link base basefont bgsound".split())
+
+
+def kind_of(tag: str, attributes: str) -> tuple[int, int]:
+    """(kind of chrome, how surely it holds the article: 0 to 3) of an element."""
     at = {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
     name = f"{at.get('class', '')} {at.get('id', '')}"
     role = at.get("role", "").lower()
     if "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.I):
-        return True, 0
+        return CHROME, 0
     if tag in ("article", "main") or role in ("main", "article") or at.get("itemprop", "").lower() == "articlebody":
-        return bool(COMMENT_NAME.search(name)) or at.get("itemprop", "").lower() == "comment", 2 if tag == "main" or role == "main" else 3
+        comment = COMMENT_NAME.search(name) or at.get("itemprop", "").lower() == "comment"
+        return CHROME if comment else PLAIN, 2 if tag == "main" or role == "main" else 3
     if tag in CHROME_TAGS or role in CHROME_ROLES:
-        return True, 0
+        return CHROME, 0
     if tag in ("html", "body"):
-        return False, 0
+        return PLAIN, 0
     if MAIN_NAME.search(name):
-        return False, 1
-    return bool(name.strip() and CHROME_NAME.search(name)), 0
+        return PLAIN, 1
+    return NAMED if name.strip() and CHROME_NAME.search(name) else PLAIN, 0
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """(text, surety) of the page's blocks that aren't chrome, in order."""
-    found: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, chrome, surety of the whole path
+    found: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, int]] = []  # tag, chrome, surety of the whole path
     count: Counter = Counter()
     text: list[str] = []
     at, page = 0, page or ""
@@ -83,11 +90,11 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     def flush() -> None:
         if text:
             if line := " ".join(html_lib.unescape("".join(text)).split()):
-                found.append((line, stack[-1][2] if stack else 0))
+                found.append((line, *((stack[-1][2], stack[-1][1] == BACK) if stack else (0, False))))
             text.clear()
 
     def close(depth: int) -> None:
-        if stack[-1][1:] != (stack[depth - 1][1:] if depth else (False, 0)):
+        if stack[-1][1:] != (stack[depth - 1][1:] if depth else (PLAIN, 0)):
             flush()  # an inline element ends no block
         while len(stack) > depth:
             count[stack.pop()[0]] -= 1
@@ -105,9 +112,11 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     while m := TOKEN.match(page, at):
         at = m.end()
         token, tag = m[0], (m[1] or "").lower()
-        chrome = bool(stack) and stack[-1][1]
+        if count["head"] and (token[1:2] != "/" and tag not in IN_HEAD | RAW if tag else token[0] != "<" and stack[-1][0] == "head" and token.strip()):
+            close(last({"head"}))
+        chrome = stack[-1][1] if stack else PLAIN
         if not tag:
-            if not token.startswith(("<!", "<?")) and not chrome:
+            if chrome <= PLAIN and not token.startswith(("<!", "<?")):
                 text.append(token)
             continue
         if token[1] == "/":
@@ -130,13 +139,20 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             continue
         drop, sure = kind_of(tag, m[2])
         if tag == "header" and not (stack and stack[-1][2] >= 2):
-            drop = True  # a header inside the article is the article's
+            drop = CHROME  # a header inside the article is the article's
         if drop or sure:
             flush()
         count[tag] += 1
-        stack.append((tag, chrome or drop, max(sure, stack[-1][2] if stack else 0)))
+        if CHROME in (chrome, drop):
+            chrome = CHROME
+        elif chrome == NAMED and sure >= 2:
+            chrome = BACK
+        else:
+            chrome = drop or chrome
+        stack.append((tag, chrome, max(sure, stack[-1][2] if stack else 0)))
     flush()
-    return found
+    sure = any(s >= 2 and not back for _, s, back in found)  # then an article inside chrome is a teaser
+    return [(line, s) for line, s, back in found if not (back and sure)]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:

@@ -324,3 +324,17 @@ def test_pii_beside_other_numbers_and_words(spark):
             assert r.kinds == kinds, text
         assert len(r.text) == len(text)
         assert "4111 1111" not in r.text and "5390 0754" not in r.text and "822463" not in r.text and "41111111" not in r.text, (text, r.text)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><meta charset=utf-8><body><nav>n</nav><article>The story.</article></body></html>", "The story."),
+    ("<head><title>t</title><link rel=x><article><p>One.<p>Two.</article>", "One. Two."),
+    ("<head><title>t</title>Bare text.", "Bare text."),
+    ("<div class='layout has-sidebar'><nav>n</nav><article>The story.</article><div class=sidebar>s</div></div>", "The story."),
+    ("<div class='page with-header'><p>line</p><main>The main.</main></div>", "The main."),
+    ("<main><p>The main.</p></main><div class=related><article>Teaser.</article></div>", "The main."),
+    ("<div class=comments><article class=comment>No.</article></div><p>Plain.</p>", "Plain."),
+    ("<div class=has-sidebar><aside><article>Aside.</article></aside><article>The story.</article></div>", "The story."),
+])
+def test_articles_survive_open_heads_and_named_wrappers(page, text):
+    assert html_extraction.main_text(html_extraction.blocks(page), None) == text
