@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paysift.llm import (decontamination, html_extraction, license_scan, lm_scoring, packing, pii, quality_rules, simhash_dedup, toxicity,
-                         warc)
+from paysift.llm import (decontamination, fim, html_extraction, license_scan, lm_scoring, packing, pii, quality_rules, simhash_dedup,
+                         suffix_dedup, toxicity, warc, whitening)
 from paysift.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_out(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transform(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity, op2_decontamination, op3_quality_rules, op4_license_scan, op5_html_extraction, op6_lm_scoring, op7_warc, op8_simhash_dedup,
-    op9_pii, op10_packing)}
+    op9_pii, op10_packing, op11_suffix_dedup, op12_fill_in_middle, op13_whitening)}
 
 #: op2 by its definition: every window of every item against every span of every document.
 OP2_SQL = r"""
@@ -92,4 +104,38 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < response_id T
 FROM p LEFT JOIN r USING (payload_digest)
 """
 
-ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL, "op7_warc": OP7_SQL}
+#: op11 from all 100-byte strings: those that aren't the first of their kind cover what goes.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+s AS (SELECT doc_id, p, b[p:p + 99] AS s FROM (SELECT doc_id, b, unnest(generate_series(1, n - 99)) AS p FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM s) WHERE k > 1),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM r)),
+spans AS (SELECT doc_id, min(p) AS lo, max(p) + 99 AS hi FROM g GROUP BY doc_id, g),
+x AS (SELECT doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM spans GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN hex(b) ELSE array_to_string(list_transform(generate_series(1, n_spans + 1), lambda i:
+         hex(b[(CASE WHEN i = 1 THEN 1 ELSE his[i - 1] + 1 END):(CASE WHEN i = n_spans + 1 THEN n ELSE los[i] - 1 END)])), '') END)) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+#: op12 from the lists of lines.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id::VARCHAR) AS h, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+u AS (
+  SELECT doc_id, t, h, list_concat(list_transform(w[1:len(w) - 1], lambda x: x || chr(10)), CASE WHEN w[len(w)] = '' THEN [] ELSE [w[len(w)]] END) AS u FROM d),
+c AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b,
+         ('0x' || h[25:32])::BIGINT % 100 < 50 AS spm, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain FROM u),
+p AS (
+  SELECT doc_id, t, n, spm, plain, array_to_string(u[1:least(a, b)], '') AS pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS mid,
+         array_to_string(u[greatest(a, b) + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN NOT plain THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL, "op7_warc": OP7_SQL, "op11_suffix_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
