@@ -1,8 +1,8 @@
 """Group-by marts and distribution summaries.
 
 Means, counts, extremes and standard deviations are partial (map-side)
-aggregates with fixed-size buffers.  Quantiles go through
-``ranking.group_quantiles`` so a huge group never lands in one task.
+aggregates with fixed-size buffers.  Quantiles and ranks go through ``selection``,
+so a huge group never lands in one task.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
 from paysift.functions.expr import clean_tokens, exact_mean, exact_mean_whole, lookup, norm_upper, title_case, year_month
-from paysift.operators.ranking import grouped_stats, join_on_keys, quantiles_from_running, rank_below, running_below
+from paysift.operators.ranking import join_on_keys
+from paysift.operators.selection import RankIndex, box_stats, group_struct, grouped_stats, rank_below
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -24,9 +25,7 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 def country_summary(df: DataFrame, key: str = "country", value: str = "salary_usd") -> DataFrame:
     """Mean, median, count, max per country; half-even rounding; display name; mean desc."""
-    out = grouped_stats(df, [key], value, [exact_mean_whole(value).alias("avg_salary"), F.count(value).alias("job_count"),
-                                           F.max(value).alias("max_salary")],
-                        {"median_salary": 0.5})
+    out = grouped_stats(df, [key], value, {"avg_salary": "mean:0", "job_count": "count", "max_salary": "max"}, {"median_salary": 0.5})
     name = F.coalesce(lookup(key, K.COUNTRY_DISPLAY), title_case(key))
     return (out.select(key, F.bround("avg_salary", 0).alias("avg_salary"),
                        F.bround("median_salary", 0).alias("median_salary"),
@@ -39,9 +38,7 @@ def describe_by(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     keys = list(keys)
     if not keys:  # a global describe is the one-group case
         return describe_by(df.withColumn("_all", F.lit(0)), ["_all"], value).drop("_all")
-    agg = [F.count(value).alias("count"), exact_mean(value, 4).alias("mean"),
-           F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
-    out = grouped_stats(df, keys, value, agg, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    out = grouped_stats(df, keys, value, {"count": "count", "mean": "mean:4", "std": "std", "min": "min", "max": "max"}, {"q25": 0.25, "median": 0.5, "q75": 0.75})
     return out.select(*keys, "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
@@ -86,8 +83,7 @@ def skill_frequency(df: DataFrame, col: str = "required_skills", sep: str = ",")
 
 def category_stats(df: DataFrame, cat: str = "job_category", value: str = "salary_usd",
                    min_count: int = K.CATEGORY_MIN_COUNT) -> DataFrame:
-    out = grouped_stats(df, [cat], value, [F.count(value).alias("count"), exact_mean(value, 4).alias("mean"),
-                                           F.stddev_samp(value).alias("std")],
+    out = grouped_stats(df, [cat], value, {"count": "count", "mean": "mean:4", "std": "std"},
                         {"median": 0.5, "q25": 0.25, "q75": 0.75})
     out = out.where(F.col("count") >= min_count)
     return out.select(cat, "count", "mean", "median", "q25", "q75", "std").orderBy(F.desc("median"), cat)
@@ -149,43 +145,23 @@ def kde_curve(df: DataFrame, col: str, grid: int = 50) -> DataFrame:
     return sums.select(F.explode(points).alias("p")).select("p.*").orderBy("point")
 
 
-def boxplot_stats(df: DataFrame, keys, value: str) -> DataFrame:
-    """q1, median, q3, 1.5·IQR fences, whisker ends and outlier count per group.
+_BOX = ["q1", "median", "q3", "fence_low", "fence_high", "whisker_low", "whisker_high", "n_outliers", "n"]
 
-    One pass over the input (``value_profile``): the fences come from the
-    quartiles, and the whiskers and outlier counts from the checkpointed
-    distinct-value table (each distinct value carries its count), which meets
-    the one-row-per-group fence table in a join — no second pass over the rows.
-    """
-    from paysift.operators.ranking import quantiles_from_profile, value_profile
-    from paysift.session import materialize
+
+def boxplot_stats(df: DataFrame, keys, value: str) -> DataFrame:
+    """q1, median, q3, 1.5·IQR fences, whisker ends and outlier count per group, from the counts of the
+    value's bins; only rows of bins that hold a quartile or a fence are looked at again (``selection.box_stats``)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    base, d = value_profile(df, keys, value, [])
-    q = quantiles_from_profile(d, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    q = (q.withColumn("_iqr", F.col("q3") - F.col("q1"))
-          .withColumn("fence_low", F.col("q1") - 1.5 * F.col("_iqr"))
-          .withColumn("fence_high", F.col("q3") + 1.5 * F.col("_iqr")).drop("_iqr"))
-    q = materialize(q)
-    j = _join_on(d, q, keys, "inner")
-    v = F.col("_v")
-    inside = (v >= F.col("fence_low")) & (v <= F.col("fence_high"))
-    stats = j.groupBy(*keys).agg(
-        F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("_c")).otherwise(0)).cast("long").alias("n_outliers"),
-        F.sum("_c").cast("long").alias("n"))
-    return _join_on(q, stats, keys).orderBy(*keys)
+    out, _ = box_stats(df, {"": group_struct(keys)}, value)
+    return out.select(*[F.col("_g")[k].alias(k) for k in keys], *_BOX).orderBy(*keys)
 
 
 def boxplot_by_dimensions(df: DataFrame, dims: dict, value: str) -> DataFrame:
-    """Box-plot statistics for several groupings at once: every row is
-    exploded into one (dimension, group_value) pair per grouping, so all of
-    them come out of the same passes.  ``dims`` maps a name to a column
-    (rows whose column is null are left out of that dimension)."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("group_value"))
-                      for n, c in dims.items()])
-    long = (df.select(F.explode(pairs).alias("_d"), value)
-              .select("_d.dimension", "_d.group_value", value).where(F.col("group_value").isNotNull()))
-    return boxplot_stats(long, ["dimension", "group_value"], value)
+    """Box-plot statistics for several groupings in the same passes, without a copy of a row for each.
+    ``dims`` maps a name to a column (rows whose column is null are left out of that dimension)."""
+    out, names = box_stats(df, {n: c.cast("string") for n, c in dims.items()}, value)
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_d") + 1)
+    return out.select(name.alias("dimension"), F.col("_g").alias("group_value"), *_BOX).orderBy("dimension", "group_value")
 
 
 def corr_by_count(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -195,10 +171,7 @@ def corr_by_count(df: DataFrame, x: str, y: str) -> DataFrame:
     which the global correlation follows (x is constant inside its group), so
     the scalar is an aggregate over one row per distinct x, not another scan.
     """
-    yv = F.col(y).cast("double")
-    out = grouped_stats(df.where(F.col(x).isNotNull()), [x], y,
-                        [F.count(y).alias("n"), exact_mean(y, 4).alias("mean_y"),
-                         F.sum(yv).alias("_sy"), F.sum(yv * yv).alias("_syy")], {"median_y": 0.5})
+    out = grouped_stats(df.where(F.col(x).isNotNull()), [x], y, {"n": "count", "mean_y": "mean:4", "_sy": "sum", "_syy": "sum_squares"}, {"median_y": 0.5})
     from paysift.session import materialize
     out = materialize(out)
     xv, n = F.col(x).cast("double"), F.col("n").cast("double")
@@ -229,11 +202,10 @@ def peer_percentile(df: DataFrame, keys: Sequence[str], value: str,
     """Every row's place inside its peer group: sample size, percent of peers
     strictly below (1 dp), median / p25 / p75 (0 dp), and ``enough`` (n ≥ min).
 
-    Ranks come from a range-sorted running count and quantiles from
-    ``group_quantiles``, so a peer group of any size is split over many tasks.
+    Ranks come from a written index of the groups' values and quantiles from its bins, so a peer
+    group of any size is split over many tasks.
     """
     keys = list(keys)
-    # ranks and quantiles come from one range-sorted table of distinct values
     j = rank_below(df, keys, value, probs={"_med": 0.5, "_p25": 0.25, "_p75": 0.75})
     n = F.coalesce(F.col("_n"), F.lit(0))
     ok = n >= min_samples
@@ -249,23 +221,19 @@ def request_percentile(requests: DataFrame, reference: DataFrame, keys: Sequence
     """Each request's place among the reference rows of its group: sample size, whether that is
     enough, percent of them strictly below (1 dp), and their median / p25 / p75 (0 dp).
 
-    Request keys are trimmed and upper-cased.  The requests' values join the reference's
-    distinct values with weight 0 in one range-sorted table, so neither a large group nor many
-    requests for one go to one task.  Rows with a null value have no place; requests of an
-    unknown group have sample size 0.
+    Request keys are trimmed and upper-cased.  The requests look their places up in the index of the reference
+    (``selection.RankIndex``), each different (group, value) once, so neither a large group nor many requests for one
+    go to one task.  Rows with a null value have no place; requests of an unknown group have sample size 0.
     """
     keys = list(keys)
-    group = lambda norm: F.struct(*[(norm_upper(k) if norm else F.col(k)).alias(k) for k in keys])
-    asked = requests.withColumn("_g", group(True)).withColumn("_v", F.col(value).cast("double"))
-    known = reference.where(F.col(value).isNotNull()).select(group(False).alias("_g"), F.col(value).cast("double").alias("_v"), F.lit(1).cast("long").alias("_c"))
-    wanted = asked.where(F.col("_v").isNotNull()).select("_g", "_v", F.lit(0).cast("long").alias("_c"))
-    rows, offsets = running_below(known.unionByName(wanted).groupBy("_g", "_v").agg(F.sum("_c").alias("_c")), "_g", "_v", "_c")
-    q = quantiles_from_running(rows, offsets, {"_p25": 0.25, "_med": 0.5, "_p75": 0.75}).withColumnRenamed("_g", "_qg")
-    sizes = offsets.groupBy(F.col("_g").alias("_sg")).agg(F.max("_n").alias("_n"))
-    place = rows.select(F.col("_g").alias("_rg"), F.col("_v").alias("_rv"), "_below")
-    j = (asked.join(sizes, F.col("_g").eqNullSafe(F.col("_sg")), "left")
-              .join(place, asked["_g"].eqNullSafe(place["_rg"]) & (asked["_v"] == place["_rv"]), "left")
-              .join(q, F.col("_g").eqNullSafe(F.col("_qg")), "left"))
+    index = RankIndex(reference, keys, value)
+    asked = (requests.withColumn("_g", F.struct(*[norm_upper(k).alias(k) for k in keys])).withColumn("_v", F.col(value).cast("double")))
+    q = index.bins.quantiles({"_p25": 0.25, "_med": 0.5, "_p75": 0.75}).drop("_d").withColumnRenamed("_g", "_qg")
+    sizes = index.sizes.select(F.col("_g").alias("_sg"), "_n")
+    place = index.of_requests(asked).select(F.col("_g").alias("_rg"), F.col("_v").alias("_rv"), "_below")
+    j = (asked.join(sizes, F.col("_g") == F.col("_sg"), "left")
+              .join(place, (asked["_g"] == place["_rg"]) & (asked["_v"] == place["_rv"]), "left")
+              .join(q, F.col("_g") == F.col("_qg"), "left"))
     n = F.coalesce("_n", F.lit(0))
     ok = n >= min_samples
     whole = lambda c: F.when(ok, F.bround(c, 0))

@@ -1,24 +1,16 @@
-"""Order statistics that stay correct and balanced when one group is huge.
-
-A window ``PARTITION BY g ORDER BY v`` or an exact ``percentile`` aggregate
-sends a whole group to one task.  Here the data is range-partitioned on
-``(g, v)`` instead, so a hot group spreads over many partitions; each
-partition computes local positions, and a small table of per-(partition,
-group) totals (at most partitions + groups rows) turns them into global ones.
-
-* ``row_numbers``   — 1-based consecutive numbers in a total order.
-* ``running_below`` — per row of a (group, value, weight) table, the weight of
-  strictly smaller values in the group, and the group total.
-* ``group_quantiles`` — exact linear-interpolated quantiles (pandas/DuckDB
-  ``quantile_cont`` semantics), by the same running weights at every size.
+"""Numbering, top rows of groups and null-safe joins.
+
+``row_numbers`` range-partitions the rows in a total order, so that no task holds them all; order statistics
+of groups are in ``selection``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 
@@ -34,26 +26,25 @@ def _materialize(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def _group_struct(keys: Sequence[str]) -> Column:
-    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
-
-
 def row_numbers(df: DataFrame, order_cols: Sequence[str], name: str = "row_num",
                 num_partitions: int | None = None, total_name: str | None = None) -> DataFrame:
     """Consecutive 1-based numbers following ``order_cols`` (nulls first); every row
     gets one, also rows with null or equal order values, which are numbered next to
     each other.
 
-    The rows are range-partitioned, sorted and written once with their place in
-    their partition; the partitions' offsets, one row each, are added to it.  No
-    single-partition window over the rows and no join on the order columns.
+    The input is written once, since the range partitioner samples it in a job of its own.  Rows are then
+    range-partitioned by the order columns and a hash of the whole row, so equal keys spread too, sorted, and
+    written once with their place in their partition; the partitions' offsets, one row each, are added to
+    it.  No single-partition window over the rows and no join on the order columns.
     """
     n = _partitions(df, num_partitions)
     order_cols = list(order_cols)
+    df = _materialize(df)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, (MapType, VariantType))])
     # Range bounds come from a sample, so two evaluations of the exchange can
     # cut the data differently; the places are made once and checkpointed.
-    s = _materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-                       .withColumn("_mid", F.monotonically_increasing_id()))
+    s = _materialize(df.withColumn("_tie", tie).repartitionByRange(n, *order_cols, "_tie").sortWithinPartitions(*order_cols, "_tie")
+                       .drop("_tie").withColumn("_mid", F.monotonically_increasing_id()))
     s = (s.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
           .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -67,79 +58,6 @@ def row_numbers(df: DataFrame, order_cols: Sequence[str], name: str = "row_num",
     return num.withColumnRenamed("_total", total_name) if total_name else num.drop("_total")
 
 
-def running_below(d: DataFrame, group_col: str, order_col: str, weight_col: str,
-                  num_partitions: int | None = None, is_written: bool = False) -> tuple[DataFrame, DataFrame]:
-    """For a table with one row per (group, value): weight of smaller values in the group.
-
-    Returns ``(rows, offsets)``: ``rows`` adds ``_pid, _below, _n``;
-    ``offsets`` is (``_pid, group, _offset, _tot, _n``), at most partitions + groups rows.
-    """
-    n = _partitions(d, num_partitions)
-    # The range partitioner samples its input in a job of its own; unless it
-    # is_written already, it is written once so that sample does not recompute the upstream plan.
-    d = d if is_written else _materialize(d)
-    s = _materialize(d.repartitionByRange(n, group_col, order_col)
-                      .withColumn("_pid", F.spark_partition_id()))
-    wl = Window.partitionBy("_pid", group_col).orderBy(order_col)
-    local = s.withColumn(
-        "_local_below",
-        F.coalesce(F.sum(weight_col).over(wl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    tot = s.groupBy("_pid", group_col).agg(F.sum(weight_col).alias("_tot"))
-    wo = Window.partitionBy(group_col).orderBy("_pid")
-    offsets = (tot.withColumn("_offset", F.coalesce(
-                    F.sum("_tot").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                  .withColumn("_n", F.sum("_tot").over(Window.partitionBy(group_col))))
-    o = offsets.select(F.col("_pid").alias("_opid"), F.col(group_col).alias("_og"), "_offset", "_n")
-    rows = (local.join(o, (local["_pid"] == o["_opid"]) & local[group_col].eqNullSafe(o["_og"]))
-                 .withColumn("_below", F.col("_offset") + F.col("_local_below"))
-                 .drop("_opid", "_og", "_offset", "_local_below"))
-    return rows, offsets
-
-
-def group_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Mapping[str, float]) -> DataFrame:
-    """Exact quantiles of ``value`` per group: columns ``keys + list(probs)``.
-
-    Nulls are ignored; a group whose values are all null has null quantiles.
-    """
-    return grouped_stats(df, keys, value, [], probs)
-
-
-def quantiles_from_running(rows: DataFrame, offsets: DataFrame, probs: Mapping[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per ``_g`` from the output of
-    ``running_below`` over a (``_g``, ``_v``, ``_c``) table: ``_g`` + one column per quantile.
-
-    Every target rank is located in the partition that holds it through the
-    small offsets table, then matched against the rows of that partition only.
-    """
-    groups = offsets.select("_g", "_n").dropDuplicates(["_g"])
-    wanted = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p"))
-                       for name, p in probs.items()])
-    targets = (groups.select("_g", "_n", F.explode(wanted).alias("_w"))
-                     .select("_g", F.col("_w.q").alias("_q"),
-                             (F.col("_w.p") * (F.col("_n") - 1)).alias("_pos")))
-    ends = F.array(F.struct(F.floor("_pos").alias("k"), F.lit(True).alias("lo")),
-                   F.struct(F.ceil("_pos").alias("k"), F.lit(False).alias("lo")))
-    targets = (targets.withColumn("_frac", F.col("_pos") - F.floor("_pos"))
-                      .withColumn("_e", F.explode(ends))
-                      .select("_g", "_q", "_frac", F.col("_e.k").alias("_k"), F.col("_e.lo").alias("_is_lo")))
-    # locate the partition holding each target rank (small x small join)
-    o = offsets.select(F.col("_g").alias("_og"), "_pid", "_offset",
-                       (F.col("_offset") + F.col("_tot")).alias("_end"))
-    located = targets.join(o, targets["_g"].eqNullSafe(o["_og"])
-                           & (targets["_k"] >= o["_offset"]) & (targets["_k"] < o["_end"])).drop("_og")
-    r = rows.select(F.col("_pid").alias("_rpid"), F.col("_g").alias("_rg"), "_v", "_below", "_c")
-    hit = located.join(r, (located["_pid"] == r["_rpid"]) & located["_g"].eqNullSafe(r["_rg"])
-                       & (located["_k"] >= r["_below"]) & (located["_k"] < r["_below"] + r["_c"]))
-    per_q = hit.groupBy("_g", "_q").agg(
-        F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_lo"),
-        F.max(F.when(~F.col("_is_lo"), F.col("_v"))).alias("_hi"),
-        F.max("_frac").alias("_frac"))
-    per_q = per_q.withColumn("_val", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
-    return per_q.groupBy("_g").agg(*[F.max(F.when(F.col("_q") == name, F.col("_val"))).alias(name)
-                                     for name in probs])
-
-
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                     n: int, name: str = "rank") -> DataFrame:
     """Exactly the first ``n`` rows of every group under ``order`` (a total order).
@@ -151,31 +69,6 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
-def rank_below(df: DataFrame, keys: Sequence[str], value: str,
-               num_partitions: int | None = None,
-               probs: Mapping[str, float] | None = None) -> DataFrame:
-    """Per row: ``_below`` = rows of its group with a strictly smaller ``value``
-    (``rank() - 1``) and ``_n`` = non-null rows in the group, without a
-    per-group window: one row per distinct (group, value) is range-sorted.
-
-    With ``probs`` the group's exact quantiles are added as columns too; they
-    come from the same range-sorted, checkpointed table, so no extra pass over
-    the input is needed to size the groups first.
-    """
-    keys = list(keys)
-    base = df.withColumn("_g", _group_struct(keys))
-    d = base.where(F.col(value).isNotNull()).groupBy("_g", F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"))
-    rows, offsets = running_below(d, "_g", "_v", "_c", num_partitions)
-    r = rows.select(F.col("_g").alias("_rg"), F.col("_v").alias("_rv"), "_below", "_n")
-    out = base.join(r, base["_g"].eqNullSafe(r["_rg"]) & (base[value].cast("double") == r["_rv"]), "left")
-    out = out.drop("_rg", "_rv")
-    if probs:
-        q = quantiles_from_running(rows, offsets, probs).withColumnRenamed("_g", "_qg")
-        out = out.join(q, out["_g"].eqNullSafe(q["_qg"]), "left").drop("_qg")
-    return out.drop("_g")
-
-
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join on ``keys`` keeping one copy of each key column."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -184,41 +77,3 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
         e = left[k].eqNullSafe(r[f"_r_{k}"])
         cond = e if cond is None else cond & e
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
-def value_profile(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column]):
-    """One pass over the input: a grouping-sets aggregate returning, per group,
-    the plain aggregates ``aggs`` and ``_c`` (non-null count), and per distinct
-    (group, value) its count.  The result is checkpointed (it is read several
-    times) and returned as ``(base, d)``: ``base`` = keys + aggs + ``_c``;
-    ``d`` = keys + ``_v`` + ``_c``."""
-    keys = list(keys)
-    g = df.withColumn("_v", F.col(value).cast("double"))
-    sets = g.groupingSets([keys, keys + ["_v"]], *keys, "_v").agg(
-        *aggs, F.count("_v").alias("_c"), F.grouping_id().alias("_gid"))
-    m = _materialize(sets)
-    agg_cols = [c for c in m.columns if c not in keys + ["_v", "_c", "_gid"]]
-    base = m.where(F.col("_gid") == 1).select(*keys, *agg_cols, "_c")
-    d = m.where((F.col("_gid") == 0) & F.col("_v").isNotNull()).select(*keys, "_v", "_c")
-    return base, d
-
-
-def quantiles_from_profile(d: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
-    """Exact quantiles per group from the distinct values of ``value_profile``, by
-    the range-sorted running count: a hot group is spread over many tasks, and no
-    pass over the input is needed."""
-    keys = list(keys)
-    rows, offsets = running_below(d.select(_group_struct(keys).alias("_g"), "_v", "_c"), "_g", "_v", "_c", is_written=True)
-    q = quantiles_from_running(rows, offsets, probs)
-    return q.select(*[F.col("_g")[k].alias(k) for k in keys], *probs.keys())
-
-
-def grouped_stats(df: DataFrame, keys: Sequence[str], value: str, aggs: Sequence[Column],
-                  probs: Mapping[str, float]) -> DataFrame:
-    """Plain aggregates plus exact quantiles per group, from one pass over the input
-    (``value_profile``)."""
-    keys = list(keys)
-    if not keys:  # the global case is the one-group case
-        return grouped_stats(df.withColumn("_all", F.lit(0)), ["_all"], value, aggs, probs).drop("_all")
-    base, d = value_profile(df, keys, value, aggs)
-    return join_on_keys(base.drop("_c"), quantiles_from_profile(d, keys, probs), keys)

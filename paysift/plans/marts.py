@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paysift.functions import constants as K
 from paysift.functions.expr import lookup, to_date_safe, year_month
 from paysift.operators.clean import clean_postings, surrogate_id
+from paysift.session import materialize
 from paysift.sources.postings import postings
 
 MAIN_COLUMNS = ["job_title", "salary_usd", "experience_level", "employment_type", "company_size",
@@ -20,6 +21,11 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_postings(postings(spark, sf_dir))
 
 
+def stored_clean(spark: SparkSession, sf_dir: str, *cols) -> DataFrame:
+    """Columns of the cleaned postings, written once: for operators that scan their input several times."""
+    return materialize(cleaned(spark, sf_dir).select(*cols))
+
+
 def mart_clean(raw: DataFrame) -> DataFrame:
     """Whole cleaning job: typed, filled, filtered, split, normalised, then numbered
     ``AI00001…`` in source-key order (numbering after the filter gives gap-free ids)."""

@@ -9,7 +9,8 @@ from paysift.functions.expr import exact_mean as exact_mean_col, year_month
 from paysift.operators import aggregates as A
 from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles, sql_case
-from paysift.plans.marts import cleaned, mart_main
+from paysift.plans.marts import cleaned, mart_main, stored_clean
+from paysift.session import materialize
 from paysift.plans.registry import register
 from paysift.functions.sampling import hash_split
 from paysift.plans.sql import hash_bucket as sql_hash
@@ -44,7 +45,7 @@ SELECT country, {exact_mean_whole('salary_usd')} AS avg_salary,
        {_COUNTRY_NAME_SQL} AS country_name
 FROM cleaned GROUP BY country ORDER BY avg_salary DESC, country"""))
 def agg_country_summary(spark, sf):
-    return A.country_summary(cleaned(spark, sf))
+    return A.country_summary(stored_clean(spark, sf, "country", "salary_usd"))
 
 
 @register("agg_level_describe", with_main(f"""
@@ -55,7 +56,8 @@ SELECT experience_level, exp_label, exp_order, count(salary_usd) AS count,
   round(max(salary_usd), 4) AS max
 FROM main WHERE exp_order IS NOT NULL GROUP BY ALL ORDER BY exp_order"""))
 def agg_level_describe(spark, sf):
-    return round_doubles(A.level_describe(mart_main(cleaned(spark, sf))))
+    main = mart_main(cleaned(spark, sf)).select("experience_level", "exp_label", "exp_order", "salary_usd")
+    return round_doubles(A.level_describe(materialize(main)))
 
 
 @register("agg_industry_mean", with_base(f"""
@@ -95,9 +97,8 @@ SELECT job_category, count(salary_usd) AS count, round({exact_mean('salary_usd')
 FROM (SELECT *, {category_sql('job_title')} AS job_category FROM cleaned)
 GROUP BY job_category HAVING count(salary_usd) >= 50 ORDER BY median DESC, job_category"""))
 def agg_category_stats(spark, sf):
-    c = cleaned(spark, sf).withColumn(
-        "job_category", classify_keywords("job_title", DATA_CATEGORIES, DATA_CATEGORY_DEFAULT))
-    return round_doubles(A.category_stats(c))
+    category = classify_keywords("job_title", DATA_CATEGORIES, DATA_CATEGORY_DEFAULT).alias("job_category")
+    return round_doubles(A.category_stats(stored_clean(spark, sf, category, "salary_usd")))
 
 
 @register("agg_value_counts", with_base("""
@@ -123,7 +124,7 @@ SELECT '{c}' AS column_name, count({c}) AS count, round({exact_mean(c)}, 4) AS m
   round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS median,
   round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM cleaned""" for c in _DESCRIBE_COLS)))
 def agg_describe(spark, sf):
-    return round_doubles(A.describe_columns(cleaned(spark, sf), _DESCRIBE_COLS))
+    return round_doubles(A.describe_columns(stored_clean(spark, sf, *_DESCRIBE_COLS), _DESCRIBE_COLS))
 
 
 @register("agg_global_baseline", with_base(f""", m AS (
@@ -150,7 +151,7 @@ SELECT job_id, country, experience_level, round(salary_usd, 4) AS salary_usd,
   CASE WHEN count(salary_usd) OVER g >= 10 THEN round_even(quantile_cont(salary_usd, 0.75) OVER g, 0) END AS p75
 FROM cleaned WINDOW g AS (PARTITION BY country, experience_level)"""))
 def peer_percentile(spark, sf):
-    c = cleaned(spark, sf).select("job_id", "country", "experience_level", "salary_usd")
+    c = stored_clean(spark, sf, "job_id", "country", "experience_level", "salary_usd")
     return round_doubles(A.peer_percentile(c, ["country", "experience_level"], "salary_usd"))
 
 
@@ -170,7 +171,7 @@ FROM req r LEFT JOIN q ON q.country = upper(trim(r.country)) AND q.experience_le
 LEFT JOIN below b ON b.job_id = r.job_id"""))
 def peer_percentile_request(spark, sf):
     """Raised salaries of the held-out postings, their keys as users type them, among the others."""
-    c = cleaned(spark, sf).select("job_id", "country", "experience_level", "salary_usd", hash_split(F.col("job_id")).alias("part"))
+    c = stored_clean(spark, sf, "job_id", "country", "experience_level", "salary_usd", hash_split(F.col("job_id")).alias("part"))
     asked = c.where("part = 'test'").select("job_id", F.concat(F.lit(" "), F.lower("country"), F.lit(" ")).alias("country"),
                                             F.lower("experience_level").alias("experience_level"), (F.col("salary_usd") + 5000).alias("salary_usd"))
     return round_doubles(A.request_percentile(asked, c.where("part = 'train'"), ["country", "experience_level"], "salary_usd"))
@@ -223,7 +224,8 @@ FROM f JOIN long l ON l.dimension = f.dimension AND l.group_value = f.group_valu
 WHERE l.cents IS NOT NULL
 GROUP BY ALL ORDER BY 1, 2"""))
 def boxplot_stats(spark, sf):
-    c = cleaned(spark, sf).withColumn("cents", F.round(F.col("salary_usd") * 100).cast("long"))
+    category = classify_keywords("job_title", DATA_CATEGORIES, DATA_CATEGORY_DEFAULT).alias("job_category")
+    c = stored_clean(spark, sf, "experience_level", "company_size", "industry", "remote_ratio", category, F.round(F.col("salary_usd") * 100).cast("long").alias("cents"))
     # the top-10 industry list is at most 10 rows: a bounded broadcast
     top = F.broadcast(A.value_counts(c, "industry").limit(10).select(F.col("industry").alias("_top")))
     c = c.join(top, c["industry"] == top["_top"], "left")
@@ -232,7 +234,7 @@ def boxplot_stats(spark, sf):
         "company_size": F.col("company_size"),
         "industry": F.when(F.col("_top").isNotNull(), F.col("industry")),
         "remote_ratio": F.col("remote_ratio"),
-        "job_category": classify_keywords("job_title", DATA_CATEGORIES, DATA_CATEGORY_DEFAULT),
+        "job_category": F.col("job_category"),
     }
     out = A.boxplot_by_dimensions(c, dims, "cents")
     money = ["q1", "median", "q3", "fence_low", "fence_high", "whisker_low", "whisker_high"]
@@ -247,6 +249,6 @@ SELECT skill_count, count(salary_usd) AS n, round({exact_mean('salary_usd')}, 4)
   round((SELECT corr(skill_count, salary_usd) FROM x), 4) AS corr_xy
 FROM x GROUP BY skill_count ORDER BY skill_count"""))
 def corr_skill_count(spark, sf):
-    c = cleaned(spark, sf).select(F.size("skills_array").cast("int").alias("skill_count"), "salary_usd")
+    c = stored_clean(spark, sf, F.size("skills_array").cast("int").alias("skill_count"), "salary_usd")
     out = A.corr_by_count(c, "skill_count", "salary_usd")
     return round_doubles(out.select("skill_count", "n", "mean_y", "median_y", "corr_xy"))

@@ -9,9 +9,10 @@ from paysift.functions.expr import lookup, title_case
 from paysift.functions.sampling import hash_split
 from paysift.operators import rules as R
 from paysift.operators import text as TX
-from paysift.operators.ranking import grouped_stats, top_n_per_group
+from paysift.operators.ranking import top_n_per_group
+from paysift.operators.selection import grouped_stats
 from paysift.plans.common import round_doubles, sql_case
-from paysift.plans.marts import cleaned
+from paysift.plans.marts import cleaned, stored_clean
 from paysift.plans.registry import register
 from paysift.plans.sql import hash_bucket, title_case as sql_title, with_base
 from paysift.session import materialize
@@ -180,9 +181,8 @@ SELECT c.job_id, c.country, round(c.salary_usd, 4) AS salary_usd,
        ELSE 'level' END AS geo_band
 FROM cleaned c LEFT JOIN bm ON c.country = bm.country"""))
 def benchmark_gap(spark, sf):
-    c = cleaned(spark, sf).select("job_id", "country", "salary_usd")
-    # one row per country from a single pass; broadcast behind a row-count check
-    bm = grouped_stats(c, ["country"], "salary_usd", [F.count("salary_usd").alias("_n")], {"benchmark": 0.5})
+    c = stored_clean(spark, sf, "job_id", "country", "salary_usd")
+    bm = grouped_stats(c, ["country"], "salary_usd", {"_n": "count"}, {"benchmark": 0.5})
     j = c.join(materialize(bm.drop("_n")), "country", "left")
     b = F.coalesce(F.col("benchmark"), F.lit(float(K.BENCHMARK_DEFAULT)))
     gap = F.col("salary_usd") - b

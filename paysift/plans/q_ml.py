@@ -17,7 +17,7 @@ from paysift.functions.sampling import hash_split
 from paysift.operators import features as FE
 from paysift.operators import ml as M
 from paysift.operators.columns import vector_to_columns
-from paysift.operators.ranking import grouped_stats
+from paysift.operators.selection import grouped_stats
 from paysift.plans.common import round_doubles
 from paysift.plans.marts import cleaned
 from paysift.plans.registry import register
@@ -349,7 +349,7 @@ def dependence_table_all(spark, sf):
 def _dependence(wide, feats):
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(M.contribution_col(f)).alias("c")) for f in feats])
     long = wide.select("experience_level", F.explode(pairs).alias("x")).select("experience_level", "x.feature", "x.value", "x.c")
-    out = grouped_stats(long, ["feature", "value", "experience_level"], "c", [F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean_contribution")],
+    out = grouped_stats(materialize(long), ["feature", "value", "experience_level"], "c", {"n": "rows", "mean_contribution": "mean:8"},
                         {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     return round_doubles(out)
 

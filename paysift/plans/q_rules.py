@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from paysift.functions import constants as K
 from paysift.functions import expr as X
 from paysift.operators import rules as R
-from paysift.operators.ranking import grouped_stats
+from paysift.operators.selection import grouped_stats
 from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles, sql_case
-from paysift.plans.marts import cleaned
+from paysift.plans.marts import cleaned, stored_clean
 from paysift.plans.q_aggregates import DATA_CATEGORIES, DATA_CATEGORY_DEFAULT, category_sql
 from paysift.plans.registry import register
 from paysift.plans.sql import title_case, with_base
@@ -188,10 +188,9 @@ SELECT p.job_id, p.experience_level, p.country, p.industry, p.skill_count, round
        WHEN p.experience_level = 'EN' THEN '{K.NEGOTIATION_ENTRY}' ELSE '{K.NEGOTIATION_DEFAULT}' END AS negotiation
 FROM p LEFT JOIN bm ON p.country = bm.country LEFT JOIN hv ON p.country = hv.country"""))
 def advise_rules(spark, sf):
-    c = cleaned(spark, sf)
+    c = stored_clean(spark, sf, "job_id", "experience_level", "country", "industry", "skills_array", "salary_usd")
     # one row per country, read twice (join and top-k): computed once
-    bm = materialize(grouped_stats(c, ["country"], "salary_usd", [F.count("salary_usd").alias("_n")],
-                                   {"benchmark": 0.5}).drop("_n"))
+    bm = materialize(grouped_stats(c, ["country"], "salary_usd", {"_n": "count"}, {"benchmark": 0.5}).drop("_n"))
     # the high-value list is a top-k of at most K rows: a bounded broadcast
     hv = F.broadcast(bm.orderBy(F.desc("benchmark"), "country").limit(K.HIGH_VALUE_COUNTRY_COUNT).select("country"))
     prof = c.select("job_id", "experience_level", "country", "industry",

@@ -8,7 +8,7 @@ from paysift.operators import aggregates as A
 from paysift.operators import timeseries as T
 from paysift.operators.ranking import row_numbers, top_n_per_group
 from paysift.plans.common import round_doubles
-from paysift.plans.marts import cleaned
+from paysift.plans.marts import cleaned, stored_clean
 from paysift.plans.registry import register
 from paysift.plans.sql import with_base
 from paysift.session import materialize
@@ -293,9 +293,8 @@ SELECT row_number() OVER (ORDER BY median_salary DESC, country) AS position, * F
   SELECT country, round_even(quantile_cont(salary_usd, 0.5), 0) AS median_salary, count(*) AS job_count
   FROM cleaned GROUP BY country)"""))
 def sort_mart(spark, sf):
-    c = cleaned(spark, sf)
-    m = A.grouped_stats(c, ["country"], "salary_usd", [F.count(F.lit(1)).alias("job_count")],
-                        {"median_salary": 0.5}) \
+    c = stored_clean(spark, sf, "country", "salary_usd")
+    m = A.grouped_stats(c, ["country"], "salary_usd", {"job_count": "rows"}, {"median_salary": 0.5}) \
          .withColumn("median_salary", F.bround("median_salary", 0)).withColumn("_neg", -F.col("median_salary"))
     out = row_numbers(m, ["_neg", "country"], "position").drop("_neg")
     return out.select("position", "country", "median_salary", "job_count").orderBy("position")

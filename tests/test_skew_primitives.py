@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from paysift.operators.ranking import group_quantiles, rank_below, row_numbers, top_n_per_group
+from paysift.operators.ranking import row_numbers, top_n_per_group
+from paysift.operators.selection import RankIndex, group_quantiles, rank_below
 
 
 @pytest.fixture(scope="module")
@@ -129,7 +130,7 @@ from hypothesis import strategies as st  # noqa: E402
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 6)), min_size=1, max_size=60))
 def test_rank_below_property(spark, rows):
     df = spark.createDataFrame([(i, g, float(v)) for i, (g, v) in enumerate(rows)], "id long, g string, v double")
-    got = {r["id"]: (r["_below"], r["_n"]) for r in rank_below(df, ["g"], "v", num_partitions=3).collect()}
+    got = {r["id"]: (r["_below"], r["_n"]) for r in rank_below(df, ["g"], "v", leaf=4).collect()}
     for i, (g, v) in enumerate(rows):
         peers = [w for h, w in rows if h == g]
         assert got[i] == (sum(1 for w in peers if w < v), len(peers))
