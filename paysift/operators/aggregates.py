@@ -228,12 +228,10 @@ def request_percentile(requests: DataFrame, reference: DataFrame, keys: Sequence
     keys = list(keys)
     index = RankIndex(reference, keys, value)
     asked = (requests.withColumn("_g", F.struct(*[norm_upper(k).alias(k) for k in keys])).withColumn("_v", F.col(value).cast("double")))
-    q = index.bins.quantiles({"_p25": 0.25, "_med": 0.5, "_p75": 0.75}).drop("_d").withColumnRenamed("_g", "_qg")
-    sizes = index.sizes.select(F.col("_g").alias("_sg"), "_n")
+    about = index.about({"_p25": 0.25, "_med": 0.5, "_p75": 0.75}).withColumnRenamed("_g", "_qg")
     place = index.of_requests(asked).select(F.col("_g").alias("_rg"), F.col("_v").alias("_rv"), "_below")
-    j = (asked.join(sizes, F.col("_g") == F.col("_sg"), "left")
-              .join(place, (asked["_g"] == place["_rg"]) & (asked["_v"] == place["_rv"]), "left")
-              .join(q, F.col("_g") == F.col("_qg"), "left"))
+    j = (asked.join(place, (asked["_g"] == place["_rg"]) & (asked["_v"] == place["_rv"]), "left")
+              .join(about, F.col("_g") == F.col("_qg"), "left"))
     n = F.coalesce("_n", F.lit(0))
     ok = n >= min_samples
     whole = lambda c: F.when(ok, F.bround(c, 0))

@@ -53,9 +53,9 @@ def group_struct(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(k).alias(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if it has few rows by count; else a shuffled join does the same."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows are few; else a shuffled join does the same."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 class Bins:
@@ -118,13 +118,13 @@ class Bins:
 
         return self.table.groupBy("_d", "_g").agg(*[one(k).alias(name) for name, k in wanted.items()])
 
-    def rows_within(self, spans: DataFrame) -> DataFrame:
-        """``spans`` (a written table with ``_d, _g, _b, lo, hi``) joined with the values ``_v`` of their groups that lie in them."""
-        spans = small(spans)
+    def rows_within(self, spans: DataFrame, count: int) -> DataFrame:
+        """``spans`` (``_d, _g, _b, lo, hi``, so many) joined with the values ``_v`` of their groups that lie in them."""
+        spans = small(spans, count)
         if len(self.keys) == 1:
             rows = self.rows.select(F.lit(0).alias("_d"), F.col("_g0").alias("_g"), "_v")
         else:  # only rows of these bins are dealt to their groupings
-            wanted = small(_materialize(spans.select("_b").distinct()))
+            wanted = small(spans.select("_b").distinct(), count)
             rows = self._long(self.rows.withColumn("_b", bin_of(F.col("_v"))).join(wanted, "_b", "left_semi").drop("_b"))
         r = rows.where(F.col("_g").isNotNull()).select(F.col("_d").alias("_rd"), F.col("_g").alias("_rg"), "_v")
         return r.join(spans, (r["_rd"] == spans["_d"]) & (r["_rg"] == spans["_g"]) & r["_v"].between(spans["lo"], spans["hi"])).drop("_rd", "_rg")
@@ -137,27 +137,35 @@ class Bins:
         at = (self.table.where("c > 0").withColumn("w", F.explode(ranks)).withColumn("r", rank - F.col("below"))
               .where((F.col("r") >= 0) & (F.col("r") < F.col("c")))
               .select("_d", "_g", "_b", "w.q", "w.up", (pos - F.floor(pos)).alias("frac"), "r", "c", "lo", "hi"))
-        found = None
+        found, last = None, False
         value = F.when((F.col("lo") == F.col("hi")) | (F.col("r") == 0), F.col("lo")).when(F.col("r") == F.col("c") - 1, F.col("hi"))
         while True:
-            at = _materialize(at.withColumn("value", value))
+            at = at.withColumn("value", value)
             done = at.where("value IS NOT NULL").select("_d", "_g", "q", "up", "frac", "value")
             found = done if found is None else found.unionByName(done)
             left = at.where("value IS NULL").drop("value")
-            if left.isEmpty():
+            if last:  # the parts of the level before held a value each
                 break
-            at = self._refined(left)
-        lower = F.max(F.when(~F.col("up"), F.col("value")))
-        upper = F.max(F.when(F.col("up"), F.col("value")))
-        each = found.groupBy("_d", "_g", "q").agg(lower.alias("a"), upper.alias("b"), F.max("frac").alias("frac"))
-        each = each.withColumn("x", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")))
-        return each.groupBy("_d", "_g").agg(*[F.max(F.when(F.col("q") == name, F.col("x"))).alias(name) for name in probs])
-
-    def _refined(self, left: DataFrame) -> DataFrame:
-        """The wanted ranks of ``left``, each with the part of its bin that holds it."""
-        spans = _materialize(left.select("_d", "_g", "_b", "lo", "hi", "c").distinct())
+            spans = left.select("_d", "_g", "_b", "lo", "hi", "c").distinct()
+            count, most = spans.agg(F.count(F.lit(1)), F.max("c")).first()
+            if not count:
+                break
+            at, last = self._refined(left, spans, count), most <= SMALL
+            at = at if last else _materialize(at)
+
+        def picked(name: str, up: bool, what: str = "value") -> Column:
+            return F.max(F.when((F.col("q") == name) & (F.col("up") == up), F.col(what)))
+
+        ends = found.groupBy("_d", "_g").agg(*[picked(name, up).alias(f"_{i}{int(up)}") for i, name in enumerate(probs) for up in (False, True)],
+                                             *[picked(name, True, "frac").alias(f"_{i}f") for i, name in enumerate(probs)])
+        low, high = (lambda i: F.col(f"_{i}0")), (lambda i: F.col(f"_{i}1"))
+        between = lambda i: F.when(low(i) == high(i), low(i)).otherwise(low(i) + (high(i) - low(i)) * F.col(f"_{i}f"))
+        return ends.select("_d", "_g", *[between(i).alias(name) for i, name in enumerate(probs)])
+
+    def _refined(self, left: DataFrame, spans: DataFrame, count: int) -> DataFrame:
+        """The wanted ranks of ``left``, each with the part of its bin, one of ``spans``, that holds it."""
         few = F.col("c") <= SMALL
-        parts = (self.rows_within(spans)
+        parts = (self.rows_within(spans, count)
                  .withColumn("_p", F.when(few, F.lit(0).cast("long")).otherwise(part_of(F.col("_v"), F.col("lo"), F.col("hi"), SPLIT)))
                  .withColumn("_x", F.when(few, F.col("_v")))
                  .groupBy("_d", "_g", "_b", "lo", "hi", "_p", "_x").agg(F.count(F.lit(1)).alias("c2"), F.min("_v").alias("lo2"), F.max("_v").alias("hi2")))
@@ -198,10 +206,10 @@ def box_stats(df: DataFrame, dims: Mapping[str, Column], value: str) -> tuple[Da
     outside = (F.col("hi") < F.col("fence_low")) | (F.col("lo") > F.col("fence_high"))
     whole = fenced.where(inside | outside).select(
         "_d", "_g", F.when(inside, F.col("lo")).alias("wl"), F.when(inside, F.col("hi")).alias("wh"), F.when(outside, F.col("c")).otherwise(0).alias("out"), "c")
-    cut = _materialize(fenced.where(~(inside | outside)).select("_d", "_g", "_b", "lo", "hi", "fence_low", "fence_high"))
+    cut = fenced.where(~(inside | outside)).select("_d", "_g", "_b", "lo", "hi", "fence_low", "fence_high")
     v = F.col("_v")
     kept = v.between(F.col("fence_low"), F.col("fence_high"))
-    near = (b.rows_within(cut).groupBy("_d", "_g").agg(
+    near = (b.rows_within(cut, cut.count()).groupBy("_d", "_g").agg(
         F.min(F.when(kept, v)).alias("wl"), F.max(F.when(kept, v)).alias("wh"), F.count_if(~kept).alias("out"), F.count(F.lit(1)).alias("c")))
     ends = (whole.unionByName(near).groupBy("_d", "_g").agg(
         F.min("wl").alias("whisker_low"), F.max("wh").alias("whisker_high"), F.sum("out").cast("long").alias("n_outliers"), F.sum("c").cast("long").alias("n")))
@@ -225,7 +233,8 @@ class RankIndex:
         self.levels = []
         while True:
             parts = F.when((F.col("c") > leaf) & (F.col("lo") < F.col("hi")), F.greatest(F.lit(2), F.ceil(4 * F.col("c") / leaf)))
-            nodes = _materialize(nodes.withColumn("parts", parts.cast("long")))
+            nodes = nodes.withColumn("parts", parts.cast("long"))
+            nodes = _materialize(nodes) if self.levels else nodes  # the first is a view of the bins' table
             self.levels.append(nodes)
             split = nodes.where("parts IS NOT NULL")
             if split.isEmpty():
@@ -254,14 +263,19 @@ class RankIndex:
         path = F.when(F.col("parts").isNotNull(), F.concat("path", F.array(part_of(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("parts"))))).otherwise(F.col("path"))
         return j.withColumn("path", path).drop("_sg", "_sp", "_lo", "_hi", "parts")
 
-    def of_table(self, df: DataFrame, value: str) -> DataFrame:
-        """``df``, rows of the indexed table, with ``_below`` and ``_n`` (null where the value is null)."""
+    def of_table(self, df: DataFrame, value: str, probs: Mapping[str, float] | None = None) -> DataFrame:
+        """``df``, rows of the indexed table, with ``_below`` (null where the value is null), the group's ``_n`` and,
+        with ``probs``, its quantiles."""
         at = self.values.select(F.col("_g").alias("_ig"), F.col("_v").alias("_iv"), "_below")
-        n = self.sizes.select(F.col("_g").alias("_ng"), "_n")
+        n = self.about(probs).withColumnRenamed("_g", "_ng")
         d = df.withColumn("_g", group_struct(self.keys)).withColumn("_v", F.col(value).cast("double"))
         j = d.join(at, (d["_g"] == at["_ig"]) & (d["_v"] == at["_iv"]), "left")
         return j.join(n, F.col("_g") == F.col("_ng"), "left").drop("_g", "_v", "_ig", "_iv", "_ng")
 
+    def about(self, probs: Mapping[str, float] | None = None) -> DataFrame:
+        """``_g, _n`` and quantiles of every group."""
+        return self.sizes.join(self.bins.quantiles(probs).drop("_d"), "_g", "left") if probs else self.sizes
+
     def of_requests(self, asked: DataFrame) -> DataFrame:
         """For distinct (``_g``, ``_v``), values of any table: ``_below``, the group's values that are less (0 for an unknown group)."""
         here = asked.select("_g", "_v").where(F.col("_v").isNotNull()).distinct().select("_g", "_v", F.array(bin_of(F.col("_v"))).alias("path"), F.lit(0).cast("long").alias("start"))
@@ -301,9 +315,4 @@ class RankIndex:
 def rank_below(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float] | None = None, leaf: int = LEAF) -> DataFrame:
     """Per row: ``_below`` = rows of its group with a strictly smaller ``value`` (``rank() - 1``) and ``_n`` = non-null rows of
     the group; with ``probs`` the group's exact quantiles too."""
-    index = RankIndex(df, keys, value, leaf)
-    out = index.of_table(df, value)
-    if probs:
-        q = index.bins.quantiles(probs).drop("_d").withColumnRenamed("_g", "_qg")
-        out = out.withColumn("_g", group_struct(list(keys))).join(q, F.col("_g") == F.col("_qg"), "left").drop("_g", "_qg")
-    return out
+    return RankIndex(df, keys, value, leaf).of_table(df, value, probs)
