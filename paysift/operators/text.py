@@ -53,68 +53,82 @@ def vocabulary(tokens: DataFrame, token_col: str = "token", min_count: int = 5,
     return materialize(row_numbers(v, ["_nf", "word"], "vocab_rank").drop("_nf"))
 
 
+def resolve_tokens(tokens: DataFrame, vocab: DataFrame, token_col: str = "token") -> DataFrame:
+    """``token, hit`` for each different token: the vocabulary word it stands for, null if none.
+
+    Priority: as typed, Title case, UPPER case, then case-insensitively (the least frequent vocabulary word of
+    that lower-case form wins, ties by the larger word).  The forms of a token meet one dictionary of words and lower-case
+    forms in one join; repeated tokens are merged map-side before.
+    """
+    t = tokens.groupBy(F.col(token_col).alias("token")).agg(F.lit(1).alias("_one")).select("token")
+    forms = F.array(*[F.struct(F.lit(k).alias("p"), F.lit(kind).alias("kind"), c.alias("form")) for k, (kind, c) in enumerate(
+        [("word", F.col("token")), ("word", title_case("token")), ("word", F.upper("token")), ("lower", F.lower("token"))])])
+    rarest = F.max_by("word", F.struct((-F.col("freq")).alias("f"), F.col("word").alias("w")))
+    entries = (vocab.select(F.lit("word").alias("kind"), F.col("word").alias("form"), F.col("word").alias("hit"))
+               .unionByName(vocab.groupBy(F.lower("word").alias("form")).agg(rarest.alias("hit")).withColumn("kind", F.lit("lower"))))
+    asked = t.select("token", F.explode(forms).alias("f")).select("token", "f.*")
+    return asked.join(entries, ["kind", "form"], "left").groupBy("token").agg(F.min_by("hit", F.when(F.col("hit").isNotNull(), F.col("p"))).alias("hit"))
+
+
 def vocab_match(requests: DataFrame, keys: Sequence[str], vocab: DataFrame) -> DataFrame:
-    """Match each request token to the vocabulary by priority: as typed, Title
-    case, UPPER case, then case-insensitively (the least frequent vocabulary
-    word of that lower-case form wins, ties by the larger word).
+    """Match each request token to the vocabulary (``resolve_tokens`` has the rules).
 
     ``requests`` is long form (``keys, pos, token``); the result adds ``hit``
-    (null when unmatched) and ``note`` (``tok→hit`` when they differ).  Four
-    equi-joins against the vocabulary replace the per-token dictionary probes;
-    adaptive execution broadcasts the vocabulary where its bytes are few enough.  (A single
-    join against a union of the four forms was measured slower: it always
-    needs a further shuffle to pick the best form per token.)
+    (null when unmatched) and ``note`` (``tok→hit`` when they differ).  The different tokens are resolved once into a written
+    table; the token table meets it in one join, which adaptive execution broadcasts or splits by its measured bytes.
     """
-    keys = list(keys)
-    v = vocab.select("word", "freq")
-    low = (vocab.select("word", "freq").withColumn("_l", F.lower("word"))
-            .groupBy("_l").agg(F.max_by("word", F.struct((-F.col("freq")).alias("f"), F.col("word").alias("w")))
-                               .alias("_lw")))
-    r = (requests.withColumn("_c1", F.col("token"))
-                 .withColumn("_c2", title_case("token"))
-                 .withColumn("_c3", F.upper("token"))
-                 .withColumn("_c4", F.lower("token")))
-    w = v.select(F.col("word").alias("_w"))
-    for i in (1, 2, 3):
-        wi = w.select(F.col("_w").alias(f"_h{i}"))
-        r = r.join(wi, r[f"_c{i}"] == wi[f"_h{i}"], "left")
-    r = r.join(low, r["_c4"] == low["_l"], "left")
-    hit = F.coalesce("_h1", "_h2", "_h3", "_lw")
-    out = r.select(*keys, "pos", "token", hit.alias("hit"))
+    from paysift.session import materialize
+    known = materialize(resolve_tokens(requests, vocab))
+    out = requests.select(*keys, "pos", "token").join(known, "token", "left").select(*keys, "pos", "token", "hit")
     return out.withColumn("note", F.when(F.col("hit").isNull(), F.lit(None))
                                    .when(F.col("hit") == F.col("token"), F.col("token"))
                                    .otherwise(F.concat("token", F.lit("→"), "hit")))
 
 
-def substrings(col: Column | str, min_len: int = 1) -> Column:
-    """All substrings of a string (quadratic in its length; words are short)."""
-    c = F.col(col) if isinstance(col, str) else col
-    n = F.length(c)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    return F.flatten(F.transform(
-        starts, lambda s: F.transform(F.sequence(F.lit(min_len), F.greatest(n - s + 1, F.lit(min_len))),
-                                      lambda ln: c.substr(s, ln))))
+#: Letters of a posting list's key.
+GRAM = 3
+
 
+def grams(chars: Column, n: Column, q: int) -> Column:
+    """The different runs of ``q`` letters of a word given as an array of its ``n`` letters (none if it is shorter)."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - q, F.lit(0))), lambda i: F.concat(*[F.get(chars, i + k) for k in range(q)]))
+    return F.when(n >= q, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
-def suggest_contained(unmatched: DataFrame, vocab: DataFrame) -> DataFrame:
+
+def _lettered(df: DataFrame, col: str) -> DataFrame:
+    """With the word's letters and their number, as columns of their own: they are used in many places."""
+    return df.withColumn("_c", F.split(col, "")).withColumn("_n", F.length(col))
+
+
+def suggest_contained(unmatched: DataFrame, vocab: DataFrame, q: int = GRAM) -> DataFrame:
     """For each unmatched token: the first vocabulary word (by ``vocab_rank``)
-    that contains the lower-cased token or is contained in it.
+    that contains the lower-cased token or is contained in it; none for an empty token.
 
-    Containment is turned into two equi-joins on enumerated substrings (of the
-    token, and of every vocabulary word), so no pair of token and word is formed
-    that does not share the substring.  Each token is looked up once, however many
-    requests repeat it, and each substring of the vocabulary keeps only the word
-    that would win, so a short token that very many words contain meets one row.
+    A posting list of the runs of up to ``q`` letters serves both ways, with work linear in a word's length:
+
+    * a word inside the token: the word is filed under its rarest run (itself, if it is no longer than ``q``), the token
+      asks for all of its runs;
+    * the token inside a word: words are filed under all of their runs, the token asks for its rarest one.  A token no longer than
+      ``q`` is a run itself, and takes the first word filed there.
+
+    What meets is verified by ``contains``.  Each token is looked up once, however many requests repeat it.
     """
-    first = F.min(F.struct("vocab_rank", "word")).alias("best")
-    tokens = unmatched.select(F.lower("token").alias("_lt")).distinct()
-    v = vocab.select("word", "vocab_rank")
-    # the word inside the token: substrings of the token meet the words
-    a = (tokens.select("_lt", F.explode(F.array_distinct(substrings(F.col("_lt")))).alias("_sub"))
-         .join(v, F.col("_sub") == F.col("word")).groupBy("_lt").agg(first))
-    # the token inside the word: substrings of the words meet the token
-    vs = (v.select("word", "vocab_rank", F.explode(F.array_distinct(substrings(F.col("word")))).alias("_sub"))
-          .groupBy("_sub").agg(first))
-    b = tokens.join(vs, F.col("_lt") == F.col("_sub")).select("_lt", "best")
-    best = a.unionByName(b).groupBy("_lt").agg(F.min("best").alias("best")).select("_lt", F.col("best.word").alias("suggestion"))
-    return unmatched.join(best, F.lower("token") == F.col("_lt"), "left").drop("_lt")
+    from paysift.session import materialize
+    best = F.min(F.struct("vocab_rank", "word")).alias("best")
+    words_ = _lettered(vocab.select("word", "vocab_rank"), "word")
+    filed = materialize(words_.select("word", "vocab_rank", "_n", F.explode(F.flatten(F.array(*[grams(F.col("_c"), F.col("_n"), k) for k in range(1, q + 1)]))).alias("gram")))
+    heads = materialize(filed.groupBy("gram").agg(F.count(F.lit(1)).alias("n_words"), best))
+    # of a word's longest runs, the one that the fewest words share
+    longest = filed.where(F.length("gram") == F.least(F.col("_n"), F.lit(q)))
+    key = (longest.join(heads.select("gram", "n_words"), "gram").groupBy("word", "vocab_rank")
+           .agg(F.min_by("gram", F.struct("n_words", "gram")).alias("gram")))
+    tokens = materialize(_lettered(unmatched.select(F.lower("token").alias("_lt")).distinct().where("_lt <> ''"), "_lt")
+                         .select("_lt", "_n", F.explode(F.flatten(F.array(*[grams(F.col("_c"), F.col("_n"), k) for k in range(1, q + 1)]))).alias("gram")))
+    inside = (tokens.join(key, "gram").where(F.col("_lt").contains(F.col("word"))).groupBy("_lt").agg(best))
+    short = tokens.where((F.col("_n") <= q) & (F.col("gram") == F.col("_lt"))).join(heads, "gram").select("_lt", "best")
+    asked = (tokens.where((F.col("_n") > q) & (F.length("gram") == q)).join(heads.select("gram", "n_words"), "gram", "left")
+             .groupBy("_lt").agg(F.min_by("gram", F.struct(F.coalesce("n_words", F.lit(0)).alias("n"), "gram")).alias("gram")))
+    around = asked.join(filed, "gram").where(F.col("word").contains(F.col("_lt"))).groupBy("_lt").agg(best)
+    found = (inside.unionByName(short).unionByName(around).groupBy("_lt").agg(F.min("best").alias("best"))
+             .select("_lt", F.col("best.word").alias("suggestion")))
+    return unmatched.join(found, F.lower("token") == F.col("_lt"), "left").drop("_lt")

@@ -91,32 +91,25 @@ def vocab_hit_rate(spark, sf):
 
 
 @register("unmatched_suggest", _VOCAB_SQL + """,
-lists AS (SELECT *, (pos - 1) // 4 AS list FROM matched),
 um AS (SELECT * FROM (
-  SELECT conv_id, turn, list, pos, token, row_number() OVER (PARTITION BY conv_id, turn, list ORDER BY pos) AS k
-  FROM lists WHERE (conv_id, turn, list) NOT IN (SELECT (conv_id, turn, list) FROM lists WHERE hit IS NOT NULL)) WHERE k <= 3),
-subs_u AS (SELECT DISTINCT conv_id, turn, pos, substr(lower(token), s, l) AS sub
-  FROM um, range(1, length(token) + 1) a(s), range(1, length(token) - s + 2) b(l)),
-subs_v AS (SELECT DISTINCT word, vocab_rank, substr(word, s, l) AS sub
-  FROM vr, range(1, length(word) + 1) a(s), range(1, length(word) - s + 2) b(l)),
+  SELECT conv_id, turn, pos, token, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k FROM matched WHERE hit IS NULL) WHERE k <= 3),
+hits AS (SELECT conv_id, turn, count(hit) = 0 AS none_matched FROM matched GROUP BY 1, 2),
 cand AS (
-  SELECT u.conv_id, u.turn, u.pos, v.word, v.vocab_rank FROM subs_u u JOIN vr v ON v.word = u.sub
-  UNION ALL
-  SELECT u.conv_id, u.turn, u.pos, v.word, v.vocab_rank FROM um u JOIN subs_v v ON v.sub = lower(u.token)),
-best AS (SELECT conv_id, turn, pos, arg_min(word, vocab_rank) AS suggestion FROM cand GROUP BY 1, 2, 3)
-SELECT um.conv_id, um.turn, um.pos, um.token, CAST(um.k AS INTEGER) AS k, best.suggestion
-FROM um LEFT JOIN best ON um.conv_id = best.conv_id AND um.turn = best.turn AND um.pos = best.pos""")
+  SELECT u.token, v.word, v.vocab_rank FROM (SELECT DISTINCT token FROM um) u
+  JOIN vr v ON contains(lower(u.token), v.word) OR contains(v.word, lower(u.token))),
+best AS (SELECT token, arg_min(word, vocab_rank) AS suggestion FROM cand GROUP BY 1)
+SELECT um.conv_id, um.turn, um.pos, um.token, CAST(um.k AS INTEGER) AS k, best.suggestion, hits.none_matched
+FROM um LEFT JOIN best ON um.token = best.token JOIN hits ON hits.conv_id = um.conv_id AND hits.turn = um.turn""")
 def unmatched_suggest(spark, sf):
+    """A turn is a request.  Its first three unmatched tokens get a suggestion each; ``none_matched`` says
+    that no token of the turn matched, where the serving layer shows them."""
     vocab = _vocab(spark, sf)  # ranked once (checkpointed), shared by both steps
-    m = _matched(spark, sf, vocab)
-    # a request is a list of four tokens; only those of which no token matched get suggestions
-    request = ["conv_id", "turn", "list"]
-    m = m.withColumn("list", F.floor((F.col("pos") - 1) / 4))
-    m = (m.join(m.where(F.col("hit").isNotNull()).select(*request).distinct(), request, "left_anti")
-          .select(*request, "pos", "token"))
-    first3 = top_n_per_group(m, request, [F.asc("pos")], 3, name="k")
-    return TX.suggest_contained(first3, vocab) \
-             .select("conv_id", "turn", "pos", "token", F.col("k").cast("int").alias("k"), "suggestion")
+    m = materialize(_matched(spark, sf, vocab))
+    request = ["conv_id", "turn"]
+    hits = m.groupBy(*request).agg((F.count("hit") == 0).alias("none_matched"))
+    first3 = top_n_per_group(m.where(F.col("hit").isNull()).select(*request, "pos", "token"), request, [F.asc("pos")], 3, name="k")
+    found = TX.suggest_contained(first3, vocab).join(hits, request)
+    return found.select("conv_id", "turn", "pos", "token", F.col("k").cast("int").alias("k"), "suggestion", "none_matched")
 
 
 @register("join_on_row_key", with_base(f"""
