@@ -102,6 +102,22 @@ def nunique(df: DataFrame, cols: Sequence[str], approx_rsd: float | None = None)
     return df.agg(*[F.approx_count_distinct(c, approx_rsd).alias(f"n_{c}") for c in cols])
 
 
+#: log2 of the registers of a distinct-count sketch, and its relative standard error.
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_sketches(df: DataFrame, by: Sequence[str], cols: Sequence[str], bits: int = SKETCH_BITS) -> DataFrame:
+    """A distinct-count sketch of each column for each group of ``by`` (say, a day): to be stored, and merged later with
+    those of other groups without the rows.  Values count by their text form; nulls don't count."""
+    return df.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), bits).alias(c) for c in cols])
+
+
+def nunique_from_sketches(sketches: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by`` and an estimate ``n_<col>`` of the distinct values over the merged sketches; off by some SKETCH_ERROR."""
+    return sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(f"n_{c}") for c in cols])
+
+
 def filter_in_topk(df: DataFrame, col: str, k: int = 10) -> DataFrame:
     """Keep rows whose ``col`` is among the k most frequent (ties by value).
 

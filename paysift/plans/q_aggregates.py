@@ -10,7 +10,7 @@ from paysift.operators import aggregates as A
 from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles, sql_case
 from paysift.plans.marts import cleaned, mart_main, stored_clean
-from paysift.session import materialize
+from paysift.session import materialize, shared_dir
 from paysift.plans.registry import register
 from paysift.functions.sampling import hash_split
 from paysift.plans.sql import hash_bucket as sql_hash
@@ -115,6 +115,22 @@ def agg_nunique(spark, sf):
     return A.nunique(cleaned(spark, sf), ["industry", "country", "employment_type"])
 
 
+_SKETCHED = ["industry", "country", "company_name", "job_title"]
+
+
+@register("agg_nunique_sketch", with_base(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_exact, TRUE AS within_bound FROM cleaned" for c in _SKETCHED)))
+def agg_nunique_sketch(spark, sf):
+    """Distinct counts from a stored table of daily sketches, merged over all days, beside the exact ones: within four standard errors."""
+    c = stored_clean(spark, sf, "posting_date", *_SKETCHED)
+    path = shared_dir(spark, "distinct_sketches")
+    A.distinct_sketches(c, ["posting_date"], _SKETCHED).write.parquet(path)
+    near, exact = A.nunique_from_sketches(spark.read.parquet(path), _SKETCHED), A.nunique(c, _SKETCHED)
+    long = lambda d, name: d.select(F.explode(F.array(*[F.struct(F.lit(x).alias("column_name"), F.col(f"n_{x}").alias(name)) for x in _SKETCHED])).alias("x")).select("x.*")
+    ok = F.abs(F.col("n_near") - F.col("n_exact")) <= F.greatest(F.lit(1), 4 * A.SKETCH_ERROR * F.col("n_exact"))
+    return long(exact, "n_exact").join(long(near, "n_near"), "column_name").select("column_name", "n_exact", ok.alias("within_bound"))
+
+
 _DESCRIBE_COLS = ["salary_usd", "years_experience", "benefits_score"]
 
 

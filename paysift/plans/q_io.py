@@ -18,7 +18,7 @@ from paysift.plans.marts import cleaned, mart_main
 from paysift.plans.q_aggregates import DATA_CATEGORIES, DATA_CATEGORY_DEFAULT, category_sql
 from paysift.plans.q_ml import EXPLAINED, LINEAR_SQL, contributions, contributions_all
 from paysift.plans.registry import register
-from paysift.plans.sql import with_base, with_main
+from paysift.plans.sql import hash_bucket as sql_bucket, with_base, with_main
 from paysift.session import materialize, shared_dir
 from paysift.sources import files as IO
 from paysift.sources.postings import postings
@@ -63,7 +63,7 @@ SELECT job_id, job_title, round(salary_usd, 4) AS salary_usd, experience_level,
        years_experience, posting_date, application_deadline, round(benefits_score, 4) AS benefits_score FROM postings"""))
 def scan_csv_schema(spark, sf):
     base = _raw_csv(spark, sf)
-    df = IO.read_csv(spark, f"{base}/part0", RAW_SCHEMA)
+    df, _ = IO.read_csv_checked(spark, f"{base}/part0", RAW_SCHEMA)
     return round_doubles(df.select("job_id", "job_title", "salary_usd", "experience_level", "remote_ratio",
                                    "required_skills", "years_experience", "posting_date", "application_deadline",
                                    "benefits_score"))
@@ -73,10 +73,33 @@ def scan_csv_schema(spark, sf):
 SELECT job_id, round(salary_usd, 4) AS salary_usd, industry, posting_date FROM postings"""))
 def scan_csv_glob(spark, sf):
     base = _raw_csv(spark, sf, parts=2)
-    df = IO.read_csv(spark, f"{base}/*/*.csv", RAW_SCHEMA)  # one scan over every file
+    df, _ = IO.read_csv_checked(spark, f"{base}/*/*.csv", RAW_SCHEMA)  # one scan over every file
     return round_doubles(df.select("job_id", "salary_usd", "industry", "posting_date"))
 
 
+#: Faults planted in the raw CSV: every so many postings have a field that isn't of its type.
+BAD_SALARY, BAD_DATE = 97, 89
+
+
+@register("scan_csv_rejects", with_base(f"""
+, bad AS (SELECT CASE WHEN {sql_bucket('job_id', 2, 'file')} = 0 THEN 'part0' ELSE 'part1' END AS folder, job_id % {BAD_SALARY} = 0 AS s, job_id % {BAD_DATE} = 0 AS d FROM postings)
+SELECT folder, reason, count(*) AS n FROM (
+  SELECT folder, 'salary_usd: not a double' AS reason FROM bad WHERE s UNION ALL SELECT folder, 'posting_date: not a date' FROM bad WHERE d)
+GROUP BY ALL
+UNION ALL SELECT folder, 'typed', count(*) FROM bad WHERE NOT s AND NOT d GROUP BY folder"""))
+def scan_csv_rejects(spark, sf):
+    """The raw CSV with planted faults in two folders: rejected fields by folder and reason, and the typed rows that are left."""
+    base, p = shared_dir(spark, "faulty_csv"), postings(spark, sf)
+    p = p.withColumn("salary_usd", F.when(F.col("job_id") % BAD_SALARY == 0, F.lit("n/a")).otherwise(F.col("salary_usd").cast("string")))
+    p = materialize(p.withColumn("posting_date", F.when(F.col("job_id") % BAD_DATE == 0, F.lit("2024-13-45")).otherwise(F.col("posting_date").cast("string"))))
+    for i in range(2):
+        IO.write_csv(p.where(hash_bucket(F.col("job_id"), 2, "file") == i), f"{base}/part{i}")
+    typed, rejected = IO.read_csv_checked(spark, f"{base}/*/*.csv", RAW_SCHEMA)
+    faults = rejected.select(F.split("source_file", "/")[0].alias("folder"), F.explode("reasons").alias("reason"))
+    whole = typed.select(F.when(hash_bucket(F.col("job_id"), 2, "file") == 0, "part0").otherwise("part1").alias("folder"), F.lit("typed").alias("reason"))
+    return faults.unionByName(whole).groupBy("folder", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("scan_with_fallback", with_base("""
 SELECT job_title, round(salary_usd, 4) AS salary_usd, experience_level, employment_type, company_size, remote_ratio,
   education_required, years_experience, industry, posting_date, round(benefits_score, 4) AS benefits_score,
@@ -98,12 +121,20 @@ def q_mart_main(spark, sf):
     return round_doubles(mart_main(cleaned(spark, sf)))
 
 
-@register("sink_parquet_overwrite", with_main(_MAIN_SELECT))
+#: What the corrected year of the overwrite has more.
+RAISE = 1000
+
+
+@register("sink_parquet_overwrite", with_main(_MAIN_SELECT.replace(
+    "round(salary_usd, 4)", f"round(CASE WHEN post_year = (SELECT max(post_year) FROM main) THEN salary_usd + {RAISE} ELSE salary_usd END, 4)")))
 def sink_parquet_overwrite(spark, sf):
+    """The mart by year, written twice as a whole, then its last year again with raised salaries: the other years stay."""
     path = shared_dir(spark, "mart_main")
     m = materialize(mart_main(cleaned(spark, sf)))
     IO.write_parquet(m, path, partition_by=["post_year"])
     IO.write_parquet(m, path, partition_by=["post_year"])  # overwrite: the second write replaces the first
+    last = m.agg(F.max("post_year")).first()[0]
+    IO.write_parquet(m.where(F.col("post_year") == last).withColumn("salary_usd", F.col("salary_usd") + RAISE), path, partition_by=["post_year"], touched_only=True)
     back = spark.read.parquet(path)
     return round_doubles(back.select(*m.columns))
 
@@ -183,9 +214,10 @@ def sink_append_log(spark, sf):
                    F.col("value").alias("percentile"), F.col("ts").alias("created_at"))
     path = shared_dir(spark, "prediction_log")
     b = hash_bucket(F.col("user_id"), 2, "batch")
-    IO.append_log(log.where(b == 0), path)  # two request batches appended to one log
-    IO.append_log(log.where(b == 1), path)
-    back = spark.read.parquet(path)
+    IO.append_batch(log.where(b == 0), path, "requests-0")  # two request batches appended to one log
+    IO.append_batch(log.where(b == 1), path, "requests-1")
+    IO.append_batch(log.where(b == 1), path, "requests-1")  # a repeated call adds nothing
+    back = IO.read_log(spark, path)
     return round_doubles(back.select("user_id", "input_params", "predicted_salary", "percentile", "created_at",
                                      "log_date"))
 
