@@ -1,6 +1,6 @@
 """Feature engineering: target, ordinal codes, date parts, skill counts,
-one-hot blocks, embedding pooling.  All native column expressions; pooling is
-a join plus a per-dimension partial aggregate."""
+one-hot levels as a written index, sparse feature rows, embedding pooling.  All native column
+expressions; pooling is a join plus a per-dimension partial aggregate."""
 
 from __future__ import annotations
 
@@ -38,35 +38,6 @@ def skill_counts(df: DataFrame, arr: str = "skills_array") -> DataFrame:
               .withColumn("skill_count_nonblank", F.size(F.filter(arr, lambda x: F.trim(x) != "")).cast("int")))
 
 
-def fit_levels(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct non-null levels (a fitted parameter, bounded by the column's cardinality)."""
-    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
-
-
-def fit_levels_many(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null levels of several columns in one pass: every
-    row contributes (column, value) pairs, deduplicated by a partial aggregate;
-    the result is bounded by the columns' total cardinality."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])
-    rows = (df.select(F.explode(pairs).alias("_p")).select("_p.c", "_p.v")
-              .where(F.col("v").isNotNull()).distinct().collect())
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
-        out[r["c"]].append(r["v"])
-    return {c: sorted(v) for c, v in out.items()}
-
-
-def onehot(df: DataFrame, col: str, prefix: str, levels: Sequence[str] | None = None,
-           drop: bool = True) -> DataFrame:
-    """One 0/1 column per level (all kept, names ``prefix+level``); null or
-    unseen values give all zeros."""
-    levels = list(levels) if levels is not None else fit_levels(df, col)
-    cols = [F.coalesce((F.col(col) == F.lit(v)).cast("long"), F.lit(0).cast("long")).alias(f"{prefix}{v}")
-            for v in levels]
-    rest = [c for c in df.columns if not (drop and c == col)]
-    return df.select(*rest, *cols)
-
-
 def onehot_long(df: DataFrame, keys: Sequence[str], prefixes: dict[str, str]) -> DataFrame:
     """The ones of the one-hot blocks as rows ``keys, feature, value``: as many rows a record as
     it has non-null columns, however many levels there are, and no level reaches the driver."""
@@ -75,6 +46,45 @@ def onehot_long(df: DataFrame, keys: Sequence[str], prefixes: dict[str, str]) ->
               .select(*keys, "feature", F.lit(1).cast("long").alias("value")))
 
 
+def level_index(df: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """``feature, place``: the one-hot features of the levels in ``df`` and their places from 0, in the order of the names.  A
+    written table; the levels never reach the driver."""
+    from paysift.operators.ranking import row_numbers
+    names = onehot_long(df, [], prefixes).select("feature").distinct()
+    return row_numbers(names, ["feature"], "place").select("feature", (F.col("place") - 1).cast("int").alias("place"))
+
+
+def sparse_rows(df: DataFrame, numeric: Sequence[str], prefixes: dict[str, str], index: DataFrame, n_levels: int, dense: str, dim: int) -> DataFrame:
+    """``df`` with ``indices`` and ``values`` of its features: the numeric ones, then one place for each level of
+    ``index``, then the ``dim`` elements of the array ``dense`` (null: zeros).  A one-hot column meets the index in a join; a level that isn't in it is left out."""
+    out = df
+    for k, (col, prefix) in enumerate(prefixes.items()):
+        places = index.where(F.col("feature").startswith(prefix)).select(F.substring("feature", len(prefix) + 1, 1 << 30).alias(f"_l{k}"), F.col("place").alias(f"_p{k}"))
+        out = out.join(places, out[col].cast("string") == F.col(f"_l{k}"), "left").drop(f"_l{k}")
+    ones = F.array_sort(F.array_compact(F.array(*[F.col(f"_p{k}") for k in range(len(prefixes))])))
+    first, after = len(numeric), len(numeric) + n_levels
+    vector = F.coalesce(F.col(dense), F.array_repeat(F.lit(0.0), dim))
+    indices = F.concat(F.sequence(F.lit(0), F.lit(first - 1)), F.transform(ones, lambda p: p + first), F.sequence(F.lit(after), F.lit(after + dim - 1)))
+    values = F.concat(F.array(*[F.col(c).cast("double") for c in numeric]), F.transform(ones, lambda _: F.lit(1.0)), vector)
+    return out.withColumn("indices", indices).withColumn("values", values).drop(dense, *[f"_p{k}" for k in range(len(prefixes))])
+
+
+def stored_vectors(df: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` (with ``indices`` and ``values``) written once and read in two ways: as it is, and with ``features``, a sparse
+    vector for ``pyspark.ml``: a vector's stored form is a struct that the reader takes for one."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
+
+    from paysift.session import shared_dir
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, "feature-rows")
+    features = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("indices"), F.col("values"))
+    rest = [c for c in df.columns if c not in ("indices", "values")]
+    df.select(*rest, features.alias("features")).write.parquet(path)
+    plain = df.select(*rest).schema.fields
+    raw = spark.read.parquet(path).select(*rest, "features.indices", "features.values")
+    return raw, spark.read.schema(StructType([*plain, StructField("features", VectorUDT())])).parquet(path)
+
+
 def request_defaults(df: DataFrame, as_of: str = K.SCORE_AS_OF) -> DataFrame:
     """Missing model inputs as the serving layer fills them: its numbers, the middle level, the
     first degree, the middle size, and dates of a posting made on ``as_of``."""
@@ -86,15 +96,6 @@ def request_defaults(df: DataFrame, as_of: str = K.SCORE_AS_OF) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items() if c in df.columns})
 
 
-def encode(clean: DataFrame, levels: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """The encoded feature table: target, codes, dates, counts and one-hot blocks."""
-    df = skill_counts(date_parts(ordinal_codes(log_target(clean))))
-    levels = levels or fit_levels_many(clean, list(K.ONEHOT_PREFIXES))
-    for col, prefix in K.ONEHOT_PREFIXES.items():
-        df = onehot(df, col, prefix, levels.get(col), drop=False)
-    return df
-
-
 def pool_vectors(tokens: DataFrame, keys: Sequence[str], vectors: DataFrame, dim: int,
                  how: str = "mean", token_col: str = "token", word_col: str = "word",
                  vector_col: str = "vector") -> DataFrame:

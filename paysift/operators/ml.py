@@ -6,12 +6,10 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler, Word2Vec
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,25 +115,6 @@ def _contributions(d: DataFrame, keys: Sequence[str], cols: Sequence[str], coef:
     return d.select(*keys, pred.alias("prediction"), F.lit(base).alias("base"), *contribs)
 
 
-def least_norm_contributions(df: DataFrame, keys: Sequence[str], feature_cols: Sequence[str], label: str, train: DataFrame) -> DataFrame:
-    """``linear_contributions`` for features that may depend on each other, as full one-hot blocks do: among
-    the least-squares solutions, the one of least norm in standard deviations.  ``LinearRegression`` leaves
-    such a system to an iteration that stops early.  Features that don't vary contribute 0.
-
-    One pass gathers the correlations, one number per pair of features.
-    """
-    cols = list(feature_cols)
-    v = VectorAssembler(inputCols=[*cols, label], outputCol="_x").transform(train).select("_x")
-    m = v.select(Summarizer.metrics("mean", "std").summary(v["_x"]).alias("s")).first()["s"]
-    mean, std = m["mean"].toArray(), m["std"].toArray()
-    corr = np.nan_to_num(Correlation.corr(v, "_x").first()[0].toArray())
-    std_y = std[-1] if std[-1] > 0 else 0.0
-    solved = np.linalg.pinv(corr[:-1, :-1], rcond=1e-11, hermitian=True) @ corr[:-1, -1]
-    coef = np.where(std[:-1] > 0, solved * std_y / np.where(std[:-1] > 0, std[:-1], 1), 0.0)
-    mu = dict(zip(cols, mean[:-1].tolist()))
-    return _contributions(df, keys, cols, coef.tolist(), float(mean[-1] - coef @ mean[:-1]), mu)
-
-
 def contributions_long(wide: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Long form ``keys, feature, contribution`` for a chosen set of features."""
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(contribution_col(f)).alias("contribution"))
@@ -158,11 +137,12 @@ def score(model, requests: DataFrame, keys: Sequence[str], pred_col: str = "pred
     return p.select(*keys, F.col(pred_col).alias("log_pred"), *interval(F.exp(pred_col)))
 
 
-def gain_importances(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
-    """Feature importances of a tree model with names: one number per feature, all of
-    them (a fitted parameter, not data)."""
+def gain_importances(spark: SparkSession, model, names: DataFrame) -> DataFrame:
+    """``feature, importance`` of a tree model: one number per feature, all of them (a fitted parameter, not data), with
+    their ``names`` (idx, feature)."""
     imp = model.featureImportances.toArray().tolist()
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double")
+    shares = spark.createDataFrame([(i, float(v)) for i, v in enumerate(imp)], "idx int, importance double")
+    return names.join(shares, "idx").select("feature", "importance")
 
 
 def top_contributions(wide: DataFrame, keys: Sequence[str], features: Sequence[str], k: int = K.TOP_CONTRIBUTIONS) -> DataFrame:

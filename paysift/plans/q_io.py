@@ -11,12 +11,13 @@ from paysift.functions.expr import exact_mean, exact_mean_whole
 from paysift.functions.sampling import hash_bucket
 from paysift.operators import aggregates as A
 from paysift.operators import timeseries as T
+from paysift.operators import linear as L
 from paysift.operators.ml import mean_abs_importance
 from paysift.operators.text import classify_keywords
 from paysift.plans.common import round_doubles
 from paysift.plans.marts import cleaned, mart_main
 from paysift.plans.q_aggregates import DATA_CATEGORIES, DATA_CATEGORY_DEFAULT, category_sql
-from paysift.plans.q_ml import EXPLAINED, LINEAR_SQL, contributions, contributions_all
+from paysift.plans.q_ml import EXPLAINED, LINEAR_SQL, contributions, explained
 from paysift.plans.registry import register
 from paysift.plans.sql import hash_bucket as sql_bucket, with_base, with_main
 from paysift.session import materialize, shared_dir
@@ -222,8 +223,8 @@ def sink_append_log(spark, sf):
                                      "log_date"))
 
 
-def _dashboard(spark, sf, wide, feats):
-    """The document; its importances from the contributions ``wide`` of ``feats``."""
+def _dashboard(spark, sf, importances):
+    """The document with these (feature, importance)."""
     c = cleaned(spark, sf).withColumn(
         "job_category", classify_keywords("job_title", DATA_CATEGORIES, DATA_CATEGORY_DEFAULT))
     c = c.withColumn("month", F.when(F.col("posting_date").isNotNull(), F.date_format("posting_date", "yyyy-MM")))
@@ -253,7 +254,7 @@ def _dashboard(spark, sf, wide, feats):
     whole = lambda c: F.bround(c, 0).cast("long")
     line = T.forecast_table(s, ["_all"], tests, fc).select(F.struct("month", "type", whole("actual").alias("actual"), whole("predicted").alias("predicted")).alias("x"))
     scores = T.metrics(tests, ["_all"]).select(F.struct(whole("rmse").alias("rmse"), whole("mae").alias("mae"), whole(F.col("mape") * 100).alias("mape_hundredths")).alias("x"))
-    imp = mean_abs_importance(wide, feats).select(
+    imp = importances.select(
         F.struct("feature", whole(F.col("importance") * 1_000_000).alias("millionths")).alias("x"))
 
     # every block has one row per month / country / category: the lists grow
@@ -315,12 +316,14 @@ def _dashboard_sql():
     return BASE + linear + ",\n" + _DASHBOARD_SQL.strip()[len("WITH "):]
 
 
-@register("mart_dashboard", _dashboard_sql())
+@register("mart_dashboard")
 def mart_dashboard(spark, sf):
-    return _dashboard(spark, sf, contributions(spark, sf), EXPLAINED)
+    """The dashboard with the importances of the model on all features."""
+    m, model = explained(spark, sf)
+    return _dashboard(spark, sf, L.mean_abs(m.sparse, model).join(m.names, "idx").select("feature", "importance"))
 
 
-@register("mart_dashboard_all")
-def mart_dashboard_all(spark, sf):
-    """The dashboard with the importances of the model on all features."""
-    return _dashboard(spark, sf, *contributions_all(spark, sf))
+@register("mart_dashboard_two", _dashboard_sql())
+def mart_dashboard_two(spark, sf):
+    """The same document with the importances of level and years alone, which SQL can solve."""
+    return _dashboard(spark, sf, mean_abs_importance(contributions(spark, sf), EXPLAINED))

@@ -7,28 +7,32 @@ unit-tested against NumPy in ``tests/``.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
 from paysift.functions.expr import feature_display
 from paysift.functions.sampling import hash_split
 from paysift.operators import features as FE
+from paysift.operators import linear as L
 from paysift.operators import ml as M
-from paysift.operators.columns import vector_to_columns
 from paysift.operators.selection import grouped_stats
 from paysift.plans.common import round_doubles
 from paysift.plans.marts import cleaned
 from paysift.plans.registry import register
-from paysift.plans.sql import hash_bucket as sql_hash, with_base
+from paysift.plans.sql import hash_bucket as sql_hash, title_case, with_base
 from paysift.session import materialize, shared_dir
 from paysift.sources.tables import table
 
 # Nothing fitted is kept between queries: each one fits on the tables that it is given.
 def _encoded(spark, sf):
-    c = cleaned(spark, sf)
-    return FE.encode(c).withColumn("part", hash_split(F.col("job_id")))
+    """Target, codes, dates and counts of every posting, and its part."""
+    c = FE.log_target(cleaned(spark, sf))
+    return FE.skill_counts(FE.date_parts(FE.ordinal_codes(c))).withColumn("part", hash_split(F.col("job_id")))
 
 
 def _tokens_column():
@@ -44,21 +48,45 @@ def _w2v(enc):
     return M.train_word2vec(enc.where("part = 'train'").select(_tokens_column().alias("tokens")), "tokens")
 
 
-def model_table(spark, sf):
-    """Encoded postings, missing inputs filled as the serving layer does, + pooled (mean)
-    skill vectors as ``skill_emb_0..99``; feature list.  Written once: fit and scoring read it."""
+@dataclass
+class ModelTable:
+    """Every posting's feature row, written once: ``sparse`` (indices, values), ``vectors`` (``features``), both with job_id,
+    experience_level, log_salary, part and the base features; ``names`` (idx, feature) in the model's order; their number."""
+
+    sparse: DataFrame
+    vectors: DataFrame
+    names: DataFrame
+    size: int
+
+
+def model_table(spark, sf) -> ModelTable:
+    """Base features, missing ones filled as the serving layer does, one place for each level of the one-hot
+    columns, and the pooled (mean) skill vector."""
     enc = materialize(_encoded(spark, sf))
     vecs = _w2v(enc).getVectors().select("word", vector_to_array("vector").alias("vector"))
     pooled = FE.pool_vectors(_skill_tokens(enc), ["job_id"], vecs, K.EMBEDDING_DIM)
-    wide = vector_to_columns(pooled, "pooled", K.EMBEDDING_PREFIX, K.EMBEDDING_DIM)
-    embedded = [f"{K.EMBEDDING_PREFIX}{i}" for i in range(K.EMBEDDING_DIM)]
-    t = FE.request_defaults(enc.join(wide, "job_id", "left").fillna(0.0, subset=embedded))
-    onehots = [c for c in t.columns if any(c.startswith(p) for p in K.ONEHOT_PREFIXES.values())]
-    return materialize(t), K.BASE_NUMERIC_FEATURES + sorted(onehots) + embedded
+    index = FE.level_index(enc, K.ONEHOT_PREFIXES)
+    n_levels, n_base = index.count(), len(K.BASE_NUMERIC_FEATURES)
+    t = FE.request_defaults(enc.join(pooled, "job_id", "left"))
+    rows = FE.sparse_rows(t, K.BASE_NUMERIC_FEATURES, K.ONEHOT_PREFIXES, index, n_levels, "pooled", K.EMBEDDING_DIM)
+    size = n_base + n_levels + K.EMBEDDING_DIM
+    sparse, vectors = FE.stored_vectors(rows.select("job_id", "experience_level", "log_salary", "part", *K.BASE_NUMERIC_FEATURES, "indices", "values"), size)
+    fixed = [*enumerate(K.BASE_NUMERIC_FEATURES), *((n_base + n_levels + i, f"{K.EMBEDDING_PREFIX}{i}") for i in range(K.EMBEDDING_DIM))]
+    names = spark.createDataFrame(fixed, "idx int, feature string").unionByName(index.select((F.col("place") + n_base).cast("int").alias("idx"), "feature"))
+    return ModelTable(sparse, vectors, materialize(names), size)
 
 
-def _gbt_model(t, feats):
-    return Pipeline(stages=[M.assembler(feats), M.gbt()]).fit(t.where("part = 'train'"))
+def _gbt_model(m: ModelTable):
+    return Pipeline(stages=[M.gbt()]).fit(m.vectors.where("part = 'train'"))
+
+
+#: The names of all features as SQL has them, in a CTE ``names`` (feature), and their display names.
+NAMES_SQL = (", names AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature" for f in K.BASE_NUMERIC_FEATURES)
+             + " UNION ALL SELECT '" + K.EMBEDDING_PREFIX + "' || range FROM range(" + str(K.EMBEDDING_DIM) + ")"
+             + "".join(f" UNION ALL SELECT DISTINCT '{p}' || {c} FROM cleaned WHERE {c} IS NOT NULL" for c, p in K.ONEHOT_PREFIXES.items()) + ")")
+DISPLAY_SQL = ("CASE " + " ".join(f"WHEN feature = '{f}' THEN '{d}'" for f, d in K.FEATURE_DISPLAY.items())
+               + " ".join(f" WHEN starts_with(feature, '{p}') THEN '{a}' || " + (title_case(f"substr(feature, {len(p) + 1})") if p == "ctry_" else f"substr(feature, {len(p) + 1})")
+                          + f" || '{z}'" for p, a, z in K.FEATURE_PREFIX_DISPLAY) + " ELSE feature END")
 
 
 # ---- features ---------------------------------------------------------------
@@ -131,21 +159,25 @@ def _filled_sql() -> str:
 FILLED = _filled_sql()
 
 
-@register("feat_assemble", with_base(f", {FILLED} SELECT job_id, "
-                                     + ", ".join(f"round({c}, 4) AS {c}" for c in K.BASE_NUMERIC_FEATURES) + " FROM filled"))
+@register("feat_assemble", with_base(f""", {FILLED}{NAMES_SQL},
+vocab AS (SELECT word FROM (SELECT trim(unnest(skills_array)) AS word FROM cleaned WHERE {sql_hash('job_id', 10)} < 8)
+  WHERE word <> '' GROUP BY word HAVING count(*) >= {K.W2V_PARAMS['minCount']}),
+known AS (SELECT DISTINCT job_id FROM (SELECT job_id, trim(unnest(skills_array)) AS word FROM cleaned) JOIN vocab USING (word))
+SELECT job_id, {", ".join(f"round(filled.{c}, 4) AS {c}" for c in K.BASE_NUMERIC_FEATURES)},
+  concat_ws('|', 'ctry_' || country, 'emp_' || employment_type, 'ind_' || industry) AS ones,
+  (SELECT CAST(count(*) AS INTEGER) FROM names) AS n_features, job_id IN (SELECT job_id FROM known) AS has_vector
+FROM filled JOIN cleaned USING (job_id)"""))
 def feat_assemble(spark, sf):
-    """The base features in the model's order, missing ones filled, through the assembled vector."""
-    t = FE.request_defaults(FE.skill_counts(FE.date_parts(FE.ordinal_codes(cleaned(spark, sf)))))
-    v = M.assembler(K.BASE_NUMERIC_FEATURES).transform(t).select("job_id", vector_to_array("features").alias("f"))
-    return round_doubles(v.select("job_id", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(K.BASE_NUMERIC_FEATURES)]))
-
-
-@register("feat_assemble_all")
-def feat_assemble_all(spark, sf):
-    """The model's whole row through the assembled vector: base, one-hot and skill-vector columns in their order."""
-    t, feats = model_table(spark, sf)
-    v = M.assembler(feats).transform(t).select("job_id", vector_to_array("features").alias("f"))
-    return round_doubles(v.select("job_id", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(feats)]))
+    """The whole row as the model takes it, read back from its vector: the base features in their order, the names of the places
+    that hold a one, the vector's size, and whether its skill part holds anything."""
+    m = model_table(spark, sf)
+    n_base, after = len(K.BASE_NUMERIC_FEATURES), m.size - K.EMBEDDING_DIM
+    rows = m.vectors.select("job_id", F.col("features").alias("v"), vector_to_array("features").alias("f"))
+    dense = rows.select("job_id", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(K.BASE_NUMERIC_FEATURES)],
+                        F.size("f").alias("n_features"), F.exists(F.slice("f", after + 1, K.EMBEDDING_DIM), lambda x: x != 0).alias("has_vector"))
+    hot = m.sparse.select("job_id", F.explode(F.filter("indices", lambda i: (i >= n_base) & (i < after))).alias("idx"))
+    ones = hot.join(m.names, "idx").groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "feature"))), lambda x: x["feature"]), "|").alias("ones"))
+    return round_doubles(dense.join(ones, "job_id", "left").withColumn("ones", F.coalesce("ones", F.lit(""))))
 
 
 @register("split_random", with_base(f"""
@@ -214,8 +246,29 @@ TEST_ROWS = f"SELECT count(*) FROM cleaned WHERE {sql_hash('job_id', 10)} >= 8"
 
 @register("gbt_train")
 def gbt_train(spark, sf):
-    t, feats = model_table(spark, sf)
-    return round_doubles(M.regression_metrics(_gbt_model(t, feats).transform(t.where("part = 'test'")), "log_salary"))
+    m = model_table(spark, sf)
+    return round_doubles(M.regression_metrics(_gbt_model(m).transform(m.vectors.where("part = 'test'")), "log_salary"))
+
+
+@register("gbt_fit_check", with_base(NAMES_SQL + """
+SELECT 'posting' AS kind, CAST(job_id AS VARCHAR) AS name, CAST(1 AS BIGINT) AS n, TRUE AS ok FROM cleaned
+UNION ALL SELECT 'feature', feature, 1, TRUE FROM names UNION ALL SELECT 'total', 'importance', 1, TRUE"""))
+def gbt_fit_check(spark, sf):
+    """What must hold of the real fit: each posting scored once with low <= point <= high in the fixed proportions, every
+    feature named once with a share between 0 and 1, and shares that add up to 1."""
+    m = model_table(spark, sf)
+    model = _gbt_model(m)
+    s = M.score(model, m.vectors, ["job_id"])
+    order = (F.col("low") <= F.col("point")) & (F.col("point") <= F.col("high")) & (F.col("point") == F.floor(F.exp("log_pred"))) & (F.col("point") > 0)
+    scored = s.groupBy(F.col("job_id").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(order).alias("ok"))
+    imp = materialize(M.gain_importances(spark, model.stages[-1], m.names))
+    named = imp.groupBy(F.col("feature").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("importance").between(0, 1)).alias("ok"))
+    total = imp.agg(F.lit("importance").alias("name"), F.lit(1).cast("long").alias("n"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("ok"))
+    rows = None
+    for kind, part in (("posting", scored), ("feature", named), ("total", total)):
+        part = part.select(F.lit(kind).alias("kind"), "name", "n", "ok")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 @register("gbt_check", with_base(f"SELECT ({TEST_ROWS}) AS n, TRUE AS learns"))
@@ -231,16 +284,16 @@ def gbt_check(spark, sf):
 
 @register("gain_importance")
 def gain_importance(spark, sf):
-    t, feats = model_table(spark, sf)
-    imp = M.gain_importances(spark, _gbt_model(t, feats).stages[-1], feats)
+    m = model_table(spark, sf)
+    imp = M.gain_importances(spark, _gbt_model(m).stages[-1], m.names)
     return round_doubles(imp.select("feature", feature_display("feature").alias("display_name"), "importance"))
 
 
 @register("score_batch")
 def score_batch(spark, sf):
     """Every posting scored."""
-    t, feats = model_table(spark, sf)
-    return round_doubles(M.score(_gbt_model(t, feats), t, ["job_id"]))
+    m = model_table(spark, sf)
+    return round_doubles(M.score(_gbt_model(m), m.vectors, ["job_id"]))
 
 
 @register("eval_regression", with_base(f""", f AS (
@@ -289,80 +342,117 @@ def contributions(spark, sf):
     return wide
 
 
-def contributions_all(spark, sf):
-    """(job_id, level, features, contributions, base, prediction) of every posting from the linear model on
-    all features of ``model_table``, and their list."""
-    t, feats = model_table(spark, sf)
-    keys = ["job_id", "experience_level"] + [F.col(f).cast("double").alias(f) for f in feats]
-    wide = M.least_norm_contributions(t, keys, feats, "log_salary", train=t.where("part = 'train'"))
-    return materialize(wide), feats
+def explained(spark, sf):
+    """The model table and the linear model on all of its features, fitted on the training part."""
+    m = model_table(spark, sf)
+    return m, L.fit(m.sparse.where("part = 'train'"), m.size, "log_salary")
 
 
-@register("contrib_additive", with_base(LINEAR_SQL + """
-SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY abs(contribution) DESC, feature) AS rank, feature,
-  round(contribution, 4) AS contribution, round(base, 4) AS base, round(prediction, 4) AS prediction FROM k"""))
+def _top(m, model):
+    return L.contributions_top(m.sparse, "job_id", model, K.TOP_CONTRIBUTIONS)
+
+
+@register("contrib_additive")
 def contrib_additive(spark, sf):
-    """Each posting's largest contributions, with base and prediction: they add up."""
-    return round_doubles(M.top_contributions(contributions(spark, sf), ["job_id"], EXPLAINED))
+    """Each posting's largest contributions in the model on all features, with base and prediction."""
+    m, model = explained(spark, sf)
+    return round_doubles(_top(m, model).join(m.names, "idx").select("job_id", "rank", "feature", "contribution", "base", "prediction"))
 
 
-@register("contrib_additive_all")
-def contrib_additive_all(spark, sf):
-    """The same from the model on all features."""
-    wide, feats = contributions_all(spark, sf)
-    return round_doubles(M.top_contributions(wide, ["job_id"], feats))
+@register("contrib_additive_check", with_base(f"""
+SELECT job_id, CAST({K.TOP_CONTRIBUTIONS} AS BIGINT) AS n_top, round((SELECT avg(ln(salary_usd)) FROM cleaned WHERE {sql_hash('job_id', 10)} < 8), 4) AS base, TRUE AS falling, TRUE AS adds_up
+FROM cleaned"""))
+def contrib_additive_check(spark, sf):
+    """What must hold of every explained posting: so many contributions, falling in size, and base + all contributions = prediction."""
+    m, model = explained(spark, sf)
+    rows = _top(m, model).groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("n_top"), F.max("base").alias("base"), F.array_sort(F.collect_list(F.struct("rank", F.abs("contribution").alias("c")))).alias("x"),
+        F.bool_and(F.abs(F.col("base") + F.col("total") - F.col("prediction")) < 1e-9).alias("adds_up"))
+    size = F.transform("x", lambda x: x["c"])
+    return round_doubles(rows.select("job_id", "n_top", "base", (size == F.reverse(F.array_sort(size))).alias("falling"), "adds_up"))
 
 
-def _importances(wide, feats):
-    imp = M.mean_abs_importance(wide, feats)
+@register("importance_mean_abs")
+def importance_mean_abs(spark, sf):
+    """Every feature's mean absolute contribution in the model on all features."""
+    m, model = explained(spark, sf)
+    imp = L.mean_abs(m.sparse, model).join(m.names, "idx")
     return round_doubles(imp.select("feature", feature_display("feature").alias("display_name"), "importance"))
 
 
-@register("importance_mean_abs_all")
-def importance_mean_abs_all(spark, sf):
-    """Every feature's importance in the model on all features."""
-    return _importances(*contributions_all(spark, sf))
+@register("importance_check", with_base(f"""{NAMES_SQL} SELECT feature, {DISPLAY_SQL} AS display_name, TRUE AS least_squares, TRUE AS not_negative FROM names"""))
+def importance_check(spark, sf):
+    """Every feature by name, that the residuals of the fit have no product with it (so it is the least-squares fit), and its importance's sign."""
+    m, model = explained(spark, sf)
+    left = L.residual_products(m.sparse.where("part = 'train'"), model, "log_salary")
+    rows = m.names.join(left, "idx", "left").join(L.mean_abs(m.sparse, model), "idx", "left")
+    return rows.select("feature", feature_display("feature").alias("display_name"), (F.abs("product") < 1e-6).alias("least_squares"), (F.col("importance") >= 0).alias("not_negative"))
 
 
-@register("importance_mean_abs", with_base(LINEAR_SQL + """
+def _dependence(spark, sf):
+    m, model = explained(spark, sf)
+    return L.dependence(m.sparse, [K.BASE_NUMERIC_FEATURES.index(f) for f in EXPLAINED], model, "experience_level").join(m.names, "idx")
+
+
+@register("dependence_table")
+def dependence_table(spark, sf):
+    """How the contributions of level and years depend on value and level in the model on all features: count, mean and percentiles by bin."""
+    return round_doubles(_dependence(spark, sf).select("feature", "bin", "lo", "hi", "experience_level", "n", "mean_contribution", "p10", "p50", "p90"))
+
+
+@register("dependence_check", with_base(f""", {FILLED},
+v AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value, level FROM filled" for f in ("exp_level_encoded", "years_experience")) + """),
+e AS (SELECT feature, list_distinct(list(x)) AS cuts FROM (
+  SELECT feature, unnest(quantile_cont(value, [k / 20 FOR k IN range(1, 20)])) AS x FROM v GROUP BY feature) GROUP BY feature),
+b AS (SELECT v.feature, level, value, CAST(len(list_filter(cuts, lambda c: c < value)) AS INTEGER) AS bin FROM v JOIN e USING (feature)),
+s AS (SELECT feature, bin, min(value) AS lo, max(value) AS hi FROM b GROUP BY ALL)
+SELECT feature, bin, round(lo, 4) AS lo, round(hi, 4) AS hi, level AS experience_level, count(*) AS n, TRUE AS within FROM b JOIN s USING (feature, bin) GROUP BY ALL"""))
+def dependence_check(spark, sf):
+    """The table's bins and counts, and that its percentiles rise around the mean's range."""
+    d = _dependence(spark, sf)
+    ok = (F.col("p10") <= F.col("p50")) & (F.col("p50") <= F.col("p90")) & F.col("mean_contribution").isNotNull()
+    return round_doubles(d.select("feature", "bin", "lo", "hi", "experience_level", "n", ok.alias("within")))
+
+
+# the model on two features, which SQL can solve in closed form
+@register("contrib_additive_two", with_base(LINEAR_SQL + """
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY abs(contribution) DESC, feature) AS rank, feature,
+  round(contribution, 4) AS contribution, round(base, 4) AS base, round(prediction, 4) AS prediction FROM k"""))
+def contrib_additive_two(spark, sf):
+    """Each posting's contributions of level and years, with base and prediction: they add up."""
+    return round_doubles(M.top_contributions(contributions(spark, sf), ["job_id"], EXPLAINED))
+
+
+@register("importance_mean_abs_two", with_base(LINEAR_SQL + """
 SELECT feature, CASE feature WHEN 'exp_level_encoded' THEN 'Experience Level' ELSE 'Years of Experience' END AS display_name,
   round(avg(abs(contribution)), 4) AS importance FROM k GROUP BY feature"""))
-def importance_mean_abs(spark, sf):
-    return _importances(contributions(spark, sf), EXPLAINED)
+def importance_mean_abs_two(spark, sf):
+    imp = M.mean_abs_importance(contributions(spark, sf), EXPLAINED)
+    return round_doubles(imp.select("feature", feature_display("feature").alias("display_name"), "importance"))
 
 
-@register("dependence_table", with_base(LINEAR_SQL + """
+@register("dependence_table_two", with_base(LINEAR_SQL + """
 SELECT feature, value, level AS experience_level, count(*) AS n, round(avg(contribution), 4) AS mean_contribution,
   round(quantile_cont(contribution, 0.1), 4) AS p10, round(quantile_cont(contribution, 0.5), 4) AS p50,
   round(quantile_cont(contribution, 0.9), 4) AS p90 FROM k GROUP BY feature, value, level"""))
-def dependence_table(spark, sf):
+def dependence_table_two(spark, sf):
     """Contributions by the feature's value and the level: count, mean and percentiles."""
-    return _dependence(contributions(spark, sf), EXPLAINED)
-
-
-@register("dependence_table_all")
-def dependence_table_all(spark, sf):
-    """The same for every feature of the model on all features."""
-    return _dependence(*contributions_all(spark, sf))
-
-
-def _dependence(wide, feats):
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(M.contribution_col(f)).alias("c")) for f in feats])
+    wide = contributions(spark, sf)
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(M.contribution_col(f)).alias("c")) for f in EXPLAINED])
     long = wide.select("experience_level", F.explode(pairs).alias("x")).select("experience_level", "x.feature", "x.value", "x.c")
-    out = grouped_stats(materialize(long), ["feature", "value", "experience_level"], "c", {"n": "rows", "mean_contribution": "mean:8"},
-                        {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    return round_doubles(out)
+    return round_doubles(grouped_stats(materialize(long), ["feature", "value", "experience_level"], "c", {"n": "rows", "mean_contribution": "mean:8"},
+                                       {"p10": 0.1, "p50": 0.5, "p90": 0.9}))
 
 
 @register("model_save_load", with_base(f"SELECT ({TEST_ROWS}) AS n, ({TEST_ROWS}) AS n_equal"))
 def model_save_load(spark, sf):
     from pyspark.ml import PipelineModel
-    t, feats = model_table(spark, sf)
-    model = _gbt_model(t, feats)
+    m = model_table(spark, sf)
+    model = _gbt_model(m)
     path = shared_dir(spark, "model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    test = t.where("part = 'test'")
+    test = m.vectors.where("part = 'test'")
     a = model.transform(test).select("job_id", F.col("prediction").alias("p0"))
     b = loaded.transform(test).select("job_id", F.col("prediction").alias("p1"))
     j = a.join(b, "job_id")
