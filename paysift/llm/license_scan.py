@@ -11,8 +11,14 @@ copy would begin, and votes of up to half a template apart make a passage, the m
 first.  Templates that can't reach the coverage, because the document has too few of their
 words, are passed over; that bound is exact.
 
+Coverage alone would take one license's notice for its sister's, which differs in a word.  So each template has telling words, computed from
+the set: those of its name, version numbers, and the words in which it differs from a twin, a template
+that otherwise aligns with it.  All telling words must be aligned, and a passage must not hold
+the telling words of a twin beside them.  Of passages that overlap, the one with more aligned words stays (the whole notice, not the line in it); ties
+go to the better covered, then the first name.
+
 Defined cases: a null or wordless text matches nothing; a template without words matches
-nothing; repeated rows get the same rows each; an empty table gives no rows.
+nothing; repeated rows get the same rows each; an empty table gives no rows; ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from paysift.llm.common import bounded_batches
 
 #: The least share of a template that counts, and of its once-occurring words that must vote for one place.
 MIN_COVERAGE, MIN_VOTES = 0.8, 0.3
+#: The most words of its own that a template may have beside a twin.
+TWIN_WORDS = 8
 WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
 # Notices and texts of public licenses.
@@ -61,6 +69,50 @@ that the above copyright notice and this permission notice appear in all copies.
 as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
 distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
 A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "BSD-line": "Released under the BSD License.",
+    "MPL-2.0-line": "Licensed under the Mozilla Public License, version 2.0.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-NC-SA-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-ND-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-ND-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC0-1.0-line": "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication.",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "LGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by
+any means.""",
+    "GPL-3.0-text": """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007. Everyone is permitted to copy and distribute verbatim copies of this license
+document, but changing it is not allowed. Preamble. The GNU General Public License is a free, copyleft license for software and other kinds of
+works.""",
+    "GPL-2.0-text": """GNU GENERAL PUBLIC LICENSE Version 2, June 1991. Everyone is permitted to copy and distribute verbatim copies of this license
+document, but changing it is not allowed. Preamble. The licenses for most software are designed to take away your freedom to share and change
+it.""",
+    "Apache-2.0-text": """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND
+DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1
+through 9 of this document.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
 with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
@@ -137,36 +189,88 @@ def passages(starts: list[int], length: int, min_votes: float) -> Iterator[tuple
             yield first, last
 
 
+def twins(a: list[str], b: list[str]) -> tuple[list[int], set[str]] | None:
+    """For two templates that differ in few words: the places of ``a``'s own words, and ``b``'s; None if they differ in more."""
+    same = patience(a, b)
+    own = sorted(set(range(len(a))) - {i for i, _ in same})
+    other = {b[j] for j in set(range(len(b))) - {j for _, j in same}}
+    if len(same) < max(3, 0.5 * min(len(a), len(b))) or len(own) > TWIN_WORDS or len(other) > TWIN_WORDS:
+        return None
+    return own, other - set(a)
+
+
+def name_words(name: str, template: list[str]) -> list[int]:
+    """Places of words that the name spells: one of its parts, or several in a row."""
+    parts = name.lower().split("-")
+    spelt = {"-".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)} - {"line", "short", "text", "or", "later"}
+    return [i for i, w in enumerate(template) if w in spelt and not w.isdigit()]
+
+
+def versions(template: list[str]) -> list[int]:
+    """Places of version numbers: with a dot in them, or after "version" or "v"."""
+    return [i for i, w in enumerate(template) if w[0].isdigit() and ("." in w or i and template[i - 1] in ("version", "v"))]
+
+
 class Scanner:
-    """Finds every passage of a document that covers ``min_coverage`` of a template."""
+    """Finds the passages of a document that cover ``min_coverage`` of a template, its telling words among them."""
 
     def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE):
         self.templates = {name: w for name, text in templates.items() if (w := words(text))}
         self.counts = {name: Counter(w) for name, w in self.templates.items()}
         self.once = {name: {x: i for i, x in enumerate(w) if self.counts[name][x] == 1} for name, w in self.templates.items()}
         self.min_coverage = min_coverage
+        self.telling: dict[str, set[int]] = {}
+        self.foreign: dict[str, set[str]] = {}
+        for name, template in self.templates.items():
+            tell, foreign = {*name_words(name, template), *versions(template)}, set()
+            for other, text in self.templates.items():
+                if other != name and (found := twins(template, text)):
+                    tell |= set(found[0])
+                    foreign |= found[1]
+            self.telling[name], self.foreign[name] = tell, foreign
 
     def __call__(self, text: str | None) -> Iterator[tuple[str, int, int, int, float]]:
-        """(template, first word, words, words aligned, coverage) of each passage."""
+        """(template, first word, words, words aligned, coverage) of each passage, none overlapping another."""
         doc = words(text)
+        kept: list[tuple[int, int]] = []
+        for hit in sorted(self.covered(doc), key=lambda h: (-h[3], -h[4], h[0], h[1])):
+            _, start, size, _, _ = hit
+            k = bisect_left(kept, (start, 0))
+            before, after = k == 0 or kept[k - 1][1] <= start, k == len(kept) or kept[k][0] >= start + size
+            if before and after:
+                kept.insert(k, (start, start + size))
+                yield hit
+
+    def covered(self, doc: list[str]) -> Iterator[tuple[str, int, int, int, float]]:
+        """Every passage that covers a template by its own words, whatever it overlaps."""
         vocabulary = set(doc)
         for name, template in self.templates.items():
             n = len(template)
             # words of the template that the document lacks can't be aligned
-            if sum(c for w, c in self.counts[name].items() if w in vocabulary) < self.min_coverage * n:
+            if any(template[i] not in vocabulary for i in self.telling[name]) or sum(c for w, c in self.counts[name].items() if w in vocabulary) < self.min_coverage * n:
                 continue
             once = self.once[name]
             starts = sorted(i - once[w] for i, w in enumerate(doc) if w in once)
             used: list[tuple[int, int]] = []
-            for lo, hi in passages(starts, n, max(1.0, MIN_VOTES * len(once))):
-                lo, hi = max(0, lo - n // 4), min(len(doc), hi + n + n // 4)
-                for a, b in used:  # a copy beside another keeps to its own words
-                    lo, hi = (max(lo, b) if a <= lo < b else lo), (min(hi, a) if a < hi <= b else hi)
-                aligned = patience(doc[lo:hi], template) if hi > lo else []
-                if len(aligned) >= self.min_coverage * n:
-                    start, end = lo + aligned[0][0], lo + aligned[-1][0] + 1
-                    used.append((start, end))
-                    yield name, start, end - start, len(aligned), len(aligned) / n
+            for first, last in passages(starts, n, max(1.0, MIN_VOTES * len(once))):
+                # with room for words that were put in; else just from where a copy would begin to where it would end
+                for room in (n // 4, 0):
+                    lo, hi = max(0, first - room), min(len(doc), last + n + room)
+                    for a, b in used:  # a copy beside another keeps to its own words
+                        lo, hi = (max(lo, b) if a <= lo < b else lo), (min(hi, a) if a < hi <= b else hi)
+                    aligned = patience(doc[lo:hi], template) if hi > lo else []
+                    if len(aligned) >= self.min_coverage * n and self.tells(name, doc[lo:hi], aligned):
+                        start, end = lo + aligned[0][0], lo + aligned[-1][0] + 1
+                        used.append((start, end))
+                        yield name, start, end - start, len(aligned), len(aligned) / n
+                        break
+
+    def tells(self, name: str, doc: list[str], aligned: list[tuple[int, int]]) -> bool:
+        """Whether the telling words are aligned and no twin's stand between the aligned words."""
+        if not self.telling[name] <= {j for _, j in aligned}:
+            return False
+        own = {i for i, _ in aligned}
+        return not any(doc[i] in self.foreign[name] for i in range(aligned[0][0], aligned[-1][0] + 1) if i not in own)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text",

@@ -1,15 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a text whose score is over a cutoff.  Cutoffs come from a labelled holdout:
-for each stratum (a band of the text's length in words) and rule, cutoffs are tried from the
-laxest to the strictest.  A cutoff is certified while the exact (Clopper-Pearson) upper bound
-of its false rejection rate, the share of good documents that it rejects, stays within
-``max_false``; testing stops at the first failure (fixed-sequence testing), so no correction
-is due within a rule, and the error level is divided by the number of strata times rules
-(Bonferroni).  So with probability ``1 - level`` every certified cutoff of every stratum keeps
-its promise at once, and any of them may be used: the rule takes the one that gains most, that
-is rejects most bad documents less ``cost`` times the good ones; it rejects none where no
-cutoff gains.  A text goes if any rule of its stratum rejects it, or if the base rules do.
+Each rule rejects a text whose score is over a cutoff.  Cutoffs come from a labelled holdout, in two parts by a hash of the text.
+On the smaller part every stratum (a band of the text's length in words) and rule proposes the cutoff that gains most, that is
+rejects most bad texts less ``cost`` times the good ones (none where no cutoff gains).  On the other part the stratum's proposed rules are
+tested together, as they will be used: first with every cutoff ``MARGINS[0]`` steps laxer, then with smaller margins, down to the proposal.  A
+step is certified while the exact (Clopper-Pearson) upper bound of the stratum's false rejection
+rate, the share of good texts that any of its rules rejects, stays within ``max_false``; testing
+stops at the first failure (fixed-sequence testing, the sequence being fixed by the other part), so no
+correction is due within a stratum, and the error level is divided by the number of strata (Bonferroni).  So with probability
+``1 - level`` every stratum loses ``max_false`` of its good texts at most.  The strictest certified step is used; a stratum
+without one keeps all that pass the base rules.
+
+The bound counts trials, so a text counts once, however many rows repeat it.
 
 Everything is counted by Spark: the labelled rows become (stratum, rule, cutoff step) counts,
 whose number is fixed by the settings, and the driver receives only those.
@@ -45,6 +47,8 @@ STEPS = 100
 #: Lower ends of the strata, in words.
 BANDS = (0, 50, 100, 200, 400, 1000)
 MAX_FALSE, LEVEL, COST = 0.02, 0.05, 20.0
+#: One in so many labelled texts proposes cutoffs, the others test them, with these margins in steps.
+PROPOSING, MARGINS = 3, (8, 4, 2, 1, 0)
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
 
@@ -140,19 +144,49 @@ def score_steps(c) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.ceil(score(c) * STEPS), F.lit(STEPS)).cast("int").alias("step")) for r, score in RULES.items()])
 
 
-def fit(measured_docs: DataFrame, labels: DataFrame, **settings) -> dict[tuple[int, str], int]:
-    """Cutoffs from ``measured_docs`` (doc_id and struct ``m``) and ``labels`` (doc_id,
-    quality).  The false rejections counted are of good documents that pass the base rules."""
+def certified(lost: list[int], n: int, max_false: float = MAX_FALSE, level: float = LEVEL / len(BANDS)) -> int | None:
+    """The last step of a sequence, with so many of ``n`` good texts lost at each, up to which every step is certified."""
+    best = None
+    for k, x in enumerate(lost):
+        if not n or x > max_false * n or binomial_upper(x, n, level) > max_false:
+            break
+        best = k
+    return best
+
+
+def fit(measured_docs: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, level: float = LEVEL, cost: float = COST) -> dict[tuple[int, str], int]:
+    """Cutoffs from ``measured_docs`` (doc_id, text_hash and struct ``m``) and ``labels`` (doc_id,
+    quality).  The false rejections counted are of good texts that pass the base rules, each text once."""
     c = lambda n: F.col(f"m.{n}")
     held = (measured_docs.join(labels.select("doc_id", F.col("quality").alias("_good")).where("_good is not null"), "doc_id")
-            .where(~base_failed(c))
-            .select("_good", stratum(c).alias("stratum"), F.explode(score_steps(c)).alias("s")))
-    rows = held.groupBy("stratum", "s.rule", "s.step", "_good").count().collect()  # at most strata x rules x steps x 2
-    counts: dict = {}
+            .where(~base_failed(c)).groupBy("text_hash").agg(F.min(F.col("_good") > 0).alias("good"), F.any_value("m").alias("m"))
+            .select((F.pmod(F.xxhash64(F.col("text_hash"), F.lit("part")), F.lit(PROPOSING)) == 0).alias("proposes"), "good", stratum(c).alias("stratum"),
+                    score_steps(c).alias("s")))
+    held = written(held, "quality-held")
+    rows = held.where("proposes").select("good", "stratum", F.explode("s").alias("s")).groupBy("stratum", "s.rule", "s.step", "good").count().collect()
+    counts: dict = {}  # at most strata x rules x steps x 2
     for r in rows:
         pair = counts.setdefault((r["stratum"], r["rule"]), (np.zeros(STEPS + 1, int), np.zeros(STEPS + 1, int)))
-        pair[0 if r["_good"] else 1][r["step"]] += r["count"]
-    return choose_cutoffs(counts, tests=len(BANDS) * len(RULES), **settings)
+        pair[0 if r["good"] else 1][r["step"]] += r["count"]
+    proposed = choose_cutoffs(counts, max_false=max_false, level=1.0, cost=cost, tests=1)  # the level 1 certifies nothing
+    if not proposed:
+        return {}
+    step = {rule: F.col("s")[i]["step"] for i, rule in enumerate(RULES)}
+
+    def rejects(margin: int) -> Column:
+        over = F.lit(False)
+        for (band, rule), cut in sorted(proposed.items()):
+            over = over | ((F.col("stratum") == band) & (step[rule] > min(cut + margin, STEPS)))
+        return over
+
+    lost = (held.where("good AND NOT proposes").groupBy("stratum")
+            .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(rejects(m)).alias(f"lost{m}") for m in MARGINS]).collect())
+    out = {}
+    for r in lost:
+        k = certified([r[f"lost{m}"] for m in MARGINS], r["n"], max_false, level / len(BANDS))
+        if k is not None:
+            out |= {key: min(cut + MARGINS[k], STEPS) for key, cut in proposed.items() if key[0] == r["stratum"]}
+    return out
 
 
 def verdict(c, cutoffs: dict[tuple[int, str], int]) -> Column:
@@ -167,7 +201,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, then n_lines, n_upper, stratum and text_hash."""
     m = written(docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), measured(docs, text_col).alias("m")), "quality")
-    cutoffs = fit(m.select("doc_id", "m"), labels, **settings)
+    cutoffs = fit(m.select("doc_id", "text_hash", "m"), labels, **settings)
     c = lambda n: F.col(f"m.{n}")
     return m.select("doc_id", *[c(n).alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                     base_failed(c).alias("base_failed"), verdict(c, cutoffs).alias("kept"),
@@ -180,7 +214,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     if the labelled ids are too many to be broadcast."""
     ids = small_side(written(labels.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct(), "labelled-ids"), 8)
     known = docs.join(ids, docs[id_col] == ids["_id"], "left_semi")
-    cutoffs = fit(known.select(docs[id_col].alias("doc_id"), measured(known, text_col).alias("m")), labels, **settings)
+    cutoffs = fit(known.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), measured(known, text_col).alias("m")), labels, **settings)
     m = fresh(docs, "_measured")
     c = lambda n: F.col(f"{m}.{n}")
     return docs.withColumn(m, measured(docs, text_col)).where(verdict(c, cutoffs)).select(*[F.col(f"`{x}`") for x in docs.columns])

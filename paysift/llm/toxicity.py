@@ -9,12 +9,14 @@ themselves: of toxic texts, the thirds by their amount (log counts) of words tha
 frequent in toxic texts than in others are graded 1 to 3; other texts have grade 0.
 
 The model is fitted in numpy on a bounded sample of labelled rows (``MAX_LABELLED`` of either
-class, those of least hash), weighted to the counts of all labelled rows.  Whole texts of all
+class, those of least hash), weighted to the counts of all labelled rows.  Every word of these has a weight (words are hashed to
+``BUCKETS`` places); a penalty on the weights keeps rare words' small.  Whole texts of all
 documents are scored, each where it is read.
 
 Defined cases: a null or wordless text has severity by the thresholds alone; labels without a
-document, and null labels, take no part; without toxic labels every severity is 0; a repeated
-row gets the same result; an empty table gives no rows.
+document, and null labels, take no part; an id with both labels is toxic; of a labelled document that is repeated, one copy is
+fitted on; without toxic labels every severity is 0; a repeated row gets the same result; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 
 from paysift.llm.common import bounded_batches
 
-#: Labelled rows of either class that the fit may use; the most words that the model may keep.
-MAX_LABELLED, MAX_WORDS = 8000, 20_000
+#: Labelled rows of either class that the fit may use.
+MAX_LABELLED = 8000
 BUCKETS, GRADES = 1 << 20, 3
+#: Penalty on the squared weights.
+L2 = 1e-4
 #: A text is called toxic from this chance on: missing one costs as much as three false alarms.
 TOXIC_FROM = 0.25
 WORD = re.compile(r"[^\W\d_]+")
@@ -49,9 +53,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Weights by hashed word, and ``GRADES`` rising thresholds."""
+    """Weights by hashed word (none: all 0), and ``GRADES`` rising thresholds."""
 
-    weights: dict[int, float]
+    weights: np.ndarray
     thresholds: np.ndarray
 
     def chances(self, score: float) -> np.ndarray:
@@ -79,51 +83,58 @@ def _log_odds(ids: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.
     return np.log((pos + 0.5) / (n + 1)) - np.log((neg + 0.5) / (m + 1)), pos
 
 
-def fit(ids: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, rounds: int = 150, l2: float = 1e-4) -> Model:
-    """Maximum likelihood by Adam on the whole sample; the words most telling of toxic texts,
-    either way, have weights."""
-    top = int(grade.max(initial=0))
-    if not top:
-        return Model({}, np.full(GRADES, 40.0))
-    odds, seen = _log_odds(ids, grade > 0)
-    telling = np.where(seen >= 3, np.abs(odds) * np.sqrt(seen), 0)
-    kept = np.sort(np.argsort(-telling, kind="stable")[:MAX_WORDS])
-    kept = kept[telling[kept] > 2]
-    place = np.full(BUCKETS, -1)
-    place[kept] = np.arange(len(kept))
-    row = np.concatenate([np.full((place[i] >= 0).sum(), k) for k, i in enumerate(ids)]).astype(int)
-    col = np.concatenate([place[i][place[i] >= 0] for i in ids]).astype(int)
-    x = np.concatenate([np.log1p(c[place[i] >= 0]) for i, c in zip(ids, counts)])
-    n, total = len(ids), weight.sum()
-    w, raw = np.zeros(len(kept)), np.concatenate([[3.0], np.zeros(GRADES - 1)])  # first threshold, log gaps
-    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(raw), np.zeros_like(raw)]
+def thresholds_of(raw: np.ndarray) -> np.ndarray:
+    """Rising thresholds from free parameters: the first, and the logs of the gaps."""
+    return raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
+
+
+def loss(w: np.ndarray, raw: np.ndarray, row: np.ndarray, col: np.ndarray, x: np.ndarray, grade: np.ndarray, weight: np.ndarray,
+         l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood with its penalty, and the gradients by ``w`` and ``raw``.  Entry e: word
+    ``col[e]`` has value ``x[e]`` in text ``row[e]``."""
     logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    total = weight.sum()
+    theta = thresholds_of(raw)
+    score = np.bincount(row, x * w[col], len(grade))
+    ends = np.concatenate([[-np.inf], theta, [np.inf]])
+    hi, lo = logistic(np.clip(ends[grade + 1], -1e9, 1e9) - score), logistic(np.clip(ends[grade], -1e9, 1e9) - score)
+    hi, lo = np.where(grade == GRADES, 1.0, hi), np.where(grade == 0, 0.0, lo)
+    p = np.maximum(hi - lo, 1e-12)
+    by_score = weight * -(1 - hi - lo) / total
+    g = l2 * w - np.bincount(col, x * by_score[row], len(w))
+    by_theta = np.array([((grade == j) * weight * -hi * (1 - hi) / p + (grade == j + 1) * weight * lo * (1 - lo) / p).sum() / total for j in range(GRADES)])
+    g_raw = np.concatenate([[by_theta.sum()], [by_theta[j:].sum() * np.exp(raw[j]) for j in range(1, GRADES)]])
+    return float(-(weight * np.log(p)).sum() / total + l2 / 2 * (w @ w)), g, g_raw
+
+
+def fit(ids: list[np.ndarray], counts: list[np.ndarray], grade: np.ndarray, weight: np.ndarray, rounds: int = 150, l2: float = L2) -> Model:
+    """Maximum penalized likelihood by Adam on the whole sample; every word of it has a weight."""
+    if not grade.max(initial=0):
+        return Model(np.zeros(0, np.float32), np.full(GRADES, 40.0))
+    kept, col = np.unique(np.concatenate(ids), return_inverse=True)
+    row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    x = np.log1p(np.concatenate(counts))
+    w, raw = np.zeros(len(kept)), np.concatenate([[3.0], np.zeros(GRADES - 1)])
+    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(raw), np.zeros_like(raw)]
     for t in range(1, rounds + 1):
-        theta = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
-        score = np.bincount(row, x * w[col], n)
-        ends = np.concatenate([[-np.inf], theta, [np.inf]])
-        hi, lo = logistic(np.clip(ends[grade + 1], -1e9, 1e9) - score), logistic(np.clip(ends[grade], -1e9, 1e9) - score)
-        hi, lo = np.where(grade == GRADES, 1.0, hi), np.where(grade == 0, 0.0, lo)
-        p = np.maximum(hi - lo, 1e-12)
-        by_score = weight * (1 - hi - lo) / total
-        g = np.bincount(col, x * by_score[row], len(kept)) + l2 * w
-        by_theta = np.array([((grade == j) * weight * -hi * (1 - hi) / p + (grade == j + 1) * weight * lo * (1 - lo) / p).sum() / total for j in range(GRADES)])
-        g_raw = np.concatenate([[by_theta.sum()], [by_theta[j:].sum() * np.exp(raw[j]) for j in range(1, GRADES)]])
+        _, g, g_raw = loss(w, raw, row, col, x, grade, weight, l2)
         for value, grad, k in ((w, g, 0), (raw, g_raw, 2)):
             state[k] += 0.1 * (grad - state[k])
             state[k + 1] += 0.01 * (grad * grad - state[k + 1])
             value -= 0.1 * (state[k] / (1 - 0.9 ** t)) / (np.sqrt(state[k + 1] / (1 - 0.99 ** t)) + 1e-8)
-    theta = raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
-    return Model(dict(zip(kept.tolist(), w.tolist())), theta)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[kept] = w
+    return Model(weights, thresholds_of(raw))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
     """The model from ``labels`` (doc_id, toxic)."""
     bounded_batches(docs.sparkSession)
-    known = labels.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("_toxic")).where("_id is not null and _toxic is not null").distinct()
+    known = (labels.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("_toxic")).where("_id is not null and _toxic is not null")
+             .groupBy("_id").agg(F.max("_toxic").alias("_toxic")))
     totals = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     if not totals.get(True):
-        return Model({}, np.full(GRADES, 40.0))
+        return Model(np.zeros(0, np.float32), np.full(GRADES, 40.0))
     chosen = None
     for toxic in (True, False):
         part = known.where(F.col("_toxic") == toxic).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
@@ -134,11 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [features(t) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"].astype("string"), "toxic": batch["toxic"], "ids": [i.tobytes() for i, _ in found], "n": [c.tobytes() for _, c in found]})
 
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(docs[id_col].cast("string").alias("id"), F.col("_toxic").alias("toxic"), docs[text_col].alias("text"))
+    plain = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("text"))
+    texts = plain.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_doc").cast("string").alias("id"), F.col("_toxic").alias("toxic"), "text")
     rows = texts.mapInPandas(task, "id string, toxic boolean, ids binary, n binary").collect()  # at most 2 * max_labelled texts' words
-    rows.sort(key=lambda r: (r["toxic"], r["id"], r["ids"]))
-    ids, counts = [np.frombuffer(r["ids"], np.int32) for r in rows], [np.frombuffer(r["n"], np.int32) for r in rows]
-    toxic = np.array([r["toxic"] for r in rows], bool)
+    rows = sorted({(r["toxic"], r["id"], bytes(r["ids"]), bytes(r["n"])) for r in rows})
+    ids, counts = [np.frombuffer(r[2], np.int32) for r in rows], [np.frombuffer(r[3], np.int32) for r in rows]
+    toxic = np.array([r[0] for r in rows], bool)
     weight = np.where(toxic, totals.get(True, 0) / max(1, toxic.sum()), totals.get(False, 0) / max(1, (~toxic).sum()))
     return fit(ids, counts, grades(ids, counts, toxic), weight)
 
@@ -157,7 +169,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 for word, n in Counter(WORD.findall((text or "").lower())).items():
                     w = cache.get(word)
                     if w is None:
-                        w = cache[word] = model.weights.get(zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS, 0.0)
+                        w = cache[word] = float(model.weights[zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS]) if len(model.weights) else 0.0
                     if w:
                         total += w * np.log1p(n)
                 chances = model.chances(total)

@@ -269,8 +269,85 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.scored(d.limit(0), model).collect() == []
 
 
+def test_toxicity_gradient_and_optimum():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    n, d = 60, 7
+    row, col = np.repeat(np.arange(n), 3), rng.integers(0, d, 3 * n)
+    x, grade, weight = np.log1p(rng.integers(1, 4, 3 * n)), rng.integers(0, 4, n), rng.uniform(0.5, 2, n)
+    at = lambda v: toxicity.loss(v[:d], v[d:], row, col, x, grade, weight, 1e-2)
+    for _ in range(3):
+        v = rng.normal(0, 1, d + 3)
+        _, g, g_raw = at(v)
+        step = [(at(v + 1e-6 * e)[0] - at(v - 1e-6 * e)[0]) / 2e-6 for e in np.eye(d + 3)]
+        assert np.allclose(np.concatenate([g, g_raw]), step, atol=1e-5)
+    # the fit comes to where plain gradient descent does
+    ids = [np.unique(col[3 * i:3 * i + 3]).astype(np.int32) for i in range(n)]
+    counts = [np.array([(col[3 * i:3 * i + 3] == w).sum() for w in k], np.int32) for i, k in enumerate(ids)]
+    model = toxicity.fit(ids, counts, grade, weight, rounds=800, l2=1e-2)
+    r2, c2, x2 = np.repeat(np.arange(n), [len(i) for i in ids]), np.concatenate(ids), np.log1p(np.concatenate(counts))
+    v = np.concatenate([np.zeros(d), [0.0, 0.0, 0.0]])
+    for _ in range(20000):
+        _, g, g_raw = toxicity.loss(v[:d], v[d:], r2, c2, x2, grade, weight, 1e-2)
+        v -= 0.3 * np.concatenate([g, g_raw])
+    assert np.allclose(model.weights[:d], v[:d], atol=0.02) and np.allclose(model.thresholds, toxicity.thresholds_of(v[d:]), atol=0.02)
+    assert (np.diff(model.thresholds) > 0).all()
+
+
+def test_toxicity_of_odd_tables(spark):
+    names = ["_toxic", "_id", "_doc", "toxic", "id", "s", "severity", "p_toxic", "grade", "count"]
+    rows = [(i, ("vile scum filth " if i % 2 else "calm sea breeze ") * (1 + i % 5), *["z"] * len(names)) for i in range(40)] + [(None, None, *["z"] * len(names)), (3, "vile scum", *["z"] * len(names))]
+    d = spark.createDataFrame(rows, DOCS + "".join(f", {c} string" for c in names))
+    lab = spark.createDataFrame([(i, 0, i % 2, "z") for i in range(30)] + [(1, 0, 0, "z"), (99, 0, 1, "z"), (None, 0, 1, "z"), (4, 0, None, "z")], "doc_id long, quality int, toxic int, _id string")
+    model = toxicity.train(d, lab)
+    got = toxicity.scored(d, model).collect()
+    assert len(got) == len(rows) and {x.doc_id for x in got if x.toxic and x.doc_id is not None} == set(range(1, 40, 2))
+    again = toxicity.train(d.unionByName(d), lab)  # one copy of a labelled document is fitted on
+    assert (again.weights == model.weights).all()
+
+
 # --- license scan ---
 
+def test_quality_promise_holds_for_a_stratum(spark):
+    """A stratum whose rules together lose more than max_false is certified no more often than its share of the level."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    share = quality_rules.LEVEL / len(quality_rules.BANDS)
+    for n in (300, 2000):
+        lost = rng.binomial(n, 1.01 * quality_rules.MAX_FALSE, 4000)
+        assert sum(quality_rules.certified([int(x)] * 5, n) is not None for x in lost) <= 2 * share * 4000
+        assert quality_rules.certified([0] * 5, n) == 4 and quality_rules.certified([0, 0, n, 0, 0], n) == 1
+    assert quality_rules.certified([0], 100) is None and quality_rules.certified([0], 0) is None
+    # four rules with disjoint tails of 1.5 % each: each alone could be certified, together they lose 6 %
+    body = " ".join(f"w{i}" for i in range(60))
+    tails = [lambda t: t + " ####" * 12, lambda t: t + " a b c" * 12, lambda t: t + "\nx y\nx y\nx y\nx y", lambda t: t.upper()]
+    rows, labels = [], []
+    for i in range(4000):
+        text, k = f"{body} n{i}", i % 200
+        good = i < 2000
+        tail = (k // 3 if k < 12 else None) if good else i % 4
+        rows.append((i, text if tail is None else tails[tail](text)))
+        labels.append((i, int(good)))
+    d, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {x.doc_id for x in quality_rules.judge(d, lab, cost=0.0).where("kept").collect()}
+    assert sum(i in kept for i in range(2000)) >= 0.98 * 2000
+
+
+def test_quality_counts_a_text_once(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(i, text if i < 50 else f"{text} x{i}") for i in range(60)], DOCS)
+    lab = spark.createDataFrame([(i, 1) for i in range(59)] + [(59, 1), (59, 0), (0, 1)], "doc_id long, quality int")
+    seen = {}
+    real = quality_rules.choose_cutoffs
+    quality_rules.choose_cutoffs = lambda counts, **k: seen.update(counts) or real(counts, **k)
+    try:
+        quality_rules.judge(d, lab).collect()
+    finally:
+        quality_rules.choose_cutoffs = real
+    # 50 rows are one text; one of the ten others has both labels, so it is bad
+    assert all(g.sum() + b.sum() <= 11 and b.sum() <= 1 for g, b in seen.values())
+
+
 def test_patience_aligns_rising_equal_words():
     r = random.Random(13)
     for _ in range(300):
@@ -296,6 +373,83 @@ def test_license_scan_finds_every_copy(spark):
     assert license_scan.scan(d.limit(0)).collect() == []
 
 
+def naive_sizes(a, b):
+    """How many words the alignment may take, recursively: equal ends first, then any longest rising run of common
+    unique words, then the gaps."""
+    if not a or not b:
+        return {0}
+    if a[0] == b[0]:
+        return {1 + n for n in naive_sizes(a[1:], b[1:])}
+    if a[-1] == b[-1]:
+        return {1 + n for n in naive_sizes(a[:-1], b[:-1])}
+    pairs = [(a.index(w), b.index(w)) for w in a if a.count(w) == 1 and b.count(w) == 1]
+    runs = [run for k in range(1, 1 << len(pairs)) if (run := [p for i, p in enumerate(pairs) if k >> i & 1]) and all(x[1] < y[1] for x, y in zip(run, run[1:]))]
+    sizes = {0} if not runs else set()
+    for run in (r for r in runs if len(r) == max(map(len, runs))):
+        ends, total = [(-1, -1), *run, (len(a), len(b))], {len(run)}
+        for (x, y), (x2, y2) in zip(ends, ends[1:]):
+            total = {t + n for t in total for n in naive_sizes(a[x + 1:x2], b[y + 1:y2])}
+        sizes |= total
+    return sizes
+
+
+def test_patience_equals_a_naive_recursion():
+    r = random.Random(21)
+    for _ in range(400):
+        a, b = ([r.choice("abcdefghijklmn") for _ in range(r.randrange(10))] for _ in range(2))
+        assert len(license_scan.patience(a, b)) in naive_sizes(a, b)
+
+
+@pytest.mark.parametrize("text,name", [
+    ("Released under the BSD License.", "BSD-line"), ("Released under the MIT License.", "MIT-line"), ("Released under the Foo License.", None),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0-short"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0-line"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0-line"),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0-line"), ("Licensed under CC BY-NC 3.0.", None), ("Licensed under the Apache License, Version 1.1.", None),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0-line"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-line"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-line"), ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-line"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0-line"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0-line"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", None)])
+def test_a_sister_license_is_not_named(text, name):
+    find = license_scan.Scanner(license_scan.TEMPLATES)
+    for around in ("", "some words before and "):
+        assert [h[0] for h in find(around + text + " And more after it.")] == ([name] if name else [])
+
+
+def test_every_template_is_named_by_its_own_text():
+    find = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():
+        assert [h[0] for h in find("Foo bar. " + text + " Baz.")] == [name]
+        w = text.split()
+        if len(w) > 40:  # a copy with small changes
+            tell = {find.templates[name][i] for i in find.telling[name]}
+            changed = " ".join("changed" if k % 17 == 5 and not tell & set(license_scan.words(x)) else x for k, x in enumerate(w))
+            assert [h[0] for h in find(changed)] == [name], name
+
+
+def test_scan_equals_an_exhaustive_search_of_windows():
+    """On short texts: a template is found just where some window aligns enough of it, telling words and all."""
+    templates = {"One-1.0": "alpha beta gamma delta version 1.0 end", "One-2.0": "alpha beta gamma delta version 2.0 end", "Two": "two kappa lambda mu nu xi omicron"}
+    find, r = license_scan.Scanner(templates), random.Random(8)
+    pool = sorted({w for t in templates.values() for w in t.split()} | {"x", "y", "z"})
+    hits = missed = 0
+    for _ in range(600):
+        doc = [r.choice(["x", "y", "z"]) for _ in range(r.randrange(4))]
+        t = r.choice(list(templates.values())).split()
+        doc += [r.choice(pool) if r.random() < 0.12 else w for w in t if r.random() > 0.06] + [r.choice(["x", "y", "z"]) for _ in range(r.randrange(4))]
+        want = set()
+        for name, template in find.templates.items():
+            for i in range(len(doc)):
+                for j in range(i + 1, len(doc) + 1):
+                    aligned = license_scan.patience(doc[i:j], template)
+                    if len(aligned) >= 0.8 * len(template) and find.tells(name, doc[i:j], aligned):
+                        want.add(name)
+        got = {h[0] for h in find.covered(doc)}
+        assert got <= want, doc
+        hits, missed = hits + bool(got), missed + (got != want)
+    # a window cut to fit can align a word that occurs twice in any wider one
+    assert hits > 200 and missed <= 0.03 * hits
+
+
 # --- LM scoring ---
 
 def test_pseudo_likelihood_is_the_sum_of_conditionals():
