@@ -20,6 +20,7 @@ from paysift.functions.sampling import hash_split
 from paysift.operators import features as FE
 from paysift.operators import linear as L
 from paysift.operators import ml as M
+from paysift.operators import vectors as V
 from paysift.operators.selection import grouped_stats
 from paysift.plans.common import round_doubles
 from paysift.plans.marts import cleaned
@@ -44,8 +45,13 @@ def _skill_tokens(enc):
     return enc.select("job_id", F.explode(_tokens_column()).alias("token"))
 
 
+def _token_lists(enc):
+    return enc.where("part = 'train'").select(_tokens_column().alias("tokens"))
+
+
 def _w2v(enc):
-    return M.train_word2vec(enc.where("part = 'train'").select(_tokens_column().alias("tokens")), "tokens")
+    """``word, vector`` from the training part's skill lists."""
+    return V.train(materialize(_token_lists(enc)), "tokens", K.EMBEDDING_DIM, K.W2V_PARAMS["windowSize"], K.W2V_PARAMS["minCount"])
 
 
 @dataclass
@@ -63,8 +69,7 @@ def model_table(spark, sf) -> ModelTable:
     """Base features, missing ones filled as the serving layer does, one place for each level of the one-hot
     columns, and the pooled (mean) skill vector."""
     enc = materialize(_encoded(spark, sf))
-    vecs = _w2v(enc).getVectors().select("word", vector_to_array("vector").alias("vector"))
-    pooled = FE.pool_vectors(_skill_tokens(enc), ["job_id"], vecs, K.EMBEDDING_DIM)
+    pooled = FE.pool_vectors(_skill_tokens(enc), ["job_id"], _w2v(enc), K.EMBEDDING_DIM)
     index = FE.level_index(enc, K.ONEHOT_PREFIXES)
     n_levels, n_base = index.count(), len(K.BASE_NUMERIC_FEATURES)
     t = FE.request_defaults(enc.join(pooled, "job_id", "left"))
@@ -196,11 +201,23 @@ def w2v_vocab(spark, sf):
             .where(F.col("freq") >= K.W2V_PARAMS["minCount"]))
 
 
+@register("w2v_pairs", with_base(f""", t AS (
+  SELECT job_id, list_filter(list_transform(skills_array, lambda x: trim(x)), lambda x: x <> '') AS w FROM cleaned WHERE {sql_hash('job_id', 10)} < 8),
+p AS (SELECT job_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM t),
+v AS (SELECT word, count(*) AS freq FROM p GROUP BY word HAVING count(*) >= {K.W2V_PARAMS['minCount']}),
+a AS (SELECT a.word, b.word AS other FROM p a JOIN p b ON a.job_id = b.job_id AND b.i > a.i AND b.i <= a.i + {K.W2V_PARAMS['windowSize']} WHERE a.word <> b.word)
+SELECT word, other, count(*) AS n FROM (SELECT word, other FROM a UNION ALL SELECT other, word FROM a)
+WHERE word IN (SELECT word FROM v) AND other IN (SELECT word FROM v) GROUP BY ALL
+UNION ALL SELECT word, word, freq FROM v"""))
+def w2v_pairs(spark, sf):
+    """The counts that the word vectors are made of."""
+    lists = materialize(_token_lists(_encoded(spark, sf)))
+    return V.cooccurrences(lists, "tokens", K.W2V_PARAMS["windowSize"], K.W2V_PARAMS["minCount"])[1]
+
+
 @register("w2v_train")
 def w2v_train(spark, sf):
-    v = _w2v(_encoded(spark, sf)).getVectors()
-    return v.select("word", F.size(vector_to_array("vector")).alias("dim"),
-                    vector_to_array("vector").alias("vector"))
+    return _w2v(_encoded(spark, sf)).select("word", F.size("vector").alias("dim"), "vector")
 
 
 @register("w2v_check", with_base(f"""

@@ -145,7 +145,7 @@ def test_explained_queries_take_all_features(spark, monkeypatch):
 def test_assembled_rows_hold_every_feature(spark, monkeypatch):
     from paysift.plans import q_ml
     enc = q_ml._encoded(spark, SMALL)
-    fitted = q_ml._w2v(enc)  # two fits may differ
+    fitted = q_ml._w2v(enc)
     monkeypatch.setattr(q_ml, "_w2v", lambda _: fitted)
     m = q_ml.model_table(spark, SMALL)
     feats = [r["feature"] for r in m.names.orderBy("idx").collect()]
@@ -160,7 +160,7 @@ def test_assembled_rows_hold_every_feature(spark, monkeypatch):
     assert {(i, f) for i, r in rows.items() for f in hot if r[f] == 1} == ones
     assert {r[f] for r in rows.values() for f in hot} == {0.0, 1.0}
     # each vector is the mean of the row's in-vocabulary skills' vectors
-    words = {r["word"]: np.array(r["vector"]) for r in fitted.getVectors().select("word", q_ml.vector_to_array("vector").alias("vector")).collect()}
+    words = {r["word"]: np.array(r["vector"]) for r in fitted.collect()}
     tokens = enc.select("job_id", q_ml._tokens_column().alias("s")).collect()
     mine = np.array([[rows[r["job_id"]][f"{K.EMBEDDING_PREFIX}{i}"] for i in range(K.EMBEDDING_DIM)] for r in tokens])
     mean = np.array([np.mean([words[w] for w in r["s"] if w in words] or [np.zeros(K.EMBEDDING_DIM)], axis=0) for r in tokens])
@@ -226,3 +226,59 @@ def test_a_hundred_thousand_levels(spark):
     assert [list(r["values"]) for r in got] == [[7.0, 1, 1, 0, 0], [99999.0, 1, 1, 0.5, 2]]
     v = vectors.where("id = 99999").first()["features"]
     assert v.size == n + 6 and v[n] == 1.0 and v.indices.tolist() == [0, n, n + 1, n + 4, n + 5]
+
+
+def brute_pairs(lists, window, least):
+    from collections import Counter
+    freq = Counter(w for x in lists for w in x)
+    n = Counter()
+    for x in lists:
+        for i, a in enumerate(x):
+            for b in x[i + 1:i + 1 + window]:
+                if a != b:
+                    n[a, b] += 1
+                    n[b, a] += 1
+    keep = {w for w, c in freq.items() if c >= least}
+    return {**{p: c for p, c in n.items() if set(p) <= keep}, **{(w, w): freq[w] for w in keep}}
+
+
+def word_lists(n=500, words=60):
+    rng = np.random.default_rng(4)
+    topic = rng.integers(0, 6, n)
+    return [[f"w{(t * 10 + int(k)) % words}" for k in rng.integers(0, 14, rng.integers(0, 12))] for t in topic]
+
+
+@pytest.mark.parametrize("dim", [7, 80])
+def test_word_vectors_are_the_leading_eigenvectors(spark, dim):
+    from paysift.operators import vectors as V
+    lists = word_lists()
+    df = spark.createDataFrame([(x,) for x in lists] + [(None,)], "t array<string>").repartition(5)
+    pairs = brute_pairs(lists, 3, 5)
+    vocab, got = V.cooccurrences(df, "t", 3, 5)
+    assert {(r["word"], r["other"]): r["n"] for r in got.collect()} == pairs
+    words = sorted({a for a, _ in pairs})
+    at = {w: i for i, w in enumerate(words)}
+    n = np.zeros((len(words), len(words)))
+    for (a, b), c in pairs.items():
+        n[at[a], at[b]] = c
+    m = np.maximum(np.log(np.where(n > 0, n, 1) * n.sum() / np.outer(n.sum(1), n.sum(1))), 0) * (n > 0)
+    out, values = V.leading_vectors(V.information(got), vocab.select("word"), dim, rounds=40, tol=1e-9)
+    e, u = np.linalg.eigh(m)
+    order = np.argsort(-np.abs(e))[:dim]
+    k = min(dim, len(words))
+    assert np.allclose(values[:k], e[order][:k], atol=1e-2) and np.allclose(values[k:], 0)
+    rows = {r["word"]: np.array(r["vector"]) for r in out.collect()}
+    mine = np.array([rows[w] for w in words])
+    want = u[:, order] * np.sqrt(np.maximum(e[order], 0))
+    assert mine.shape == (len(words), dim) and np.allclose(mine @ mine.T, want @ want.T, atol=0.1)
+    gaps = np.abs(np.diff(np.abs(e[order])))
+    assert all(min(np.abs(mine[:, j] - want[:, j]).max(), np.abs(mine[:, j] + want[:, j]).max()) < 5e-2 for j in range(3) if gaps[j] > 0.1)
+
+
+def test_word_vectors_do_not_depend_on_the_layout(spark):
+    from paysift.operators import vectors as V
+    df = spark.createDataFrame([(x,) for x in word_lists(200)], "t array<string>")
+    a, b = ({r["word"]: np.array(r["vector"]) for r in V.train(d, "t", 5, 5, 5).collect()} for d in (df.coalesce(1), df.repartition(9)))
+    assert a.keys() == b.keys() and all(np.allclose(a[w], b[w], atol=1e-6) for w in a)
+    empty = V.train(df.limit(0), "t", 5, 5, 5)
+    assert empty.count() == 0
