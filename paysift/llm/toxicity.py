@@ -38,9 +38,9 @@ from paysift.llm.common import bounded_batches
 MAX_LABELLED = 8000
 BUCKETS, GRADES = 1 << 20, 3
 #: Penalty on the squared weights.
-L2 = 1e-4
-#: A text is called toxic from this chance on: missing one costs as much as three false alarms.
-TOXIC_FROM = 0.25
+L2 = 3e-5
+#: A text is called toxic from this chance on: missing one costs as much as four false alarms.
+TOXIC_FROM = 0.2
 WORD = re.compile(r"[^\W\d_]+")
 
 
