@@ -1,29 +1,36 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every word from both sides.
 
-A word's class is its own if it is among the corpus's ``n_own`` most frequent words, else that of
-its hashed ending (last two letters).  A network takes the embedded classes of the ``SIDE`` words before
-and after a place, each position with a matrix of its own, through a tanh layer to a softmax
-over the classes of the word between them, which is masked.  A document's pseudo-log-likelihood
-is the sum over its words of log P(class | both sides) + log P(word's bucket | class), the
-second from the corpus's counts.
-
-What is gathered: texts are read once and written as bucket numbers, two bytes a word; every word
-of every document is counted, in a fixed number of buckets, by each task and summed by a shuffle.  Training is in numpy, in the tasks: each trains a copy
-of the network by Adagrad on windows of all its documents, and the copies are averaged, weighted
-by their windows, in ``rounds`` rounds.  A round takes every ``stride``-th place, from an offset by the
-text's hash and the round; as many rounds as the stride, or more, make every word a target.  Only counts of buckets, and averaged parameters, of a size fixed by the settings, reach
-the driver.
+The words are the corpus's own: all are counted exactly, and the ``VOCABULARY * words ** 0.4`` most
+frequent ones (ties by the word) make the vocabulary, so it grows with the corpus.  A network takes
+the embedded words of the ``SIDE`` places before and after a masked place, each position with a
+matrix of its own, through a tanh layer to a softmax of two levels, both conditional on both
+sides: first the group of the masked word (groups are runs of the vocabulary, by frequency, of about
+equal share), then the word within its group.  A word outside the vocabulary is spelled: its class,
+by its last byte, is a group of the first level, and its other bytes follow from the last to the
+first by the byte pairs of all such words of the corpus.  Every word has a probability of its own, and those of
+all strings add up to 1.  A document's pseudo-log-likelihood is the sum over its words of
+log P(word | both sides).
+
+What is gathered: texts are read twice, once for the counts and once to be written as word numbers.  Training is
+in numpy, in the tasks: the rows are dealt into shards by a hash of id and words, each shard in the order of that
+hash, so that the result depends on the rows and not on how they were split.  Each shard trains a copy of the network by Adagrad
+on windows of all its documents, and the copies are averaged, weighted by their windows, in ``rounds``
+rounds.  A round takes every ``stride``-th place, from an offset by the text's hash and the round; as many
+rounds as the stride, or more, make every word a target.  A shard has about ``SHARD_WORDS`` words, or
+``WORDS_A_ROW`` for each word of the vocabulary if that is more: so copies stay small beside what they learn
+from.  Vocabulary and averaged parameters reach the driver (10**13 words: 630,000 words, 100 MB).
 
 Defined cases: a null or wordless text has no words and the score 0; places past a text's ends
-are class 0; an empty corpus leaves the network untrained; repeated rows get the same score.
+are word 0; an empty corpus leaves the network untrained; repeated rows get the same score, up to rounding.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -32,143 +39,285 @@ from pyspark.sql import functions as F
 
 from paysift.llm.common import bounded_batches, written
 
-SIDE, WIDTH, HIDDEN = 2, 16, 32
-N_OWN, N_ENDINGS, BUCKETS = 191, 64, 1 << 16
-STRIDE, ROUNDS, RATE, BATCH = 2, 2, 0.15, 512
+SIDE, WIDTH, HIDDEN = 2, 16, 24
+VOCABULARY, SPELLED = 4, 48
+SHARD_WORDS, WORDS_A_ROW = 2_000_000, 500
+STRIDE, ROUNDS, RATE, BATCH, LEAST_BATCH = 2, 2, 0.15, 4096, 256
+BLOCK = 4096  #: parameters a row, where copies are averaged
 WORD = re.compile(r"\w+|[^\w\s]")
+START = 256  #: what a word's first byte follows
 
 
-def bucket_ids(text: str | None, cache: dict[str, int]) -> np.ndarray:
-    """The hashed bucket of each word."""
-    found = WORD.findall((text or "").lower())
-    out = []
-    for w in found:
-        b = cache.get(w)
-        if b is None:
-            if len(cache) >= 1_000_000:
-                cache.clear()
-            whole, end = (zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (w, w[-2:]))
-            b = cache[w] = whole % BUCKETS // N_ENDINGS * N_ENDINGS + end % N_ENDINGS
-        out.append(b)
-    return np.array(out, np.int64)
+@dataclass
+class Vocabulary:
+    """The words with a number of their own, from 1, most frequent first, and how others are spelled."""
+
+    words: list[str]
+    counts: np.ndarray       # of words, then of the SPELLED classes
+    class_of: np.ndarray     # last byte -> class
+    last: np.ndarray         # last byte -> log P(last byte | class)
+    back: np.ndarray         # (byte, byte before it or START) -> log P(before | byte)
+    numbers: dict[str, int] = field(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        self.numbers = {w: i for i, w in enumerate(self.words, 1)}
+
+    def coded(self, word: str) -> tuple[int, float]:
+        """(number, log P(spelling | number)) of a word."""
+        if (i := self.numbers.get(word)) is not None:
+            return i, 0.0
+        b = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+        before = np.concatenate([[START], b[:-1]])
+        return 1 + len(self.words) + int(self.class_of[b[-1]]), float(self.last[b[-1]] + self.back[b, before].sum())
+
+    def encode(self, text: str | None, cache: dict) -> tuple[np.ndarray, float]:
+        """The numbers of a text's words, and the sum of their spellings' logarithms."""
+        numbers: list[int] = []
+        spelled = 0.0
+        for chunk in (text or "").lower().split():  # no word spans white space
+            hit = cache.get(chunk)
+            if hit is None:
+                if len(cache) >= 500_000:
+                    cache.clear()
+                codes = [self.coded(w) for w in WORD.findall(chunk)]
+                hit = cache[chunk] = [i for i, _ in codes], sum(p for _, p in codes)
+            numbers += hit[0]
+            spelled += hit[1]
+        return np.array(numbers, "<i4"), spelled
+
+
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) of every word of the corpus, counted by each task and summed by a shuffle; written."""
+    bounded_batches(docs.sparkSession)
 
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunks: Counter = Counter()
 
-@dataclass
-class Network:
-    """Parameters, and the class and log share of each bucket."""
+        def counted() -> pd.DataFrame:
+            words: Counter = Counter()
+            for chunk, n in chunks.items():
+                for w in WORD.findall(chunk):
+                    words[w] += n
+            chunks.clear()
+            return pd.DataFrame({"word": pd.Series(list(words), dtype=object), "n": pd.Series(list(words.values()), dtype="int64")})
+
+        for batch in batches:
+            for text in batch["text"]:
+                chunks.update((text or "").lower().split())
+                if len(chunks) > 300_000:
+                    yield counted()
+        yield counted()
+
+    counts = docs.select(docs[text_col].alias("text")).mapInPandas(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return written(counts, "lm-counts")
 
-    classes: np.ndarray     # BUCKETS -> class, from 1
-    log_share: np.ndarray   # BUCKETS -> log P(bucket | class)
-    embed: np.ndarray       # (classes + 1, WIDTH)
-    mix: np.ndarray         # (2 * SIDE, WIDTH, HIDDEN)
-    bias: np.ndarray        # HIDDEN
-    out: np.ndarray         # (HIDDEN, classes + 1)
-    prior: np.ndarray       # classes + 1
 
-    NAMES = ("embed", "mix", "bias", "out", "prior")
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The vocabulary that ``counts`` make, and the byte pairs of all other words."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.desc("n"), "word").limit(round(VOCABULARY * total ** 0.4)).collect()
+    rest = counts.where((F.col("n") < top[-1]["n"]) | (F.col("n") == top[-1]["n"]) & (F.col("word") > top[-1]["word"])) if top else counts
 
-    def forward(self, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Embedded neighbours (n, 2 * SIDE * WIDTH), hidden layer, the targets' scores, and all scores' powers
-        with their sums, of windows (n, 2 * SIDE): the softmax is powers / sums."""
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((257, 257), np.int64)  # the byte after the last one is 256 too
+        for batch in batches:
+            for word, n in zip(batch["word"], batch["n"]):
+                b = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+                np.add.at(seen, (np.append(b, 256), np.append(START, b)), n)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"pair": at, "n": seen.ravel()[at]})
+
+    seen = np.zeros(257 * 257)
+    for r in rest.mapInPandas(pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 257 * 257
+        seen[r["pair"]] = r["n"]
+    seen = seen.reshape(257, 257)
+    lasts = seen[256, :256] + 0.5
+    order = np.argsort(-lasts, kind="stable")
+    class_of = np.full(256, SPELLED - 1)
+    class_of[order[:SPELLED - 1]] = np.arange(SPELLED - 1)
+    of_class = np.bincount(class_of, lasts, SPELLED)
+    back = seen[:256] + 0.01
+    return Vocabulary([r["word"] for r in top], np.array([r["n"] for r in top] + list(of_class), float), class_of,
+                      np.log(lasts / of_class[class_of]), np.log(back / back.sum(axis=1, keepdims=True)))
+
+
+@dataclass
+class Network:
+    """Parameters, and where each group of words begins."""
+
+    starts: np.ndarray       # first number of each group, and the number past the last
+    group: np.ndarray        # number -> group; of 0, which is past a text's ends, -1
+    embed: np.ndarray        # (numbers, WIDTH)
+    mix: np.ndarray          # (2 * SIDE, WIDTH, HIDDEN)
+    bias: np.ndarray         # HIDDEN
+    head: np.ndarray         # (HIDDEN, groups)
+    head_prior: np.ndarray   # groups
+    leaf: np.ndarray         # (numbers, HIDDEN)
+    leaf_prior: np.ndarray   # numbers
+
+    NAMES = ("embed", "mix", "bias", "head", "head_prior", "leaf", "leaf_prior")
+
+    def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embedded neighbours (n, 2 * SIDE * WIDTH) and the hidden layer, of windows (n, 2 * SIDE)."""
         x = self.embed[around].reshape(len(around), -1)
         h = x @ self.mix.reshape(-1, self.mix.shape[2])
         h += self.bias
-        np.tanh(h, out=h)
-        z = h @ self.out
-        z += self.prior
-        if not np.abs(self.out).sum(axis=0).max() + np.abs(self.prior).max() < 60:  # |h| <= 1: below, no power overflows
-            z -= z.max(axis=1, keepdims=True)
-        of_target = z[np.arange(len(target)), target]
-        e = np.exp(z, out=z)
-        return x, h, of_target, e, e @ np.ones(e.shape[1], e.dtype)
-
-    def log_likelihood(self, buckets: np.ndarray) -> float:
-        """The sum over a text's words, in windows of bounded number."""
-        c, total = self.classes[buckets], 0.0
-        for lo in range(0, len(c), 256):  # so few that they stay in the processor's cache
-            at = np.arange(lo, min(lo + 256, len(c)))
-            _, _, z, _, sums = self.forward(windows(c, at), c[at])
-            total += float((z - np.log(sums)).sum(dtype=np.float64) + self.log_share[buckets[at]].sum(dtype=np.float64))
+        return x, np.tanh(h, out=h)
+
+    def segments(self, group: np.ndarray) -> Iterator[tuple[int, int, slice]]:
+        """(from, to, numbers) of the runs of equal groups of more than one number."""
+        edges = np.flatnonzero(np.diff(group)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(group)]):
+            if hi > lo and (words := slice(int(self.starts[group[lo]]), int(self.starts[group[lo] + 1]))).stop - words.start > 1:
+                yield lo, hi, words
+
+    def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log P(number | both sides) of each place."""
+        order = np.argsort(self.group[target], kind="stable")
+        around, target = around[order], target[order]
+        group = self.group[target]
+        _, h = self.hidden(around)
+        found = _log_softmax(h @ self.head + self.head_prior, group)
+        for lo, hi, words in self.segments(group):
+            found[lo:hi] += _log_softmax(h[lo:hi] @ self.leaf[words].T + self.leaf_prior[words], target[lo:hi] - words.start)
+        out = np.empty(len(found))
+        out[order] = found
+        return out
+
+    def gradients(self, around: np.ndarray, target: np.ndarray) -> Iterator[tuple[str, object, np.ndarray]]:
+        """(name, rows, gradient) of the mean of -log P; what is given no more is needed by the next ones."""
+        n = np.float32(len(target))
+        order = np.argsort(self.group[target], kind="stable")
+        around, target = around[order], target[order]
+        group = self.group[target]
+        x, h = self.hidden(around)
+        d = _errors(h @ self.head + self.head_prior, group, n)
+        dh = d @ self.head.T
+        yield "head", slice(None), h.T @ d
+        yield "head_prior", slice(None), d.sum(axis=0)
+        for lo, hi, words in self.segments(group):
+            d = _errors(h[lo:hi] @ self.leaf[words].T + self.leaf_prior[words], target[lo:hi] - words.start, n)
+            dh[lo:hi] += d @ self.leaf[words]
+            yield "leaf", words, d.T @ h[lo:hi]
+            yield "leaf_prior", words, d.sum(axis=0)
+        dh *= 1 - h * h
+        dx = (dh @ self.mix.reshape(-1, self.mix.shape[2]).T).reshape(-1, self.embed.shape[1])
+        yield "mix", slice(None), (x.T @ dh).reshape(self.mix.shape)
+        yield "bias", slice(None), dh.sum(axis=0)
+        # neighbours' gradients summed by number: one sorted pass instead of scattered adds
+        ids = around.ravel().astype(np.uint16 if len(self.embed) < 1 << 16 else np.uint32)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        yield "embed", ids[first], np.add.reduceat(dx[order], first, axis=0)
+
+    def log_likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
+        """The sum over each text's words, in windows of bounded number that texts share."""
+        gap = np.zeros(SIDE, np.int64)
+        c = np.concatenate([gap, *(part for t in texts for part in (t, gap))])
+        at = np.flatnonzero(c)
+        of_text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        total = np.zeros(len(texts))
+        for lo in range(0, len(at), BATCH):
+            part = at[lo:lo + BATCH]
+            total += np.bincount(of_text[lo:lo + BATCH], self.log_probabilities(_around(c, part), c[part]), len(texts))
         return total
 
 
+def _log_softmax(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    of_target = z[np.arange(len(target)), target]
+    return of_target - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _errors(z: np.ndarray, target: np.ndarray, n: np.float32) -> np.ndarray:
+    """The softmax of ``z`` less 1 at the targets, over ``n``."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True) * n
+    z[np.arange(len(target)), target] -= 1 / n
+    return z
+
+
+def _around(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.stack([padded[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1)
+
+
 def windows(c: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Classes of the neighbours of the places ``at``; 0 past the ends."""
-    padded = np.concatenate([np.zeros(SIDE, c.dtype), c, np.zeros(SIDE, c.dtype)])
-    return np.stack([padded[at + k] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
-
-
-def new_network(counts: np.ndarray, seed: int = 0) -> Network:
-    """An untrained network over the classes that ``counts`` by bucket make."""
-    order = np.argsort(-counts, kind="stable")
-    classes = 1 + N_OWN + np.arange(BUCKETS) % N_ENDINGS  # a bucket's remainder is its ending
-    classes[order[:N_OWN]] = 1 + np.arange(N_OWN)
-    smooth = counts + 0.5
-    of_class = np.bincount(classes, smooth, 1 + N_OWN + N_ENDINGS)
-    prior = np.log(np.maximum(of_class, 0.5) / max(1.0, of_class.sum()))
-    r, n = np.random.default_rng(seed), len(of_class)
+    """Numbers of the neighbours of the places ``at``; 0 past the ends."""
+    gap = np.zeros(SIDE, c.dtype)
+    return _around(np.concatenate([gap, c, gap]), at + SIDE)
+
+
+def new_network(vocab: Vocabulary, seed: int = 0) -> Network:
+    """An untrained network over the vocabulary, which predicts the words' shares."""
+    v, counts = len(vocab.words), np.maximum(vocab.counts, 0.5)
+    share = np.cumsum(counts[:v]) - counts[:v]
+    cut = np.floor(share * np.ceil(np.sqrt(v)) / max(1.0, counts[:v].sum())).astype(np.int64)
+    starts = 1 + np.concatenate([np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]) if v else np.zeros(0, np.int64), np.arange(v, v + SPELLED + 1)])
+    group = np.searchsorted(starts, np.arange(v + SPELLED + 1), "right") - 1
+    of_group = np.bincount(group[1:], counts, len(starts) - 1)
+    r = np.random.default_rng(seed)
     f = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
-    return Network(classes, np.log(smooth / of_class[classes]), f(n, WIDTH), f(2 * SIDE, WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), f(HIDDEN, n), prior.astype(np.float32))
+    return Network(starts, group, f(len(group), WIDTH), f(2 * SIDE, WIDTH, HIDDEN), np.zeros(HIDDEN, np.float32), f(HIDDEN, len(of_group)),
+                   np.log(of_group / of_group.sum()).astype(np.float32), np.zeros((len(group), HIDDEN), np.float32),
+                   np.concatenate([[0], np.log(counts / of_group[group[1:]])]).astype(np.float32))
 
 
 class Trainer:
-    """Adagrad on batches of windows."""
+    """Adagrad on batches of windows; batches grow with what was seen."""
 
     def __init__(self, net: Network, rate: float = RATE):
         self.net = replace(net, **{k: getattr(net, k).copy() for k in Network.NAMES})
-        self.rate, self.seen = rate, 0
+        self.rate, self.seen, self.held = rate, 0, 0
+        self.around: list[np.ndarray] = []
+        self.target: list[np.ndarray] = []
         self.sums = {k: np.full_like(getattr(net, k), 0.1) for k in Network.NAMES}
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
-        net, n = self.net, len(target)
-        x, h, _, d, sums = net.forward(around, target)
-        d /= sums[:, None] * np.float32(n)
-        d[np.arange(n), target] -= np.float32(1 / n)
-        dh = (d @ net.out.T) * (1 - h * h)
-        dx = (dh @ net.mix.reshape(-1, HIDDEN).T).reshape(n * 2 * SIDE, WIDTH)
-        # neighbours' gradients summed by class: one sorted pass instead of scattered adds
-        ids = around.ravel().astype(np.uint16)  # sorted by digits
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
-        de = np.zeros_like(net.embed)
-        de[ids[order][first]] = np.add.reduceat(dx[order], first, axis=0)
-        for k, g in (("out", (d.T @ h).T), ("prior", d.sum(axis=0)), ("mix", (x.T @ dh).reshape(net.mix.shape)), ("bias", dh.sum(axis=0)), ("embed", de)):
-            self.sums[k] += g * g
-            getattr(net, k)[...] -= self.rate * g / np.sqrt(self.sums[k])
-        self.seen += n
-
-
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, words), the words as little-endian 16-bit bucket numbers."""
+        for name, rows, g in self.net.gradients(around, target):
+            total = self.sums[name]
+            total[rows] += g * g
+            getattr(self.net, name)[rows] -= self.rate * g / np.sqrt(total[rows])
+        self.seen += len(target)
+
+    def learn(self) -> None:
+        """Steps over all windows held."""
+        if self.held:
+            a, t, lo = np.concatenate(self.around), np.concatenate(self.target), 0
+            while lo < len(t):
+                n = min(BATCH, max(LEAST_BATCH, self.seen // 16))
+                self.step(a[lo:lo + n], t[lo:lo + n])
+                lo += n
+        self.around, self.target, self.held = [], [], 0
+
+    def read(self, c: np.ndarray, at: np.ndarray) -> None:
+        """Takes the places ``at`` of a text, a bounded number at a time."""
+        for lo in range(0, len(at), 8 * BATCH):
+            part = at[lo:lo + 8 * BATCH]
+            self.around.append(windows(c, part))
+            self.target.append(c[part])
+            self.held += len(part)
+            if self.held >= 8 * BATCH:
+                self.learn()
+
+
+def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, words, spelled): the words as little-endian 32-bit numbers, and the logarithm of their spellings; written."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("binary")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, int] = {}
+    @F.pandas_udf("words binary, spelled double")
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cache: dict = {}
         for texts in parts:
-            yield pd.Series([bucket_ids(t, cache).astype("<u2").tobytes() for t in texts])
+            found = [vocab.encode(t, cache) for t in texts]
+            yield pd.DataFrame({"words": [n.tobytes() for n, _ in found], "spelled": [s for _, s in found]})
 
-    return written(docs.select(docs[id_col].alias("doc_id"), encode(docs[text_col]).alias("words")), "lm-words")
+    return written(docs.select(docs[id_col].alias("doc_id"), encode(docs[text_col]).alias("e")).select("doc_id", "e.words", "e.spelled"), "lm-words")
 
 
-def _buckets(words: bytes) -> np.ndarray:
-    return np.frombuffer(words, "<u2").astype(np.int64)
-
-
-def count_buckets(words: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in the whole corpus."""
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            total += np.bincount(_buckets(b"".join(batch["words"])), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
-
-    rows = words.select("words").mapInPandas(task, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(BUCKETS)
-    for r in rows:  # at most BUCKETS
-        counts[r["bucket"]] = r["n"]
-    return counts
+def _numbers(words: bytes) -> np.ndarray:
+    return np.frombuffer(words, "<i4").astype(np.int64)
 
 
 def places(text: bytes, n: int, stride: int, turn: int) -> np.ndarray:
@@ -176,52 +325,53 @@ def places(text: bytes, n: int, stride: int, turn: int) -> np.ndarray:
     return np.arange((zlib.crc32(text[:64]) + turn) % stride, n, stride)
 
 
-def train(words: DataFrame, stride: int = STRIDE, rounds: int = ROUNDS) -> Network:
+def train(words: DataFrame, vocab: Vocabulary, stride: int = STRIDE, rounds: int = ROUNDS, shard_words: int = SHARD_WORDS) -> Network:
     """A network from ``words`` as ``encoded`` makes them."""
-    net = new_network(count_buckets(words))
+    total = (words.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0) // 4
+    net, n = new_network(vocab), max(1, -(-total // max(shard_words, WORDS_A_ROW * len(vocab.words))))
     for turn in range(rounds):
-        net = _averaged(words, net, stride, turn)
+        net = _averaged(words, net, int(n), stride, turn)
     return net
 
 
-def _averaged(words: DataFrame, net: Network, stride: int, turn: int) -> Network:
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trainer, around, target, held = Trainer(net), [], [], 0
-
-        def learn() -> None:
-            a, t = np.concatenate(around), np.concatenate(target)
-            for lo in range(0, len(t), BATCH):
-                trainer.step(a[lo:lo + BATCH], t[lo:lo + BATCH])
-            around.clear()
-            target.clear()
+def _averaged(words: DataFrame, net: Network, n_shards: int, stride: int, turn: int) -> Network:
+    def told(shard: int, trainer: Trainer) -> pd.DataFrame:
+        trainer.learn()
+        flat = np.concatenate([getattr(trainer.net, k).ravel() for k in Network.NAMES])
+        parts = [flat[lo:lo + BLOCK].astype("<f4").tobytes() for lo in range(0, len(flat), BLOCK)] if trainer.seen else []
+        return pd.DataFrame({"block": range(len(parts)), "some": shard // 256, "shard": shard, "n": trainer.seen, "w": pd.Series(parts, dtype=object)})
 
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard = trainer = None
         for batch in batches:
-            for text in batch["words"]:
-                c = net.classes[_buckets(text)]
-                at = places(text, len(c), stride, turn)
-                if len(at):
-                    around.append(windows(c, at))
-                    target.append(c[at])
-                    held += len(at)
-                if held >= 16 * BATCH:
-                    learn()
-                    held = 0
-        if held:
-            learn()
-        flat = np.concatenate([getattr(trainer.net, k).ravel() for k in Network.NAMES]).astype(np.float64)
-        if trainer.seen:
-            yield pd.DataFrame({"part": np.arange(len(flat)), "w": flat * trainer.seen, "n": trainer.seen})
-
-    rows = (words.select("words").mapInPandas(task, "part int, w double, n long")
-            .groupBy("part").agg((F.sum("w") / F.sum("n")).alias("w")).collect())  # one row a parameter
+            for s, text in zip(batch["shard"], batch["words"]):
+                if s != shard:
+                    if trainer:
+                        yield told(shard, trainer)
+                    shard, trainer = s, Trainer(net)
+                c = _numbers(text)
+                trainer.read(c, places(text, len(c), stride, turn))
+        if trainer:
+            yield told(shard, trainer)
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("shard")  # sums of floats in one order
+        total = sum(np.frombuffer(w, "<f4").astype(np.float64) * n for w, n in zip(rows["w"], rows["n"]))
+        n = rows["n"].sum()
+        return rows.head(1).assign(n=n, w=(total / n).astype("<f4").tobytes())
+
+    schema = "block int, some int, shard int, n long, w binary"
+    key = F.xxhash64("doc_id", "words")
+    dealt = words.select("words", key.alias("key")).withColumn("shard", F.pmod("key", F.lit(n_shards)).cast("int"))
+    copies = dealt.repartition(n_shards, "shard").sortWithinPartitions("shard", "key", "words").mapInPandas(task, schema)
+    rows = (copies.groupBy("block", "some").applyInPandas(mean, schema).groupBy("block").applyInPandas(mean, schema)
+            .select("block", "w").collect())  # the averaged parameters
     if not rows:
         return net
-    flat, at, new = np.zeros(len(rows)), 0, {}
-    for r in rows:
-        flat[r["part"]] = r["w"]
+    flat, at, new = np.frombuffer(b"".join(bytes(r["w"]) for r in sorted(rows)), "<f4"), 0, {}
     for k in Network.NAMES:
         old = getattr(net, k)
-        new[k] = flat[at:at + old.size].reshape(old.shape).astype(old.dtype)
+        new[k] = flat[at:at + old.size].reshape(old.shape).copy()
         at += old.size
     return replace(net, **new)
 
@@ -231,14 +381,15 @@ def scored(words: DataFrame, net: Network) -> DataFrame:
     words)."""
     @F.pandas_udf("double")
     def score(words: pd.Series) -> pd.Series:
-        return pd.Series([net.log_likelihood(_buckets(w)) for w in words], dtype="float64")
+        return pd.Series(net.log_likelihoods([_numbers(w) for w in words]), dtype="float64")
 
-    n = (F.octet_length("words") / 2).cast("long")
-    s = words.select("doc_id", n.alias("n_words"), score("words").alias("log_likelihood"))
+    n = (F.octet_length("words") / 4).cast("long")
+    s = words.select("doc_id", n.alias("n_words"), (score("words") + F.col("spelled")).alias("log_likelihood"))
     return s.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """Trains on all of ``docs`` and scores them all."""
-    words = encoded(docs, id_col, text_col)
-    return scored(words, train(words, **settings))
+    vocab = vocabulary(word_counts(docs, text_col))
+    words = encoded(docs, vocab, id_col, text_col)
+    return scored(words, train(words, vocab, **settings))

@@ -452,26 +452,82 @@ def test_scan_equals_an_exhaustive_search_of_windows():
 
 # --- LM scoring ---
 
-def test_pseudo_likelihood_is_the_sum_of_conditionals():
+def _vocab(spark, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    return lm_scoring.vocabulary(lm_scoring.word_counts(d))
+
+
+def test_lm_words_are_counted_exactly_and_all_strings_share_one_probability(spark):
     import numpy as np
-    net = lm_scoring.new_network(np.arange(lm_scoring.BUCKETS, dtype=float))
-    buckets = lm_scoring.bucket_ids("One two, three one! two zwölf " * 3, {})
-    c, total = [int(net.classes[b]) for b in buckets], 0.0
-    for i, b in enumerate(buckets):
-        around = [c[j] if 0 <= j < len(c) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
-        h = np.tanh(sum(net.embed[a] @ net.mix[k] for k, a in enumerate(around)) + net.bias)
-        z = h @ net.out + net.prior
-        total += z[c[i]] - np.log(np.exp(z).sum()) + net.log_share[b]
-    assert abs(total - net.log_likelihood(buckets)) < 1e-3 * abs(total)
-    shares = np.bincount(net.classes, np.exp(net.log_share))
-    assert np.allclose(shares[1:], 1)
+    texts = ["One two, three one! two zwölf", None, "", "rare1 rare2 <b>x</b> one\x1ftwo", "one " * 50]
+    counts = {r["word"]: r["n"] for r in lm_scoring.word_counts(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert counts == Counter(w for t in texts for w in re.findall(r"\w+|[^\w\s]", (t or "").lower()))
+    vocab = _vocab(spark, texts)
+    assert vocab.words == sorted(counts, key=lambda w: (-counts[w], w))[:len(vocab.words)]
+    assert np.allclose(np.bincount(vocab.class_of, np.exp(vocab.last)), 1) and np.allclose(np.exp(vocab.back).sum(axis=1), 1)
+    i, p = vocab.coded("qzä")
+    b = "qzä".encode()
+    assert i > len(vocab.words) and abs(p - (vocab.last[b[3]] + vocab.back[b[3], b[2]] + vocab.back[b[2], b[1]] + vocab.back[b[1], b[0]] + vocab.back[b[0], 256])) < 1e-9
+
+
+def _random_network(spark, n_words=60):
+    import numpy as np
+    r = random.Random(3)
+    vocab = _vocab(spark, [" ".join(f"w{min(int(r.paretovariate(0.6)), 999)}" for _ in range(3000))])
+    net, rng = lm_scoring.new_network(vocab), np.random.default_rng(4)
+    return vocab, lm_scoring.replace(net, **{k: rng.normal(0, 0.3, getattr(net, k).shape) for k in net.NAMES}), rng
 
 
-def test_lm_learns_order_and_scores_it(spark):
-    r = random.Random(15)
+def test_pseudo_likelihood_is_the_sum_of_conditionals(spark):
+    import numpy as np
+    vocab, net, rng = _random_network(spark)
+    assert (np.diff(net.starts) > 1).any()
+    numbers, total = rng.integers(1, len(net.group), 70), 0.0
+    for i, c in enumerate(numbers):
+        around = [numbers[j] if 0 <= j < len(numbers) else 0 for j in (i - 2, i - 1, i + 1, i + 2)]
+        h = np.tanh(sum(net.embed[a] @ net.mix[k] for k, a in enumerate(around)) + net.bias)
+        z = h @ net.head + net.head_prior
+        chance = {}
+        for g in range(len(net.starts) - 1):
+            words = np.arange(net.starts[g], net.starts[g + 1])
+            zz = net.leaf[words] @ h + net.leaf_prior[words]
+            for w, q in zip(words, np.exp(zz) / np.exp(zz).sum()):
+                chance[w] = q * np.exp(z[g]) / np.exp(z).sum()
+        assert sorted(chance) == list(range(1, len(net.group))) and abs(sum(chance.values()) - 1) < 1e-9
+        total += np.log(chance[c])
+    empty = np.zeros(0, np.int64)
+    assert np.allclose(net.log_likelihoods([empty, numbers, numbers[:1], empty])[[0, 1, 3]], [0, total, 0])
+    assert net.log_likelihoods([]).tolist() == []
+
+
+def test_lm_gradient_by_differences(spark):
+    import numpy as np
+    _, net, rng = _random_network(spark)
+    around, target = rng.integers(0, len(net.group), (300, 4)), rng.integers(1, len(net.group), 300)
+    full = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}
+    for name, rows, g in net.gradients(around, target):
+        full[name][rows] += g
+    loss = lambda n: -n.log_probabilities(around, target).mean()
+    for name in net.NAMES:
+        for _ in range(12):
+            at = tuple(rng.integers(0, s) for s in getattr(net, name).shape)
+            up, down = getattr(net, name).copy(), getattr(net, name).copy()
+            up[at] += 1e-5
+            down[at] -= 1e-5
+            slope = (loss(lm_scoring.replace(net, **{name: up})) - loss(lm_scoring.replace(net, **{name: down}))) / 2e-5
+            assert abs(slope - full[name][at]) < 1e-6, (name, at)
+
+
+def _cycles(seed):
+    r = random.Random(seed)
     cycle = [f"{a}x{b}" for a, b in zip("abcdefghijkl", "mnopqrstuvwx")]
     texts = [" ".join(cycle[(s + k) % 12] for k in range(120)) for s in (r.randrange(12) for _ in range(400))]
-    docs = list(enumerate(texts)) + [(None, None), (9001, ""), (9002, " ".join(r.sample(texts[0].split(), 120))), (9003, texts[0] + " " + texts[1])]
+    return texts, " ".join(r.sample(texts[0].split(), 120))
+
+
+def test_lm_learns_order_and_scores_it(spark):
+    texts, mixed = _cycles(15)
+    docs = list(enumerate(texts)) + [(None, None), (9001, ""), (9002, mixed), (9003, texts[0] + " " + texts[1])]
     d = spark.createDataFrame(docs, DOCS)
     rows = {x.doc_id: x for x in lm_scoring.score_documents(d, stride=1, rounds=6).collect()}
     assert len(rows) == len(docs)
@@ -481,14 +537,26 @@ def test_lm_learns_order_and_scores_it(spark):
 
 
 def test_lm_defaults_train_on_every_word_and_learn_order(spark):
-    r = random.Random(16)
-    cycle = [f"{a}x{b}" for a, b in zip("abcdefghijkl", "mnopqrstuvwx")]
-    texts = [" ".join(cycle[(s + k) % 12] for k in range(120)) for s in (r.randrange(12) for _ in range(400))]
-    docs = list(enumerate(texts)) + [(9002, " ".join(r.sample(texts[0].split(), 120)))]
-    rows = {x.doc_id: x for x in lm_scoring.score_documents(spark.createDataFrame(docs, DOCS).coalesce(1)).collect()}
+    texts, mixed = _cycles(16)
+    d = spark.createDataFrame(list(enumerate(texts)) + [(9002, mixed)], DOCS)
+    rows = {x.doc_id: x for x in lm_scoring.score_documents(d).collect()}
     assert rows[0].mean_log_likelihood > rows[9002].mean_log_likelihood + 1
     # texts of one and two words: each place is a target in one of the rounds
-    words = lm_scoring.encoded(spark.createDataFrame([(i, f"w{i}") for i in range(40)] + [(99, "left right")], DOCS).coalesce(1))
-    for text in [bytes(x.words) for x in words.collect()]:
-        places = [lm_scoring.places(text, len(text) // 2, lm_scoring.STRIDE, turn).tolist() for turn in range(lm_scoring.ROUNDS)]
-        assert sorted(sum(places, [])) == list(range(len(text) // 2))
+    for text in [bytes(4 * n * [k]) for n in (1, 2, 5) for k in range(9)]:
+        found = [lm_scoring.places(text, len(text) // 4, lm_scoring.STRIDE, turn).tolist() for turn in range(lm_scoring.ROUNDS)]
+        assert sorted(sum(found, [])) == list(range(len(text) // 4))
+
+
+def test_lm_score_depends_on_the_rows_only(spark):
+    texts, mixed = _cycles(17)
+    long = " ".join(texts) * 2  # more places than are held at once
+    docs = list(enumerate(texts)) + [(9002, mixed), (9003, long), (5, texts[5]), (None, mixed)]
+    d = spark.createDataFrame(docs, DOCS)
+    score = lambda x: sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, round(r.log_likelihood / max(1, r.n_words), 4)) for r in
+                             lm_scoring.score_documents(x, shard_words=20_000).collect())
+    assert score(d.coalesce(1)) == score(d.orderBy(F.rand(1)).repartition(16))
+
+
+def test_lm_vocabulary_grows_with_the_corpus(spark):
+    sizes = [len(_vocab(spark, [" ".join(f"w{i}" for i in range(n))]).words) for n in (1_000, 10_000, 100_000)]
+    assert sizes == [63, 159, 400]
