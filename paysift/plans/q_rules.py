@@ -161,17 +161,16 @@ def interval_17(spark, sf):
 
 
 def _skill_hint_sql() -> str:
-    sk = {k: v for k, v in K.INDUSTRY_SKILLS.items()}
-    whens = " ".join(f"WHEN '{k}' THEN '{' / '.join(v[:2])}'" for k, v in sk.items())
-    whens_all = " ".join(f"WHEN '{k}' THEN '{' / '.join(v)}'" for k, v in sk.items())
-    d2, da = " / ".join(K.INDUSTRY_SKILLS_DEFAULT[:2]), " / ".join(K.INDUSTRY_SKILLS_DEFAULT)
-    return (f"CASE WHEN skill_count < {K.SKILL_HINT_BELOW} THEN 'add: ' || (CASE industry {whens} ELSE '{d2}' END)"
-            f" ELSE 'deepen: ' || (CASE industry {whens_all} ELSE '{da}' END) END")
+    return (f"CASE WHEN skill_count < {K.SKILL_HINT_BELOW} THEN 'add: ' || array_to_string(coalesce(ts.skills, [])[1:2], ' / ')"
+            " ELSE 'deepen: ' || array_to_string(coalesce(ts.skills, []), ' / ') END")
 
 
 @register("advise_rules", with_base(f""", bm AS (
   SELECT country, quantile_cont(salary_usd, 0.5) AS benchmark FROM cleaned GROUP BY country),
 hv AS (SELECT country FROM bm ORDER BY benchmark DESC, country LIMIT {K.HIGH_VALUE_COUNTRY_COUNT}),
+sk AS (SELECT industry, skill, row_number() OVER (PARTITION BY industry ORDER BY count(*) DESC, skill) AS k FROM (
+  SELECT industry, unnest(regexp_split_to_array(required_skills, ',\\s*')) AS skill FROM cleaned) GROUP BY industry, skill),
+ts AS (SELECT industry, list(skill ORDER BY k) AS skills FROM sk WHERE k <= {K.HINT_SKILLS} GROUP BY industry),
 p AS (SELECT job_id, experience_level, country, industry,
              CAST(len(regexp_split_to_array(required_skills, ',\\s*')) AS INTEGER) AS skill_count,
              salary_usd AS current_salary FROM cleaned)
@@ -186,7 +185,8 @@ SELECT p.job_id, p.experience_level, p.country, p.industry, p.skill_count, round
   {_skill_hint_sql()} AS skill_hint,
   CASE WHEN p.experience_level IN ('SE', 'EX') AND hv.country IS NOT NULL THEN '{K.NEGOTIATION_HIGH_VALUE}'
        WHEN p.experience_level = 'EN' THEN '{K.NEGOTIATION_ENTRY}' ELSE '{K.NEGOTIATION_DEFAULT}' END AS negotiation
-FROM p LEFT JOIN bm ON p.country = bm.country LEFT JOIN hv ON p.country = hv.country"""))
+FROM p LEFT JOIN bm ON p.country = bm.country LEFT JOIN hv ON p.country = hv.country
+  LEFT JOIN ts ON p.industry IS NOT DISTINCT FROM ts.industry"""))
 def advise_rules(spark, sf):
     c = stored_clean(spark, sf, "job_id", "experience_level", "country", "industry", "skills_array", "salary_usd")
     # one row per country, read twice (join and top-k): computed once
@@ -196,4 +196,4 @@ def advise_rules(spark, sf):
     prof = c.select("job_id", "experience_level", "country", "industry",
                     F.size("skills_array").cast("int").alias("skill_count"),
                     F.col("salary_usd").alias("current_salary"))
-    return round_doubles(R.advise(prof, bm, hv))
+    return round_doubles(R.advise(prof, bm, hv, R.top_skills(c)))

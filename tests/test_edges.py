@@ -204,3 +204,10 @@ def test_request_percentile_of_external_salaries(spark):
     got = {r["id"]: (r["sample_size"], r["enough"], r["percentile"], r["median"]) for r in request_percentile(asked, ref, ["country", "level"], "s").collect()}
     assert got == {1: (20, True, 50.0, 10.0), 2: (20, True, 100.0, 10.0), 3: (20, True, 0.0, 10.0), 4: (1, False, None, None), 5: (0, False, None, None),
                    6: (20, True, None, 10.0), 7: (20, True, 50.0, 10.0)}
+
+
+def test_top_skills_of_each_industry(spark):
+    from paysift.operators.rules import top_skills
+    rows = [("a", ["x", "y", "z", "w"]), ("a", ["z", "y"]), (None, ["q"]), ("empty", []), ("none", None), ("a", ["z"])]
+    found = {r["industry"]: r["skills"] for r in top_skills(spark.createDataFrame(rows, "industry string, skills_array array<string>")).collect()}
+    assert found == {"a": ["z", "y", "w"], None: ["q"]}
