@@ -1,21 +1,27 @@
 """Main text of web pages by differencing each page with its nearest page of the same site.
 
-Pages are ordered by host, URL path and id.  A page's partner is that of its two neighbours of
-the same host whose path shares more leading parts with its own (of equals the one before), not
-counting a neighbour with the same lines, which tells nothing.  The text lines (blocks) of page and partner
-are aligned by a longest common subsequence, and the lines that they share are the site's, not
-the page's: they are deleted.
-
-Markup tells more about some lines.  Those of elements that say they hold menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or reader comments go at once; those
-of elements that say they hold the article are kept, shared or not (a quotation or a copied
-article is still the article); and beside an article, other lines go.
+Pages are ordered by host, URL path, id and lines.  Successive pages of a host with the same
+lines tell nothing about each other: they are a row of equal pages with one partner, so that
+equal pages in a row get equal texts.  The partner is the page before the row or the one after
+it, of the same host: the one whose path shares more leading parts with the path of the row's
+end beside it (of equals the one before).  The text lines (blocks) of page and partner are
+aligned by a longest common subsequence, and the lines that they share are the site's, not the
+page's: they are deleted.
+
+Markup tells more about some lines.  Those of elements whose tag or role says they hold menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments go at
+once; those of elements that say they hold the article are kept, shared or not (a quotation or a
+copied article is still the article); and beside an article, other lines go.  A class name that
+sounds like a menu or an advert is evidence only: without an article, lines of such an element
+are the text if nothing else of the page is left, less those that the partner shares.
 
 Order without skew: the ordered pages are cut in runs of about equal length by splitters drawn
-from a hashed sample of the keys, and the last and first page of a run also go to the next and
-the one before.  So a host of any size is spread over many tasks, and each task streams its
-pages with one page before and after.  Only the splitters and the runs' end keys, a few for
-each run, reach the driver.
+from a hashed sample of the keys.  A row of equal pages may go on over any number of runs: a
+table of keys and line hashes gives the two outermost rows at both ends of each run, and from
+these follow, for each run, the page before its first row and the one after its last, wherever
+they are.  These two pages are sent to the run as well.  So a host of any size is spread over
+many tasks, and each task streams its pages; of a row of equal pages it holds the lines once, and
+each page's id and URL.  Only the splitters and those keys, a few for each run, reach the driver.
 
 Defined cases: a null page, or one without text, has the empty text; a null url has the empty
 host and path; pages without partner keep all their open lines; of a repeated row each copy
@@ -24,6 +30,7 @@ gets the same result; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from bisect import bisect_right
@@ -31,10 +38,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paysift.llm.common import bounded_batches
+from paysift.llm.common import bounded_batches, written
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -80,8 +87,10 @@ def kind_of(tag: str, attributes: str) -> tuple[int, int]:
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
-    """(text, surety) of the page's blocks that aren't chrome, in order."""
-    found: list[tuple[str, int, bool]] = []
+    """(text, surety) of the page's blocks that aren't surely chrome, in order.  The surety of
+    blocks that are chrome by class name only is its complement, a negative number; they are left
+    out beside an article."""
+    found: list[tuple[str, int, int]] = []  # text, surety, kind
     stack: list[tuple[str, int, int]] = []  # tag, chrome, surety of the whole path
     count: Counter = Counter()
     text: list[str] = []
@@ -90,7 +99,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     def flush() -> None:
         if text:
             if line := " ".join(html_lib.unescape("".join(text)).split()):
-                found.append((line, *((stack[-1][2], stack[-1][1] == BACK) if stack else (0, False))))
+                found.append((line, *((stack[-1][2], stack[-1][1]) if stack else (0, PLAIN))))
             text.clear()
 
     def close(depth: int) -> None:
@@ -116,7 +125,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             close(last({"head"}))
         chrome = stack[-1][1] if stack else PLAIN
         if not tag:
-            if chrome <= PLAIN and not token.startswith(("<!", "<?")):
+            if chrome <= NAMED and not token.startswith(("<!", "<?")):
                 text.append(token)
             continue
         if token[1] == "/":
@@ -151,8 +160,16 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             chrome = drop or chrome
         stack.append((tag, chrome, max(sure, stack[-1][2] if stack else 0)))
     flush()
-    sure = any(s >= 2 and not back for _, s, back in found)  # then an article inside chrome is a teaser
-    return [(line, s) for line, s, back in found if not (back and sure)]
+    if any(s >= 2 and kind == PLAIN for _, s, kind in found):  # then an article inside chrome is a teaser
+        found = [x for x in found if x[2] != BACK]
+    if any(s and kind != NAMED for _, s, kind in found):
+        found = [x for x in found if x[2] != NAMED]
+    return [(line, ~s if kind == NAMED else s) for line, s, kind in found]
+
+
+def open_lines(found: list[tuple[str, int]]) -> list[str]:
+    """The lines that say whether pages are equal: those that no class name speaks against, if there are any."""
+    return [x for x, s in found if s >= 0] or [x for x, _ in found]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -197,31 +214,55 @@ def nearness(path: str, other: str) -> int:
     return n
 
 
-def main_text(sure: list[tuple[str, int]], partner: list[str] | None) -> str:
-    """The text of a page from its blocks and the open lines of its partner."""
-    best = max((s for _, s in sure), default=0)
-    lines = [x for x, _ in sure]
-    gone = common_lines(lines, partner) if partner else set()
-    return " ".join(x for i, (x, s) in enumerate(sure) if s == best and (best or i not in gone))
+def main_text(found: list[tuple[str, int]], partner: list[tuple[str, int]] | None) -> tuple[str, int]:
+    """(text, number of shared open lines) of a page from its blocks and its partner's."""
+    best = max((s for _, s in found), default=0)
+    text, shared = "", 0
+    for named in (False, True):
+        mine = [(x, s) for x, s in found if (s < 0) == named]
+        gone = common_lines([x for x, _ in mine], [x for x, s in partner if (s < 0) == named]) if partner and mine else set()
+        shared += len(gone)
+        text = text or " ".join(x for i, (x, s) in enumerate(mine) if (named or s == best) and (best > 0 or i not in gone))
+    return text, shared
 
 
 LEAST = -(1 << 63)
+KEY = ["host", "path", "page_id", "lines_hash"]
+#: Characters of text that go out in one Arrow batch, if one text is not longer.
+OUT_CHARS = 8 << 20
+
+
+def beside(edges: list[list[dict]]) -> list[tuple[tuple | None, str, str, tuple | None]]:
+    """For each run (key of the page before its first row of equal pages, path of that row's
+    begin, path of the end of its last row, key of the page after it), wherever they lie.  A run is given
+    by its outer rows of equal pages in order: all of them up to four, else the first two and
+    the last two, each with what makes pages equal (same), first key and last key."""
+    def walk(runs: list[list[dict]], near: str, far: str) -> list[tuple[tuple | None, str]]:
+        out: list[tuple[tuple | None, str]] = []
+        for r, rows in enumerate(runs):
+            if not r:
+                out.append((None, rows[0][far][1]))
+            elif runs[r - 1][-1]["same"] != rows[0]["same"]:
+                out.append((runs[r - 1][-1][near], rows[0][far][1]))
+            elif len(runs[r - 1]) > 1:
+                out.append((runs[r - 1][-2][near], runs[r - 1][-1][far][1]))
+            else:
+                out.append(out[-1])
+        return out
+
+    left = walk(edges, "last", "first")
+    right = walk([rows[::-1] for rows in edges[::-1]], "first", "last")[::-1]
+    return [(before, begin, end, after) for (before, begin), (after, end) in zip(left, right)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", n_runs: int | None = None) -> DataFrame:
     """Per page: page_id, url, text, n_chars, then the page_id of its partner and the number of
-    its lines that the partner shares."""
+    its open lines that the partner shares."""
     spark = pages.sparkSession
     bounded_batches(spark)
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    key = lambda url, page_id: (*address(url), LEAST if pd.isna(page_id) else int(page_id))
-
-    def keys_of(splitters: list[tuple]):
-        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keys = [key(u, i) for u, i in zip(batch["url"], batch["page_id"].astype("Int64"))]
-                yield pd.DataFrame([(bisect_right(splitters, k), *k) for k in keys], columns=["run", "host", "path", "page_id"])
-        return task
+    place = lambda url, page_id: (*address(url), LEAST if pd.isna(page_id) else int(page_id))
+    hashed = lambda found: hashlib.blake2b("\n".join(open_lines(found)).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
     only = rows.select("page_id", "url")
     total = only.count()
@@ -229,57 +270,91 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     n_runs = n_runs or min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // 200 + 1)
     every = max(1, total // (n_runs * 50))
     sample = only.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(every)) == 0).distinct().collect()  # about 50 a run
-    drawn = sorted({key(r["url"], r["page_id"]) for r in sample})
+    drawn = sorted({place(r["url"], r["page_id"]) for r in sample})
     splitters = sorted({drawn[len(drawn) * i // n_runs] for i in range(1, n_runs)}) if drawn else []
-    ends = (only.mapInPandas(keys_of(splitters), "run int, host string, path string, page_id long").groupBy("run")
-            .agg(F.min(F.struct("host", "path", "page_id")).alias("first"), F.max(F.struct("host", "path", "page_id")).alias("last")).orderBy("run").collect())
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(*place(u, i), hashed(blocks(h))) for i, u, h in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"])]
+            yield pd.DataFrame([(bisect_right(splitters, k), *k) for k in found], columns=["run", *KEY])
+
     also: dict[tuple, list[int]] = {}
-    for before, after in zip(ends, ends[1:]):
-        also.setdefault(tuple(before["last"]), []).append(after["run"])
-        also.setdefault(tuple(after["first"]), []).append(before["run"])
+    ends: dict[int, tuple[str, str]] = {}
+    if splitters:
+        table = written(rows.mapInPandas(keys, "run int, host string, path string, page_id long, lines_hash string"), "html_keys")
+        whole, in_order = Window.partitionBy("run"), Window.partitionBy("run").orderBy(*KEY)
+        begins = F.coalesce((F.lag("host").over(in_order) != F.col("host")) | (F.lag("lines_hash").over(in_order) != F.col("lines_hash")), F.lit(True))
+        equal = (table.withColumn("begins", begins).withColumn("row", F.sum(F.col("begins").cast("long")).over(in_order))
+                 .groupBy("run", "row").agg(F.min(F.struct(*KEY)).alias("first"), F.max(F.struct(*KEY)).alias("last"))
+                 .withColumn("n_rows", F.max("row").over(whole)).where("row <= 2 OR row >= n_rows - 1"))
+        runs: dict[int, list[dict]] = {}
+        for r in equal.orderBy("run", "row").collect():
+            first, last = tuple(r["first"]), tuple(r["last"])
+            runs.setdefault(r["run"], []).append({"same": (first[0], first[3]), "first": first, "last": last})
+        for run, (before, begin, end, after) in zip(runs, beside(list(runs.values()))):
+            ends[run] = begin, end
+            for k in {before, after} - {None}:
+                also.setdefault(k, []).append(run)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: set[tuple] = set()  # of a repeated row one copy does
         for batch in batches:
             out = []
             for page_id, url, page in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"]):
-                k, found = key(url, page_id), blocks(page)
+                found = blocks(page)
+                k = (*place(url, page_id), hashed(found))
                 row = (*k, url, [x for x, _ in found], [s for _, s in found])
                 out.append((bisect_right(splitters, k), True, *row))
-                out += [(run, False, *row) for run in also.get(k, [])]
-            yield pd.DataFrame(out, columns=["run", "own", "host", "path", "page_id", "url", "lines", "sure"])
+                if k in also and k not in sent:
+                    sent.add(k)
+                    out += [(run, False, *row) for run in also[k]]
+            yield pd.DataFrame(out, columns=["run", "own", *KEY, "url", "lines", "sure"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pages_of() -> Iterator[tuple]:
+        blocks_of = lambda page: list(zip(page.lines, page.sure))
+        name = lambda x: None if x is None or x.page_id == LEAST else x.page_id
+
+        def told(before, row: list[tuple], kinds: dict[tuple, list], first, last, after) -> Iterator[tuple]:
+            """The results of a row of equal pages between two others."""
+            if not row:
+                return
+            begin, end = ends.get(first.run, (None, None))
+            sides = [] if before is None else [(nearness(begin if begin is not None and not before.own else first.path, before.path), before)]
+            sides += [] if after is None else [(nearness(end if end is not None and not after.own else last.path, after.path), after)]
+            partner = max((x for x in sides if x[1].host == first.host), key=lambda x: x[0], default=(0, None))[1]  # the first of equals
+            texts = {k: main_text(found, None if partner is None else blocks_of(partner)) for k, found in kinds.items()}
+            for page_id, url, k in row:
+                yield page_id, url, texts[k][0], len(texts[k][0]), name(partner), texts[k][1]
+
+        def results() -> Iterator[tuple]:
+            before, row, kinds, first, last = None, [], {}, None, None
             for batch in batches:
-                yield from batch.itertuples(index=False)
-                yield None  # a batch may go out
-
-        before = page = None
-        out: list[tuple] = []
-
-        def told(before, page, after) -> tuple:
-            near = [x for x in (before, after) if x is not None and x.run == page.run and x.host == page.host and list(x.lines) != list(page.lines)]
-            partner = max(near, key=lambda x: nearness(page.path, x.path), default=None)  # the first of equals
-            lines = list(partner.lines) if partner is not None else None
-            text = main_text(list(zip(page.lines, page.sure)), lines)
-            shared = len(common_lines(list(page.lines), lines)) if lines else 0
-            name = lambda x: None if x is None or x.page_id == LEAST else x.page_id
-            return name(page), page.url, text, len(text), name(partner), shared
-
-        for after in pages_of():
-            if after is None:
+                for page in batch.itertuples(index=False):
+                    if first is None or (page.run, page.host, page.lines_hash) != (first.run, first.host, first.lines_hash):
+                        if first is not None:
+                            yield from told(before, row, kinds, first, last, page if page.run == first.run else None)
+                            before = last if page.run == first.run else None
+                        first, row, kinds = page, [], {}
+                    if page.own:
+                        kind = (tuple(page.sure), *(x for x, s in blocks_of(page) if s < 0))  # equal pages of other markup
+                        if kind not in kinds:
+                            kinds[kind] = blocks_of(page)
+                        row.append((name(page), page.url, kind))
+                    last = page
+            if first is not None:
+                yield from told(before, row, kinds, first, last, None)
+
+        out, size = [], 0
+        for x in results():
+            out.append(x)
+            size += len(x[2]) + 100
+            if size >= OUT_CHARS:
                 yield _named(out)
-                out = []
-                continue
-            if page is not None and page.own:
-                out.append(told(before, page, after))
-            before, page = page, after
-        if page is not None and page.own:
-            out.append(told(before, page, None))
+                out, size = [], 0
         yield _named(out)
 
-    schema = "run int, own boolean, host string, path string, page_id long, url string, lines array<string>, sure array<int>"
-    ordered = rows.mapInPandas(parse, schema).repartition(n_runs, "run").sortWithinPartitions("run", "host", "path", "page_id", "own")
+    schema = "run int, own boolean, host string, path string, page_id long, lines_hash string, url string, lines array<string>, sure array<int>"
+    ordered = rows.mapInPandas(parse, schema).repartition(n_runs, "run").sortWithinPartitions("run", *KEY, "own")
     return ordered.mapInPandas(compare, "page_id long, url string, text string, n_chars long, partner_id long, n_shared_lines long")
 
 

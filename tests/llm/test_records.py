@@ -211,21 +211,28 @@ def test_common_lines_are_a_longest_common_subsequence():
     ("<p>1 < 2 & 3 > 2</p><unclosed", "1 < 2 & 3 > 2 <unclosed"),
 ])
 def test_blocks(page, text):
-    assert html_extraction.main_text(html_extraction.blocks(page), None) == text
+    assert html_extraction.main_text(html_extraction.blocks(page), None)[0] == text
 
 
 def slow_extract(rows):
-    key = lambda x: (*html_extraction.address(x[1]), -(1 << 63) if x[0] is None else x[0])
-    ordered, out = sorted(rows, key=key), Counter()
-    found = [html_extraction.blocks(x[2]) for x in ordered]
-    for k, x in enumerate(ordered):
+    """Every page by a plain search through the pages in order, both ways, for the first with other lines."""
+    found = [html_extraction.blocks(x[2]) for x in rows]
+    same = lambda k: (html_extraction.address(rows[k][1])[0], html_extraction.open_lines(found[k]))
+    path = lambda k: html_extraction.address(rows[k][1])[1]
+    order = sorted(range(len(rows)), key=lambda k: (same(k)[0], path(k), -(1 << 63) if rows[k][0] is None else rows[k][0]))
+    out = Counter()
+    for at, k in enumerate(order):
         near = []
-        for j in (k - 1, k + 1):
-            if 0 <= j < len(ordered) and key(ordered[j])[0] == key(x)[0] and [t for t, _ in found[j]] != [t for t, _ in found[k]]:
-                near.append(j)
-        j = max(near, key=lambda j: html_extraction.nearness(key(x)[1], key(ordered[j])[1]), default=None)
-        text = html_extraction.main_text(found[k], None if j is None else [t for t, _ in found[j]])
-        out[x[0], x[1], text, len(text)] += 1
+        for step in (-1, 1):
+            j = at
+            while 0 <= j + step < len(order) and same(order[j + step]) == same(k):
+                j += step
+            end, j = order[j], j + step
+            if 0 <= j < len(order) and same(order[j])[0] == same(k)[0]:
+                near.append((html_extraction.nearness(path(end), path(order[j])), found[order[j]], rows[order[j]][0]))
+        _, partner, partner_id = max(near, key=lambda x: x[0], default=(0, None, None))
+        text, shared = html_extraction.main_text(found[k], partner)
+        out[rows[k][0], rows[k][1], text, len(text), partner_id, shared] += 1
     return out
 
 
@@ -241,11 +248,75 @@ def test_extraction_deletes_lines_shared_with_the_nearest_page(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     for n_runs in (1, 7, 40):
         got = html_extraction.extract(pages.repartition(3), n_runs=n_runs)
-        assert Counter((x.page_id, x.url, x.text, x.n_chars) for x in got.collect()) == slow_extract(rows)
+        assert Counter(map(tuple, got.collect())) == slow_extract(rows)
     assert "Contact us" not in {x.text for x in got.collect() if x.text.startswith("aaaaa")}
     assert html_extraction.extract(pages.limit(0)).collect() == []
 
 
+def test_equal_pages_in_a_row_get_equal_texts(spark):
+    """Rows of equal pages of one to 90, so that some begin and end in other runs, or fill several."""
+    r = random.Random(6)
+    rows = []
+    while len(rows) < 400:
+        body, article = r.choice("abcdef"), r.random() < 0.2
+        for _ in range(r.choice([1, 1, 2, 5, 30, 90])):
+            host = "a.org" if len(rows) < 330 else "b.org"
+            k = len(rows)
+            url = f"http://{host}/{'wxyz'[k // 140]}/{k // 40:03}/{k // 7:03}/{k:04}"
+            text = f"<p>Body {body} of the page</p>" + "".join(f"<p>{x}</p>" for x in ("one", "two"))
+            rows.append((k, url, f"<p>Site menu</p>{'<article>' + text + '</article>' if article else text}<p>Contact us</p>"))
+    rows += [(k, u, h) for k, u, h in rows[100:104] for _ in range(3)]  # repeated rows
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = slow_extract(rows)
+    for n_runs in (1, 6, 50):
+        got = html_extraction.extract(pages.repartition(4), n_runs=n_runs).collect()
+        assert Counter(map(tuple, got)) == want
+    assert not any("Site menu" in x.text for x in got)  # every page has a partner
+
+
+@pytest.mark.parametrize("n_runs", [1, 3])
+def test_five_equal_pages_and_another(spark, n_runs):
+    rows = [(k, f"http://a.org/{k}", "<p>Site menu</p><p>same body</p>") for k in range(5)] + [(9, "http://a.org/9", "<p>Site menu</p><p>other body</p>")]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), n_runs=n_runs).collect()
+    assert {(x.page_id, x.text) for x in got} == {*((k, "same body") for k in range(5)), (9, "other body")}
+
+
+def test_class_names_are_evidence_only(spark):
+    rows = [(0, "http://a.org/0", "<p>Site menu</p><p class='lead-in side'>The lead.</p><div class=ads>Buy now</div>"),
+            (1, "http://a.org/1", "<p>Site menu</p><p>The other page.</p><div class=ads>Buy now</div>"),
+            (2, "http://b.org/2", "<p class='lead-in side'>The lead.</p>"),
+            (3, "http://c.org/3", "<div class=menu>m</div><p>Plain.</p>")]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x.page_id: x.text for x in got} == {0: "The lead.", 1: "The other page.", 2: "The lead.", 3: "Plain."}
+
+
+def test_partners_over_the_borders_of_runs():
+    """Against the pages in order: any cut of a sequence in runs gives each run the same outer partners."""
+    r = random.Random(7)
+    for _ in range(2000):
+        pages = [("h", f"/{k:02}", k, r.choice("ab")) for k in range(r.randrange(1, 14))]
+        cuts = sorted(r.sample(range(1, len(pages)), min(r.randrange(6), len(pages) - 1)))
+        runs = [pages[a:b] for a, b in zip([0, *cuts], [*cuts, len(pages)])]
+        edges = []
+        for run in runs:
+            rows = []
+            for p in run:
+                if rows and rows[-1]["same"] == (p[0], p[3]):
+                    rows[-1]["last"] = p
+                else:
+                    rows.append({"same": (p[0], p[3]), "first": p, "last": p})
+            edges.append(rows if len(rows) <= 4 else rows[:2] + rows[-2:])
+        for run, (before, begin, end, after) in zip(runs, html_extraction.beside(edges)):
+            i = j = pages.index(run[0])
+            while i and pages[i - 1][3] == run[0][3]:
+                i -= 1
+            j = pages.index(run[-1])
+            while j + 1 < len(pages) and pages[j + 1][3] == run[-1][3]:
+                j += 1
+            assert (before, begin) == (pages[i - 1] if i else None, pages[i][1])
+            assert (after, end) == (pages[j + 1] if j + 1 < len(pages) else None, pages[j][1])
+
+
 # --- pipeline ---
 
 def test_pipeline_stages_work_on_what_is_kept(spark):
@@ -337,4 +408,4 @@ def test_pii_beside_other_numbers_and_words(spark):
     ("<div class=has-sidebar><aside><article>Aside.</article></aside><article>The story.</article></div>", "The story."),
 ])
 def test_articles_survive_open_heads_and_named_wrappers(page, text):
-    assert html_extraction.main_text(html_extraction.blocks(page), None) == text
+    assert html_extraction.main_text(html_extraction.blocks(page), None)[0] == text
