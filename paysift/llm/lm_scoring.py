@@ -5,9 +5,9 @@ frequent ones (ties by the word) make the vocabulary, so it grows with the corpu
 the embedded words of the ``SIDE`` places before and after a masked place, each position with a
 matrix of its own, through a tanh layer to a softmax of two levels, both conditional on both
 sides: first the group of the masked word (groups are runs of the vocabulary, by frequency, of about
-equal share), then the word within its group.  A word outside the vocabulary is spelled: its class,
-by its last byte, is a group of the first level, and its other bytes follow from the last to the
-first by the byte pairs of all such words of the corpus.  Every word has a probability of its own, and those of
+equal share), then the word within its group.  A word outside the vocabulary is spelled: all such words are a
+group of the first level, their class, by the last byte, is found within it like a word, and the other bytes follow
+from the last to the first by the byte pairs of all such words of the corpus.  Every word has a probability of its own, and those of
 all strings add up to 1.  A document's pseudo-log-likelihood is the sum over its words of
 log P(word | both sides).
 
@@ -29,8 +29,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -58,39 +59,79 @@ class Vocabulary:
     last: np.ndarray         # last byte -> log P(last byte | class)
     back: np.ndarray         # (byte, byte before it or START) -> log P(before | byte)
     numbers: dict[str, int] = field(init=False, repr=False)
-    classes: list[int] = field(init=False, repr=False)          # the three above as lists, which are faster a byte
-    ends: list[float] = field(init=False, repr=False)
-    pairs: list[list[float]] = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         self.numbers = {w: i for i, w in enumerate(self.words, 1)}
-        self.classes, self.ends, self.pairs = self.class_of.tolist(), self.last.tolist(), self.back.tolist()
-
-    def coded(self, word: str) -> tuple[int, float]:
-        """(number, log P(spelling | number)) of a word."""
-        if (i := self.numbers.get(word)) is not None:
-            return i, 0.0
-        b = word.encode("utf-8", "surrogatepass")
-        p, before = self.ends[b[-1]], START
-        for x in b:
-            p += self.pairs[x][before]
-            before = x
-        return 1 + len(self.words) + self.classes[before], p
-
-    def encode(self, text: str | None, cache: dict) -> tuple[np.ndarray, float]:
-        """The numbers of a text's words, and the sum of their spellings' logarithms."""
-        numbers: list[int] = []
-        spelled = 0.0
-        for chunk in (text or "").lower().split():  # no word spans white space
-            hit = cache.get(chunk)
-            if hit is None:
-                if len(cache) >= 1_000_000:
-                    cache.clear()
-                codes = [self.coded(w) for w in WORD.findall(chunk)]
-                hit = cache[chunk] = tuple(i for i, _ in codes), sum(p for _, p in codes)
-            numbers += hit[0]
-            spelled += hit[1]
-        return np.array(numbers, "<i4"), spelled
+
+    def spellings(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number, log P(spelling | number)) of words outside the vocabulary."""
+        b = np.frombuffer("\n".join([*words, ""]).encode("utf-8", "surrogatepass"), np.uint8).astype(np.intp)
+        ends = np.flatnonzero(b == 10)  # no word holds a line's end
+        begins = np.concatenate([[0], ends[:-1] + 1])
+        before = np.concatenate([[START], b[:-1]])
+        before[begins] = START
+        p = self.back[np.minimum(b, 255), before]
+        p[ends] = self.last[b[ends - 1]]
+        return 1 + len(self.words) + self.class_of[b[ends - 1]], np.add.reduceat(p, begins)
+
+
+class Codes:
+    """The numbers of texts' words; what chunks without white space come to is kept, for about ``most`` of them."""
+
+    def __init__(self, vocab: Vocabulary, most: int = 1_000_000):
+        self.vocab, self.most = vocab, most
+        self.numbers = {**vocab.numbers, "\n": -1}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}  # chunk -> place in begin, length and spelled
+        self.flat, self.begin, self.length, self.spelled = np.zeros(0, "<i4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Finds the words of all ``chunks`` together."""
+        words = re.findall(WORD.pattern + "|\n", "\n".join([*chunks, ""]))
+        numbers = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
+        p = np.zeros(len(words))
+        if len(other := np.flatnonzero(numbers == 0)):
+            numbers[other], p[other] = self.vocab.spellings([words[i] for i in other.tolist()])
+        ends = np.flatnonzero(numbers == -1)
+        begin = np.concatenate([[0], ends[:-1] + 1])
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        self.begin = np.concatenate([self.begin, begin + len(self.flat)])
+        self.length = np.concatenate([self.length, ends - begin])
+        self.spelled = np.concatenate([self.spelled, np.add.reduceat(p, begin)])
+        self.flat = np.concatenate([self.flat, numbers.astype("<i4")])
+
+    def encode(self, texts: Iterable[str | None], at_once: int = 200_000) -> Iterator[tuple[np.ndarray, float]]:
+        """(numbers of the words, sum of their spellings' logarithms) of each text."""
+        chunks: list[str] = []
+        ends: list[int] = []
+
+        def found() -> Iterator[tuple[np.ndarray, float]]:
+            if len(self.known) >= self.most:
+                self.clear()
+            at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+            if len(new := np.flatnonzero(at < 0)):
+                new_chunks = [chunks[i] for i in new.tolist()]
+                self.learn(sorted(set(new_chunks)))
+                at[new] = np.fromiter(map(self.known.__getitem__, new_chunks), np.int64, len(new))
+            length = self.length[at]
+            upto = np.concatenate([[0], np.cumsum(length)])
+            numbers = self.flat[np.repeat(self.begin[at] - upto[:-1], length) + np.arange(upto[-1])]
+            spelled = np.bincount(np.repeat(np.arange(len(ends)), np.diff([0, *ends])), self.spelled[at], len(ends))
+            lo = 0
+            for end, p in zip(ends, spelled.tolist()):
+                yield numbers[lo:upto[end]], p
+                lo = upto[end]
+
+        for text in texts:
+            chunks += (text or "").lower().split()  # no word spans white space
+            ends.append(len(chunks))
+            if len(chunks) >= at_once:
+                yield from found()
+                chunks, ends = [], []
+        if ends:
+            yield from found()
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -184,9 +225,9 @@ class Network:
         around, target = around[order], target[order]
         group = self.group[target]
         _, h = self.hidden(around)
-        found = _log_softmax(h @ self.head + self.head_prior, group)
+        found = _log_softmax(h, self.head, self.head_prior, group)
         for lo, hi, words in self.segments(group):
-            found[lo:hi] += _log_softmax(h[lo:hi] @ self.leaf[words].T + self.leaf_prior[words], target[lo:hi] - words.start)
+            found[lo:hi] += _log_softmax(h[lo:hi], self.leaf[words].T, self.leaf_prior[words], target[lo:hi] - words.start)
         out = np.empty(len(found))
         out[order] = found
         return out
@@ -198,15 +239,15 @@ class Network:
         around, target = around[order], target[order]
         group = self.group[target]
         x, h = self.hidden(around)
-        d = _errors(h @ self.head + self.head_prior, group, n)
+        d = _errors(h, self.head, self.head_prior, group, n)
         dh = d @ self.head.T
         yield "head", slice(None), h.T @ d
-        yield "head_prior", slice(None), d.sum(axis=0)
+        yield "head_prior", slice(None), np.ones(len(d), d.dtype) @ d
         for lo, hi, words in self.segments(group):
-            d = _errors(h[lo:hi] @ self.leaf[words].T + self.leaf_prior[words], target[lo:hi] - words.start, n)
+            d = _errors(h[lo:hi], self.leaf[words].T, self.leaf_prior[words], target[lo:hi] - words.start, n)
             dh[lo:hi] += d @ self.leaf[words]
             yield "leaf", words, d.T @ h[lo:hi]
-            yield "leaf_prior", words, d.sum(axis=0)
+            yield "leaf_prior", words, np.ones(len(d), d.dtype) @ d
         dh *= 1 - h * h
         dx = (dh @ self.mix.reshape(-1, self.mix.shape[2]).T).reshape(-1, self.embed.shape[1])
         yield "mix", slice(None), (x.T @ dh).reshape(self.mix.shape)
@@ -231,23 +272,26 @@ class Network:
         return total
 
 
-def _powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the scores ``z``, in their place and up to a factor by row, and their sums by row."""
-    if not (z.max() < 60 and z.min() > -60):  # else no power overflows or vanishes
+def _powers(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the scores ``h @ w + b``, up to a factor by row, and their sums by row."""
+    z = h @ w
+    z += b
+    if not (np.abs(w).sum(axis=0) + np.abs(b)).max() < 60:  # else no power overflows or vanishes, as all of h is within 1
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     return z, z @ np.ones(z.shape[1], z.dtype)
 
 
-def _log_softmax(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    e, sums = _powers(z)
+def _log_softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> np.ndarray:
+    e, sums = _powers(h, w, b)
     return np.log(np.maximum(e[np.arange(len(target)), target], 1e-37) / sums)
 
 
-def _errors(z: np.ndarray, target: np.ndarray, n: np.float32) -> np.ndarray:
-    """The softmax of ``z`` less 1 at the targets, over ``n``."""
-    e, sums = _powers(z)
-    e /= (sums * n)[:, None]
+def _errors(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, n: np.float32) -> np.ndarray:
+    """The softmax of the scores less 1 at the targets, over ``n``."""
+    e, sums = _powers(h, w, b)
+    sums *= n
+    e *= np.reciprocal(sums, out=sums)[:, None]
     e[np.arange(len(target)), target] -= 1 / n
     return e
 
@@ -267,7 +311,7 @@ def new_network(vocab: Vocabulary, seed: int = 0) -> Network:
     v, counts = len(vocab.words), np.maximum(vocab.counts, 0.5)
     share = np.cumsum(counts[:v]) - counts[:v]
     cut = np.floor(share * np.ceil(np.sqrt(v)) / max(1.0, counts[:v].sum())).astype(np.int64)
-    starts = 1 + np.concatenate([np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]) if v else np.zeros(0, np.int64), np.arange(v, v + SPELLED + 1)])
+    starts = 1 + np.concatenate([np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]) if v else np.zeros(0, np.int64), [v, v + SPELLED]])
     group = np.searchsorted(starts, np.arange(v + SPELLED + 1), "right") - 1
     of_group = np.bincount(group[1:], counts, len(starts) - 1)
     r = np.random.default_rng(seed)
@@ -289,9 +333,14 @@ class Trainer:
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         for name, rows, g in self.net.gradients(around, target):
-            total = self.sums[name]
-            total[rows] += g * g
-            getattr(self.net, name)[rows] -= self.rate * g / np.sqrt(total[rows])
+            sums = self.sums[name]
+            total = sums[rows]  # a view of a slice, a copy of numbered rows
+            total += g * g
+            if not isinstance(rows, slice):
+                sums[rows] = total
+            g /= np.sqrt(total)
+            g *= np.float32(self.rate)
+            getattr(self.net, name)[rows] -= g
         self.seen += len(target)
 
     def learn(self) -> None:
@@ -321,9 +370,9 @@ def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col
 
     @F.pandas_udf("words binary, spelled double")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
+        codes = Codes(vocab)
         for texts in parts:
-            found = [vocab.encode(t, cache) for t in texts]
+            found = list(codes.encode(texts))
             yield pd.DataFrame({"words": [n.tobytes() for n, _ in found], "spelled": [s for _, s in found]})
 
     return written(docs.select(docs[id_col].alias("doc_id"), encode(docs[text_col]).alias("e")).select("doc_id", "e.words", "e.spelled"), "lm-words")

@@ -465,9 +465,28 @@ def test_lm_words_are_counted_exactly_and_all_strings_share_one_probability(spar
     vocab = _vocab(spark, texts)
     assert vocab.words == sorted(counts, key=lambda w: (-counts[w], w))[:len(vocab.words)]
     assert np.allclose(np.bincount(vocab.class_of, np.exp(vocab.last)), 1) and np.allclose(np.exp(vocab.back).sum(axis=1), 1)
-    i, p = vocab.coded("qzä")
+    (i, j), (p, q) = vocab.spellings(["qzä", "x"])
     b = "qzä".encode()
     assert i > len(vocab.words) and abs(p - (vocab.last[b[3]] + vocab.back[b[3], b[2]] + vocab.back[b[2], b[1]] + vocab.back[b[1], b[0]] + vocab.back[b[0], 256])) < 1e-9
+    assert j > len(vocab.words) and abs(q - (vocab.last[120] + vocab.back[120, 256])) < 1e-9
+
+
+@pytest.mark.parametrize("most, at_once", [(1_000_000, 200_000), (5, 3), (1, 1)])
+def test_lm_codes_word_by_word(spark, most, at_once):
+    import numpy as np
+    vocab = _vocab(spark, ["a b c a b a", "The cat, the hat: the mat!"])
+    r = random.Random(8)
+    texts = [None, "", " \n\t ", "a" * 5000, "x\x1fy\x85z\u2028w", "the-cat's  hat", "\ud800x A\u0130 \U0001f600\U0001f600"]
+    texts += ["".join(r.choice("abc the,:!\n\u00e9\u4e2d_9") for _ in range(r.randrange(60))) for _ in range(60)]
+    found = list(lm_scoring.Codes(vocab, most).encode(texts, at_once))
+    assert len(found) == len(texts)
+    for text, (numbers, spelled) in zip(texts, found):
+        want, total = [], 0.0
+        for w in re.findall(r"\w+|[^\w\s]", (text or "").lower()):
+            b = [256, *w.encode("utf-8", "surrogatepass")]
+            want.append(vocab.numbers.get(w) or 1 + len(vocab.words) + vocab.class_of[b[-1]])
+            total += 0 if w in vocab.numbers else vocab.last[b[-1]] + sum(vocab.back[y, x] for x, y in zip(b, b[1:]))
+        assert numbers.dtype == np.int32 and numbers.tolist() == want and abs(spelled - total) < 1e-6
 
 
 def _random_network(spark, n_words=60):
