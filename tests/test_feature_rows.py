@@ -62,3 +62,17 @@ def test_no_row_has_its_vector_written(spark, monkeypatch):
     a, b = ({r["job_id"]: r for r in x.sparse.collect()} for x in (m, joined))
     assert m.size == joined.size and a.keys() == b.keys() and len(a) > 100
     assert all(a[k]["indices"] == b[k]["indices"] and np.allclose(a[k]["values"], b[k]["values"]) for k in a)
+
+
+def test_falling_contributions_need_no_lists(spark, monkeypatch):
+    """Rising contributions, and rows that share an id, are told as before."""
+    from paysift.plans import q_ml
+    rows = [(i, r, float(c)) for i, c in ((1, [3, -2, 1]), (2, [1, 2, 3])) for r, c in zip((1, 2, 3), c)]
+    rows += [(3, 1, 5.0), (3, 1, -5.0), (3, 2, 4.0), (3, 2, 4.0), (4, 1, 5.0), (4, 1, 4.0), (5, 1, 2.0), (5, 2, 1.0), (5, 2, 2.0)]
+    top = spark.createDataFrame(rows, "job_id long, rank long, contribution double").selectExpr("*", "1.0D AS base", "2.0D AS total", "3.0D AS prediction")
+    monkeypatch.setattr(q_ml, "explained", lambda *_: (None, None))
+    monkeypatch.setattr(q_ml, "_top", lambda *_: top)
+    q = q_ml.contrib_additive_check(spark, SMALL)
+    assert "collect_list" not in q._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["job_id"]: (r["n_top"], r["falling"], r["adds_up"]) for r in q.collect()}
+    assert got == {1: (3, True, True), 2: (3, False, True), 3: (4, True, True), 4: (2, False, True), 5: (3, False, True)}
