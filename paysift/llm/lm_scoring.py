@@ -4,8 +4,8 @@ The words are the corpus's own: all are counted exactly, and the ``VOCABULARY *
 frequent ones (ties by the word) make the vocabulary, so it grows with the corpus.  A network takes
 the embedded words of the ``SIDE`` places before and after a masked place, each position with a
 matrix of its own, through a tanh layer to a softmax of two levels, both conditional on both
-sides: first the group of the masked word (groups are runs of the vocabulary, by frequency, of about
-equal share), then the word within its group.  A word outside the vocabulary is spelled: all such words are a
+sides: first the group of the masked word (groups are runs of the vocabulary, by frequency, each of about the same sum of
+roots of shares, which makes the scores to be computed for a word the fewest), then the word within its group.  A word outside the vocabulary is spelled: all such words are a
 group of the first level, their class, by the last byte, is found within it like a word, and the other bytes follow
 from the last to the first by the byte pairs of all such words of the corpus.  Every word has a probability of its own, and those of
 all strings add up to 1.  A document's pseudo-log-likelihood is the sum over its words of
@@ -35,8 +35,11 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from paysift.llm.common import bounded_batches, written
 
@@ -75,6 +78,12 @@ class Vocabulary:
         return 1 + len(self.words) + self.class_of[b[ends - 1]], np.add.reduceat(p, begins)
 
 
+def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The texts' runs without white space of ASCII, one after another, and how many each text has; no word spans white space."""
+    found = pc.ascii_split_whitespace(texts.cast(pa.string()), max_splits=-1)
+    return found.flatten(), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+
+
 class Codes:
     """The numbers of texts' words; what chunks without white space come to is kept, for about ``most`` of them."""
 
@@ -85,11 +94,13 @@ class Codes:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}  # chunk -> place in begin, length and spelled
+        self.letters = 0
         self.flat, self.begin, self.length, self.spelled = np.zeros(0, "<i4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def learn(self, chunks: list[str]) -> None:
         """Finds the words of all ``chunks`` together."""
-        words = re.findall(WORD.pattern + "|\n", "\n".join([*chunks, ""]))
+        text = "\n".join([*chunks, ""]).lower()
+        words = re.findall(WORD.pattern + "|\n", text)
         numbers = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
         p = np.zeros(len(words))
         if len(other := np.flatnonzero(numbers == 0)):
@@ -97,66 +108,82 @@ class Codes:
         ends = np.flatnonzero(numbers == -1)
         begin = np.concatenate([[0], ends[:-1] + 1])
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+        self.letters += len(text)
         self.begin = np.concatenate([self.begin, begin + len(self.flat)])
         self.length = np.concatenate([self.length, ends - begin])
         self.spelled = np.concatenate([self.spelled, np.add.reduceat(p, begin)])
         self.flat = np.concatenate([self.flat, numbers.astype("<i4")])
 
+    def found(self, chunks: list[str], place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of texts' words, one text after another, where each text ends, and the sums of its spellings' logarithms.  The texts
+        have ``counts`` chunks, which are at ``place`` of the different ``chunks``."""
+        if len(self.known) >= self.most or self.letters >= 32 * self.most:
+            self.clear()
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(new := np.flatnonzero(at < 0)):
+            at[new] = len(self.known) + np.arange(len(new))
+            self.learn([chunks[i] for i in new.tolist()])
+        at = at[place]
+        length = self.length[at]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        numbers = self.flat[np.repeat(self.begin[at] - upto[:-1], length) + np.arange(upto[-1])]
+        return numbers, upto[np.cumsum(counts)], np.bincount(np.repeat(np.arange(len(counts)), counts), self.spelled[at], len(counts))
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``found`` gives, of a batch of texts."""
+        chunks, counts = chunks_of(texts)
+        coded = chunks.dictionary_encode()
+        return self.found(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False), counts)
+
     def encode(self, texts: Iterable[str | None], at_once: int = 200_000) -> Iterator[tuple[np.ndarray, float]]:
-        """(numbers of the words, sum of their spellings' logarithms) of each text."""
+        """(numbers of the words, sum of their spellings' logarithms) of each text; texts needn't have a form in UTF-8."""
         chunks: list[str] = []
-        ends: list[int] = []
-
-        def found() -> Iterator[tuple[np.ndarray, float]]:
-            if len(self.known) >= self.most:
-                self.clear()
-            at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
-            if len(new := np.flatnonzero(at < 0)):
-                new_chunks = [chunks[i] for i in new.tolist()]
-                self.learn(sorted(set(new_chunks)))
-                at[new] = np.fromiter(map(self.known.__getitem__, new_chunks), np.int64, len(new))
-            length = self.length[at]
-            upto = np.concatenate([[0], np.cumsum(length)])
-            numbers = self.flat[np.repeat(self.begin[at] - upto[:-1], length) + np.arange(upto[-1])]
-            spelled = np.bincount(np.repeat(np.arange(len(ends)), np.diff([0, *ends])), self.spelled[at], len(ends))
-            lo = 0
-            for end, p in zip(ends, spelled.tolist()):
-                yield numbers[lo:upto[end]], p
-                lo = upto[end]
+        counts: list[int] = []
+
+        def told() -> Iterator[tuple[np.ndarray, float]]:
+            place: dict[str, int] = {}
+            at = np.array([place.setdefault(c, len(place)) for c in chunks], np.int64)
+            numbers, ends, spelled = self.found(list(place), at, np.array(counts))
+            yield from zip(np.split(numbers, ends[:-1]), spelled.tolist())
 
         for text in texts:
-            chunks += (text or "").lower().split()  # no word spans white space
-            ends.append(len(chunks))
+            new = (text or "").split()
+            chunks += new
+            counts.append(len(new))
             if len(chunks) >= at_once:
-                yield from found()
-                chunks, ends = [], []
-        if ends:
-            yield from found()
+                yield from told()
+                chunks, counts = [], []
+        if counts:
+            yield from told()
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) of every word of the corpus, counted by each task and summed by a shuffle; written."""
     bounded_batches(docs.sparkSession)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks: Counter = Counter()
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[str, int] = {}
+        letters = 0
 
-        def counted() -> pd.DataFrame:
-            words: Counter = Counter()
+        def counted() -> pa.RecordBatch:
+            words: dict[str, int] = {}
             for chunk, n in chunks.items():
-                for w in WORD.findall(chunk):
-                    words[w] += n
+                for w in WORD.findall(chunk.lower()):
+                    words[w] = words.get(w, 0) + n
             chunks.clear()
-            return pd.DataFrame({"word": pd.Series(list(words), dtype=object), "n": pd.Series(list(words.values()), dtype="int64")})
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for text in batch["text"]:
-                chunks.update((text or "").lower().split())
-                if len(chunks) > 300_000:
-                    yield counted()
+            values, counts = chunks_of(batch.column(0))[0].value_counts().flatten()
+            for chunk, n in zip(values.to_numpy(zero_copy_only=False).tolist(), counts.to_numpy(zero_copy_only=False).tolist()):
+                chunks[chunk] = chunks.get(chunk, 0) + n
+            letters += batch.nbytes
+            if len(chunks) > 300_000 or letters > 64 << 20:
+                yield counted()
+                letters = 0
         yield counted()
 
-    counts = docs.select(docs[text_col].alias("text")).mapInPandas(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select(docs[text_col].alias("text")).mapInArrow(task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return written(counts, "lm-counts")
 
 
@@ -207,27 +234,32 @@ class Network:
 
     def hidden(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Embedded neighbours (n, 2 * SIDE * WIDTH) and the hidden layer, of windows (n, 2 * SIDE)."""
-        x = self.embed[around].reshape(len(around), -1)
+        x = self.embed.take(around.ravel(), axis=0).reshape(len(around), -1)
         h = x @ self.mix.reshape(-1, self.mix.shape[2])
         h += self.bias
         return x, np.tanh(h, out=h)
 
     def segments(self, group: np.ndarray) -> Iterator[tuple[int, int, slice]]:
-        """(from, to, numbers) of the runs of equal groups of more than one number."""
-        edges = np.flatnonzero(np.diff(group)) + 1
-        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(group)]):
-            if hi > lo and (words := slice(int(self.starts[group[lo]]), int(self.starts[group[lo] + 1]))).stop - words.start > 1:
-                yield lo, hi, words
+        """(from, to, numbers) of the runs of equal groups of more than one number; ``group`` is sorted."""
+        ends = np.cumsum(np.bincount(group, minlength=len(self.starts) - 1)).tolist()
+        starts = self.starts.tolist()
+        for lo, hi, first, after in zip([0, *ends], ends, starts, starts[1:]):
+            if hi > lo and after - first > 1:
+                yield lo, hi, slice(first, after)
+
+    def by_group(self, around: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The order by group, and windows, targets and groups in it."""
+        group = self.group.take(target)
+        order = np.argsort(group, kind="stable")
+        return order, around.take(order, axis=0), target.take(order), group.take(order)
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P(number | both sides) of each place."""
-        order = np.argsort(self.group[target], kind="stable")
-        around, target = around[order], target[order]
-        group = self.group[target]
+        order, around, target, group = self.by_group(around, target)
         _, h = self.hidden(around)
-        found = _log_softmax(h, self.head, self.head_prior, group)
+        found, small = _log_softmax(h, self.head.T, self.head_prior, group, _within(self.head.T, self.head_prior)), _within(self.leaf, self.leaf_prior)
         for lo, hi, words in self.segments(group):
-            found[lo:hi] += _log_softmax(h[lo:hi], self.leaf[words].T, self.leaf_prior[words], target[lo:hi] - words.start)
+            found[lo:hi] += _log_softmax(h[lo:hi], self.leaf[words], self.leaf_prior[words], target[lo:hi] - words.start, small)
         out = np.empty(len(found))
         out[order] = found
         return out
@@ -235,29 +267,32 @@ class Network:
     def gradients(self, around: np.ndarray, target: np.ndarray) -> Iterator[tuple[str, object, np.ndarray]]:
         """(name, rows, gradient) of the mean of -log P; what is given no more is needed by the next ones."""
         n = np.float32(len(target))
-        order = np.argsort(self.group[target], kind="stable")
-        around, target = around[order], target[order]
-        group = self.group[target]
+        _, around, target, group = self.by_group(around, target)
         x, h = self.hidden(around)
-        d = _errors(h, self.head, self.head_prior, group, n)
+        ones = np.ones(len(h), h.dtype)
+        d = _errors(h, self.head.T, self.head_prior, group, n, _within(self.head.T, self.head_prior))
         dh = d @ self.head.T
         yield "head", slice(None), h.T @ d
-        yield "head_prior", slice(None), np.ones(len(d), d.dtype) @ d
+        yield "head_prior", slice(None), ones @ d
+        leaf, prior, small = np.zeros(self.leaf.shape, h.dtype), np.zeros(self.leaf_prior.shape, h.dtype), _within(self.leaf, self.leaf_prior)
         for lo, hi, words in self.segments(group):
-            d = _errors(h[lo:hi], self.leaf[words].T, self.leaf_prior[words], target[lo:hi] - words.start, n)
+            d = _errors(h[lo:hi], self.leaf[words], self.leaf_prior[words], target[lo:hi] - words.start, n, small)
             dh[lo:hi] += d @ self.leaf[words]
-            yield "leaf", words, d.T @ h[lo:hi]
-            yield "leaf_prior", words, np.ones(len(d), d.dtype) @ d
+            np.matmul(d.T, h[lo:hi], out=leaf[words])
+            np.matmul(ones[lo:hi], d, out=prior[words])
+        yield "leaf", slice(None), leaf
+        yield "leaf_prior", slice(None), prior
         dh *= 1 - h * h
         dx = (dh @ self.mix.reshape(-1, self.mix.shape[2]).T).reshape(-1, self.embed.shape[1])
         yield "mix", slice(None), (x.T @ dh).reshape(self.mix.shape)
-        yield "bias", slice(None), dh.sum(axis=0)
+        yield "bias", slice(None), ones @ dh
         # neighbours' gradients summed by number: one sorted pass instead of scattered adds
         ids = around.ravel().astype(np.uint16 if len(self.embed) < 1 << 16 else np.uint32)
         order = np.argsort(ids, kind="stable")
-        ids = ids[order]
+        ids = ids.take(order)
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        yield "embed", ids[first], np.add.reduceat(dx[order], first, axis=0)
+        pairs = dx.take(order, axis=0).view(f"c{2 * dx.itemsize}")  # two elements are added at once
+        yield "embed", ids[first], np.add.reduceat(pairs, first, axis=0).view(dx.dtype)
 
     def log_likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
         """The sum over each text's words, in windows of bounded number that texts share."""
@@ -272,24 +307,29 @@ class Network:
         return total
 
 
-def _powers(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the scores ``h @ w + b``, up to a factor by row, and their sums by row."""
-    z = h @ w
+def _within(w: np.ndarray, b: np.ndarray) -> bool:
+    """Whether no power of a score ``w @ h + b`` overflows or vanishes, as all of h is within 1."""
+    return bool((np.abs(w) @ np.ones(w.shape[1], w.dtype) + np.abs(b)).max() < 60)
+
+
+def _powers(h: np.ndarray, w: np.ndarray, b: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the scores ``h @ w.T + b``, up to a factor by row, and their sums by row."""
+    z = h @ w.T
     z += b
-    if not (np.abs(w).sum(axis=0) + np.abs(b)).max() < 60:  # else no power overflows or vanishes, as all of h is within 1
+    if not small:
         z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     return z, z @ np.ones(z.shape[1], z.dtype)
 
 
-def _log_softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray) -> np.ndarray:
-    e, sums = _powers(h, w, b)
+def _log_softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, small: bool) -> np.ndarray:
+    e, sums = _powers(h, w, b, small)
     return np.log(np.maximum(e[np.arange(len(target)), target], 1e-37) / sums)
 
 
-def _errors(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, n: np.float32) -> np.ndarray:
+def _errors(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, n: np.float32, small: bool) -> np.ndarray:
     """The softmax of the scores less 1 at the targets, over ``n``."""
-    e, sums = _powers(h, w, b)
+    e, sums = _powers(h, w, b, small)
     sums *= n
     e *= np.reciprocal(sums, out=sums)[:, None]
     e[np.arange(len(target)), target] -= 1 / n
@@ -297,22 +337,18 @@ def _errors(h: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, n:
 
 
 def _around(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([padded[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1)
-
-
-def windows(c: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Numbers of the neighbours of the places ``at``; 0 past the ends."""
-    gap = np.zeros(SIDE, c.dtype)
-    return _around(np.concatenate([gap, c, gap]), at + SIDE)
+    """Numbers of the neighbours of the places ``at``; the texts have gaps of 0 between them."""
+    return np.stack([padded.take(at + k) for k in range(-SIDE, SIDE + 1) if k], axis=1)
 
 
 def new_network(vocab: Vocabulary, seed: int = 0) -> Network:
     """An untrained network over the vocabulary, which predicts the words' shares."""
     v, counts = len(vocab.words), np.maximum(vocab.counts, 0.5)
-    share = np.cumsum(counts[:v]) - counts[:v]
-    cut = np.floor(share * np.ceil(np.sqrt(v)) / max(1.0, counts[:v].sum())).astype(np.int64)
+    # a word costs as many scores as there are groups and words in its group: g + sum(roots) ** 2 / g on the mean, least for g = sum(roots)
+    roots = np.sqrt(counts[:v] / counts.sum())
+    cut = np.floor((np.cumsum(roots) - roots) * (np.ceil(roots.sum()) / max(roots.sum(), 1e-9))).astype(np.int64)
     starts = 1 + np.concatenate([np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]) if v else np.zeros(0, np.int64), [v, v + SPELLED]])
-    group = np.searchsorted(starts, np.arange(v + SPELLED + 1), "right") - 1
+    group = (np.searchsorted(starts, np.arange(v + SPELLED + 1), "right") - 1).astype(np.int16 if len(starts) < 1 << 15 else np.int64)  # 16 bits sort fast
     of_group = np.bincount(group[1:], counts, len(starts) - 1)
     r = np.random.default_rng(seed)
     f = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
@@ -326,9 +362,8 @@ class Trainer:
 
     def __init__(self, net: Network, rate: float = RATE):
         self.net = replace(net, **{k: getattr(net, k).copy() for k in Network.NAMES})
-        self.rate, self.seen, self.held = rate, 0, 0
-        self.around: list[np.ndarray] = []
-        self.target: list[np.ndarray] = []
+        self.rate, self.seen = rate, 0
+        self.clear()
         self.sums = {k: np.full_like(getattr(net, k), 0.1) for k in Network.NAMES}
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
@@ -346,19 +381,29 @@ class Trainer:
     def learn(self) -> None:
         """Steps over all windows held."""
         if self.held:
-            a, t, lo = np.concatenate(self.around), np.concatenate(self.target), 0
+            c, at = np.concatenate(self.texts), np.concatenate(self.places)
+            a, t, lo = _around(c, at), c.take(at), 0
             while lo < len(t):
                 n = min(BATCH, max(LEAST_BATCH, self.seen // 16))
                 self.step(a[lo:lo + n], t[lo:lo + n])
                 lo += n
-        self.around, self.target, self.held = [], [], 0
+        self.clear()
+
+    def clear(self) -> None:
+        gap = np.zeros(SIDE, np.int64)
+        self.texts: list[np.ndarray] = [gap]
+        self.places: list[np.ndarray] = []
+        self.length, self.held = SIDE, 0
 
     def read(self, c: np.ndarray, at: np.ndarray) -> None:
-        """Takes the places ``at`` of a text, a bounded number at a time."""
+        """Takes the places ``at`` of a text, in rising order, a bounded number at a time."""
         for lo in range(0, len(at), 4 * BATCH):
             part = at[lo:lo + 4 * BATCH]
-            self.around.append(windows(c, part))
-            self.target.append(c[part])
+            first = max(0, int(part[0]) - SIDE)
+            near = c[first:int(part[-1]) + SIDE + 1]
+            self.places.append(part + (self.length - first))
+            self.texts += [near, np.zeros(SIDE, np.int64)]
+            self.length += len(near) + SIDE
             self.held += len(part)
             if self.held >= 4 * BATCH:
                 self.learn()
@@ -368,14 +413,17 @@ def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col
     """(doc_id, words, spelled): the words as little-endian 32-bit numbers, and the logarithm of their spellings; written."""
     bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("words binary, spelled double")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(vocab)
-        for texts in parts:
-            found = list(codes.encode(texts))
-            yield pd.DataFrame({"words": [n.tobytes() for n, _ in found], "spelled": [s for _, s in found]})
-
-    return written(docs.select(docs[id_col].alias("doc_id"), encode(docs[text_col]).alias("e")).select("doc_id", "e.words", "e.spelled"), "lm-words")
+        for batch in batches:
+            numbers, ends, spelled = codes.encode_array(batch.column(1))
+            offsets = np.concatenate([[0], 4 * ends])
+            words = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(numbers)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), words.cast(pa.binary()), pa.array(spelled)], ["doc_id", "words", "spelled"])
+
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    schema = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), StructField("words", BinaryType()), StructField("spelled", DoubleType())])
+    return written(rows.mapInArrow(task, schema), "lm-words")
 
 
 def _numbers(words: bytes) -> np.ndarray:

@@ -489,6 +489,56 @@ def test_lm_codes_word_by_word(spark, most, at_once):
         assert numbers.dtype == np.int32 and numbers.tolist() == want and abs(spelled - total) < 1e-6
 
 
+def test_lm_batches_of_texts_are_coded_as_text_by_text(spark):
+    import numpy as np
+    import pyarrow as pa
+    vocab = _vocab(spark, ["a b c a b a", "The cat, the hat: the mat!"])
+    r = random.Random(9)
+    texts = [None, "", " \n\t\v\f\r ", "x\x1fy\x85z\u2028w", "the-cat's  hat", "A\u0130 \U0001f600 \u039f\u0394\u039f\u03a3 \u03a3", None]
+    texts += ["".join(r.choice("abc the,:!\n\u00e9\u4e2d_9\u03a3") for _ in range(r.randrange(60))) for _ in range(60)]
+    for most in (1_000_000, 5, 1):
+        codes = lm_scoring.Codes(vocab, most)
+        for part in (texts[:9], texts[9:], texts[:9], [], [None]):
+            want = list(lm_scoring.Codes(vocab).encode(part))
+            numbers, ends, spelled = codes.encode_array(pa.array(part, pa.string()))
+            assert [x.tolist() for x in np.split(numbers, ends[:-1])][:len(part)] == [n.tolist() for n, _ in want]
+            assert np.allclose(spelled, [p for _, p in want])
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    rows = {x.doc_id: x for x in lm_scoring.encoded(docs, vocab).collect()}
+    assert [(np.frombuffer(rows[i].words, "<i4").tolist(), round(rows[i].spelled, 6)) for i in range(len(texts))] == \
+        [(n.tolist(), round(p, 6)) for n, p in lm_scoring.Codes(vocab).encode(texts)]
+    assert lm_scoring.encoded(docs.limit(0), vocab).collect() == []
+
+
+def test_lm_groups_need_few_scores_a_word():
+    import numpy as np
+    for v in (200, 8000):
+        counts = np.concatenate([1e7 / np.arange(1, v + 1), np.full(lm_scoring.SPELLED, 1e6 / lm_scoring.SPELLED)])
+        vocab = lm_scoring.Vocabulary([f"w{i}" for i in range(v)], counts, np.zeros(256, int), np.zeros(256), np.zeros((256, 257)))
+        net, share = lm_scoring.new_network(vocab), counts[:v] / counts.sum()
+        size = np.diff(net.starts)
+        assert net.starts[0] == 1 and net.starts[-1] == v + lm_scoring.SPELLED + 1 and size.min() > 0 and size[-1] == lm_scoring.SPELLED
+        scores = len(size) + (share * size[net.group[1:v + 1]]).sum()
+        assert scores < 2.2 * np.sqrt(share).sum() + 3, (v, scores)
+
+
+def test_lm_trainer_takes_the_windows_of_each_text_alone():
+    import numpy as np
+    vocab = lm_scoring.Vocabulary(["a", "b", "c"], np.ones(3 + lm_scoring.SPELLED), np.zeros(256, int), np.zeros(256), np.zeros((256, 257)))
+    trainer, seen = lm_scoring.Trainer(lm_scoring.new_network(vocab)), []
+    trainer.step = lambda around, target: seen.extend((*a, t) for a, t in zip(around.tolist(), target.tolist()))
+    r, want = random.Random(4), []
+    for n in (0, 1, 2, 5, 7, 8 * lm_scoring.BATCH + 3, 1, 6):
+        for start, stride in ((0, 1), (1, 2), (3, 4)):
+            c = np.array([r.randrange(1, 4) for _ in range(n)], np.int64)
+            at = np.arange(start, n, stride)
+            trainer.read(c, at)
+            near = [0, 0, *c.tolist(), 0, 0]
+            want += [(near[i], near[i + 1], near[i + 3], near[i + 4], near[i + 2]) for i in at.tolist()]
+    trainer.learn()
+    assert seen == want
+
+
 def _random_network(spark, n_words=60):
     import numpy as np
     r = random.Random(3)
