@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paysift.functions import constants as K
+from paysift.operators.boosting import TableGBT
 from paysift.operators.features import request_defaults
 
 
@@ -34,7 +35,7 @@ def assembler(cols: Sequence[str], out: str = "features") -> VectorAssembler:
 
 
 def gbt(label: str = "log_salary", features: str = "features", params: dict | None = None) -> GBTRegressor:
-    return GBTRegressor(labelCol=label, featuresCol=features, **dict(K.GBT_PARAMS, **(params or {})))
+    return TableGBT(labelCol=label, featuresCol=features, **dict(K.GBT_PARAMS, **(params or {})))
 
 
 def regression_metrics(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
