@@ -320,7 +320,7 @@ def _dashboard_sql():
 def mart_dashboard(spark, sf):
     """The dashboard with the importances of the model on all features."""
     m, model = explained(spark, sf)
-    return _dashboard(spark, sf, L.mean_abs(m.sparse, model).join(m.names, "idx").select("feature", "importance"))
+    return _dashboard(spark, sf, L.mean_abs(m.rows, model).join(m.names, "idx").select("feature", "importance"))
 
 
 @register("mart_dashboard_two", _dashboard_sql())

@@ -76,3 +76,51 @@ def test_falling_contributions_need_no_lists(spark, monkeypatch):
     assert "collect_list" not in q._jdf.queryExecution().optimizedPlan().toString()
     got = {r["job_id"]: (r["n_top"], r["falling"], r["adds_up"]) for r in q.collect()}
     assert got == {1: (3, True, True), 2: (3, False, True), 3: (4, True, True), 4: (2, False, True), 5: (3, False, True)}
+
+
+def numbered(spark, small_tables):
+    df, words, prefixes, index = small_tables
+    rows = FE.token_rows(df.withColumn("y", F.col("id") * 1.0), ["id", "num", "y", "a"], ["num"], prefixes, index, 4, "tokens", words, 3)
+    return rows, rows.frames()[0]
+
+
+def test_linear_models_read_written_rows_in_one_pass(spark, small_tables):
+    """The same numbers as over assembled rows, which went through Python twice a pass, those of the other part too."""
+    from paysift.operators import linear as L
+    rows, sparse = numbered(spark, small_tables)
+    a, b = L.fit(rows.where("id < 6"), 8, "y"), L.fit(sparse.where("id < 6"), 8, "y")
+    assert np.allclose(a.coef, b.coef) and np.allclose(a.mean, b.mean) and a.base == b.base
+    plan = rows.where("id < 6").map([F.col("y").alias("z")], lambda it: it, "z double, indices array<int>, values array<double>")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("Filter")
+    for f in (lambda r: L.contributions_top(r, "id", b, 3), lambda r: L.mean_abs(r, b), lambda r: L.residual_products(r, b, "y")):
+        x, y = (f(r).toPandas() for r in (rows, sparse))
+        by = [c for c in ("id", "rank", "idx") if c in x]
+        assert list(x.columns) == list(y.columns) and np.allclose(x.sort_values(by), y.sort_values(by))
+
+
+def test_dependence_of_a_number_assembles_no_row(spark, small_tables, monkeypatch):
+    from paysift.operators import linear as L
+    rows, sparse = numbered(spark, small_tables)
+    model = L.fit(sparse, 8, "y")
+    want = L.dependence(sparse, [0], model, "a", bins=4).toPandas()
+    monkeypatch.setattr(FE.TokenRows, "map", None)
+    got = L.dependence(rows, [0], model, "a", bins=4).toPandas()
+    order = lambda d: d.sort_values(["idx", "bin", "a"]).reset_index(drop=True)
+    assert order(got).equals(order(want)) and len(got) > 3
+
+
+@pytest.mark.parametrize("d, share, k", [(148, 0.8, 8), (9, 0.3, 3), (400, 0.02, 8), (5, 0.0, 5)])
+def test_largest_contributions_of_all_rows_at_once(d, share, k):
+    """What a loop over the rows found, ties (the first feature) and values that aren't numbers too."""
+    from paysift.operators import linear as L
+    rng = np.random.default_rng(d)
+    rows, cols = np.nonzero(rng.random((300, d)) < share)
+    x = L.Sparse(300, rows, cols.astype(np.int32), np.ones(len(rows)))
+    own, constant = rng.normal(size=len(rows)).round(1) * 2, rng.normal(size=d).round(1)
+    own[::97] = np.nan
+    idx, value = L._largest(x, own, constant, np.lexsort((np.arange(d), -np.abs(constant))), k)
+    for i in range(300):
+        all_of = constant.copy()
+        all_of[cols[rows == i]] = own[rows == i]
+        best = np.lexsort((np.arange(d), -np.abs(all_of)))[:k]
+        assert (idx[i] == best).all() and np.array_equal(value[i], all_of[best], equal_nan=True)
