@@ -37,6 +37,8 @@ from paysift.session import shared_dir
 
 #: Bits of a packed column; rows of a block, and bytes of its columns, at most; tasks whose histograms the driver adds up.
 WIDTH, ROWS, BYTES, TASKS = 10, 1 << 16, 32 << 20, 32
+#: Fewer training rows are fitted by ``pyspark.ml`` itself: what a pass costs whatever the rows is less there.
+LEAST = 200_000
 EPSILON = 2.0 ** -52
 
 
@@ -316,7 +318,7 @@ class TableGBT(GBTRegressor):
             return super()._fit(dataset)
         rows = dataset.select(F.unwrap_udt(self.getFeaturesCol()).alias("u"), F.col(self.getLabelCol()).cast("double").alias("y"))
         n, d, wrong = rows.agg(F.count(F.lit(1)), F.max(F.coalesce("u.size", F.size("u.values"))), F.count_if(F.col("u").isNull() | F.col("y").isNull() | F.isnan("y"))).first()
-        if not n or wrong or not d:
+        if n < LEAST or wrong or not d:
             return super()._fit(dataset)  # which says what is wrong
         layout = self._layout(rows, n, d)
         folder = _mounted(shared_dir(dataset.sparkSession, "gbt"))

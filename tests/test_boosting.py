@@ -12,6 +12,11 @@ from paysift.operators import boosting as B
 from paysift.operators import ml as M
 
 
+@pytest.fixture(autouse=True)
+def own_fit(monkeypatch):
+    monkeypatch.setattr(B, "LEAST", 1)
+
+
 def drawn(n=3000, seed=5):
     rng = np.random.default_rng(seed)
     x = np.c_[rng.normal(size=(n, 3)), rng.integers(0, 4, n), np.eye(3)[rng.integers(0, 3, n)], np.full(n, 2.0), -rng.exponential(size=n)]
@@ -131,9 +136,16 @@ def test_bins_and_packed_columns_against_numpy():
             at += 1 << b
 
 
-def test_what_it_does_not_know_goes_to_pyspark_ml(spark):
+def test_what_it_does_not_know_goes_to_pyspark_ml(spark, monkeypatch):
     x, y = drawn(300)
     df = frame(spark, x, y).withColumn("w", F.lit(1.0))
+    with monkeypatch.context() as m:
+        m.setattr(B.TableGBT, "_boost", None)
+        m.setattr(B, "LEAST", 301)
+        assert B.TableGBT(**PARAMS, maxIter=2).fit(df).getNumTrees == 2  # few rows
+        m.setattr(B, "LEAST", 300)
+        with pytest.raises(TypeError):
+            B.TableGBT(**PARAMS, maxIter=2).fit(df)
     assert not B.TableGBT(**PARAMS, weightCol="w")._own(df) and not B.TableGBT(**PARAMS, lossType="absolute")._own(df) and B.TableGBT(**PARAMS)._own(df)
     assert B._mounted("hdfs://host/a") is None and B._mounted("file:/a%20b/c") == "/a b/c" and B._mounted("/a") == "/a"
     assert B.TableGBT(**PARAMS, weightCol="w", maxIter=2).fit(df).getNumTrees == 2
